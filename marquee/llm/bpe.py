@@ -29,7 +29,9 @@ from marquee.llm.pieces import cut
 
 BLOCK_CHARS = 32_000_000
 FOLD_BYTES = 256
-BUCKETS = 32768
+BUCKETS = 32749
+#: Stands before and after the bytes of a word; it merges with nothing.
+EDGE = 256
 #: State of the fold: one long for each piece, rank of its merge with the next piece << 34 | first byte << 17 | id.
 ID_BITS, RANK_SHIFT = 17, 34
 ID_MASK, NO_RANK = (1 << ID_BITS) - 1, (1 << 17) - 1
@@ -45,53 +47,59 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value) with value computed once: a fold over nothing whose finish is the body."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """Array of BUCKETS maps from a pair of ids (left << 17 | right) to the id of their merge; a constant."""
+    """Array of BUCKETS maps from a pair of ids (left << 17 | right) to the id of their merge << 34; a constant."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
-                buckets[(a * 31 + b) % BUCKETS][str(a << ID_BITS | b)] = rank
+                pair = a << ID_BITS | b
+                buckets[pair % BUCKETS][str(pair)] = rank << RANK_SHIFT
     return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
 
 
 def encoded_words(words: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids of each word of an array of byte arrays (array<array<int>>)."""
-    ids_of_bytes = F.split(F.lit(",".join(str(ranks[bytes([b])]) for b in range(256))), ",").cast("array<bigint>")
+    """Ids of each word of an array of byte arrays, which stand between two EDGE marks (array<array<int>>)."""
+    ids_of_bytes = F.split(F.lit(",".join([*(str(ranks[bytes([b])]) for b in range(256)), str(ID_MASK)])), ",").cast("array<bigint>")
     return _let(rank_literal(ranks), lambda table: _let(ids_of_bytes, lambda ids: F.transform(words, lambda data: merged(data, table, ids))))
 
 
 def merged(data: Column, table: Column, ids_of_bytes: Column) -> Column:
     """Ids of one word from its byte array: at each step the pair of lowest rank merges, the leftmost first."""
-    edge = F.lit(NO_RANK << RANK_SHIFT | ID_MASK).cast("bigint")  # stands before and after a word and merges with nothing
+    none = F.lit(NO_RANK << RANK_SHIFT).cast("bigint")
+    keep_all_but_rank = F.lit((1 << RANK_SHIFT) - 1)
+    keep_place = F.lit((1 << RANK_SHIFT) - (1 << ID_BITS))
 
     def ranked(a: Column, b: Column) -> Column:
         """The rank of a pair of ids, in its place in the state."""
-        bucket = (a * 31 + b).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-        return F.shiftleft(F.coalesce(F.get(table, bucket)[F.shiftleft(a, ID_BITS) + b], F.lit(NO_RANK).cast("bigint")), RANK_SHIFT)
+        return _let(F.shiftleft(a, ID_BITS).bitwiseOR(b), lambda pair: F.coalesce(F.get(table, (pair % BUCKETS).cast("int"))[pair], none))
 
     def id_of(piece: Column) -> Column:
         return piece.bitwiseAND(F.lit(ID_MASK))
 
     def merge(pieces: Column, lowest: Column, at: Column) -> Column:
+        """The piece at `at` (from 1) and the next become one; the piece before gets its new rank."""
         new = F.shiftright(lowest, RANK_SHIFT)
-        left = lambda before: ranked(id_of(before), new) + before.bitwiseAND(F.lit((1 << RANK_SHIFT) - 1))
-        here = ranked(new, id_of(F.get(pieces, at + 1))) + (lowest.bitwiseAND(F.lit((1 << RANK_SHIFT) - (1 << ID_BITS))) + new)
+        here = ranked(new, id_of(F.get(pieces, at + 1))).bitwiseOR(lowest.bitwiseAND(keep_place)).bitwiseOR(new)
         # no two pieces of a word are equal, since each carries its first byte
-        return F.transform(F.array_remove(pieces, F.get(pieces, at)), lambda x, i: F.when(i == at - 1, here).when(i == at - 2, left(x)).otherwise(x))
+        return _let(
+            F.get(pieces, at - 2),
+            lambda before: F.transform(
+                F.array_remove(pieces, F.get(pieces, at)), lambda x: F.when(x == lowest, here).when(x == before, ranked(id_of(before), new).bitwiseOR(before.bitwiseAND(keep_all_but_rank))).otherwise(x)
+            ),
+        )
 
     def step(pieces: Column, _: Column) -> Column:
-        return _let(F.array_min(pieces), lambda low: F.when(low < (NO_RANK << RANK_SHIFT), _let(F.array_position(pieces, low).cast("int"), lambda at: merge(pieces, low, at))).otherwise(pieces))
+        return _let(F.array_min(pieces), lambda low: F.when(low < none, _let(F.array_position(pieces, low).cast("int"), lambda at: merge(pieces, low, at))).otherwise(pieces))
 
     def fold(ids: Column) -> Column:
-        pairs = F.transform(ids, lambda x, i: ranked(x, F.coalesce(F.get(ids, i + 1), F.lit(ID_MASK).cast("bigint"))) + F.shiftleft(i.cast("bigint"), ID_BITS) + x)
-        pieces = F.aggregate(F.sequence(F.lit(1), F.size(ids)), F.concat(F.array(edge), pairs, F.array(edge)), step)
-        return _let(pieces, lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 2), lambda x: id_of(x).cast("int")))
+        pairs = F.transform(ids, lambda x, i: ranked(x, F.coalesce(F.get(ids, i + 1), F.lit(ID_MASK).cast("bigint"))).bitwiseOR(F.shiftleft(i.cast("bigint"), ID_BITS)).bitwiseOR(x))
+        return _let(F.aggregate(ids, pairs, step), lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 2), lambda x: id_of(x).cast("int")))
 
     return _let(F.transform(data, lambda b: F.get(ids_of_bytes, b)), fold)
 
@@ -99,6 +107,19 @@ def merged(data: Column, table: Column, ids_of_bytes: Column) -> Column:
 # ---------------------------------------------------------------- blocks
 
 
+def _byte_arrays(words: list[bytes]) -> pa.Array:
+    """Lists of byte values between two EDGE marks, from one buffer."""
+    import numpy as np
+
+    ends = np.cumsum([len(w) + 2 for w in words])
+    flat = np.full(int(ends[-1]), EDGE, np.int32)
+    inside = np.ones(len(flat), bool)
+    inside[ends - 1] = False
+    inside[np.concatenate([[0], ends[:-1]])] = False
+    flat[inside] = np.frombuffer(b"".join(words), np.uint8)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
     """For each block: rows of words with their bytes, then the block's documents."""
     import regex
@@ -106,33 +127,42 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes,
     words_of = regex.compile(pattern).findall
     kinds = {"words": pa.list_(pa.string()), "bytes": pa.list_(pa.list_(pa.int32())), "id": pa.int64(), "text": pa.string(), "last": pa.bool_()}
 
-    def rows(**columns) -> pa.RecordBatch:
-        n = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([pa.array(columns.get(k, [None] * n), t) for k, t in kinds.items()], names=list(kinds))
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
 
-    ids, texts, chars, pieces = [], [], 0, set()
+    held, chars = [], 0
+    pieces: set[str] = set()  # regular ones only, as cut() asks
+    odd: set[str] = set()
 
     def flush() -> Iterator[pa.RecordBatch]:
-        words = {w for p in pieces for w in words_of(p)}
-        coded = ((w, w.encode()) for w in sorted(words))
-        todo = [(w, b) for w, b in coded if b not in direct and len(b) <= FOLD_BYTES]
-        for at in range(0, len(todo), 1024):
-            some = todo[at : at + 1024]
-            yield rows(words=[[w for w, _ in some]], bytes=[[list(b) for _, b in some]], last=[False])
-        for at in range(0, len(ids), 64):
-            more = ids[at : at + 64]
-            yield rows(id=more, text=texts[at : at + 64], last=[at + k == len(ids) - 1 for k in range(len(more))])
-
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(i)
-            texts.append(t)
-            chars += len(t)
-            pieces |= cut(t)[1]
+        words = {w for some in (pieces, odd) for p in some for w in words_of(p)}
+        pieces.clear()
+        odd.clear()
+        todo = [(w, b) for w, b in ((w, w.encode()) for w in words) if b not in direct and len(b) <= FOLD_BYTES]
+        words.clear()
+        todo.sort()  # a retried task sends the same rows
+        for at in range(0, len(todo), 2048):
+            some = todo[at : at + 2048]
+            one = pa.array([0, len(some)], pa.int32())
+            yield rows(1, words=pa.ListArray.from_arrays(one, pa.array([w for w, _ in some], pa.string())), bytes=pa.ListArray.from_arrays(one, _byte_arrays([b for _, b in some])), last=pa.array([False]))
+        todo.clear()
+        while held:
+            batch = held.pop(0)
+            yield rows(batch.num_rows, id=batch.column(0), text=batch.column(1), last=pa.array([not held and k == batch.num_rows - 1 for k in range(batch.num_rows)]))
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            held.append(batch)
+            for t in batch.column(1):
+                text = t.as_py()
+                chars += len(text)
+                _, new, regular = cut(text, pieces)
+                (pieces if regular else odd).update(new)
             if chars >= BLOCK_CHARS:
                 yield from flush()
-                ids, texts, chars, pieces = [], [], 0, set()
-    if ids:
+                chars = 0
+    if held:
         yield from flush()
 
 
@@ -143,42 +173,47 @@ def _joined(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes,
     import tiktoken
 
     words_of = regex.compile(pattern).findall
-    folded: dict[str, list[int]] = {}
-    known: dict[str, bytes] = {}
+    folded: dict[str, bytes] = {}
+    known: dict[str, bytes] = {}  # regular pieces only, as cut() asks
     library = None
 
-    def of_piece(piece: str) -> bytes:
+    def of_word(word: str) -> bytes:
         nonlocal library
-        out: list[int] = []
-        for w in words_of(piece):
-            if w in folded:
-                out += folded[w]
-            elif (one := direct.get(b := w.encode())) is not None:
-                out.append(one)
-            else:
-                if len(b) <= FOLD_BYTES:
-                    raise ValueError("a word of the block is missing")
-                library = library or tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=direct, special_tokens={})
-                out += library.encode_ordinary(w)
-        return np.array(out, "<i4").tobytes()
+        if word in folded:
+            return folded[word]
+        data = word.encode()
+        if data in direct:
+            return np.array([direct[data]], "<i4").tobytes()
+        if len(data) <= FOLD_BYTES:
+            raise ValueError("a word of the block is missing")
+        library = library or tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=direct, special_tokens={})
+        return np.array(library.encode_ordinary(word), "<i4").tobytes()
 
     for batch in batches:
-        columns = {k: batch.column(k) for k in ("words", "ids", "id", "text", "last")}
+        word_lists, id_lists = batch.column("words"), batch.column("ids")
+        if word_lists.null_count < batch.num_rows:
+            words, lists = word_lists.flatten().to_pylist(), id_lists.flatten()
+            ends = np.cumsum(lists.value_lengths().to_numpy()) * 4
+            data = np.asarray(lists.flatten()).astype("<i4").tobytes()
+            at = 0
+            for w, end in zip(words, ends.tolist()):
+                folded[w] = data[at:end]
+                at = end
         out_ids, out_tokens = [], []
-        for words, ids, i, text, last in zip(*(c.to_pylist() for c in columns.values())):
-            if words is not None:
-                folded.update(zip(words, ids))
+        for i, text, last in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("last").to_pylist()):
+            if not text.is_valid:
                 continue
-            found = cut(text)[0]
-            for p in set(found).difference(known):
-                known[p] = of_piece(p)
+            found, new, regular = cut(text.as_py(), known)
+            more = {p: folded[p] if p in folded else b"".join([of_word(w) for w in words_of(p)]) for p in new}
+            if regular:
+                known.update(more)
             out_ids.append(i)
-            out_tokens.append(np.frombuffer(b"".join([known[p] for p in found]), "<i4"))
+            out_tokens.append(b"".join([known[p] for p in found] if regular else [more[p] if p in more else known[p] for p in found]))
             if last:
                 folded, known = {}, {}
         if out_ids:
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in out_tokens])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out_tokens)))], names=["id", "ids"])
+            offsets = np.cumsum([0, *(len(t) // 4 for t in out_tokens)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out_tokens), "<i4")))], names=["id", "ids"])
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -242,7 +242,7 @@ def test_bpe_fold_alone(spark):
     rng = np.random.default_rng(5)
     words = [bytes(rng.integers(97, 123, n)).decode() for n in range(1, 200)] + ["a" * n for n in range(1, 250, 7)] + ["é" * 60, "🙂" * 40]
     words = [w for w in words if w.encode() not in RANKS]
-    df = spark.createDataFrame([([list(w.encode()) for w in words],)], "w array<array<int>>")
+    df = spark.createDataFrame([([[bpe.EDGE, *w.encode(), bpe.EDGE] for w in words],)], "w array<array<int>>")
     got = df.select(bpe.encoded_words(F.col("w"), RANKS).alias("ids")).first().ids
     assert got == [library.encode_ordinary(w) for w in words]
 
