@@ -191,17 +191,17 @@ def _joined(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes,
 
     for batch in batches:
         word_lists, id_lists = batch.column("words"), batch.column("ids")
-        if word_lists.null_count < batch.num_rows:
-            words, lists = word_lists.flatten().to_pylist(), id_lists.flatten()
-            ends = np.cumsum(lists.value_lengths().to_numpy()) * 4
-            data = np.asarray(lists.flatten()).astype("<i4").tobytes()
-            at = 0
-            for w, end in zip(words, ends.tolist()):
-                folded[w] = data[at:end]
-                at = end
         out_ids, out_tokens = [], []
-        for i, text, last in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("last").to_pylist()):
+        rows = zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("last").to_pylist())
+        for row, (i, text, last) in enumerate(rows):  # in order: a batch may hold the end of a block and the words of the next
             if not text.is_valid:
+                words, lists = word_lists.slice(row, 1).flatten().to_pylist(), id_lists.slice(row, 1).flatten()
+                ends = np.cumsum(lists.value_lengths().to_numpy()) * 4
+                data = np.asarray(lists.flatten()).astype("<i4").tobytes()
+                at = 0
+                for w, end in zip(words, ends.tolist()):
+                    folded[w] = data[at:end]
+                    at = end
                 continue
             found, new, regular = cut(text.as_py(), known)
             more = {p: folded[p] if p in folded else b"".join([of_word(w) for w in words_of(p)]) for p in new}

@@ -235,6 +235,22 @@ def test_bpe_matches_the_library(spark, sf, odd_docs, no_docs):
     assert bpe.encode(no_docs, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_many_blocks(spark, sf):
+    """Blocks that end inside an Arrow batch."""
+    ranks, docs = RANKS, table(spark, sf, "documents")
+    want = Counter((r.id, tuple(r.ids)) for r in bpe.encode(docs, ranks, public_tokenizers.PATTERN).collect())
+    source = docs.select(F.col("doc_id").alias("id"), "text").coalesce(1)
+
+    def blocks(batches):
+        bpe.BLOCK_CHARS = 20_000
+        parts = (b.slice(at, 5) for b in batches for at in range(0, b.num_rows, 5))
+        yield from bpe._blocks(parts, public_tokenizers.PATTERN, ranks)
+
+    coded = source.mapInArrow(blocks, "words array<string>, bytes array<array<int>>, id long, text string, last boolean")
+    coded = coded.select("words", bpe.encoded_words(F.col("bytes"), ranks).alias("ids"), "id", "text", "last")
+    assert Counter((r.id, tuple(r.ids)) for r in coded.mapInArrow(lambda b: bpe._joined(b, public_tokenizers.PATTERN, ranks), "id long, ids array<int>").collect()) == want
+
+
 def test_bpe_fold_alone(spark):
     import tiktoken
 
