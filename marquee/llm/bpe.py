@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import text_or_empty
-from marquee.llm.pieces import cut
+from marquee.llm.pieces import cut, words_in
 
 BLOCK_CHARS = 32_000_000
 FOLD_BYTES = 256
@@ -124,7 +124,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes,
     """For each block: rows of words with their bytes, then the block's documents."""
     import regex
 
-    words_of = regex.compile(pattern).findall
+    words_of = words_in(regex.compile(pattern).findall)
     kinds = {"words": pa.list_(pa.string()), "bytes": pa.list_(pa.list_(pa.int32())), "id": pa.int64(), "text": pa.string(), "last": pa.bool_()}
 
     def rows(n: int, **columns) -> pa.RecordBatch:
@@ -140,7 +140,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes,
         odd.clear()
         todo = [(w, b) for w, b in ((w, w.encode()) for w in words) if b not in direct and len(b) <= FOLD_BYTES]
         words.clear()
-        todo.sort()  # a retried task sends the same rows
         for at in range(0, len(todo), 2048):
             some = todo[at : at + 2048]
             one = pa.array([0, len(some)], pa.int32())
@@ -172,7 +171,7 @@ def _joined(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes,
     import regex
     import tiktoken
 
-    words_of = regex.compile(pattern).findall
+    words_of = words_in(regex.compile(pattern).findall)
     folded: dict[str, bytes] = {}
     known: dict[str, bytes] = {}  # regular pieces only, as cut() asks
     library = None

@@ -9,7 +9,7 @@ stays inside pieces, whose own pre-tokens the tokenizer finds.
 from __future__ import annotations
 
 import re
-from collections.abc import Container
+from collections.abc import Callable, Container
 
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 NUL = "\0"
@@ -33,3 +33,8 @@ def cut(text: str, known: Container[str] = frozenset()) -> tuple[list[str], set[
     first, *rest = SAFE_SPACE.split(text)
     found = [first, *(" " + p for p in rest)]
     return found, set(found).difference(known), False
+
+
+def words_in(findall: Callable[[str], list[str]]) -> Callable[[str], list[str]]:
+    """findall of the pre-token pattern; letters, with or without one space before them, are one word, which needs no search."""
+    return lambda piece: [piece] if (piece[1:] if piece[:1] == " " else piece).isalpha() else findall(piece)
