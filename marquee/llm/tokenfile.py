@@ -37,7 +37,7 @@ CHUNK_BITS = 8
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
 #: Pieces that a worker keeps; it starts anew beyond.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
 
 
 # ---------------------------------------------------------------- the code
@@ -114,20 +114,42 @@ def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, list[tuple[
 
 
 class PieceEncoder:
-    """Token ids of whole texts, encoding each different piece once."""
-
-    def __init__(self, encode_batch: Callable[[list[str]], list[list[int]]]):
-        self.encode_batch, self.known = encode_batch, {}
+    """Token ids of whole texts, encoding each different piece once.
+
+    Regular pieces (see pieces.py) hold no line feed and stay apart across one, so all new ones go to the tokenizer as
+    lines of one text, and the line feed's id parts their ids again.
+    """
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        self.encode, self.known = encode, {}
+        self.line_feed = self.encode("\n")
+        if len(self.line_feed) != 1:
+            raise ValueError("the tokenizer has no token for a line feed")
+
+    def lines(self, pieces: list[str]) -> list[bytes]:
+        ids = np.array(self.encode("\n".join(pieces)), "<u4")
+        ends = [*np.flatnonzero(ids == self.line_feed[0]).tolist(), len(ids)]
+        if len(ends) != len(pieces):
+            raise ValueError("the tokenizer joins characters across line feeds")
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], ends)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE_PIECES:
             self.known = {}
+        self.known["\n"] = np.array(self.line_feed, "<u4").tobytes()
         cuts = [cut(t, self.known) for t in texts]
-        odd: dict[str, bytes] = {}
-        for into, want in ((self.known, True), (odd, False)):
-            new = sorted(set().union(*(new for _, new, regular in cuts if regular is want)))
-            into.update(zip(new, (np.array(i, "<u4").tobytes() for i in self.encode_batch(new))))
-        return [np.frombuffer(b"".join([self.known[p] for p in found] if regular else [odd[p] if p in odd else self.known[p] for p in found]), "<u4") for found, _, regular in cuts]
+        new = list(set().union(*(new for _, new, regular in cuts if regular)))
+        if new:
+            self.known.update(zip(new, self.lines(new)))
+        out = []
+        for found, rest, regular in cuts:
+            if regular:
+                out.append(b"".join([self.known[p] for p in found]))
+            else:
+                odd = {p: np.array(self.encode(p), "<u4").tobytes() for p in rest}
+                out.append(b"".join([odd[p] if p in odd else self.known[p] for p in found]))
+        return [np.frombuffer(x, "<u4") for x in out]
 
 
 _encoders: dict[int, PieceEncoder] = {}
@@ -141,7 +163,7 @@ def library_encoder(tokenizer_json: str) -> PieceEncoder:
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
         tokenizer.encode_special_tokens = True
-        _encoders[key] = PieceEncoder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        _encoders[key] = PieceEncoder(lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
     return _encoders[key]
 
 
