@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,14 +58,22 @@ def text_or_empty(df: DataFrame, text_col: str = "text") -> Column:
 
 
 def with_row_ids(df: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
-    """df written with one unique long per row, so that repeated rows stay apart; and that column's name."""
-    row = fresh(df, "row_no")
-    return materialise(df.withColumn(row, F.monotonically_increasing_id()), name), row
+    """df with one more column that tells all rows apart, repeated ones too, the same each time it is read; and its name.
+
+    A table read from files has a file and a place for every row. Any other DataFrame is written to the
+    shared folder first.
+    """
+    row = fresh(df, "row_key")
+    place = F.concat(F.md5("_metadata.file_path"), F.lit(":"), F.col("_metadata.row_index").cast("string"))
+    try:
+        return df.select("*", place.alias(row)), row
+    except AnalysisException:
+        return materialise(df.withColumn(row, F.monotonically_increasing_id().cast("string")), name), row
 
 
 def keep_rows(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
-    """The rows whose number is in kept (one long column of the same name), without the number.
+    """The rows whose key is in kept (one column of the same name), without the key.
 
-    The numbers are unique on both sides, so no key of this join is hot.
+    The keys are unique on both sides, so none is hot.
     """
     return rows.join(kept.select(row), row, "left_semi").drop(row)

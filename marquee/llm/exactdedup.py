@@ -35,7 +35,7 @@ def normalised(text: Column) -> Column:
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """row_no, id, the digest columns and n_points of every row, written to the shared folder; the texts stay behind."""
-    row = F.monotonically_increasing_id() if row_col is None else docs[row_col]
+    row = F.monotonically_increasing_id().cast("string") if row_col is None else docs[row_col]
     text = text_or_empty(docs, text_col)
     plain = docs.select(row.alias("row_no"), docs[id_col].cast("long").alias("id"), F.char_length(text).alias("n_points"), normalised(text).alias("norm"), F.spark_partition_id().alias("run"))
     found = plain.select("row_no", "id", "n_points", "run", F.sha2("norm", 256).alias("text_sha256"), F.octet_length("norm").alias("norm_bytes"), F.xxhash64("norm").alias("check_hash"))
@@ -43,8 +43,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
 
 
 def better() -> Column:
-    """An entry whose maximum is the row that stays: most code points, smallest id (null last), smallest row."""
-    return F.struct("n_points", F.col("id").isNotNull().alias("has_id"), (-F.col("id")).alias("minus_id"), (-F.col("row_no")).alias("minus_row"))
+    """An entry whose maximum is the row that stays: most code points, smallest id (null last); row_no decides between repeated rows."""
+    return F.struct("n_points", F.col("id").isNotNull().alias("has_id"), (-F.col("id")).alias("minus_id"), "row_no")
 
 
 def tree_merge(found: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
@@ -65,7 +65,7 @@ def assignments(found: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """id, row_no, keep_id, group_size, kept and text_sha256 for every row of digests()."""
     best = tree_merge(found, fan_in)
     return found.join(best, [*SAME_TEXT]).select(
-        "id", "row_no", (-F.col("best.minus_id")).alias("keep_id"), "group_size", (F.col("row_no") == -F.col("best.minus_row")).alias("kept"), "text_sha256"
+        "id", "row_no", (-F.col("best.minus_id")).alias("keep_id"), "group_size", (found["row_no"] == F.col("best.row_no")).alias("kept"), "text_sha256"
     )
 
 
@@ -78,7 +78,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of docs that stay, with docs' columns."""
     rows, row = with_row_ids(docs, "exact")
     best = tree_merge(digests(rows, id_col, text_col, row))
-    kept = best.select((-F.col("best.minus_row")).alias(row))
+    kept = best.select(F.col("best.row_no").alias(row))
     return keep_rows(rows, row, kept)
 
 

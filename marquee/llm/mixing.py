@@ -37,7 +37,7 @@ SCHEDULES = ((1.0, 1.0), (1.5, 0.5), (0.5, 1.5))
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "0", row_col: str | None = None) -> DataFrame:
     """row_no, id, source, size (words) and order_key of every row, written to the shared folder."""
-    row = F.monotonically_increasing_id() if row_col is None else docs[row_col]
+    row = F.monotonically_increasing_id().cast("string") if row_col is None else docs[row_col]
     key = F.md5(F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit(":" + seed)))
     return materialise(
         docs.select(row.alias("row_no"), docs[id_col].cast("long").alias("id"), docs[source_col].cast("string").alias("source"), F.regexp_count(text_or_empty(docs, text_col), F.lit(WORD)).cast("long").alias("size"), key.alias("order_key")), "sized"

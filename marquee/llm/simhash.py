@@ -57,16 +57,17 @@ def fingerprint_of(text: str, words: int = 4) -> int:
     return int(np.packbits(ones * 2 > shingles, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """id and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, row_col: str | None = None) -> DataFrame:
+    """id, row_no (row_col as text, if given) and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint_of(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["id", "fp"])
+            found = [fingerprint_of(t, words) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(found, np.uint64).view(np.int64))], names=["id", "row_no", "fp"])
 
-    source = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs, text_col).alias("text"))
-    return source.mapInArrow(run, "id long, fp long")
+    row = F.lit("") if row_col is None else docs[row_col].cast("string")
+    source = docs.select(docs[id_col].cast("long").alias("id"), row.alias("row_no"), text_or_empty(docs, text_col).alias("text"))
+    return source.mapInArrow(run, "id long, row_no string, fp long")
 
 
 # ---------------------------------------------------------------- partitions and thresholds
@@ -324,13 +325,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def classes(fps: DataFrame, distance: int = 4, parts: int = 4) -> DataFrame:
-    """near_duplicates() from written fingerprints (id, fp)."""
+    """fps (written fingerprints, with columns id and fp) with root (the fingerprint that names the class) and component."""
     nodes = materialise(fps.groupBy("fp").agg(F.min("id").alias("low")), "classes")
     stars = components(links(nodes, distance, parts))
     rooted = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    return fps.join(rooted.join(lowest, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+    return fps.join(rooted.join(lowest, "root").select("fp", "root", "component"), "fp")
 
 
 def hex_fingerprint(fp) -> F.Column:
@@ -338,11 +339,9 @@ def hex_fingerprint(fp) -> F.Column:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 4, parts: int = 4) -> DataFrame:
-    """One row of docs for each near-duplicate class: that with the smallest id (null last; of repeated ids the first written)."""
+    """One row of docs for each near-duplicate class: that with the smallest id (null last; of repeated rows one)."""
     rows, row = with_row_ids(docs, "near")
-    fps = materialise(fingerprints(rows, row, text_col, words), "fingerprints")
-    members = classes(fps, distance, parts)
-    named = members.join(rows.select(F.col(row).alias("id"), rows[id_col].cast("long").alias("own")), "id")
-    first = F.min(F.struct(F.col("own").isNull(), "own", "id").alias("first")).alias("first")
-    kept = named.groupBy("component").agg(first).select(F.col("first.id").alias(row))
+    members = classes(materialise(fingerprints(rows, id_col, text_col, words, row), "fingerprints"), distance, parts)
+    first = F.min(F.struct(F.col("id").isNull(), "id", "row_no")).alias("first")
+    kept = members.groupBy("root").agg(first).select(F.col("first.row_no").alias(row))
     return keep_rows(rows, row, kept)
