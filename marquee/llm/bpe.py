@@ -17,6 +17,7 @@ decode to nothing; an empty table gives an empty result; of the table only the i
 from __future__ import annotations
 
 import base64
+import itertools
 import json
 from collections.abc import Callable, Iterator
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import text_or_empty
-from marquee.llm.pieces import cut, words_in
+from marquee.llm.pieces import cut, regular, words_in
 
 BLOCK_CHARS = 32_000_000
 FOLD_BYTES = 256
@@ -138,13 +139,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes,
         words = {w for some in (pieces, odd) for p in some for w in words_of(p)}
         pieces.clear()
         odd.clear()
-        todo = [(w, b) for w, b in ((w, w.encode()) for w in words) if b not in direct and len(b) <= FOLD_BYTES]
-        words.clear()
-        for at in range(0, len(todo), 2048):
-            some = todo[at : at + 2048]
-            one = pa.array([0, len(some)], pa.int32())
-            yield rows(1, words=pa.ListArray.from_arrays(one, pa.array([w for w, _ in some], pa.string())), bytes=pa.ListArray.from_arrays(one, _byte_arrays([b for _, b in some])), last=pa.array([False]))
-        todo.clear()
+        while some := list(itertools.islice(iter(words), 2048)):
+            words.difference_update(some)
+            coded = [w.encode() for w in some]
+            todo = [k for k, b in enumerate(coded) if b not in direct and len(b) <= FOLD_BYTES]
+            if todo:
+                one = pa.array([0, len(todo)], pa.int32())
+                yield rows(1, words=pa.ListArray.from_arrays(one, pa.array([some[k] for k in todo], pa.string())), bytes=pa.ListArray.from_arrays(one, _byte_arrays([coded[k] for k in todo])), last=pa.array([False]))
         while held:
             batch = held.pop(0)
             yield rows(batch.num_rows, id=batch.column(0), text=batch.column(1), last=pa.array([not held and k == batch.num_rows - 1 for k in range(batch.num_rows)]))
@@ -156,8 +157,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes,
             for t in batch.column(1):
                 text = t.as_py()
                 chars += len(text)
-                _, new, regular = cut(text, pieces)
-                (pieces if regular else odd).update(new)
+                _, new, all_regular = cut(text, pieces)
+                (pieces if all_regular else odd).update(new)
             if chars >= BLOCK_CHARS:
                 yield from flush()
                 chars = 0
@@ -172,14 +173,14 @@ def _joined(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes,
     import tiktoken
 
     words_of = words_in(regex.compile(pattern).findall)
-    folded: dict[str, bytes] = {}
-    known: dict[str, bytes] = {}  # regular pieces only, as cut() asks
+    known: dict[str, bytes] = {}  # regular pieces only, as cut() asks; most folded words are such pieces
+    other: dict[str, bytes] = {}  # the other folded words
     library = None
 
     def of_word(word: str) -> bytes:
         nonlocal library
-        if word in folded:
-            return folded[word]
+        if (found := known.get(word) or other.get(word)) is not None:
+            return found
         data = word.encode()
         if data in direct:
             return np.array([direct[data]], "<i4").tobytes()
@@ -199,17 +200,17 @@ def _joined(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes,
                 data = np.asarray(lists.flatten()).astype("<i4").tobytes()
                 at = 0
                 for w, end in zip(words, ends.tolist()):
-                    folded[w] = data[at:end]
+                    (known if regular(w) else other)[w] = data[at:end]
                     at = end
                 continue
-            found, new, regular = cut(text.as_py(), known)
-            more = {p: folded[p] if p in folded else b"".join([of_word(w) for w in words_of(p)]) for p in new}
-            if regular:
+            found, new, all_regular = cut(text.as_py(), known)
+            more = {p: b"".join([of_word(w) for w in words_of(p)]) for p in new}
+            if all_regular:
                 known.update(more)
             out_ids.append(i)
-            out_tokens.append(b"".join([known[p] for p in found] if regular else [more[p] if p in more else known[p] for p in found]))
+            out_tokens.append(b"".join([known[p] for p in found] if all_regular else [more[p] if p in more else known[p] for p in found]))
             if last:
-                folded, known = {}, {}
+                known, other = {}, {}
         if out_ids:
             offsets = np.cumsum([0, *(len(t) // 4 for t in out_tokens)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out_tokens), "<i4")))], names=["id", "ids"])

@@ -37,19 +37,6 @@ META_SLOTS = 1 << 10
 SLOTS = WORD_SLOTS + len(STATISTICS) * (len(EDGES) + 2) + META_SLOTS
 WORD_WEIGHT = 1.0
 
-_slots: dict[bytes, int] = {}
-
-
-def _slot(word: bytes) -> int:
-    if len(_slots) > 500_000:
-        _slots.clear()
-    out = _slots[word] = zlib.crc32(word) % WORD_SLOTS
-    return out
-
-
-LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
-
-
 def features(text: str, metadata: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of one document."""
     data = text.encode("utf-8", "surrogatepass")
@@ -71,7 +58,7 @@ def features(text: str, metadata: tuple[str, ...] = ()) -> tuple[np.ndarray, np.
     values = np.clip(np.array(values), 0, 1)
     k = len(STATISTICS)
     bins = WORD_SLOTS + np.arange(k) * (len(EDGES) + 2)
-    slots = [np.array([_slots[w] if w in _slots else _slot(w) for w in different], np.int64), bins + 1 + np.searchsorted(EDGES, values), bins]
+    slots = [np.fromiter(map(zlib.crc32, different), np.int64, len(different)) % WORD_SLOTS, bins + 1 + np.searchsorted(EDGES, values), bins]
     weights = [np.full(len(different), WORD_WEIGHT / np.sqrt(max(1, len(different)))), np.full(k, 0.5), values]
     if metadata:
         slots.append(SLOTS - META_SLOTS + np.array([zlib.crc32(m.encode()) % META_SLOTS for m in metadata]))
