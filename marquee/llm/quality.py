@@ -140,9 +140,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     joined = _inputs(docs, id_col, text_col, meta_cols).join(F.broadcast(sample), "id").select("label", "text", "meta")
     got = joined.mapInArrow(run, "label int, slots binary, vals binary").toArrow()
-    rows = [(np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(v, np.float32)) for s, v in zip(got["slots"].to_pylist(), got["vals"].to_pylist())]
-    order = sorted(range(len(rows)), key=lambda i: (got["label"][i].as_py(), rows[i][0].tobytes(), rows[i][1].tobytes()))  # tasks end in any order
-    return fit([rows[i] for i in order], np.array([got["label"][i].as_py() for i in order], np.float64))
+    rows = []
+    for batch in got.to_batches():
+        for label, slots, values in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):  # views of the table, no copies
+            rows.append((label, np.frombuffer(slots.as_buffer(), np.int32), np.frombuffer(values.as_buffer(), np.float32)))
+    rows.sort(key=lambda r: (r[0], len(r[1]), zlib.crc32(r[1]), zlib.crc32(r[2])))  # tasks end in any order
+    return fit([(s, v) for _, s, v in rows], np.array([label for label, _, _ in rows], np.float64))
 
 
 def _inputs(docs: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str, ...]) -> DataFrame:
