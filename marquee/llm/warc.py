@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 CRLF = "\r\n"
 #: Patterns in the common subset of Java's and RE2's syntax, applied in this order.
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
+HIDDEN = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|head\b.*?</head\s*>)"
 BREAKS = r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|blockquote|pre|hr)\b[^>]*>"
 TAGS = r"(?s)<[^>]*>"
 BLANKS = r"[ \t\r\f\x0b]+"
@@ -81,18 +81,22 @@ def _fields(head: Column) -> Column:
 
 def parsed(records: DataFrame, record_col: str = "record") -> DataFrame:
     """records with warc (header map), status_line, http (header map) and payload in place of the record."""
-    split = F.instr(F.col(record_col), CRLF + CRLF)
-    df = records.withColumn("_head", F.col(record_col).substr(F.lit(1), split - 1)).withColumn("_rest", F.col(record_col).substr(split + 4, F.length(record_col)))
-    df = df.withColumn("_block", F.expr(f"substr(_rest, 1, length(_rest) - if(endswith(_rest, '{CRLF}{CRLF}'), 4, 0))"))
-    cut = F.instr(F.col("_block"), CRLF + CRLF)
-    http = F.when(cut > 0, F.col("_block").substr(F.lit(1), cut - 1)).otherwise(F.lit(""))
-    payload = F.when(cut > 0, F.col("_block").substr(cut + 4, F.length("_block"))).otherwise(F.col("_block"))
-    return df.withColumn("warc", _fields(F.col("_head"))).withColumn("status_line", F.substring_index(http, CRLF, 1)).withColumn("http", _fields(http)).withColumn("payload", payload).drop("_head", "_rest", "_block", record_col)
+    gap = CRLF + CRLF
+    rec = F.col(record_col)
+    df = records.withColumn("_split", F.instr(rec, gap)).withColumn("_end", F.length(rec) - F.when(rec.endswith(gap), 4).otherwise(0))
+    # the end of the HTTP header, unless it is the record's own end
+    df = df.withColumn("_cut", F.expr(f"locate('{gap}', `{record_col}`, _split + 4)")).withColumn("_cut", F.when(F.col("_cut") <= F.col("_end"), F.col("_cut")).otherwise(0))
+    http = rec.substr(F.col("_split") + 4, F.greatest(F.col("_cut") - F.col("_split") - 4, F.lit(0)))
+    start = F.when(F.col("_cut") > 0, F.col("_cut")).otherwise(F.col("_split")) + 4
+    df = df.withColumn("warc", _fields(rec.substr(F.lit(1), F.col("_split") - 1))).withColumn("status_line", F.substring_index(http, CRLF, 1)).withColumn("http", _fields(http))
+    return df.withColumn("payload", rec.substr(start, F.col("_end") - start + 1)).drop("_split", "_end", "_cut", record_col)
 
 
 def derivatives(records: DataFrame, record_col: str = "record") -> DataFrame:
     """Two rows for each response: source_id, record_type, record_id, refers_to, target_uri, date, source_payload_digest, block_digest, block and record."""
-    df = parsed(records.select("source_id", record_col), record_col).where(F.lower(F.col("warc")["warc-type"]) == "response")
+    df = parsed(records.select("source_id", record_col), record_col)
+    # a generator of one row: what stands above reads the parsed columns and does not compute them again
+    df = df.select("source_id", F.inline(F.array(F.struct("warc", "status_line", "http", "payload")))).where(F.lower(F.col("warc")["warc-type"]) == "response")
     of = lambda name: F.coalesce(F.col("warc")[name], F.lit(""))
     source = F.array_join(F.transform(F.array_sort(F.map_keys("http")), lambda k: F.concat(F.lit("http-"), k, F.lit(": "), F.col("http")[k], F.lit(CRLF))), "")
     fields = F.concat(F.lit("http-status: "), F.col("status_line"), F.lit(CRLF), source)
