@@ -6,6 +6,10 @@ partition's threshold t[i], for any integers t[i] >= -1 with sum(t) = d - m + 1.
 fingerprint gets its own thresholds from a dynamic program over estimated candidate counts, probes
 every value of a partition within its threshold, and every candidate is verified on all 64 bits.
 
+near_duplicates() links by differing bits. deduplicated() takes a similarity of word shingles instead: texts of similarity
+0.8 differ in some 10 of 64 bits and by chance in 15, where unlike texts are no longer told apart by 64 bits alone. It therefore
+probes eight 16-bit partitions of two fingerprints with threshold 2 each and verifies 256 bits (see SIMILAR_LANES and similar_bits()).
+
 Defined results: a null text counts as empty; a text without words has fingerprint 0 and links like
 any other; repeated rows each get a row; a null id stays null and never becomes a component id unless its whole
 component has none; an empty table gives an empty result. Only the id and text columns are
@@ -30,6 +34,10 @@ BLOCK_ROWS = 4096
 #: Cost of sending one probe, in candidate comparisons.
 PROBE_COST = 32.0
 MAX_RADIUS = 2
+#: Longs of the signature that decides similarity; the first is the fingerprint.
+SIMILAR_LANES = 4
+#: Standard deviations of the differing bits that a pair of just the wanted similarity is given.
+SIMILAR_SLACK = 3.0
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -37,11 +45,26 @@ MAX_RADIUS = 2
 
 def fingerprint_of(text: str, words: int = 4) -> int:
     """The SimHash of one text; unsigned."""
+    return int(signature_of(text, words)[0])
+
+
+def remixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Other hashes of the same shingles: a multiply-xorshift of the hash and the lane's number; lane 0 keeps them."""
+    if lane == 0:
+        return hashes
+    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def signature_of(text: str, words: int = 4, lanes: int = 1, distinct: bool = False) -> np.ndarray:
+    """SimHashes of one text, one for each lane; distinct: repeated shingles count once."""
     import xxhash
 
     parts = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
     if not parts:
-        return 0
+        return np.zeros(lanes, np.uint64)
     joined = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
@@ -50,24 +73,30 @@ def fingerprint_of(text: str, words: int = 4) -> int:
     first = starts[:shingles].tolist()
     last = ends[len(parts) - shingles :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, shingles, 65536):  # bounds the unpacked bits of a very long text
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(first[at : at + 65536], last[at : at + 65536])], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > shingles, bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, row_col: str | None = None) -> DataFrame:
-    """id, row_no (row_col as text, if given) and fp (the fingerprint as a signed long) of every row."""
+    hashes = np.empty(shingles, "<u8")
+    for at in range(0, shingles, 65536):
+        hashes[at : at + 65536] = [digest(joined[a:b], 42) for a, b in zip(first[at : at + 65536], last[at : at + 65536])]
+    if distinct:
+        hashes = np.unique(hashes)
+    ones = np.zeros((lanes, BITS), np.int64)
+    for at in range(0, len(hashes), 65536):  # bounds the unpacked bits of a very long text
+        for lane in range(lanes):
+            ones[lane] += np.unpackbits(remixed(hashes[at : at + 65536], lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, row_col: str | None = None, lanes: int = 1, distinct: bool = False) -> DataFrame:
+    """id, row_no (row_col as text, if given) and fp (the fingerprint as a signed long) of every row; fp1, fp2 ... for more lanes."""
+    names = ["fp", *(f"fp{k}" for k in range(1, lanes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint_of(t, words) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(found, np.uint64).view(np.int64))], names=["id", "row_no", "fp"])
+            found = np.array([signature_of(t, words, lanes, distinct) for t in batch.column(2).to_pylist()], np.uint64).reshape(-1, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, k]) for k in range(lanes))], names=["id", "row_no", *names])
 
     row = F.lit("") if row_col is None else docs[row_col].cast("string")
     source = docs.select(docs[id_col].cast("long").alias("id"), row.alias("row_no"), text_or_empty(docs, text_col).alias("text"))
-    return source.mapInArrow(run, "id long, row_no string, fp long")
+    return source.mapInArrow(run, "id long, row_no string, " + ", ".join(f"{n} long" for n in names))
 
 
 # ---------------------------------------------------------------- partitions and thresholds
@@ -226,9 +255,8 @@ def verified(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Re
         held = fp[starts[-1] : starts[-1] + indexed[-1]]
 
 
-def links(nodes: DataFrame, distance: int = 4, parts: int = 4) -> DataFrame:
-    """Links a > b that connect all fingerprints (column fp, distinct) within the distance, directly or in steps."""
-    spark = nodes.sparkSession
+def measured_partitions(nodes: DataFrame, parts: int) -> tuple[list[list[int]], list[int], list[np.ndarray]]:
+    """Partitions of correlated bits, their widths, and how many fingerprints (column fp) have each value of each."""
 
     def pair_counts(batches):
         total = np.zeros((BITS, BITS), np.int64)
@@ -263,6 +291,13 @@ def links(nodes: DataFrame, distance: int = 4, parts: int = 4) -> DataFrame:
         for p in range(parts):
             here = batch.filter(pa.compute.equal(batch["part"], p))
             histograms[p][here["value"].to_numpy()] = here["n"].to_numpy()
+    return groups, widths, histograms
+
+
+def links(nodes: DataFrame, distance: int = 4, parts: int = 4) -> DataFrame:
+    """Links a > b that connect all fingerprints (column fp, distinct) within the distance, directly or in steps."""
+    spark = nodes.sparkSession
+    groups, widths, histograms = measured_partitions(nodes, parts)
     shared = spark.sparkContext.broadcast([ball_counts(h, w, MAX_RADIUS) for h, w in zip(histograms, widths)])
 
     def probes(batches):
@@ -299,6 +334,94 @@ def links(nodes: DataFrame, distance: int = 4, parts: int = 4) -> DataFrame:
     return sent.repartition("block").sortWithinPartitions("block", "probe").mapInArrow(lambda b: verified(b, distance), "a long, b long").distinct()
 
 
+def similar_bits(similarity: float, lanes: int = SIMILAR_LANES) -> int:
+    """Differing bits of a signature up to which two texts count as similar.
+
+    Sets of Jaccard similarity s and like size have cosine 2s / (1 + s), and each bit differs with probability angle / pi.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = lanes * BITS
+    return int(n * p + SIMILAR_SLACK * np.sqrt(n * p * (1 - p)))
+
+
+def verified_alike(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, then the longs of a signature) sorted by block. Emits spanning links of the pairs of a block within the limit.
+
+    Memory holds one batch and the open block.
+    """
+    open_block, held = None, None
+    for batch in batches:
+        block = np.asarray(batch.column(0))
+        if not len(block):
+            continue
+        lanes = [np.asarray(batch.column(k)) for k in range(1, batch.num_columns)]
+        old = 0
+        if block[0] == open_block:
+            old = len(held[0])
+            block = np.concatenate([np.full(old, open_block), block])
+            lanes = [np.concatenate([h, x]) for h, x in zip(held, lanes)]
+        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        first = np.repeat(starts, np.diff(np.append(starts, len(block))))
+        at = np.arange(old, len(block))  # every new row meets all rows of its block before it
+        count = at - first[at]
+        done = np.concatenate([[0], np.cumsum(count)])
+        k = 0
+        while k < len(at):
+            to = max(k + 1, int(np.searchsorted(done, done[k] + 1_000_000, "right")) - 1)
+            c = count[k:to]
+            left = np.repeat(at[k:to], c)
+            right = np.repeat(first[at[k:to]] - (done[k:to] - done[k]), c) + np.arange(done[to] - done[k])
+            differ = np.zeros(len(left), np.int64)
+            for x in lanes:
+                differ = differ + np.bitwise_count((x[left] ^ x[right]).view(np.uint64))
+                near = differ <= limit
+                left, right, differ = left[near], right[near], differ[near]
+            a, b = lanes[0][left], lanes[0][right]
+            if (other := a != b).any():
+                more, less = spanning_links(a[other], b[other])
+                yield pa.RecordBatch.from_arrays([pa.array(more), pa.array(less)], names=["a", "b"])
+            k = to
+        open_block = block[-1]
+        held = [x[starts[-1] :] for x in lanes]
+
+
+def similar_links(nodes: DataFrame, limit: int, parts: int = 4) -> DataFrame:
+    """Links a > b of fingerprints (nodes: fp, distinct, and the other longs of its signature) whose signatures differ in at most limit bits.
+
+    The first two longs are cut into partitions; of pairs of similarity 0.8, 1 in 600 differs in more than 2 bits of each of these eight. Threshold 2 for every partition: both sides send the values within 1 of their own, so that values within 2
+    meet. A meeting place of over BLOCK_ROWS rows is cut into slices, each pair of which is one block.
+    """
+    names = nodes.columns
+    measured = [measured_partitions(nodes.select(F.col(n).alias("fp")), parts) for n in names[:2]]
+    widths = [w for _, ws, _ in measured for w in ws]
+    shared = nodes.sparkSession.sparkContext.broadcast([ball_counts(h, w, 1)[1] for _, ws, hs in measured for h, w in zip(hs, ws)])
+    groups = [g for g, _, _ in measured]
+
+    def probes(batches):
+        balls = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                lanes = [np.asarray(whole.column(k)[at : at + 2048]) for k in range(len(names))]
+                values = np.concatenate([part_values(x, g) for x, g in zip(lanes, groups)])
+                salt = (lanes[0].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+                out_block, out_who = [], []
+                for p in range(len(widths)):
+                    around = masks(widths[p], 1)
+                    who = np.repeat(np.arange(values.shape[1]), len(around))
+                    value = values[p][who] ^ np.tile(around, values.shape[1])
+                    slices = np.maximum(1, np.ceil(balls[p][value] / BLOCK_ROWS)).astype(np.int64)
+                    own = (salt[who] % slices.astype(np.uint64)).astype(np.int64)
+                    other = np.arange(slices.sum()) - np.repeat(np.cumsum(slices) - slices, slices)
+                    who, value, own = (np.repeat(x, slices) for x in (who, value, own))
+                    out_block.append((((np.int64(p) << 16) | value) << 40) | (np.minimum(own, other) << 20) | np.maximum(own, other))
+                    out_who.append(who)
+                who = np.concatenate(out_who)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_block)), *(pa.array(x[who]) for x in lanes)], names=["block", *names])
+
+    sent = nodes.mapInArrow(probes, "block long, " + ", ".join(f"{n} long" for n in names))
+    return sent.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: verified_alike(b, limit), "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node of its component) for every node of the links a > b.
 
@@ -327,7 +450,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def classes(fps: DataFrame, distance: int = 4, parts: int = 4) -> DataFrame:
     """fps (written fingerprints, with columns id and fp) with root (the fingerprint that names the class) and component."""
     nodes = materialise(fps.groupBy("fp").agg(F.min("id").alias("low")), "classes")
-    stars = components(links(nodes, distance, parts))
+    return rooted_classes(fps, nodes, links(nodes, distance, parts))
+
+
+def rooted_classes(fps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """fps with root and component, from the links of its distinct fingerprints (nodes: fp, low)."""
+    stars = components(edges)
     rooted = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
@@ -338,10 +466,18 @@ def hex_fingerprint(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 4, parts: int = 4) -> DataFrame:
-    """One row of docs for each near-duplicate class: that with the smallest id (null last; of repeated rows one)."""
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, parts: int = 4) -> DataFrame:
+    """One row of docs for each near-duplicate class: that with the smallest id (null last; of repeated rows one).
+
+    Texts are near duplicates from that similarity of their word shingles, as their signatures show it. Texts of
+    one fingerprint count as equal; the signature of one of them stands for all. Repeated shingles count once.
+    """
     rows, row = with_row_ids(docs, "near")
-    members = classes(materialise(fingerprints(rows, id_col, text_col, words, row), "fingerprints"), distance, parts)
+    signed = materialise(fingerprints(rows, id_col, text_col, words, row, SIMILAR_LANES, True), "signatures")
+    rest = [f"fp{k}" for k in range(1, SIMILAR_LANES)]
+    one = F.min(F.struct(*rest)).alias("one")  # whole signatures compare, so that the longs come from one row
+    nodes = materialise(signed.groupBy("fp").agg(F.min("id").alias("low"), one).select("fp", "low", "one.*"), "classes")
+    members = rooted_classes(signed.drop(*rest), nodes.select("fp", "low"), similar_links(nodes.select("fp", *rest), similar_bits(similarity), parts))
     first = F.min(F.struct(F.col("id").isNull(), "id", "row_no")).alias("first")
     kept = members.groupBy("root").agg(first).select(F.col("first.row_no").alias(row))
     return keep_rows(rows, row, kept)

@@ -71,7 +71,32 @@ def test_simhash_special_cases(odd_docs, no_docs):
     assert Counter((r.id, r.fp % (1 << 64), r.component) for r in got) == Counter((i, f, slow_components(pairs, 4)[i, f]) for i, f in pairs)
     assert simhash.near_duplicates(no_docs).count() == 0
     assert simhash.deduplicated(odd_docs).columns == odd_docs.columns
-    assert simhash.deduplicated(odd_docs).count() == len({r.component if r.component is not None else ("none", r.fp) for r in simhash.near_duplicates(odd_docs, words=5).collect()})
+    signed = [(k, int.from_bytes(simhash.signature_of(t, 5, simhash.SIMILAR_LANES, True).tobytes(), "little")) for k, (_, t) in enumerate(texts_of(odd_docs))]
+    assert simhash.deduplicated(odd_docs).count() == len(set(slow_components(signed, simhash.similar_bits(0.8)).values()))
+    assert simhash.deduplicated(no_docs).count() == 0
+
+
+def test_similar_blocks_are_cut_and_carried_over_batches():
+    """Blocks that span batches; each pair of a block within the limit ends in one class."""
+    import numpy as np
+    import pyarrow as pa
+
+    block = np.repeat(np.arange(3), [5, 1, 7])
+    fp = np.array([0, 1, 3, 1 << 40, 7, 9, 0, 0xFF, 0xFE, 0xF0, 1, 2, 0xFFFF0000])
+    other = np.zeros(13, np.int64)
+    for size in (1, 4, 13):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[at : at + size]) for x in (block, fp, other)], names=["block", "fp", "fp1"]) for at in range(0, 13, size)]
+        found = {frozenset(p) for b in simhash.verified_alike(iter(batches), 1) for p in zip(b["a"].to_pylist(), b["b"].to_pylist())}
+        for k in range(3):
+            here = fp[block == k].tolist()
+            want = slow_components([(x, x) for x in here], 1)
+            inside = [p for p in found if p <= set(here)]
+            root = {x: x for x in here}
+            for _ in here:
+                for p in inside:
+                    low = min(root[x] for x in p)
+                    root |= {x: low for x in p}
+            assert all(root[x] == want[x, x] for x in here)
 
 
 def test_simhash_dense_clusters(spark):
