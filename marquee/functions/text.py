@@ -238,11 +238,36 @@ def render(template: Column, values: dict[str, Column]) -> Column:
     return F.array_join(F.transform(tokens, value), "")
 
 
-def client_ip(forwarded: Column, real: Column) -> Column:
-    return F.coalesce(forwarded, real, F.lit("127.0.0.1"))
+#: The characters of a path that an attribute cannot hold; the percent sign goes first.
+PATH_ESCAPES = (("%", "%25"), (" ", "%20"), ("#", "%23"), ("?", "%3F"), ("&", "%26"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("'", "%27"))
+IP_HEADERS = ("x-forwarded-for", "x-real-ip")
+SOCKS = ("socks5", "socks5h", "socks")
+
+
+def encode_path(path: Column) -> Column:
+    return _replaced(path, PATH_ESCAPES)
+
+
+def client_ip(headers: Column) -> Column:
+    """Value of the first address header of an array of (name, value); the local address if there is none."""
+    hits = F.filter(headers, lambda h: F.lower(h["name"]).isin(*IP_HEADERS))
+    return F.coalesce(F.get(hits, F.lit(0))["value"], F.lit("127.0.0.1"))
+
+
+def proxy_kind(url: Column) -> Column:
+    return F.when(F.regexp_extract(url, "^([A-Za-z0-9]+)://", 1).isin(*SOCKS), "socks5h").otherwise("http")
+
+
+def proxy_host(url: Column) -> Column:
+    return F.regexp_extract(url, "^[A-Za-z0-9]+://(?:[^/?#]*@)?([^/?#:]+)", 1)
 
 
 def proxy_port(url: Column) -> Column:
-    scheme = F.lower(F.regexp_extract(url, "^([A-Za-z0-9]+)://", 1))
-    own = F.regexp_extract(url, ":([0-9]+)/?$", 1).try_cast("int")
-    return F.coalesce(own, F.when(scheme.startswith("socks"), 1080).when(scheme == "https", 443).otherwise(80))
+    """The port that the URL names, else that of its scheme."""
+    own = F.regexp_extract(url, "^(?:[A-Za-z0-9]+://)?[^/?#]*:([0-9]+)(?:[/?#]|$)", 1).try_cast("int")
+    return F.coalesce(own, F.when(proxy_kind(url) == "socks5h", 1080).when(url.startswith("https://"), 443).otherwise(80))
+
+
+def rescale(ticks: Column, numerator: int, denominator: int) -> Column:
+    """Seconds of a time stamp in units of numerator / denominator seconds."""
+    return ticks * (float(numerator) / denominator)

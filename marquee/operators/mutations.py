@@ -29,6 +29,25 @@ def update(table: DataFrame, where: Column, **values: Column) -> DataFrame:
     return table.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
+def update_from(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key is in rows (unique there) take its other columns; the rest stay."""
+    new = [c for c in rows.columns if c not in keys]
+    given = rows.select(*keys, *[F.col(c).alias("_new_" + c) for c in new], F.lit(True).alias("_hit"))
+    joined = table.join(given, keys, "left")
+    return joined.withColumns({c: F.when(F.col("_hit"), F.col("_new_" + c)).otherwise(F.col(c)) for c in new}).select(*table.columns)
+
+
+def insert(table: DataFrame, rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """Appends rows; columns they lack take their default, or null."""
+    filled = rows.withColumns({c: v for c, v in defaults.items() if c not in rows.columns})
+    return table.unionByName(filled, allowMissingColumns=True)
+
+
+def library_defaults() -> dict[str, Column]:
+    """What a new library has unless it says otherwise."""
+    return {"is_enabled": F.lit(1), "depth_limit": F.lit(-1), "scan_interval": F.lit(0), "metadata_language": F.lit("en"), "include_in_dashboard": F.lit(1)}
+
+
 def delete(table: DataFrame, where: Column) -> DataFrame:
     return table.where(~F.coalesce(where, F.lit(False)))
 

@@ -12,6 +12,7 @@ from marquee.functions import text as T
 from marquee.operators import catalog as C
 from marquee.operators import mutations as M
 from marquee.operators import playback as P
+from marquee.sources import files as S
 from marquee.sources.domain import Catalog, oracle
 from marquee.streaming import events as E
 
@@ -511,9 +512,9 @@ def s34_labels(c):
 # ---------------------------------------------------------------- search and progress
 
 
-@query("SELECT id FROM movies WHERE contains(lower(coalesce(title, clean_name) || ' ' || file_path), 'green')")
+@query("SELECT id FROM movies WHERE contains(lower(coalesce(title, clean_name) || ' ' || file_path), 'blue')")
 def f01_search(c):
-    return C.search(c.movies.withColumn("shown", C.display_title()), "  Green ", "shown", "file_path").select("id")
+    return C.search(c.movies.withColumn("shown", C.display_title()), "  Blue ", "shown", "file_path").select("id")
 
 
 @query("SELECT id FROM episodes WHERE contains(lower(coalesce(title, '') || ' ' || file_path), 's02e1')")
@@ -590,6 +591,138 @@ def d20_checks(c):
     return M.violations(c.playback_logs, checks).select("id", "broken")
 
 
+@query("SELECT username, episode_id, position, duration FROM episode_playback_progress")
+def d06_upsert_episode_progress(c):
+    logs = c.episode_playback_logs.select("username", "episode_id", "ts", "id", "position", "duration")
+    keys = ["username", "episode_id"]
+    return M.upsert_latest(M.latest(logs.where("id % 3 = 0"), keys, "ts", "id"), logs.where("id % 3 <> 0"), keys, "ts", "id").select(*keys, "position", "duration")
+
+
+@query(f"SELECT episode_id, position, duration FROM episode_playback_progress WHERE username = '{USER}'")
+def q10_user_episode_progress(c):
+    return c.episode_playback_progress.where(F.col("username") == USER).select("episode_id", "position", "duration")
+
+
+@query("SELECT coalesce(o.id, 0) AS id, coalesce(o.library_id, s.library_id) AS library_id, coalesce(o.path, s.path) AS path, CASE WHEN s.path IS NULL THEN 'Matched ' || o.title ELSE s.path END AS title, CASE WHEN s.path IS NULL THEN 0 ELSE 1 END AS is_present, o.tmdb_id FROM shows o FULL JOIN scan_shows s ON o.library_id = s.library_id AND o.path = s.path")
+def d08_upsert_shows(c):
+    """A rescan puts the folder's name back in place of a matched title; ids of new rows show as 0."""
+    old = c.shows.withColumn("title", F.concat(F.lit("Matched "), "title"))
+    out = M.reconcile(old, c.scan_shows.withColumn("title", F.col("path")), ["library_id", "path"], ["title"], 10_000_000_000)
+    return out.withColumn("id", F.when(F.col("id") >= 10_000_000_000, 0).otherwise(F.col("id")).cast("long"))
+
+
+@query("SELECT coalesce(o.id, 0) AS id, coalesce(o.show_id, s.show_id) AS show_id, coalesce(o.file_path, s.file_path) AS file_path, CAST(CASE WHEN s.file_path IS NULL THEN o.season ELSE s.season END AS BIGINT) AS season, CAST(CASE WHEN s.file_path IS NULL THEN o.episode ELSE s.episode END AS BIGINT) AS episode, CASE WHEN s.file_path IS NULL THEN 0 ELSE 1 END AS is_present, o.title, CASE WHEN s.file_path IS NULL THEN o.file_size ELSE s.file_size END AS file_size FROM episodes o FULL JOIN scan_episodes s ON o.show_id = s.show_id AND o.file_path = s.file_path")
+def d09_upsert_episodes(c):
+    out = M.reconcile(c.episodes, c.scan_episodes, ["show_id", "file_path"], ["season", "episode", "file_size"], 10_000_000_000)
+    number = F.when(F.col("id") >= 10_000_000_000, 0).otherwise(F.col("id")).cast("long")
+    return out.select(number.alias("id"), "show_id", "file_path", F.col("season").cast("long").alias("season"), F.col("episode").cast("long").alias("episode"), "is_present", "title", "file_size")
+
+
+@query("SELECT m.id, CASE WHEN r.tmdb_id IS NOT NULL THEN r.tmdb_id ELSE m.tmdb_id END AS tmdb_id, CASE WHEN r.tmdb_id IS NOT NULL THEN r.title ELSE m.title END AS title FROM movies m LEFT JOIN tmdb_results r ON m.tmdb_id IS NULL AND r.pos = 0 AND r.query = replace(substr(m.clean_name, 1, length(m.clean_name) - 11), '.', ' ')")
+def d10_save_metadata(c):
+    """Pending movies take id and title of the first result for their clean title."""
+    pending = c.movies.where("tmdb_id is null").select("id", T.clean_title(F.col("clean_name")).alias("clean"))
+    found = C.top_result(pending, F.col("clean"), c.tmdb_results).where("found_id > 0").select("id", F.col("found_id").alias("tmdb_id"), F.col("found_title").alias("title"))
+    return M.update_from(c.movies.select("id", "tmdb_id", "title"), found, ["id"])
+
+
+@query("SELECT id, CASE WHEN show_id IN (SELECT id FROM shows WHERE library_id = 4) THEN 0 ELSE is_present END AS is_present FROM episodes")
+def d13_clear_presence(c):
+    """Before a scan, the episodes of one library count as absent."""
+    shows = c.shows.where("library_id = 4").select(F.col("id").alias("show_id"), F.lit(0).alias("is_present"))
+    return M.update_from(c.episodes.select("id", "show_id", "is_present"), shows, ["show_id"]).select("id", "is_present")
+
+
+@query("SELECT id, name, path, type, CAST(NULL AS INTEGER) AS is_enabled, CAST(NULL AS INTEGER) AS depth_limit, CAST(NULL AS VARCHAR) AS metadata_language FROM libraries UNION ALL SELECT 1000000 + s_suppkey, s_name, '/media/' || s_name, 'Shows', 1, -1, 'en' FROM supplier")
+def d01_insert_libraries(c):
+    new = c.supplier.select((F.lit(1000000) + F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("/media/"), "s_name").alias("path"), F.lit("Shows").alias("type"))
+    return M.insert(c.libraries, new, M.library_defaults()).select("id", "name", "path", "type", "is_enabled", "depth_limit", "metadata_language")
+
+
+@query(f"SELECT id, CASE WHEN type <> 'Other' THEN {NOW} END AS last_scanned_at FROM libraries")
+def d15_last_scanned(c):
+    known = c.libraries.withColumn("last_scanned_at", q("cast(null as timestamp_ntz)"))
+    return M.update(known, F.col("type") != "Other", last_scanned_at=F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("id", "last_scanned_at")
+
+
+# ---------------------------------------------------------------- more names, paths and headers
+
+
+@query(r"SELECT id, regexp_replace(split_part(file_path, '/', 3), '^(.+)[.][^.]*$', '\1') AS clean FROM movies")
+def s02_clean_name(c):
+    return c.movies.select("id", T.without_extension(T.basename(F.col("file_path"))).alias("clean"))
+
+
+@query("SELECT id, coalesce(title, split_part(file_path, '/', 3)) AS shown, coalesce(nullif(title, ''), clean_name) AS details FROM movies")
+def s09_fallbacks(c):
+    return c.movies.select("id", F.coalesce("title", T.basename(F.col("file_path"))).alias("shown"), F.coalesce(F.nullif("title", F.lit("")), "clean_name").alias("details"))
+
+
+@query("SELECT page_id, " + nested("url", (("'%'", "'%25'"), ("' '", "'%20'"), ("'#'", "'%23'"), ("'?'", "'%3F'"), ("'&'", "'%26'"), ("'\"'", "'%22'"), ("'<'", "'%3C'"), ("'>'", "'%3E'"), ("chr(39)", "'%27'"))) + " AS href FROM pages")
+def s17_path_href(c):
+    return c.pages.select("page_id", T.encode_path(F.col("url")).alias("href"))
+
+
+@query("""SELECT id, '{"id":' || cast(id as varchar) || ',"tmdb_id":' || coalesce(cast(tmdb_id as varchar), 'null') || '}' AS body FROM movies""")
+def s27_nulls(c):
+    return c.movies.select("id", F.to_json(F.struct("id", "tmdb_id"), {"ignoreNullFields": "false"}).alias("body"))
+
+
+@query("SELECT id, printf('hev1.%d.%d.L%d.%02X', p, CASE p WHEN 1 THEN 6 WHEN 2 THEN 4 ELSE 1 END, id % 187, file_size % 256) AS codec FROM (SELECT id, file_size, CASE WHEN id % 6 BETWEEN 1 AND 3 THEN id % 6 ELSE 2 END AS p FROM movies) x")
+def s28_codec(c):
+    return c.movies.select("id", T.hevc_codec(F.col("id") % 6, F.col("id") % 187, F.col("file_size") % 256).alias("codec"))
+
+
+@query("SELECT id, CASE id % 3 WHEN 0 THEN ip_address WHEN 1 THEN '127.0.0.1' ELSE '192.168.0.1' END AS ip FROM login_logs")
+def s36_client_ip(c):
+    header = lambda name, v: F.struct(F.lit(name).alias("name"), v.alias("value"))
+    own, other = header("X-Forwarded-For", F.col("ip_address")), header("x-real-ip", F.lit("192.168.0.1"))
+    host = header("Host", F.lit("media"))
+    headers = F.when(F.col("id") % 3 == 0, F.array(host, own, other)).when(F.col("id") % 3 == 1, F.array(host)).otherwise(F.array(host, other, own))
+    return c.login_logs.select("id", T.client_ip(headers).alias("ip"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'socks5h' ELSE 'http' END AS kind, split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1) AS host, CAST(CASE WHEN page_id % 3 = 0 THEN 1080 WHEN url LIKE 'https://%' THEN 443 ELSE 80 END AS INTEGER) AS port FROM pages")
+def s37_proxy(c):
+    url = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "^https?://", "socks5://")).otherwise(F.col("url"))
+    return c.pages.select("page_id", T.proxy_kind(url).alias("kind"), T.proxy_host(url).alias("host"), T.proxy_port(url).alias("port"))
+
+
+@query("SELECT media_id, rn, dts * (1001.0e0 / 30000.0e0) AS seconds FROM packets")
+def s38_rescale(c):
+    return c.packets.select("media_id", "rn", T.rescale(F.col("dts"), 1001, 30000).alias("seconds"))
+
+
+@query("SELECT library_id, min(id) AS track FROM movies WHERE id % 4 = 0 OR lower(coalesce(nullif(title, ''), 'Track')) LIKE '%forced%' GROUP BY library_id")
+def o09_forced_track(c):
+    """The first track of each library whose label says forced."""
+    label = T.track_label(F.col("title"), F.lit(None).cast("string"), F.lit("Track"), F.col("id") % 4 == 0)
+    return c.movies.where(F.lower(label).contains("forced")).groupBy("library_id").agg(F.min("id").alias("track"))
+
+
+@query("SELECT item_type, count(*) AS n FROM (SELECT 'movie' AS item_type FROM movies m JOIN libraries l ON m.library_id = l.id WHERE (m.tmdb_id IS NULL OR m.tmdb_id = 0) AND m.is_present = 1 UNION ALL SELECT 'show' FROM shows s JOIN libraries l ON s.library_id = l.id WHERE (s.tmdb_id IS NULL OR s.tmdb_id = 0) AND s.is_present = 1) x GROUP BY item_type")
+def a16_unmatched_lists(c):
+    return C.unmatched(c.movies, c.shows, c.libraries).groupBy("item_type").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- request bodies and answers
+
+
+@query("SELECT id, username AS first_value, 'x y' AS last_value FROM users")
+def src12_form_body(c):
+    """A field that a form-encoded body repeats: its first and its last value."""
+    body = F.concat(F.lit("name="), T.percent_encode(F.col("username")), F.lit("&admin="), F.col("is_admin").cast("string"), F.lit("&name=x+y"))
+    return c.users.select("id", S.form_value(body, "name", last=False).alias("first_value"), S.form_value(body, "name").alias("last_value"))
+
+
+@query("SELECT id AS movie, CAST(0 AS INTEGER) AS pos, 500000 + id AS found, coalesce(title, clean_name) AS title FROM movies UNION ALL SELECT id, 1, 700000 + id, clean_name FROM movies")
+def src05_search_answers(c):
+    """JSON answers of a title search, read into one row for each result."""
+    result = lambda base, title: F.struct((F.lit(base) + F.col("id")).alias("id"), title.alias("title"), F.lit(1.5).alias("popularity"))
+    answers = c.movies.select(F.col("id").alias("movie"), F.to_json(F.struct(F.array(result(500000, C.display_title()), result(700000, F.col("clean_name"))).alias("results"))).alias("body"))
+    return S.search_results(answers).select("movie", "pos", F.col("id").alias("found"), "title")
+
+
 # ---------------------------------------------------------------- streams
 
 
@@ -610,3 +743,13 @@ def t01_watch_stream(c):
     state = E.LatestState(c.spark, ["username", "movie_id"], ("ts", "id"), "progress")
     E.run_available(E.valid_events(logs.withColumnRenamed("id", "event")).withColumnRenamed("event", "id").drop("event_type"), state)
     return state.read().select("username", "movie_id", "position", "duration")
+
+
+@query(f"SELECT token, username FROM sessions WHERE expires_at > {NOW}")
+def t04_session_stream(c):
+    """Logins as a stream into sessions that expire after a day; equals the batch query."""
+    stream = E.table_stream(c.spark, c.sf_dir, "events", c.base("events")).where("event_type = 'signup'")
+    logins = stream.selectExpr("'tok'||cast(event_id as string) as token", "'Customer#'||lpad(cast(user_id as string),9,'0') as username", "ts as created_at", "ts + interval '24' hour as expires_at")
+    state = E.LatestState(c.spark, ["token"], ("created_at",), "sessions")
+    E.run_available(logins, state)
+    return E.live(state.read(), q(NOW)).select("token", "username")

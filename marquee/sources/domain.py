@@ -20,6 +20,10 @@ VIEWS = {
     "sessions": "select 'tok'||cast(id as string) as token, username, case when id%10=0 then 1 else 0 end as is_admin, ts as created_at, ts + interval '24' hour as expires_at from login_logs where status='success'",
     "playback_logs": "select event_id as id, 'Customer#'||lpad(cast(user_id as string),9,'0') as username, event_id%200 as movie_id, case event_type when 'view' then 'start' when 'click' then 'progress' else 'stop' end as event_type, value as position, cast(100+10*(event_id%200%30) as double) as duration, ts from events where event_type in ('view','click','purchase')",
     "playback_progress": "select username,movie_id,position,duration,ts as updated_at from (select *, row_number() over (partition by username,movie_id order by ts desc,id desc) rn from playback_logs) x where rn=1",
+    "episode_playback_logs": "select event_id as id, 'Customer#'||lpad(cast(user_id as string),9,'0') as username, event_id%300 as episode_id, case event_type when 'view' then 'start' else 'progress' end as event_type, value as position, cast(100+10*(event_id%300%30) as double) as duration, ts from events where event_type in ('view','error')",
+    "episode_playback_progress": "select username,episode_id,position,duration,ts as updated_at from (select *, row_number() over (partition by username,episode_id order by ts desc,id desc) rn from episode_playback_logs) x where rn=1",
+    "scan_shows": "select library_id,path from shows where id%5<>0 union all select library_id,'new/'||path as path from shows where id%13=0",
+    "scan_episodes": "select show_id,file_path,season+1 as season,episode,file_size+1 as file_size from episodes where id%7<>0 union all select show_id,'new/'||file_path as file_path,season,episode,file_size from episodes where id%11=0",
     "cues": "select conv_id as media_id, turn as cue, turn*4.0E0 as cue_start, turn*4.0E0+1.0E0+(length(text)%50)/10.0E0 as cue_end, role as text from conversations",
     "tmdb_results": "select p_name as query, row_number() over (partition by p_name order by p_partkey)-1 as pos, 500000+p_partkey as tmdb_id, p_brand as title from part where p_name not like '%ring'",
     "packets": "select user_id as media_id, row_number() over (partition by user_id order by ts,event_id) as rn, cast(floor(value) as bigint) as dts from events",

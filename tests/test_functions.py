@@ -76,4 +76,15 @@ def test_small_ones(spark):
     assert value(spark, T.hevc_codec(L(7), L(120), L(176))) == "hev1.2.4.L120.B0"
     assert [value(spark, T.proxy_port(L(u))) for u in ("socks5://h", "https://h", "http://h:81", "h")] == [1080, 443, 81, 80]
     assert value(spark, T.initial(L(""))) == "U" and value(spark, T.content_type(L("A.MKV"))) == "video/x-matroska"
-    assert value(spark, T.client_ip(L(None), L(None))) == "127.0.0.1"
+    header = lambda n, v: F.struct(L(n).alias("name"), L(v).alias("value"))
+    assert value(spark, T.client_ip(F.array(header("Host", "h")))) == "127.0.0.1"
+    assert value(spark, T.client_ip(F.array(header("Host", "h"), header("X-Real-IP", "1.2.3.4"), header("x-forwarded-for", "5.6.7.8")))) == "1.2.3.4"
+
+
+@pytest.mark.parametrize("url,want", [("socks5://h", ("socks5h", "h", 1080)), ("socks4://h/", ("http", "h", 80)), ("https://u:p@h.org:8443/x", ("http", "h.org", 8443)), ("http://h/a:9", ("http", "h", 80))])
+def test_proxy(spark, url, want):
+    assert (value(spark, T.proxy_kind(L(url))), value(spark, T.proxy_host(L(url))), value(spark, T.proxy_port(L(url)))) == want
+
+
+def test_encode_path(spark):
+    assert value(spark, T.encode_path(L("a b%20#?&\"<>'é/c"))) == "a%20b%2520%23%3F%26%22%3C%3E%27é/c"

@@ -105,3 +105,16 @@ def test_queries_match_duckdb(spark, sf):
         got, want = f(spark, sf), con.sql(ORACLE[name])
         assert sorted(got.columns) == sorted(want.columns), name
         assert norm(got.columns, got.collect()) == norm(want.columns, want.fetchall()), name
+
+
+def test_update_from_and_insert(spark):
+    from pyspark.sql import functions as F
+
+    from marquee.operators import mutations as M
+
+    table = spark.createDataFrame([(1, "a", 1), (2, "b", None), (None, "c", 3)], "id int, name string, n int")
+    rows = spark.createDataFrame([(1, None), (9, "z")], "id int, name string")
+    got = {tuple(r) for r in M.update_from(table, rows, ["id"]).collect()}
+    assert got == {(1, None, 1), (2, "b", None), (None, "c", 3)}
+    got = {tuple(r) for r in M.insert(table, rows, {"n": F.lit(7), "name": F.lit("unused")}).collect()}
+    assert got >= {(1, None, 7), (9, "z", 7), (2, "b", None)} and len(got) == 5
