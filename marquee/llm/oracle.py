@@ -43,7 +43,7 @@ WITH sized AS (
 )
 SELECT doc_id, size, source_size, target, CAST(uses * size AS BIGINT) AS taken,
        CASE WHEN uses = 0 THEN NULL ELSE round(CASE WHEN a = b THEN CAST(offs AS DOUBLE) / target * (a + b) / 2.0e0 / a
-            ELSE (sqrt(a * a + 2.0e0 * (b - a) * (CAST(offs AS DOUBLE) / target * (a + b) / 2.0e0)) - a) / (b - a) END, 9) END AS first_position
+            ELSE (sqrt(a * a + 2.0e0 * (b - a) * (CAST(offs AS DOUBLE) / target * (a + b) / 2.0e0)) - a) / (b - a) END, 9) + 0.0e0 END AS first_position
 FROM used
 """
 
