@@ -6,9 +6,10 @@ partition's threshold t[i], for any integers t[i] >= -1 with sum(t) = d - m + 1.
 fingerprint gets its own thresholds from a dynamic program over estimated candidate counts, probes
 every value of a partition within its threshold, and every candidate is verified on all 64 bits.
 
-near_duplicates() links by differing bits. deduplicated() takes a similarity of word shingles instead: texts of similarity
-0.8 differ in some 10 of 64 bits and by chance in 15, where unlike texts are no longer told apart by 64 bits alone. It therefore
-probes eight 16-bit partitions of two fingerprints with threshold 2 each and verifies 256 bits (see SIMILAR_LANES and similar_bits()).
+near_duplicates() links by differing bits. deduplicated() takes a similarity of word shingles instead, and decides every pair by its
+two sets. Signatures propose the first pairs: texts of similarity 0.8 differ in some 10 of 64 bits and by chance in 15, so eight 16-bit
+partitions of two fingerprints are probed with threshold 2 each, and 256 bits compared (see SIMILAR_LANES and similar_bits()). That may
+miss pairs; so texts not connected then also meet at the rarest shingles of their sets, of which similar sets share at least one (see prefix_of()).
 
 Defined results: a null text counts as empty; a text without words has fingerprint 0 and links like
 any other; repeated rows each get a row; a null id stays null and never becomes a component id unless its whole
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ MAX_RADIUS = 2
 SIMILAR_LANES = 4
 #: Standard deviations of the differing bits that a pair of just the wanted similarity is given.
 SIMILAR_SLACK = 3.0
+#: Texts whose shingles are counted to order all shingles by frequency; a shingle of so many of them is common; how many are kept.
+SAMPLE_ROWS, COMMON_FROM, COMMON_MOST = 10_000, 3, 100_000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -58,13 +62,13 @@ def remixed(hashes: np.ndarray, lane: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def signature_of(text: str, words: int = 4, lanes: int = 1, distinct: bool = False) -> np.ndarray:
-    """SimHashes of one text, one for each lane; distinct: repeated shingles count once."""
+def shingle_hashes(text: str, words: int = 4) -> np.ndarray:
+    """The hash of every word shingle of one text, in its order; none for a text without words."""
     import xxhash
 
     parts = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
     if not parts:
-        return np.zeros(lanes, np.uint64)
+        return np.zeros(0, "<u8")
     joined = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
@@ -76,8 +80,16 @@ def signature_of(text: str, words: int = 4, lanes: int = 1, distinct: bool = Fal
     hashes = np.empty(shingles, "<u8")
     for at in range(0, shingles, 65536):
         hashes[at : at + 65536] = [digest(joined[a:b], 42) for a, b in zip(first[at : at + 65536], last[at : at + 65536])]
-    if distinct:
-        hashes = np.unique(hashes)
+    return hashes
+
+
+def signature_of(text: str, words: int = 4, lanes: int = 1, distinct: bool = False) -> np.ndarray:
+    """SimHashes of one text, one for each lane; distinct: repeated shingles count once."""
+    hashes = shingle_hashes(text, words)
+    return signature_from(np.unique(hashes) if distinct else hashes, lanes)
+
+
+def signature_from(hashes: np.ndarray, lanes: int) -> np.ndarray:
     ones = np.zeros((lanes, BITS), np.int64)
     for at in range(0, len(hashes), 65536):  # bounds the unpacked bits of a very long text
         for lane in range(lanes):
@@ -335,7 +347,7 @@ def links(nodes: DataFrame, distance: int = 4, parts: int = 4) -> DataFrame:
 
 
 def similar_bits(similarity: float, lanes: int = SIMILAR_LANES) -> int:
-    """Differing bits of a signature up to which two texts count as similar.
+    """Differing bits of a signature up to which two texts are proposed as similar.
 
     Sets of Jaccard similarity s and like size have cosine 2s / (1 + s), and each bit differs with probability angle / pi.
     """
@@ -422,6 +434,167 @@ def similar_links(nodes: DataFrame, limit: int, parts: int = 4) -> DataFrame:
     return sent.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: verified_alike(b, limit), "a long, b long").distinct()
 
 
+# ---------------------------------------------------------------- exact similarity of shingle sets
+
+
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles most frequent in a sample of texts (text), ascending, and about how many texts have each.
+
+    They only order the shingles, so that rare ones propose pairs: no result depends on them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, words)).view(np.int64))], names=["shingle"])
+
+    share = min(1.0, SAMPLE_ROWS / max(1, texts.count()))
+    counted = texts.select("text").sample(share, seed=7).mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_FROM)
+    top = counted.orderBy(F.col("n").desc(), "shingle").limit(COMMON_MOST).toArrow()
+    hashes, n = top["shingle"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    by_hash = np.argsort(hashes)
+    return hashes[by_hash], np.ceil(n[by_hash] / share).astype(np.int64)
+
+
+def frequency_of(hashes: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """About how many texts have each shingle; 0 for one that is not common."""
+    common, n = order
+    if not len(common):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    return np.where(common[at] == hashes, n[at], 0)
+
+
+def prefix_of(hashes: np.ndarray, similarity: float, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The n - ceil(similarity * n) + 1 rarest shingles of a set (ascending hashes): two sets of that similarity share at least one of theirs.
+
+    They have ceil(similarity * n) shingles in common for the n of either, so the first common one in the order stands among these of both.
+    """
+    s = Fraction(str(similarity))
+    first = len(hashes) - -(-len(hashes) * s.numerator // s.denominator) + 1
+    return hashes[np.argsort(frequency_of(hashes, order), kind="stable")][: first if len(hashes) else 0]
+
+
+def described(texts: DataFrame, words: int, similarity: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """id, row_no, the longs of the signature, node (digest of the shingle set), n (its size) and prefix (see prefix_of()) of every text (row_no, id, text)."""
+    names = ["fp", *(f"fp{k}" for k in range(1, SIMILAR_LANES))]
+    shared = texts.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                signs, nodes, sizes, prefixes = [], [], [], []
+                for text in batch.column(2).to_pylist():
+                    hashes = np.unique(shingle_hashes(text, words))
+                    signs.append(signature_from(hashes, SIMILAR_LANES))
+                    nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
+                    sizes.append(len(hashes))
+                    prefixes.append(prefix_of(hashes, similarity, shared.value))
+                signs = np.array(signs, np.uint64).reshape(-1, SIMILAR_LANES).view(np.int64)
+                ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).view(np.int64)))
+                columns = [batch.column(1), batch.column(0), *(pa.array(signs[:, k]) for k in range(SIMILAR_LANES)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), prefix]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "row_no", *names, "node", "n", "prefix"])
+
+    return texts.select("row_no", "id", "text").mapInArrow(run, "id long, row_no string, " + ", ".join(f"{n} long" for n in names) + ", node long, n long, prefix array<long>")
+
+
+def proposed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (block, root, node, n, left) sorted by block and root; left: shingles of the set from the block's one on.
+
+    Emits the pairs of a block that are not of one root and may be similar by their sizes, if the block's shingle is the first
+    that they share. Memory holds one batch and the open block.
+    """
+    s = Fraction(str(similarity))
+    num, den = s.numerator, s.denominator
+    open_block, held = None, None
+    for batch in batches:
+        columns = [np.asarray(c) for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        old = 0
+        if columns[0][0] == open_block:
+            old = len(held[0])
+            columns = [np.concatenate([h, x]) for h, x in zip(held, columns)]
+        block, root, node, n, left = columns
+        new_block = np.concatenate([[True], block[1:] != block[:-1]])
+        starts = np.flatnonzero(new_block)
+        first = np.repeat(starts, np.diff(np.append(starts, len(block))))
+        runs = np.flatnonzero(new_block | np.concatenate([[True], root[1:] != root[:-1]]))
+        own = np.repeat(runs, np.diff(np.append(runs, len(block))))
+        at = np.arange(old, len(block))  # every new row meets the rows of its block with smaller roots
+        count = own[at] - first[at]
+        at, count = at[count > 0], count[count > 0]
+        done = np.concatenate([[0], np.cumsum(count)])
+        k = 0
+        while k < len(at):
+            to = max(k + 1, int(np.searchsorted(done, done[k] + 1_000_000, "right")) - 1)
+            c = count[k:to]
+            x = np.repeat(at[k:to], c)
+            y = np.repeat(first[at[k:to]] - (done[k:to] - done[k]), c) + np.arange(done[to] - done[k])
+            # overlap >= similarity * union is (1 + similarity) * overlap >= similarity * (sum of sizes)
+            may = np.minimum(left[x], left[y]) * (num + den) >= num * (n[x] + n[y])
+            x, y = node[x[may]], node[y[may]]
+            if len(x):
+                pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            k = to
+        open_block = block[-1]
+        held = [x[starts[-1] :] for x in columns]
+
+
+def prefix_pairs(nodes: DataFrame, similarity: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Pairs a > b of sets (nodes: node, root, n, prefix) of different roots: all of that similarity and some below.
+
+    Sets meet at each shingle of both prefixes. A common shingle of over BLOCK_ROWS texts is cut into slices, each pair of which is one block.
+    """
+    shared = nodes.sparkSession.sparkContext.broadcast(order)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                node, root, n = (np.asarray(batch.column(k)) for k in range(3))
+                lengths = np.asarray(pa.compute.list_value_length(batch.column(3))).astype(np.int64)
+                who = np.repeat(np.arange(len(node)), lengths)
+                place = np.arange(len(who)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                block = np.asarray(batch.column(3).flatten()).view(np.uint64)
+                slices = np.maximum(1, np.ceil(frequency_of(block, shared.value) / BLOCK_ROWS)).astype(np.int64)
+                own = (((node[who].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % slices.astype(np.uint64)).astype(np.int64)
+                other = np.arange(slices.sum()) - np.repeat(np.cumsum(slices) - slices, slices)
+                who, place, block, own = (np.repeat(x, slices) for x in (who, place, block, own))
+                # slice 0 with itself keeps the shingle's hash; blocks that fall together only propose more
+                block = block + (np.minimum(own, other) * 0x632BE59BD9B4E019 + np.maximum(own, other) * 0x1E3779B97F4A7C15).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block.view(np.int64), root[who], node[who], n[who], n[who] - place)], names=["block", "root", "node", "n", "left"])
+
+    rows = nodes.select("node", "root", "n", "prefix").mapInArrow(sent, "block long, root long, node long, n long, left long")
+    return rows.repartition("block").sortWithinPartitions("block", "root").mapInArrow(lambda b: proposed(b, similarity), "a long, b long").distinct()
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs a, b of nodes (node, row_no) whose texts (row_no, text) have shingle sets of at least that Jaccard similarity."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["node", "shingles"])
+
+    s = Fraction(str(similarity))
+    pairs = materialise(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    asked = texts.join(nodes.join(wanted, "node").select("node", "row_no"), "row_no").select("node", "text")
+    sets = materialise(asked.mapInArrow(sets_of, "node long, shingles array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), (F.size("x") + F.size("y")).cast("long").alias("sizes"))
+    return both.where(F.col("common") * (s.numerator + s.denominator) >= F.col("sizes") * s.numerator).select("a", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node of its component) for every node of the links a > b.
 
@@ -469,15 +642,27 @@ def hex_fingerprint(fp) -> F.Column:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, parts: int = 4) -> DataFrame:
     """One row of docs for each near-duplicate class: that with the smallest id (null last; of repeated rows one).
 
-    Texts are near duplicates from that similarity of their word shingles, as their signatures show it. Texts of
-    one fingerprint count as equal; the signature of one of them stands for all. Repeated shingles count once.
+    Texts are linked when their signatures show that similarity of their word shingles, and when their sets have that Jaccard
+    similarity (by 64-bit hashes): rare shingles propose every such pair that signatures have not connected.
     """
     rows, row = with_row_ids(docs, "near")
-    signed = materialise(fingerprints(rows, id_col, text_col, words, row, SIMILAR_LANES, True), "signatures")
+    texts = rows.select(F.col(row).alias("row_no"), rows[id_col].cast("long").alias("id"), text_or_empty(rows, text_col).alias("text"))
+    order = common_shingles(texts, words)
+    sets = materialise(described(texts, words, similarity, order), "signatures")
     rest = [f"fp{k}" for k in range(1, SIMILAR_LANES)]
-    one = F.min(F.struct(*rest)).alias("one")  # whole signatures compare, so that the longs come from one row
-    nodes = materialise(signed.groupBy("fp").agg(F.min("id").alias("low"), one).select("fp", "low", "one.*"), "classes")
-    members = rooted_classes(signed.drop(*rest), nodes.select("fp", "low"), similar_links(nodes.select("fp", *rest), similar_bits(similarity), parts))
+    # all but id and row follow from the set, so any row of it will do
+    same = [F.first(c).alias(c) for c in ("fp", *rest, "n", "prefix")]
+    nodes = materialise(sets.groupBy("node").agg(F.min("id").alias("low"), F.min("row_no").alias("row_no"), *same), "classes")
+    one = F.min(F.struct(*rest, "node")).alias("one")  # whole signatures compare, so that the longs come from one row
+    signed = materialise(nodes.groupBy("fp").agg(one).select("fp", "one.*"), "signed")
+    near = similar_links(signed.select("fp", *rest), similar_bits(similarity), parts)
+    for end in ("a", "b"):
+        near = near.join(signed.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")), end).drop(end).withColumnRenamed(f"{end}_node", end)
+    near = materialise(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "near")
+    roots = components(near)
+    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prefix")
+    found = alike(prefix_pairs(rooted, similarity, order), nodes, texts, words, similarity)
+    members = rooted_classes(sets.select(F.col("node").alias("fp"), "id", "row_no"), nodes.select(F.col("node").alias("fp"), "low"), near.union(found))
     first = F.min(F.struct(F.col("id").isNull(), "id", "row_no")).alias("first")
     kept = members.groupBy("root").agg(first).select(F.col("first.row_no").alias(row))
     return keep_rows(rows, row, kept)

@@ -71,6 +71,39 @@ def test_near_stage_links_planted_copies(spark):
     assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == list(range(150))
 
 
+def test_near_stage_loses_no_similar_pair(spark):
+    """Pairs of exactly 0.8 and little above, of short texts too: a text and the same with words appended."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    rows = []
+    for k in range(1200):
+        n, more = [(4, 1), (12, 3), (40, 10), (9, 2)][k % 4]  # shingles of the first, and those appended
+        text = [word() for _ in range(n + P.WORDS - 1)]
+        rows += [(k, " ".join(text)), (10_000 + k, " ".join(text + [word() for _ in range(more)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == list(range(1200))
+
+
+def test_rare_shingles_propose_every_similar_pair_in_slices(spark):
+    """Texts of common shingles only, with every meeting place cut into slices."""
+    rng = random.Random(3)
+    lines = [" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(8)) for _ in range(14)]
+    texts = {k: " ".join(sorted(rng.sample(lines, rng.randrange(9, 13)))) for k in range(150)}
+    parts = {i: shingles(t) for i, t in texts.items()}
+    near = {(a, b) for a, b in itertools.combinations(texts, 2) if parts[a] != parts[b] and len(parts[a] & parts[b]) >= P.SIMILARITY * len(parts[a] | parts[b])}
+    was, simhash.BLOCK_ROWS = simhash.BLOCK_ROWS, 10
+    try:
+        df = spark.createDataFrame([(str(k), k, t) for k, t in texts.items()], "row_no string, id long, text string")
+        order = simhash.common_shingles(df, P.WORDS)
+        sets = materialise(simhash.described(df, P.WORDS, P.SIMILARITY, order), "sets")
+        node = {r.id: r.node for r in sets.collect()}
+        nodes = materialise(sets.selectExpr("node", "node as root", "n", "prefix", "row_no").dropDuplicates(["node"]), "nodes")
+        found = simhash.alike(simhash.prefix_pairs(nodes, P.SIMILARITY, order), nodes, df, P.WORDS, P.SIMILARITY).collect()
+    finally:
+        simhash.BLOCK_ROWS = was
+    assert near and {frozenset(r) for r in found} == {frozenset((node[a], node[b])) for a, b in near}
+
+
 def test_mixing_stage(stages):
     want = sorted(i for r in mixing.mixed(stages[3]).collect() for i in [r.id] * len(r.positions))
     assert sorted(i for i, _ in texts_of(stages[4])) == want
