@@ -642,8 +642,9 @@ def hex_fingerprint(fp) -> F.Column:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, parts: int = 4) -> DataFrame:
     """One row of docs for each near-duplicate class: that with the smallest id (null last; of repeated rows one).
 
-    Texts are linked when their signatures show that similarity of their word shingles, and when their sets have that Jaccard
-    similarity (by 64-bit hashes): rare shingles propose every such pair that signatures have not connected.
+    Texts are linked exactly when their sets of word shingles have that Jaccard similarity (shingles count as equal by their
+    64-bit hashes); a class is what links connect. Signatures propose the first pairs, which connect most classes; rare shingles
+    then propose every pair that may be similar and is not connected yet. Every proposed pair is judged by its whole sets.
     """
     rows, row = with_row_ids(docs, "near")
     texts = rows.select(F.col(row).alias("row_no"), rows[id_col].cast("long").alias("id"), text_or_empty(rows, text_col).alias("text"))
@@ -658,7 +659,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = similar_links(signed.select("fp", *rest), similar_bits(similarity), parts)
     for end in ("a", "b"):
         near = near.join(signed.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")), end).drop(end).withColumnRenamed(f"{end}_node", end)
-    near = materialise(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "near")
+    near = materialise(alike(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), nodes, texts, words, similarity), "near")
     roots = components(near)
     rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prefix")
     found = alike(prefix_pairs(rooted, similarity, order), nodes, texts, words, similarity)

@@ -71,6 +71,20 @@ def test_near_stage_links_planted_copies(spark):
     assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == list(range(150))
 
 
+def test_near_stage_keeps_pairs_below_the_similarity(spark):
+    """Pairs of 0.70 and 0.79 and chains of them stay apart."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    rows = []
+    for k in range(200):
+        text = [word() for _ in range(200 + P.WORDS - 1)]
+        for step, more in enumerate((0, 86, 76)):  # 200 of 286 shingles, 286 of 362
+            text = text + [word() for _ in range(more)]
+            rows.append((3 * k + step, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == list(range(600))
+
+
 def test_near_stage_loses_no_similar_pair(spark):
     """Pairs of exactly 0.8 and little above, of short texts too: a text and the same with words appended."""
     rng = random.Random(11)
