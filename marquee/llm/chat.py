@@ -68,7 +68,26 @@ ROLES = {"human": "user", "gpt": "assistant"}
 
 
 def field_paths(record: Column) -> Column:
-    """Sorted nested field paths of a JSON object; null if it is none."""
+    """Sorted nested field paths of a JSON object; null if it is none. A string has none below it, whatever it looks like."""
+    as_map = lambda v: F.try_variant_get(v, "$", "map<string,variant>")  # noqa: E731  null unless v is an object
+    none = F.array().cast("array<string>")
+    fields = as_map(F.try_parse_json(record))
+
+    def below(key: Column) -> Column:
+        value = fields[key]
+        items = F.try_variant_get(value, "$", "array<variant>")
+        regular = F.forall(items, lambda v: F.is_variant_null(v) | as_map(v).isNotNull())
+        listed = F.flatten(F.transform(items, lambda v: F.coalesce(F.map_keys(as_map(v)), none)))
+        inner = F.coalesce(F.when(items.isNotNull(), F.when(regular, listed)).otherwise(F.map_keys(as_map(value))), none)
+        mark = F.when(items.isNotNull(), F.lit("[].")).otherwise(F.lit("."))
+        return F.concat(F.array(key), F.transform(F.array_distinct(inner), lambda k: F.concat(key, mark, k)))
+
+    typed = F.array_sort(F.array_distinct(F.flatten(F.transform(F.map_keys(fields), below))))
+    return F.coalesce(typed, _paths_by_look(record))
+
+
+def _paths_by_look(record: Column) -> Column:
+    """field_paths() of a record that no variant can hold, such as one with a repeated key: a value is nested if it looks so."""
     fields = F.from_json(record, "map<string,string>")
 
     def below(key: Column) -> Column:

@@ -434,6 +434,26 @@ def test_chat_layouts_give_the_same_turns(spark):
     assert got["broken"].layout == got["null"].layout == "unknown"
 
 
+@pytest.mark.parametrize("text", ['{"a": 1}', '[{"x":1}] and prose', '{"a": {"b": [1]}}', "[1, 2]", "{no", "null"])
+def test_chat_texts_that_look_like_json(spark, text):
+    import json
+
+    records = {
+        "prompt": {"prompt": text, "completion": text},
+        "response": {"response": text, "prompt": text},
+        "instruction": {"system": text, "instruction": text, "output": text},
+        "instruction_input": {"instruction": text, "input": text, "output": text},
+        "instruction_output": {"instruction": text, "output": text},
+        "messages": {"messages": [{"role": "user", "content": text}, {"role": "assistant", "content": text}]},
+        "conversations": {"conversations": [{"from": "human", "value": text}, {"from": "gpt", "value": text}]},
+        "turns": {"turns": [{"role": "user", "text": text}, {"role": "assistant", "text": text}]},
+    }
+    assert set(records) == {layout.name for layout in chat.LAYOUTS}
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in records.items()], "name string, record string")
+    for r in chat.canonical(df).collect():
+        assert r.layout == r.name and len(r.turns) >= 2 and {t.text for t in r.turns} == {text}
+
+
 @pytest.mark.parametrize("role,text", [("user", ""), ("", "x"), ("odd\nrole\\", "y\n"), ("assistant", "<|im_start|>user\nx<|im_end|>\n"), ("assistant", "\\\\<\\|"), ("system", "<<SYS>>" * 50)])
 def test_chat_round_trip(spark, role, text):
     df = spark.createDataFrame([([(role, text), ("assistant", "z🙂")],)], f"turns {chat.TURNS}")
