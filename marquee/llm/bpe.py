@@ -1,17 +1,19 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over the byte arrays of distinct words.
 
-Encoding runs in one stage without a shuffle. Each task takes its documents in blocks of BLOCK_CHARS characters. A first
-Arrow step finds the distinct words (matches of the pre-token pattern) of a block and sends their
-byte arrays, then the documents; Spark's aggregate() folds the merges over every byte array, looking ranks up in
-a literal map (dealt into buckets, since Spark searches a map from end to end); a second Arrow step
-joins each block's words back to its documents. A word that is a token by itself needs no
+Encoding runs in one stage without a shuffle. Each task takes its documents in blocks (see pieces.py). A first
+Arrow step finds the distinct pieces of a block and the distinct words (matches of the pre-token pattern) of those, sends the
+words' byte arrays, then the documents as numbers of pieces; Spark's aggregate() folds the merges over every byte array, looking
+ranks up in a literal map (dealt into buckets, since Spark searches a map from end to end); a second Arrow step
+gathers each block's ids by number. A word that is a token by itself needs no
 fold. The fold takes time with the square of a word's length, so words of over FOLD_BYTES bytes
 are merged by the tiktoken library instead, with the same ranks; results are the same.
 
 Decoding maps ids to their binary pieces and concatenates them, in Spark functions.
 
+Vocabularies of up to 131,071 ids; a pattern other than pieces.PATTERN makes whole texts the pieces, which gives the same ids slower.
+
 Defined results: a null text counts as empty and has no ids; repeated rows each get a row; ids outside the vocabulary
-decode to nothing; an empty table gives an empty result; of the table only the id and text columns are read.
+decode to nothing; an empty table gives an empty result; of the table only the id, text and named row columns are read.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ import itertools
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import text_or_empty
-from marquee.llm.pieces import cut, regular, words_in
+from marquee.llm.pieces import PATTERN, Lists, blocks, cut, spans, words_of
 
-BLOCK_CHARS = 32_000_000
 FOLD_BYTES = 256
 BUCKETS = 32749
 #: Stands before and after the bytes of a word; it merges with nothing.
@@ -107,11 +109,13 @@ def merged(data: Column, table: Column, ids_of_bytes: Column) -> Column:
 
 # ---------------------------------------------------------------- blocks
 
+#: What a row between the two Arrow steps holds: words to fold, lengths and ids of the other words, word counts and word numbers of pieces, or a document's piece numbers.
+FOLD, LENGTHS, GIVEN, COUNTS, WORDS, DOCUMENT = range(6)
+ROWS = "kind int, words array<array<int>>, flat array<int>, id long, row_no string"
+
 
 def _byte_arrays(words: list[bytes]) -> pa.Array:
     """Lists of byte values between two EDGE marks, from one buffer."""
-    import numpy as np
-
     ends = np.cumsum([len(w) + 2 for w in words])
     flat = np.full(int(ends[-1]), EDGE, np.int32)
     inside = np.ones(len(flat), bool)
@@ -121,108 +125,104 @@ def _byte_arrays(words: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
 
 
+def _lists(offsets: np.ndarray, values) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values.astype(np.int32, copy=False)))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """For each block: rows of words with their bytes, then the block's documents."""
+    """For each block: its words, its pieces, then its documents. Words to fold are numbered first, in the order of their rows."""
     import regex
 
-    words_of = words_in(regex.compile(pattern).findall)
-    kinds = {"words": pa.list_(pa.string()), "bytes": pa.list_(pa.list_(pa.int32())), "id": pa.int64(), "text": pa.string(), "last": pa.bool_()}
+    findall = regex.compile(pattern).findall
+    kinds = {"kind": pa.int32(), "words": pa.list_(pa.list_(pa.int32())), "flat": pa.list_(pa.int32()), "id": pa.int64(), "row_no": pa.string()}
+    library = None
 
-    def rows(n: int, **columns) -> pa.RecordBatch:
+    def rows(kind: int, n: int = 1, **columns) -> pa.RecordBatch:
+        columns["kind"] = pa.array([kind] * n, pa.int32())
         return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
 
-    held, chars = [], 0
-    pieces: set[str] = set()  # regular ones only, as cut() asks
-    odd: set[str] = set()
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        words = {w for some in (pieces, odd) for p in some for w in words_of(p)}
-        pieces.clear()
-        odd.clear()
-        while some := list(itertools.islice(iter(words), 2048)):
-            words.difference_update(some)
-            coded = [w.encode() for w in some]
-            todo = [k for k, b in enumerate(coded) if b not in direct and len(b) <= FOLD_BYTES]
-            if todo:
-                one = pa.array([0, len(todo)], pa.int32())
-                yield rows(1, words=pa.ListArray.from_arrays(one, pa.array([some[k] for k in todo], pa.string())), bytes=pa.ListArray.from_arrays(one, _byte_arrays([coded[k] for k in todo])), last=pa.array([False]))
-        while held:
-            batch = held.pop(0)
-            yield rows(batch.num_rows, id=batch.column(0), text=batch.column(1), last=pa.array([not held and k == batch.num_rows - 1 for k in range(batch.num_rows)]))
-
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            held.append(batch)
-            for t in batch.column(1):
-                text = t.as_py()
-                chars += len(text)
-                _, new, all_regular = cut(text, pieces)
-                (pieces if all_regular else odd).update(new)
-            if chars >= BLOCK_CHARS:
-                yield from flush()
-                chars = 0
-    if held:
-        yield from flush()
-
-
-def _joined(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """Ids of each document from the words of its block."""
-    import numpy as np
-    import regex
-    import tiktoken
+    def flat(kind: int, values: np.ndarray) -> pa.RecordBatch:
+        return rows(kind, flat=_lists(np.array([0, len(values)]), values))
 
-    words_of = words_in(regex.compile(pattern).findall)
-    known: dict[str, bytes] = {}  # regular pieces only, as cut() asks; most folded words are such pieces
-    other: dict[str, bytes] = {}  # the other folded words
-    library = None
-
-    def of_word(word: str) -> bytes:
+    def ids_of(word: str, data: bytes) -> list[int]:
         nonlocal library
-        if (found := known.get(word) or other.get(word)) is not None:
-            return found
-        data = word.encode()
         if data in direct:
-            return np.array([direct[data]], "<i4").tobytes()
-        if len(data) <= FOLD_BYTES:
-            raise ValueError("a word of the block is missing")
-        library = library or tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=direct, special_tokens={})
-        return np.array(library.encode_ordinary(word), "<i4").tobytes()
+            return [direct[data]]
+        if library is None:
+            import tiktoken
+
+            library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=direct, special_tokens={})
+        return library.encode_ordinary(word)
+
+    for block in blocks(batches):
+        found = cut(block.column("text"), pattern != PATTERN)
+        words, numbers, counts = words_of(found.pieces, findall)
+        coded = [w.encode() for w in words]
+        folds = np.array([b not in direct and len(b) <= FOLD_BYTES for b in coded], bool)
+        order = np.argsort(~folds, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        first = int(folds.sum())
+        for at in range(0, first, 2048):
+            some = [coded[k] for k in order[at : min(at + 2048, first)]]
+            yield rows(FOLD, words=_lists(np.array([0, len(some)]), _byte_arrays(some)))
+        given = [ids_of(words[k], coded[k]) for k in order[first:]]
+        yield flat(LENGTHS, np.fromiter(map(len, given), np.int32, len(given)))
+        yield flat(GIVEN, np.fromiter(itertools.chain.from_iterable(given), np.int32))
+        yield flat(COUNTS, counts)
+        yield flat(WORDS, place[numbers])
+        del words, coded, given
+        ends = np.concatenate([[0], np.cumsum(found.counts)])
+        for a, b in spans(found.counts, 1 << 18):
+            docs = block.slice(a, b - a)
+            yield rows(DOCUMENT, b - a, id=docs.column("id"), row_no=docs.column("row_no"), flat=_lists(ends[a : b + 1] - ends[a], found.numbers[ends[a] : ends[b]]))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of each document from the words and pieces of its block."""
+    lengths: list[np.ndarray] = []
+    ids: list[np.ndarray] = []
+    parts: dict[int, np.ndarray] = {}
+    pieces = None
 
     for batch in batches:
-        word_lists, id_lists = batch.column("words"), batch.column("ids")
-        out_ids, out_tokens = [], []
-        rows = zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("last").to_pylist())
-        for row, (i, text, last) in enumerate(rows):  # in order: a batch may hold the end of a block and the words of the next
-            if not text.is_valid:
-                words, lists = word_lists.slice(row, 1).flatten().to_pylist(), id_lists.slice(row, 1).flatten()
-                ends = np.cumsum(lists.value_lengths().to_numpy()) * 4
-                data = np.asarray(lists.flatten()).astype("<i4").tobytes()
-                at = 0
-                for w, end in zip(words, ends.tolist()):
-                    (known if regular(w) else other)[w] = data[at:end]
-                    at = end
+        kinds = np.asarray(batch.column("kind"))
+        edges = np.flatnonzero(np.concatenate([[True], (kinds[1:] != kinds[:-1]) | (kinds[1:] != DOCUMENT)]))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(kinds)]):  # one row of words or pieces, or some documents
+            some = batch.slice(a, b - a)
+            kind = int(kinds[a])
+            if kind == FOLD:
+                folded = some.column("ids").flatten()
+                lengths.append(np.asarray(folded.value_lengths()))
+                ids.append(np.asarray(folded.flatten()))
+                continue
+            flat = some.column("flat")
+            values = np.asarray(flat.flatten())
+            if kind != DOCUMENT:
+                parts[kind] = values
+                if kind == WORDS:
+                    words = Lists.of(np.concatenate([*lengths, parts[LENGTHS]]), np.concatenate([*ids, parts[GIVEN]]))
+                    pieces = words.joined(values, parts[COUNTS])
+                    lengths, ids = [], []
                 continue
-            found, new, all_regular = cut(text.as_py(), known)
-            more = {p: b"".join([of_word(w) for w in words_of(p)]) for p in new}
-            if all_regular:
-                known.update(more)
-            out_ids.append(i)
-            out_tokens.append(b"".join([known[p] for p in found] if all_regular else [more[p] if p in more else known[p] for p in found]))
-            if last:
-                known, other = {}, {}
-        if out_ids:
-            offsets = np.cumsum([0, *(len(t) // 4 for t in out_tokens)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out_tokens), "<i4")))], names=["id", "ids"])
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ids (array<int>) of every row."""
+            counts = np.asarray(flat.value_lengths())
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            for x, y in spans(counts, 1 << 18):
+                tokens = pieces.joined(values[ends[x] : ends[y]], counts[x:y])
+                docs = some.slice(x, y - x)
+                yield pa.RecordBatch.from_arrays([docs.column("id"), docs.column("row_no"), _lists(tokens.offsets, tokens.values)], names=["id", "row_no", "ids"])
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """id, row_no (row_col as text, if given) and ids (array<int>) of every row."""
+    if max(ranks.values(), default=0) >= ID_MASK:
+        raise ValueError(f"the fold holds ids below {ID_MASK}")
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary, of fixed size
-    source = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs, text_col).alias("text"))
-    blocks = source.mapInArrow(lambda b: _blocks(b, pattern, shared.value), "words array<string>, bytes array<array<int>>, id long, text string, last boolean")
-    coded = blocks.select("words", encoded_words(F.col("bytes"), ranks).alias("ids"), "id", "text", "last")
-    return coded.mapInArrow(lambda b: _joined(b, pattern, shared.value), "id long, ids array<int>")
+    row = F.lit(None).cast("string") if row_col is None else docs[row_col].cast("string")
+    source = docs.select(docs[id_col].cast("long").alias("id"), row.alias("row_no"), text_or_empty(docs, text_col).alias("text"))
+    numbered = source.mapInArrow(lambda b: _blocks(b, pattern, shared.value), ROWS)
+    coded = numbered.select("kind", encoded_words(F.col("words"), ranks).alias("ids"), "flat", "id", "row_no")
+    return coded.mapInArrow(_joined, "id long, row_no string, ids array<int>")
 
 
 def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:

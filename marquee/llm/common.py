@@ -57,23 +57,53 @@ def text_or_empty(df: DataFrame, text_col: str = "text") -> Column:
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
 
 
-def with_row_ids(df: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
+def with_row_ids(df: DataFrame, name: str = "rows", from_files: bool = False) -> tuple[DataFrame, str]:
     """df with one more column that tells all rows apart, repeated ones too, the same each time it is read; and its name.
 
-    A table read from files has a file and a place for every row. Any other DataFrame is written to the
-    shared folder first.
+    from_files promises that df is a table as read from files, whose rows each have a file and a place. Any other DataFrame is
+    written to the shared folder first, since rows that were made from one row of a file share its place.
     """
     row = fresh(df, "row_key")
-    place = F.concat(F.md5("_metadata.file_path"), F.lit(":"), F.col("_metadata.row_index").cast("string"))
-    try:
-        return df.select("*", place.alias(row)), row
-    except AnalysisException:
-        return materialise(df.withColumn(row, F.monotonically_increasing_id().cast("string")), name), row
+    if from_files:
+        try:
+            return df.select("*", F.concat(F.md5("_metadata.file_path"), F.lit(":"), F.col("_metadata.row_index").cast("string")).alias(row)), row
+        except AnalysisException:  # no file behind it
+            pass
+    return materialise(df.withColumn(row, F.monotonically_increasing_id().cast("string")), name), row
 
 
 def keep_rows(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
     """The rows whose key is in kept (one column of the same name), without the key.
 
-    The keys are unique on both sides, so none is hot.
+    The keys are unique on both sides, so none is hot. The keys that go are found first, so that whole rows are moved only
+    if those are too many to be sent to all tasks; Spark decides by the size of their table.
     """
-    return rows.join(kept.select(row), row, "left_semi").drop(row)
+    gone = materialise(rows.select(row).join(kept.select(row), row, "left_anti"), "gone")
+    return rows.join(gone, row, "left_anti").drop(row)
+
+
+#: A key is hot if it holds more than this part of all rows; so there are fewer than 1,000 hot keys.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], n_col: str, total: int) -> DataFrame:
+    """rows joined with facts, which has one row for each key and in n_col how many of the `total` rows have it; n_col is dropped.
+
+    The facts of hot keys, fewer than HOT, are sent to all tasks and their rows stay where they are; only the others meet by shuffle.
+    """
+    hot = F.col(n_col) * HOT > total
+    few = F.broadcast(facts.where(hot).drop(n_col))
+    names = [*rows.columns, *[c for c in facts.columns if c not in keys and c != n_col]]
+    direct = rows.join(few, keys)
+    others = rows.join(few.select(*keys), keys, "left_anti").join(facts.where(~hot).drop(n_col), keys)
+    return direct.select(*names).unionAll(others.select(*names))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that materialise() wrote and that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if f"{scratch_root(spark)}/marquee/".removeprefix("file:").lstrip("/") in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

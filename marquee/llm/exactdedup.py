@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import keep_rows, materialise, text_or_empty, with_row_ids
+from marquee.llm.common import join_counted, keep_rows, materialise, text_or_empty, with_row_ids
 
 #: The characters that do not count.
 IGNORED = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -63,9 +63,9 @@ def tree_merge(found: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 def assignments(found: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """id, row_no, keep_id, group_size, kept and text_sha256 for every row of digests()."""
-    best = tree_merge(found, fan_in)
-    return found.join(best, [*SAME_TEXT]).select(
-        "id", "row_no", (-F.col("best.minus_id")).alias("keep_id"), "group_size", (found["row_no"] == F.col("best.row_no")).alias("kept"), "text_sha256"
+    best = materialise(tree_merge(found, fan_in), "best").withColumn("n", F.col("group_size"))
+    return join_counted(found, best, [*SAME_TEXT], "n", found.count()).select(
+        "id", "row_no", (-F.col("best.minus_id")).alias("keep_id"), "group_size", (F.col("row_no") == F.col("best.row_no")).alias("kept"), "text_sha256"
     )
 
 
@@ -74,9 +74,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return assignments(digests(docs, id_col, text_col))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' columns."""
-    rows, row = with_row_ids(docs, "exact")
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", from_files: bool = False) -> DataFrame:
+    """The rows of docs that stay, with docs' columns; from_files: see with_row_ids()."""
+    rows, row = with_row_ids(docs, "exact", from_files)
     best = tree_merge(digests(rows, id_col, text_col, row))
     kept = best.select(F.col("best.row_no").alias(row))
     return keep_rows(rows, row, kept)

@@ -19,6 +19,7 @@ empty table gives an empty result; only id, text and source are read.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,15 +106,28 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return assign(sized(docs, id_col, text_col, source_col, seed))
 
 
-def taken_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "0") -> DataFrame:
+def taken_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "0", from_files: bool = False) -> DataFrame:
     """The documents that the mix takes, each as often as it takes it, with docs' columns, in training order.
 
-    Size-only facts are joined to the texts by row number.
+    Size-only facts are joined to the texts by row number. Written as files, the rows stand in training order by file and place,
+    which training_place() reads again; from_files: see with_row_ids().
     """
-    rows, row = with_row_ids(docs, "mix")
+    rows, row = with_row_ids(docs, "mix", from_files)
     uses = curriculum(assign(sized(rows, id_col, text_col, source_col, seed, row))).select(F.col("row_no").alias(row), F.col("position").alias("training_position"))
     place = "training_position"
     while place.lower() in {c.lower() for c in rows.columns}:
         place = "_" + place
     out = rows.join(uses.withColumnRenamed("training_position", place), row)
     return out.repartitionByRange(place).sortWithinPartitions(place, row).select(*docs.columns)
+
+
+def training_place(docs: DataFrame, name: str) -> DataFrame:
+    """A written taken_documents() with one more column, a text that sorts the rows as they stand in its files: file number and place.
+
+    A DataFrame that is not read from files gets its present order.
+    """
+    try:
+        file, place = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1), F.col("_metadata.row_index")
+        return docs.select("*", F.concat(F.lpad(file, 10, "0"), F.lit("-"), F.lpad(place.cast("string"), 12, "0")).alias(name))
+    except AnalysisException:  # no file behind it
+        return docs.withColumn(name, F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))

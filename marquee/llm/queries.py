@@ -50,13 +50,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three edits of every document: an insertion inside, a removal before it, and a replacement at the end."""
+    """Counts every document, keeps the trees, and follows three edits of each: an insertion inside, a removal before it, and a replacement at the end."""
     docs = table(spark, sf_dir, "documents")
-    n = F.char_length(F.coalesce("text", F.lit("")))
+    ranks, pattern = bpe.load_ranks(vocabulary("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+    trees = materialise(counting.count(docs, ranks, pattern), "trees")
+    n = F.char_length("text")
     one = lambda at, removed, inserted: F.struct(at.cast("int").alias("at"), F.lit(removed).alias("removed"), F.lit(inserted).alias("inserted"))
     edits = F.array(one(F.floor(n / 2), 0, " revised\n 2024"), one(F.floor(n / 3), 7, ""), one(n - 1, 3, " end. "))
-    found = counting.recount(docs.select("doc_id", "text", edits.alias("edits")), bpe.load_ranks(vocabulary("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    return found.select(F.col("id").alias("doc_id"), "tokens_before", "tokens_after", "chars_after", "encoded_chars", "n_leaves")
+    found = counting.recount(trees.withColumn("edits", edits), ranks, pattern)
+    return found.select(F.col("id").alias("doc_id"), "tokens_before", F.col("n_tokens").alias("tokens_after"), F.char_length("text").cast("long").alias("chars_after"), "encoded_chars", F.size("leaf_chars").cast("long").alias("n_leaves"))
 
 
 def op8_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,9 @@ fingerprint gets its own thresholds from a dynamic program over estimated candid
 every value of a partition within its threshold, and every candidate is verified on all 64 bits.
 
 near_duplicates() links by differing bits. deduplicated() takes a similarity of word shingles instead, and decides every pair by its
-two sets. Signatures propose the first pairs: texts of similarity 0.8 differ in some 10 of 64 bits and by chance in 15, so eight 16-bit
-partitions of two fingerprints are probed with threshold 2 each, and 256 bits compared (see SIMILAR_LANES and similar_bits()). That may
-miss pairs; so texts not connected then also meet at the rarest shingles of their sets, of which similar sets share at least one (see prefix_of()).
+two whole sets. The index above proposes the first pairs. Texts of similarity 0.8 often differ in more bits than it finds at a
+bearable cost, so texts also meet at the rarest shingles of their sets, of which similar sets share at least one (see prefix_of()):
+first one partner is tried for each, then every pair that is not connected yet. So no pair is lost.
 
 Defined results: a null text counts as empty; a text without words has fingerprint 0 and links like
 any other; repeated rows each get a row; a null id stays null and never becomes a component id unless its whole
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import keep_rows, materialise, text_or_empty, with_row_ids
+from marquee.llm.common import HOT, discard, join_counted, keep_rows, materialise, text_or_empty, with_row_ids
 
 BITS = 64
 #: Rows of one side of a verification block; larger buckets are split into several blocks.
@@ -36,10 +36,6 @@ BLOCK_ROWS = 4096
 #: Cost of sending one probe, in candidate comparisons.
 PROBE_COST = 32.0
 MAX_RADIUS = 2
-#: Longs of the signature that decides similarity; the first is the fingerprint.
-SIMILAR_LANES = 4
-#: Standard deviations of the differing bits that a pair of just the wanted similarity is given.
-SIMILAR_SLACK = 3.0
 #: Texts whose shingles are counted to order all shingles by frequency; a shingle of so many of them is common; how many are kept.
 SAMPLE_ROWS, COMMON_FROM, COMMON_MOST = 10_000, 3, 100_000
 
@@ -49,17 +45,7 @@ SAMPLE_ROWS, COMMON_FROM, COMMON_MOST = 10_000, 3, 100_000
 
 def fingerprint_of(text: str, words: int = 4) -> int:
     """The SimHash of one text; unsigned."""
-    return int(signature_of(text, words)[0])
-
-
-def remixed(hashes: np.ndarray, lane: int) -> np.ndarray:
-    """Other hashes of the same shingles: a multiply-xorshift of the hash and the lane's number; lane 0 keeps them."""
-    if lane == 0:
-        return hashes
-    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    return int(fingerprint_from(shingle_hashes(text, words)))
 
 
 def shingle_hashes(text: str, words: int = 4) -> np.ndarray:
@@ -83,32 +69,24 @@ def shingle_hashes(text: str, words: int = 4) -> np.ndarray:
     return hashes
 
 
-def signature_of(text: str, words: int = 4, lanes: int = 1, distinct: bool = False) -> np.ndarray:
-    """SimHashes of one text, one for each lane; distinct: repeated shingles count once."""
-    hashes = shingle_hashes(text, words)
-    return signature_from(np.unique(hashes) if distinct else hashes, lanes)
-
-
-def signature_from(hashes: np.ndarray, lanes: int) -> np.ndarray:
-    ones = np.zeros((lanes, BITS), np.int64)
+def fingerprint_from(hashes: np.ndarray) -> np.uint64:
+    """A bit is set if it is in over half of the hashes."""
+    ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 65536):  # bounds the unpacked bits of a very long text
-        for lane in range(lanes):
-            ones[lane] += np.unpackbits(remixed(hashes[at : at + 65536], lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
+        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, row_col: str | None = None, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """id, row_no (row_col as text, if given) and fp (the fingerprint as a signed long) of every row; fp1, fp2 ... for more lanes."""
-    names = ["fp", *(f"fp{k}" for k in range(1, lanes))]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
+    """id and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([signature_of(t, words, lanes, distinct) for t in batch.column(2).to_pylist()], np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, k]) for k in range(lanes))], names=["id", "row_no", *names])
+            found = np.array([fingerprint_of(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "fp"])
 
-    row = F.lit("") if row_col is None else docs[row_col].cast("string")
-    source = docs.select(docs[id_col].cast("long").alias("id"), row.alias("row_no"), text_or_empty(docs, text_col).alias("text"))
-    return source.mapInArrow(run, "id long, row_no string, " + ", ".join(f"{n} long" for n in names))
+    source = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs, text_col).alias("text"))
+    return source.mapInArrow(run, "id long, fp long")
 
 
 # ---------------------------------------------------------------- partitions and thresholds
@@ -346,95 +324,63 @@ def links(nodes: DataFrame, distance: int = 4, parts: int = 4) -> DataFrame:
     return sent.repartition("block").sortWithinPartitions("block", "probe").mapInArrow(lambda b: verified(b, distance), "a long, b long").distinct()
 
 
-def similar_bits(similarity: float, lanes: int = SIMILAR_LANES) -> int:
-    """Differing bits of a signature up to which two texts are proposed as similar.
-
-    Sets of Jaccard similarity s and like size have cosine 2s / (1 + s), and each bit differs with probability angle / pi.
-    """
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    n = lanes * BITS
-    return int(n * p + SIMILAR_SLACK * np.sqrt(n * p * (1 - p)))
-
-
-def verified_alike(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows (block, then the longs of a signature) sorted by block. Emits spanning links of the pairs of a block within the limit.
-
-    Memory holds one batch and the open block.
-    """
-    open_block, held = None, None
-    for batch in batches:
-        block = np.asarray(batch.column(0))
-        if not len(block):
-            continue
-        lanes = [np.asarray(batch.column(k)) for k in range(1, batch.num_columns)]
-        old = 0
-        if block[0] == open_block:
-            old = len(held[0])
-            block = np.concatenate([np.full(old, open_block), block])
-            lanes = [np.concatenate([h, x]) for h, x in zip(held, lanes)]
-        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        first = np.repeat(starts, np.diff(np.append(starts, len(block))))
-        at = np.arange(old, len(block))  # every new row meets all rows of its block before it
-        count = at - first[at]
-        done = np.concatenate([[0], np.cumsum(count)])
-        k = 0
-        while k < len(at):
-            to = max(k + 1, int(np.searchsorted(done, done[k] + 1_000_000, "right")) - 1)
-            c = count[k:to]
-            left = np.repeat(at[k:to], c)
-            right = np.repeat(first[at[k:to]] - (done[k:to] - done[k]), c) + np.arange(done[to] - done[k])
-            differ = np.zeros(len(left), np.int64)
-            for x in lanes:
-                differ = differ + np.bitwise_count((x[left] ^ x[right]).view(np.uint64))
-                near = differ <= limit
-                left, right, differ = left[near], right[near], differ[near]
-            a, b = lanes[0][left], lanes[0][right]
-            if (other := a != b).any():
-                more, less = spanning_links(a[other], b[other])
-                yield pa.RecordBatch.from_arrays([pa.array(more), pa.array(less)], names=["a", "b"])
-            k = to
-        open_block = block[-1]
-        held = [x[starts[-1] :] for x in lanes]
+# ---------------------------------------------------------------- exact similarity of shingle sets
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: A random number for each byte, the base of the polynomial over them and its inverse (all modulo 2^64).
+_BYTES = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
-def similar_links(nodes: DataFrame, limit: int, parts: int = 4) -> DataFrame:
-    """Links a > b of fingerprints (nodes: fp, distinct, and the other longs of its signature) whose signatures differ in at most limit bits.
 
-    The first two longs are cut into partitions; of pairs of similarity 0.8, 1 in 600 differs in more than 2 bits of each of these eight. Threshold 2 for every partition: both sides send the values within 1 of their own, so that values within 2
-    meet. A meeting place of over BLOCK_ROWS rows is cut into slices, each pair of which is one block.
-    """
-    names = nodes.columns
-    measured = [measured_partitions(nodes.select(F.col(n).alias("fp")), parts) for n in names[:2]]
-    widths = [w for _, ws, _ in measured for w in ws]
-    shared = nodes.sparkSession.sparkContext.broadcast([ball_counts(h, w, 1)[1] for _, ws, hs in measured for h, w in zip(hs, ws)])
-    groups = [g for g, _, _ in measured]
+def mixed_bits(x: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-    def probes(batches):
-        balls = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                lanes = [np.asarray(whole.column(k)[at : at + 2048]) for k in range(len(names))]
-                values = np.concatenate([part_values(x, g) for x, g in zip(lanes, groups)])
-                salt = (lanes[0].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-                out_block, out_who = [], []
-                for p in range(len(widths)):
-                    around = masks(widths[p], 1)
-                    who = np.repeat(np.arange(values.shape[1]), len(around))
-                    value = values[p][who] ^ np.tile(around, values.shape[1])
-                    slices = np.maximum(1, np.ceil(balls[p][value] / BLOCK_ROWS)).astype(np.int64)
-                    own = (salt[who] % slices.astype(np.uint64)).astype(np.int64)
-                    other = np.arange(slices.sum()) - np.repeat(np.cumsum(slices) - slices, slices)
-                    who, value, own = (np.repeat(x, slices) for x in (who, value, own))
-                    out_block.append((((np.int64(p) << 16) | value) << 40) | (np.minimum(own, other) << 20) | np.maximum(own, other))
-                    out_who.append(who)
-                who = np.concatenate(out_who)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_block)), *(pa.array(x[who]) for x in lanes)], names=["block", *names])
-
-    sent = nodes.mapInArrow(probes, "block long, " + ", ".join(f"{n} long" for n in names))
-    return sent.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: verified_alike(b, limit), "a long, b long").distinct()
 
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text (between ASCII white space, A-Z lower-cased), in order: polynomials over the bytes, from running sums."""
+    out = []
+    bytes_ = _LOWER[np.frombuffer(data, np.uint8)]
+    space = _SPACE[bytes_]
+    at = 0
+    while at < len(bytes_):
+        to = min(len(bytes_), at + (1 << 16))
+        if to < len(bytes_):  # a part ends at white space, or with the word that it would cut
+            more = np.flatnonzero(space[to:])
+            to = to + int(more[0]) if len(more) else len(bytes_)
+        here, gaps = bytes_[at:to], np.concatenate([[True], space[at:to], [True]])
+        starts, ends = np.flatnonzero(gaps[:-1] & ~gaps[1:]), np.flatnonzero(~gaps[:-1] & gaps[1:])
+        if len(starts):
+            powers = np.cumprod(np.full(len(here), _BASE, np.uint64))
+            inverse = np.cumprod(np.full(len(here), _INVERSE, np.uint64))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[here] * powers)])
+            out.append(mixed_bits((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)))
+        at = to
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The different word shingles of a text as ascending 64-bit hashes; a text of fewer words has one of all of them, one without words none."""
+    found = word_hashes(text.encode("utf-8", "surrogatepass"))
+    if not len(found):
+        return found
+    n = max(1, len(found) - words + 1)
+    total = np.zeros(n, np.uint64)
+    for k in range(min(words, len(found))):
+        total = mixed_bits(total + found[k : k + n])
+    return np.unique(total)
+
+
+def digest_of(hashes: np.ndarray) -> int:
+    """The node number of a shingle set."""
+    import xxhash
 
-# ---------------------------------------------------------------- exact similarity of shingle sets
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 42)).astype(np.int64))
 
 
 def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -446,7 +392,7 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, words)).view(np.int64))], names=["shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], names=["shingle"])
 
     share = min(1.0, SAMPLE_ROWS / max(1, texts.count()))
     counted = texts.select("text").sample(share, seed=7).mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_FROM)
@@ -475,41 +421,98 @@ def prefix_of(hashes: np.ndarray, similarity: float, order: tuple[np.ndarray, np
     return hashes[np.argsort(frequency_of(hashes, order), kind="stable")][: first if len(hashes) else 0]
 
 
-def described(texts: DataFrame, words: int, similarity: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """id, row_no, the longs of the signature, node (digest of the shingle set), n (its size) and prefix (see prefix_of()) of every text (row_no, id, text)."""
-    names = ["fp", *(f"fp{k}" for k in range(1, SIMILAR_LANES))]
+def shingle_sets(texts: DataFrame, words: int, similarity: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """One row for each different shingle set of texts (row_no, id, text): node (its digest), fp, n (its size), prefix (see prefix_of())
+    and first (the first of its rows: null ids last, then by id and row)."""
     shared = texts.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                signs, nodes, sizes, prefixes = [], [], [], []
-                for text in batch.column(2).to_pylist():
-                    hashes = np.unique(shingle_hashes(text, words))
-                    signs.append(signature_from(hashes, SIMILAR_LANES))
-                    nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
-                    sizes.append(len(hashes))
-                    prefixes.append(prefix_of(hashes, similarity, shared.value))
-                signs = np.array(signs, np.uint64).reshape(-1, SIMILAR_LANES).view(np.int64)
+                sets = [shingle_set(t, words) for t in batch.column(2).to_pylist()]
+                fps = np.array([fingerprint_from(h) for h in sets], np.uint64).view(np.int64)
+                nodes = np.array([digest_of(h) for h in sets], np.int64)
+                prefixes = [prefix_of(h, similarity, shared.value) for h in sets]
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).view(np.int64)))
-                columns = [batch.column(1), batch.column(0), *(pa.array(signs[:, k]) for k in range(SIMILAR_LANES)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), prefix]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "row_no", *names, "node", "n", "prefix"])
+                columns = [batch.column(1), batch.column(0), pa.array(fps), pa.array(nodes), pa.array([len(h) for h in sets], pa.int64()), prefix]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "row_no", "fp", "node", "n", "prefix"])
 
-    return texts.select("row_no", "id", "text").mapInArrow(run, "id long, row_no string, " + ", ".join(f"{n} long" for n in names) + ", node long, n long, prefix array<long>")
+    described = texts.select("row_no", "id", "text").mapInArrow(run, "id long, row_no string, fp long, node long, n long, prefix array<long>")
+    # fp, n and prefix follow from the set, so any row of it will do
+    return described.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_no")).alias("first"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix")])
+
+
+#: Of a set: its size << 32 and how many of its shingles stand from the block's one on in the order of rarity.
+SIZE_SHIFT = 32
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, s: Fraction) -> np.ndarray:
+    """Whether sets that share no shingle before the block's can still be similar: overlap >= s * union is (1 + s) * overlap >= s * (sum of sizes)."""
+    low = (1 << SIZE_SHIFT) - 1
+    return np.minimum(x & low, y & low) * (s.numerator + s.denominator) >= s.numerator * ((x >> SIZE_SHIFT) + (y >> SIZE_SHIFT))
+
+
+def met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (block, node, size) sorted by block and node. Emits those of blocks where several sets meet, with the block's first set, if
+    it may be similar. Memory holds one batch and a block's first row."""
+    s = Fraction(str(similarity))
+    held, sent = [np.zeros(0, np.int64)] * 3, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        old = len(held[0])
+        block, node, size = (np.concatenate([h, np.asarray(c)]) for h, c in zip(held, batch.columns))
+        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        counts = np.diff(np.append(starts, len(block)))
+        first = np.repeat(starts, counts)
+        out = np.repeat(counts > 1, counts)
+        if old and sent:
+            out[0] = False
+        at = np.flatnonzero(out)
+        if len(at):
+            near = may_be_similar(size[at], size[first[at]], s) & (node[at] != node[first[at]])
+            yield pa.RecordBatch.from_arrays([pa.array(block[at]), pa.array(node[at]), pa.array(size[at]), pa.array(node[first[at]], mask=~near)], names=["block", "node", "size", "first"])
+        sent = bool(counts[-1] > 1)
+        held = [x[starts[-1] : starts[-1] + 1] for x in (block, node, size)]
+
+
+def meetings(nodes: DataFrame, similarity: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """block, node, size and first (see met()) of the sets (nodes: node, n, prefix) wherever several meet at a shingle of their prefixes.
+
+    A common shingle of over BLOCK_ROWS texts is cut into slices, each pair of which is one block.
+    """
+    shared = nodes.sparkSession.sparkContext.broadcast(order)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                node, n = (np.asarray(batch.column(k)) for k in range(2))
+                lengths = np.asarray(pa.compute.list_value_length(batch.column(2))).astype(np.int64)
+                who = np.repeat(np.arange(len(node)), lengths)
+                left = n[who] - (np.arange(len(who)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
+                block = np.asarray(batch.column(2).flatten()).view(np.uint64)
+                slices = np.maximum(1, np.ceil(frequency_of(block, shared.value) / BLOCK_ROWS)).astype(np.int64)
+                own = (((node[who].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % slices.astype(np.uint64)).astype(np.int64)
+                other = np.arange(slices.sum()) - np.repeat(np.cumsum(slices) - slices, slices)
+                who, left, block, own = (np.repeat(x, slices) for x in (who, left, block, own))
+                # slice 0 with itself keeps the shingle's hash; blocks that fall together only propose more
+                block = block + (np.minimum(own, other) * 0x632BE59BD9B4E019 + np.maximum(own, other) * 0x1E3779B97F4A7C15).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block.view(np.int64), node[who], (n[who] << SIZE_SHIFT) | left)], names=["block", "node", "size"])
+
+    rows = nodes.select("node", "n", "prefix").mapInArrow(sent, "block long, node long, size long")
+    return rows.repartition("block").sortWithinPartitions("block", "node").mapInArrow(lambda b: met(b, similarity), "block long, node long, size long, first long")
 
 
 def proposed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (block, root, node, n, left) sorted by block and root; left: shingles of the set from the block's one on.
+    """Rows (block, root, node, size) sorted by block and root.
 
     Emits the pairs of a block that are not of one root and may be similar by their sizes, if the block's shingle is the first
     that they share. Memory holds one batch and the open block.
     """
     s = Fraction(str(similarity))
-    num, den = s.numerator, s.denominator
     open_block, held = None, None
     for batch in batches:
         columns = [np.asarray(c) for c in batch.columns]
@@ -519,7 +522,7 @@ def proposed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         if columns[0][0] == open_block:
             old = len(held[0])
             columns = [np.concatenate([h, x]) for h, x in zip(held, columns)]
-        block, root, node, n, left = columns
+        block, root, node, size = columns
         new_block = np.concatenate([[True], block[1:] != block[:-1]])
         starts = np.flatnonzero(new_block)
         first = np.repeat(starts, np.diff(np.append(starts, len(block))))
@@ -535,8 +538,7 @@ def proposed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
             c = count[k:to]
             x = np.repeat(at[k:to], c)
             y = np.repeat(first[at[k:to]] - (done[k:to] - done[k]), c) + np.arange(done[to] - done[k])
-            # overlap >= similarity * union is (1 + similarity) * overlap >= similarity * (sum of sizes)
-            may = np.minimum(left[x], left[y]) * (num + den) >= num * (n[x] + n[y])
+            may = may_be_similar(size[x], size[y], s)
             x, y = node[x[may]], node[y[may]]
             if len(x):
                 pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
@@ -546,73 +548,81 @@ def proposed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         held = [x[starts[-1] :] for x in columns]
 
 
-def prefix_pairs(nodes: DataFrame, similarity: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Pairs a > b of sets (nodes: node, root, n, prefix) of different roots: all of that similarity and some below.
+def open_pairs(found: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a > b of sets of different roots that meet (found: see meetings()): all of that similarity and some below."""
+    rooted = found.select("block", "node", "size").join(roots, "node", "left").select("block", F.coalesce("root", "node").alias("root"), "node", "size")
+    return rooted.repartition("block").sortWithinPartitions("block", "root").mapInArrow(lambda b: proposed(b, similarity), "a long, b long").distinct()
 
-    Sets meet at each shingle of both prefixes. A common shingle of over BLOCK_ROWS texts is cut into slices, each pair of which is one block.
-    """
-    shared = nodes.sparkSession.sparkContext.broadcast(order)
 
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                node, root, n = (np.asarray(batch.column(k)) for k in range(3))
-                lengths = np.asarray(pa.compute.list_value_length(batch.column(3))).astype(np.int64)
-                who = np.repeat(np.arange(len(node)), lengths)
-                place = np.arange(len(who)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                block = np.asarray(batch.column(3).flatten()).view(np.uint64)
-                slices = np.maximum(1, np.ceil(frequency_of(block, shared.value) / BLOCK_ROWS)).astype(np.int64)
-                own = (((node[who].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % slices.astype(np.uint64)).astype(np.int64)
-                other = np.arange(slices.sum()) - np.repeat(np.cumsum(slices) - slices, slices)
-                who, place, block, own = (np.repeat(x, slices) for x in (who, place, block, own))
-                # slice 0 with itself keeps the shingle's hash; blocks that fall together only propose more
-                block = block + (np.minimum(own, other) * 0x632BE59BD9B4E019 + np.maximum(own, other) * 0x1E3779B97F4A7C15).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block.view(np.int64), root[who], node[who], n[who], n[who] - place)], names=["block", "root", "node", "n", "left"])
-
-    rows = nodes.select("node", "root", "n", "prefix").mapInArrow(sent, "block long, root long, node long, n long, left long")
-    return rows.repartition("block").sortWithinPartitions("block", "root").mapInArrow(lambda b: proposed(b, similarity), "a long, b long").distinct()
+def verified_sets(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (hub, slice, member, node, shingles) sorted so that a hub's own row comes before its members. Emits the pairs (member, hub)
+    of that Jaccard similarity. Memory holds one batch and the open hub's set."""
+    s = Fraction(str(similarity))
+    own = np.zeros(0, np.int64)
+    for batch in batches:
+        hubs, member, nodes = (batch.column(k).to_pylist() for k in (0, 2, 3))
+        sets, a, b = batch.column(4), [], []
+        for k, is_member in enumerate(member):
+            here = np.asarray(sets[k].values)
+            if not is_member:
+                own = here
+                continue
+            at = np.searchsorted(own, here)
+            common = int((own[np.minimum(at, len(own) - 1)] == here).sum()) if len(own) else 0
+            if common * (s.numerator + s.denominator) >= (len(own) + len(here)) * s.numerator:
+                a.append(nodes[k])
+                b.append(hubs[k])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs a, b of nodes (node, row_no) whose texts (row_no, text) have shingle sets of at least that Jaccard similarity."""
+    """The pairs a, b of nodes (node, first) whose texts (row_no, text) have shingle sets of at least that Jaccard similarity.
+
+    Every b is a hub: its set and those of its partners are sent to one place, or to several if it has very many.
+    """
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column(1).to_pylist()]
+                found = [np.sort(shingle_set(t, words).view(np.int64)) for t in batch.column(4).to_pylist()]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["hub", "slice", "member", "node", "shingles"])
 
-    s = Fraction(str(similarity))
-    pairs = materialise(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    asked = texts.join(nodes.join(wanted, "node").select("node", "row_no"), "row_no").select("node", "text")
-    sets = materialise(asked.mapInArrow(sets_of, "node long, shingles array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), (F.size("x") + F.size("y")).cast("long").alias("sizes"))
-    return both.where(F.col("common") * (s.numerator + s.denominator) >= F.col("sizes") * s.numerator).select("a", "b")
+    total = pairs.count()
+    big = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") * HOT > total).select("b", F.ceil(F.col("n") / BLOCK_ROWS).alias("slices"))  # fewer than HOT
+    dealt = pairs.join(F.broadcast(big), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("slices", F.lit(1))).cast("int").alias("slice"))
+    members = dealt.select(F.col("b").alias("hub"), "slice", F.lit(True).alias("member"), F.col("a").alias("node"))
+    hubs = dealt.select(F.col("b").alias("hub"), "slice").distinct().select("hub", "slice", F.lit(False).alias("member"), F.col("hub").alias("node"))
+    asked = materialise(members.union(hubs).join(nodes.select("node", F.col("first.row_no").alias("row_no")), "node").select("hub", "slice", "member", "node", "row_no"), "asked")
+    # Spark sends `asked` to all tasks if its files are small, else both sides meet by row
+    sets = asked.join(texts.select("row_no", "text"), "row_no").select("hub", "slice", "member", "node", "text").mapInArrow(sets_of, "hub long, slice int, member boolean, node long, shingles array<long>")
+    return sets.repartition("hub", "slice").sortWithinPartitions("hub", "slice", "member").mapInArrow(lambda b: verified_sets(b, similarity), "a long, b long")
+
+
+# ---------------------------------------------------------------- classes
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node of its component) for every node of the links a > b.
 
     Alternating large-star and small-star steps; each round is a minimum by node (combined before the
-    shuffle) and a join back, written to the shared folder.
+    shuffle) and a join back, written to the shared folder. Hubs of very many links are joined without a shuffle.
     """
-    mark, seen = None, materialise(edges.select("a", "b"), "links")
+    seen = materialise(edges.select("a", "b"), "links")
+    mark, total = None, seen.count()
     while True:
         both = seen.select("a", "b").union(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = join_counted(both, low, ["a"], "n", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        seen = materialise(small, "links")
+        last, seen = seen, materialise(small, "links")
         now = seen.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        discard(last)
         if mark == now:
             return seen.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = now
+        mark, total = now, now.n
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, parts: int = 4) -> DataFrame:
@@ -622,48 +632,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def classes(fps: DataFrame, distance: int = 4, parts: int = 4) -> DataFrame:
     """fps (written fingerprints, with columns id and fp) with root (the fingerprint that names the class) and component."""
-    nodes = materialise(fps.groupBy("fp").agg(F.min("id").alias("low")), "classes")
-    return rooted_classes(fps, nodes, links(nodes, distance, parts))
-
-
-def rooted_classes(fps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """fps with root and component, from the links of its distinct fingerprints (nodes: fp, low)."""
-    stars = components(edges)
-    rooted = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted, "rooted")
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    return fps.join(rooted.join(lowest, "root").select("fp", "root", "component"), "fp")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "classes")
+    stars = components(links(nodes, distance, parts))
+    rooted = materialise(nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "low", F.coalesce("root", "fp").alias("root")), "rooted")
+    lowest = materialise(rooted.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("of_root")), "lowest")
+    known = join_counted(rooted.select("fp", "n", "root"), lowest, ["root"], "of_root", nodes.count())
+    return join_counted(fps, materialise(known, "known"), ["fp"], "n", fps.count())
 
 
 def hex_fingerprint(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, parts: int = 4) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 4, parts: int = 4, from_files: bool = False) -> DataFrame:
     """One row of docs for each near-duplicate class: that with the smallest id (null last; of repeated rows one).
 
     Texts are linked exactly when their sets of word shingles have that Jaccard similarity (shingles count as equal by their
-    64-bit hashes); a class is what links connect. Signatures propose the first pairs, which connect most classes; rare shingles
-    then propose every pair that may be similar and is not connected yet. Every proposed pair is judged by its whole sets.
+    64-bit hashes); a class is what links connect. Fingerprints within `distance` bits propose the first pairs, and for sets that
+    these leave alone the set they share most rare shingles with; then all pairs at rare shingles that are not connected yet
+    are tried. Every proposed pair is judged by its whole sets. from_files: see with_row_ids().
     """
-    rows, row = with_row_ids(docs, "near")
+    rows, row = with_row_ids(docs, "near", from_files)
     texts = rows.select(F.col(row).alias("row_no"), rows[id_col].cast("long").alias("id"), text_or_empty(rows, text_col).alias("text"))
     order = common_shingles(texts, words)
-    sets = materialise(described(texts, words, similarity, order), "signatures")
-    rest = [f"fp{k}" for k in range(1, SIMILAR_LANES)]
-    # all but id and row follow from the set, so any row of it will do
-    same = [F.first(c).alias(c) for c in ("fp", *rest, "n", "prefix")]
-    nodes = materialise(sets.groupBy("node").agg(F.min("id").alias("low"), F.min("row_no").alias("row_no"), *same), "classes")
-    one = F.min(F.struct(*rest, "node")).alias("one")  # whole signatures compare, so that the longs come from one row
-    signed = materialise(nodes.groupBy("fp").agg(one).select("fp", "one.*"), "signed")
-    near = similar_links(signed.select("fp", *rest), similar_bits(similarity), parts)
+    nodes = materialise(shingle_sets(texts, words, similarity, order), "sets")
+    signed = materialise(nodes.groupBy("fp").agg(F.min("node").alias("node")), "signed")
+    by_bits = links(signed, distance, parts)
     for end in ("a", "b"):
-        near = near.join(signed.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")), end).drop(end).withColumnRenamed(f"{end}_node", end)
-    near = materialise(alike(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), nodes, texts, words, similarity), "near")
-    roots = components(near)
-    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prefix")
-    found = alike(prefix_pairs(rooted, similarity, order), nodes, texts, words, similarity)
-    members = rooted_classes(sets.select(F.col("node").alias("fp"), "id", "row_no"), nodes.select(F.col("node").alias("fp"), "low"), near.union(found))
-    first = F.min(F.struct(F.col("id").isNull(), "id", "row_no")).alias("first")
-    kept = members.groupBy("root").agg(first).select(F.col("first.row_no").alias(row))
-    return keep_rows(rows, row, kept)
+        by_bits = by_bits.join(signed.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")), end).drop(end).withColumnRenamed(f"{end}_node", end)
+    same_bits = nodes.select("fp", F.col("node").alias("a")).join(signed.withColumnRenamed("node", "b"), "fp").where("a <> b")
+    by_bits = materialise(by_bits.select("a", "b").union(same_bits.select("a", "b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "by-bits")
+    found = materialise(meetings(nodes, similarity, order), "meetings")
+    together = found.where("first is not null").groupBy("node", "first").agg(F.count("*").alias("n"))
+    partner = together.groupBy(F.col("node").alias("a")).agg(F.max_by("first", F.struct("n", "first")).alias("b"))
+    pairs = materialise(by_bits.union(partner.join(by_bits.select("a"), "a", "left_anti").select("a", "b")), "pairs")
+    near = materialise(alike(pairs, nodes, texts, words, similarity), "near")
+    rest = materialise(open_pairs(found, components(near), similarity), "pairs")
+    roots = components(near.union(alike(rest, nodes, texts, words, similarity)))
+    kept = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
+    return keep_rows(rows, row, kept.select(F.col("first.row_no").alias(row)))

@@ -10,8 +10,10 @@ A segment is one binary value that holds whole documents, at least SEGMENT_TOKEN
     "DAC1", levels u32, documents u32, tokens u64 | ids i64[d], known u8[d], ends u64[d] |
     for each level: items u64, chunks u8[n], continuation bitmap u8[ceil(n / 8)], ranks u32[ceil(n / 512)]
 
-Segments are rows of a Parquet table (first_id, part, seq, n_tokens, segment) in ascending id order, so Spark writes
-them to any store and a reader can fetch one segment alone. A document is never split over segments.
+Segments are rows of a Parquet table (first_id, part, seq, part_start, n_tokens, segment) in ascending id order, so Spark writes
+them to any store and a reader can fetch one segment alone; part_start counts the tokens before it in its part. A document is never split over segments.
+
+Texts are encoded as the tokenizers library does by itself: the string of an added token in a text is that token.
 
 Defined results: a null text counts as empty (its only token is the end id); null ids come first; rows that repeat an id follow
 each other by text; an empty table gives empty files and an empty result; only id and text are read.
@@ -19,6 +21,7 @@ each other by text; an empty table gives empty files and an empty result; only i
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,14 +33,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marquee.llm.common import scratch_root, text_or_empty
-from marquee.llm.pieces import cut
+from marquee.llm.pieces import PATTERN, Cut, Lists, blocks, cut, spans, words_of
 
 MAGIC = b"DAC1"
 CHUNK_BITS = 8
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
-#: Pieces that a worker keeps; it starts anew beyond.
-CACHE_PIECES = 700_000
 
 
 # ---------------------------------------------------------------- the code
@@ -113,58 +114,60 @@ def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, list[tuple[
 # ---------------------------------------------------------------- Spark
 
 
-class PieceEncoder:
-    """Token ids of whole texts, encoding each different piece once.
+def visible_bytes() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself where it prints, else the next of those from 256 on."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
 
-    Regular pieces (see pieces.py) hold no line feed and stay apart across one, so all new ones go to the tokenizer as
-    lines of one text, and the line feed's id parts their ids again.
+class LibraryEncoder:
+    """Token ids of the texts of a block by the tokenizers library, as it encodes whole texts with add_special_tokens=False.
+
+    Where the tokenizer is byte-level BPE over PATTERN, texts are cut (see pieces.py) and the library's model merges each different
+    word once; pieces that hold the string of an added token go to the tokenizer as they are. Any other tokenizer gets whole texts.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]]):
-        self.encode, self.known = encode, {}
-        self.line_feed = self.encode("\n")
-        if len(self.line_feed) != 1:
-            raise ValueError("the tokenizer has no token for a line feed")
-
-    def lines(self, pieces: list[str]) -> list[bytes]:
-        ids = np.array(self.encode("\n".join(pieces)), "<u4")
-        ends = [*np.flatnonzero(ids == self.line_feed[0]).tolist(), len(ids)]
-        if len(ends) != len(pieces):
-            raise ValueError("the tokenizer joins characters across line feeds")
-        data = ids.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], ends)]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        self.known["\n"] = np.array(self.line_feed, "<u4").tobytes()
-        cuts = [cut(t, self.known) for t in texts]
-        new = list(set().union(*(new for _, new, regular in cuts if regular)))
-        if new:
-            self.known.update(zip(new, self.lines(new)))
-        out = []
-        for found, rest, regular in cuts:
-            if regular:
-                out.append(b"".join([self.known[p] for p in found]))
-            else:
-                odd = {p: np.array(self.encode(p), "<u4").tobytes() for p in rest}
-                out.append(b"".join([odd[p] if p in odd else self.known[p] for p in found]))
-        return [np.frombuffer(x, "<u4") for x in out]
-
-
-_encoders: dict[int, PieceEncoder] = {}
-
-
-def library_encoder(tokenizer_json: str) -> PieceEncoder:
-    """One encoder for each worker and tokenizer; special tokens' strings in a text are ordinary text."""
-    key = hash(tokenizer_json)
-    if key not in _encoders:
+    def __init__(self, tokenizer_json: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(tokenizer_json)
-        tokenizer.encode_special_tokens = True
-        _encoders[key] = PieceEncoder(lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
-    return _encoders[key]
+        spec = json.loads(tokenizer_json)
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.model, self.characters = self.tokenizer.model, visible_bytes()
+        self.findall = regex.compile(PATTERN).findall
+        pre, model, added = spec["pre_tokenizer"] or {}, spec["model"], spec["added_tokens"]
+        self.added = [a["content"] for a in added]
+        self.by_words = (
+            spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+            and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+            and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["content"].split() != [a["content"]] for a in added)
+        )
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def word(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.characters))]
+
+    def __call__(self, texts: pa.Array) -> tuple[Lists, Cut]:
+        """Ids of the different pieces, and where the texts have them."""
+        found = cut(texts, not self.by_words)
+        if not self.by_words:
+            coded = [self.whole(p) for p in found.pieces]
+            return lists_of(coded), found
+        words, numbers, counts = words_of(found.pieces, self.findall)
+        ids = lists_of([self.word(w) for w in words]).joined(numbers, counts)
+        odd = {k: self.whole(p) for k, p in enumerate(found.pieces) if any(a in p for a in self.added)} if self.added else {}
+        if odd:
+            ids = lists_of([odd[k] if k in odd else ids.values[ids.offsets[k] : ids.offsets[k + 1]] for k in range(len(found.pieces))])
+        return ids, found
+
+
+def lists_of(coded: list) -> Lists:
+    return Lists.of(np.fromiter(map(len, coded), np.int64, len(coded)), np.fromiter(itertools.chain.from_iterable(coded), "<u4"))
 
 
 def segments(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,30 +178,35 @@ def segments(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str = "d
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = library_encoder(shared.value)
-        ids, parts, total, seq = [], [], 0, 0
+        encode = LibraryEncoder(shared.value)
+        ids, parts, total, seq, written = [], [], 0, 0, 0
         part = TaskContext.get().partitionId()
+        end = np.array([end_id], "<u4")
 
         def flush() -> pa.RecordBatch:
-            ends = np.cumsum([len(p) for p in parts])
-            data = write_segment(ids, np.concatenate(parts), ends)
-            return pa.RecordBatch.from_pydict({"first_id": pa.array([ids[0]], pa.int64()), "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_tokens": pa.array([total], pa.int64()), "segment": pa.array([data], pa.binary())})
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                for i, tokens in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
-                    ids.append(i)
-                    parts.append(np.append(tokens, np.uint32(end_id)))
-                    total += len(parts[-1])
+            tokens = np.concatenate(parts)
+            ends = np.cumsum([len(p) + 1 for p in parts[::2]])
+            data = write_segment(ids, tokens, ends)
+            return pa.RecordBatch.from_pydict({"first_id": pa.array([ids[0]], pa.int64()), "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "part_start": pa.array([written], pa.int64()), "n_tokens": pa.array([total], pa.int64()), "segment": pa.array([data], pa.binary())})
+
+        for block in blocks(batches):
+            coded, found = encode(block.column(1))
+            doc_ids, at = block.column(0).to_pylist(), np.concatenate([[0], np.cumsum(found.counts)])
+            for a, b in spans(found.counts, 1 << 19):
+                some = coded.joined(found.numbers[at[a] : at[b]], found.counts[a:b])
+                for k in range(a, b):
+                    ids.append(doc_ids[k])
+                    parts += [some.values[some.offsets[k - a] : some.offsets[k - a + 1]], end]
+                    total += len(parts[-2]) + 1
                     if total >= SEGMENT_TOKENS:
                         yield flush()
+                        written += total
                         ids, parts, total, seq = [], [], 0, seq + 1
         if ids:
             yield flush()
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs, text_col).alias("text"))
-    return rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, "first_id long, part int, seq int, n_tokens long, segment binary")
+    return rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, "first_id long, part int, seq int, part_start long, n_tokens long, segment binary")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -206,26 +214,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, i
 
 
 def read_tokens(spark, path: str, digest: Callable[[np.ndarray], int] = lambda ids: zlib.crc32(ids.tobytes())) -> DataFrame:
-    """id, start, n_tokens and digest (of the ids as little-endian unsigned 32-bit integers) of every document of a segment table."""
+    """id, start, n_tokens and digest (of the ids as little-endian unsigned 32-bit integers) of every document of a segment table.
+
+    Starts are sums of two levels: a segment knows the tokens before it in its part; the window runs over the parts, of which
+    each writing task made one.
+    """
     files = spark.read.parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, seq, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for part, base, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 ids, ends, levels = read_segment(data.as_py())
                 tokens, ends = unpack(levels), ends.astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 found = [digest(tokens[a:b]) for a, b in zip(starts, ends)]
-                n = len(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(ids, pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(found, pa.int64())], names=["part", "seq", "id", "inner", "n_tokens", "digest"]
+                    [pa.array([part] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(base + starts), pa.array(ends - starts), pa.array(found, pa.int64())], names=["part", "id", "inner", "n_tokens", "digest"]
                 )
 
-    documents = files.select("part", "seq", "segment").mapInArrow(run, "part int, seq int, id long, inner long, n_tokens long, digest long")
-    # one short row for each segment of a million tokens
-    order = W.orderBy(F.col("first_id").asc_nulls_first(), "part", "seq").rowsBetween(W.unboundedPreceding, -1)
-    bases = files.select("part", "seq", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).cast("long").alias("base"))
-    return documents.join(bases, ["part", "seq"]).select("id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "digest")
+    documents = files.select("part", "part_start", "segment").mapInArrow(run, "part int, id long, inner long, n_tokens long, digest long")
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))
+    return documents.join(parts, "part").select("id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "digest")
 
 
 def segment_path(spark) -> str:

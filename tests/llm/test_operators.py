@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and its special cases."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -12,8 +13,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, chat, counting, exactdedup, mixing, quality, queries, simhash, tokenfile, vptree, warc
-from marquee.llm.common import table
+from marquee.llm import bpe, chat, counting, exactdedup, mixing, pieces, quality, queries, simhash, tokenfile, vptree, warc
+from marquee.llm.common import materialise, table
 
 RANKS = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -58,6 +59,28 @@ def slow_components(pairs, distance):
     return {(i, f): low.get(find(f)) for i, f in pairs}
 
 
+def shingles(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 5 + 1))}
+
+
+def slow_classes(text):
+    """The smallest id of each class of texts (by id) that pairs of the wanted similarity connect."""
+    parts = {i: shingles(t) for i, t in text.items()}
+    root = {i: i for i in text}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(text), 2):
+        if len(parts[a] & parts[b]) * 5 >= 4 * len(parts[a] | parts[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {find(i) for i in text}
+
+
 def test_simhash_matches_brute_force(spark, sf):
     docs = table(spark, sf, "documents")
     want = slow_components([(i, slow_fingerprint(t, 4)) for i, t in texts_of(docs)], 4)
@@ -71,34 +94,10 @@ def test_simhash_special_cases(odd_docs, no_docs):
     assert Counter((r.id, r.fp % (1 << 64), r.component) for r in got) == Counter((i, f, slow_components(pairs, 4)[i, f]) for i, f in pairs)
     assert simhash.near_duplicates(no_docs).count() == 0
     assert simhash.deduplicated(odd_docs).columns == odd_docs.columns
-    signed = [(k, int.from_bytes(simhash.signature_of(t, 5, simhash.SIMILAR_LANES, True).tobytes(), "little")) for k, (_, t) in enumerate(texts_of(odd_docs))]
-    assert simhash.deduplicated(odd_docs).count() == len(set(slow_components(signed, simhash.similar_bits(0.8)).values()))
+    assert simhash.deduplicated(odd_docs).count() == len(slow_classes(dict(enumerate(t for _, t in texts_of(odd_docs)))))
     assert simhash.deduplicated(no_docs).count() == 0
 
 
-def test_similar_blocks_are_cut_and_carried_over_batches():
-    """Blocks that span batches; each pair of a block within the limit ends in one class."""
-    import numpy as np
-    import pyarrow as pa
-
-    block = np.repeat(np.arange(3), [5, 1, 7])
-    fp = np.array([0, 1, 3, 1 << 40, 7, 9, 0, 0xFF, 0xFE, 0xF0, 1, 2, 0xFFFF0000])
-    other = np.zeros(13, np.int64)
-    for size in (1, 4, 13):
-        batches = [pa.RecordBatch.from_arrays([pa.array(x[at : at + size]) for x in (block, fp, other)], names=["block", "fp", "fp1"]) for at in range(0, 13, size)]
-        found = {frozenset(p) for b in simhash.verified_alike(iter(batches), 1) for p in zip(b["a"].to_pylist(), b["b"].to_pylist())}
-        for k in range(3):
-            here = fp[block == k].tolist()
-            want = slow_components([(x, x) for x in here], 1)
-            inside = [p for p in found if p <= set(here)]
-            root = {x: x for x in here}
-            for _ in here:
-                for p in inside:
-                    low = min(root[x] for x in p)
-                    root |= {x: low for x in p}
-            assert all(root[x] == want[x, x] for x in here)
-
-
 def test_simhash_dense_clusters(spark):
     """A ball of fingerprints with many links, chains and far ones; small blocks force splitting."""
     rng = np.random.default_rng(3)
@@ -125,8 +124,8 @@ def test_tokenfile_round_trip(spark, sf, odd_docs, no_docs, tmp_path):
 
     source = open(public_tokenizers.path("byte_bpe_50k.json")).read()
     library = Tokenizer.from_str(source)
-    library.encode_special_tokens = True
-    for n, docs in enumerate((table(spark, sf, "documents"), odd_docs, no_docs)):
+    marked = spark.createDataFrame([(k, t) for k, t in enumerate(["<|endoftext|>", "a <|endoftext|>  b", "x<|endoftext|><|endoftext|>y\n", "<|endoftext", " <|endoftext|> ", "\x1c \x85 a\xa0 b"])], "doc_id long, text string")
+    for n, docs in enumerate((table(spark, sf, "documents"), odd_docs, no_docs, marked)):
         tokenfile.write_tokens(docs, str(tmp_path / str(n)), source, 2)
         got = sorted(((r.id is not None, r.id or 0, r.start, r.n_tokens, r.digest) for r in tokenfile.read_tokens(spark, str(tmp_path / str(n))).collect()))
         want, start = [], 0
@@ -198,6 +197,15 @@ def test_exact_dedup_special_cases(odd_docs, no_docs):
     assert exactdedup.exact_dedup(no_docs).count() == 0 and exactdedup.deduplicated(no_docs).count() == 0
 
 
+def test_rows_exploded_from_files_stay_apart(spark, odd_docs, tmp_path):
+    """Rows made from one row of a file share its place; each copy but one goes all the same."""
+    odd_docs.write.parquet(str(tmp_path / "d"))
+    exploded = spark.read.parquet(str(tmp_path / "d")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3)))).drop("n")
+    assert exactdedup.deduplicated(exploded).count() == exactdedup.deduplicated(odd_docs).count()
+    assert simhash.deduplicated(exploded).count() == simhash.deduplicated(odd_docs).count()
+    assert exactdedup.deduplicated(spark.read.parquet(str(tmp_path / "d")), from_files=True).count() == exactdedup.deduplicated(odd_docs).count()
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -264,16 +272,58 @@ def test_bpe_many_blocks(spark, sf):
     """Blocks that end inside an Arrow batch."""
     ranks, docs = RANKS, table(spark, sf, "documents")
     want = Counter((r.id, tuple(r.ids)) for r in bpe.encode(docs, ranks, public_tokenizers.PATTERN).collect())
-    source = docs.select(F.col("doc_id").alias("id"), "text").coalesce(1)
+    source = docs.select(F.col("doc_id").alias("id"), F.lit("r").alias("row_no"), "text").coalesce(1)
 
     def blocks(batches):
-        bpe.BLOCK_CHARS = 20_000
+        pieces.BLOCK_BYTES = 20_000
         parts = (b.slice(at, 5) for b in batches for at in range(0, b.num_rows, 5))
         yield from bpe._blocks(parts, public_tokenizers.PATTERN, ranks)
 
-    coded = source.mapInArrow(blocks, "words array<string>, bytes array<array<int>>, id long, text string, last boolean")
-    coded = coded.select("words", bpe.encoded_words(F.col("bytes"), ranks).alias("ids"), "id", "text", "last")
-    assert Counter((r.id, tuple(r.ids)) for r in coded.mapInArrow(lambda b: bpe._joined(b, public_tokenizers.PATTERN, ranks), "id long, ids array<int>").collect()) == want
+    coded = source.mapInArrow(blocks, bpe.ROWS).select("kind", bpe.encoded_words(F.col("words"), ranks).alias("ids"), "flat", "id", "row_no")
+    assert Counter((r.id, tuple(r.ids)) for r in coded.mapInArrow(bpe._joined, "id long, row_no string, ids array<int>").where("row_no = 'r'").collect()) == want
+
+
+def test_pieces_encode_alone_as_in_their_text():
+    """Texts of all kinds of white space, control characters and letters; other patterns get whole texts."""
+    import random
+
+    import pyarrow as pa
+    import regex
+    import tiktoken
+
+    library = tiktoken.Encoding("x", pat_str=pieces.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    rng = random.Random(1)
+    atoms = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u3000", "\u2009", "\u1680", "\u2028", "\u202f", "\u205f", "\u180e", "\u200b", "a", "é", "à", "日本", "'s", "12", "!", "?!", "\0", "xxx", "🙂", "٣"]
+    texts = ["".join(rng.choices(atoms, k=rng.randrange(0, 30))) for _ in range(5000)]
+    found = pieces.cut(pa.array(texts))
+    words, numbers, counts = pieces.words_of(found.pieces, regex.compile(pieces.PATTERN).findall)
+    ids = tokenfile.lists_of([library.encode_ordinary(w) for w in words]).joined(numbers, counts).joined(found.numbers, found.counts)
+    assert [ids.values[a:b].tolist() for a, b in zip(ids.offsets, ids.offsets[1:])] == [library.encode_ordinary(t) for t in texts]
+    assert pieces.cut(pa.array(texts[:50]), whole=True).counts.tolist() == [bool(t) for t in texts[:50]]
+
+
+def test_bpe_other_pattern(spark, odd_docs):
+    """A pattern that joins words over a space."""
+    import tiktoken
+
+    pattern = r"(?s)[^y]+|y"
+    library = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=RANKS, special_tokens={})
+    docs = odd_docs.where("length(text) < 1000 or text is null")
+    got = Counter((r.id, tuple(r.ids)) for r in bpe.encode(docs, RANKS, pattern).collect())
+    assert got == Counter((i, tuple(library.encode_ordinary(t))) for i, t in texts_of(docs))
+    with pytest.raises(ValueError):
+        bpe.encode(docs, {b"a": 1 << 17}, pattern)
+
+
+def test_bpe_query(spark, sf):
+    import tiktoken
+
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    want = {}
+    for i, t in texts_of(table(spark, sf, "documents")):
+        ids = library.encode_ordinary(t)
+        want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op6_bpe(spark, sf).collect()} == want
 
 
 def test_bpe_fold_alone(spark):
@@ -292,36 +342,59 @@ def test_bpe_fold_alone(spark):
 
 
 def test_recount_equals_full_count(spark, sf, odd_docs, no_docs):
+    """Two rounds of edits over kept trees."""
     import tiktoken
 
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = np.random.default_rng(11)
-    inserts = ["", " ", "\n", "  ", "x", " word", "\n\n\t", "é!! 12", "long insertion of several words. \n And more", "'s"]
-    data = []
-    for i, t in texts_of(table(spark, sf, "documents").limit(120)) + texts_of(odd_docs):
-        edits = [(int(rng.integers(0, len(t) + 5)), int(rng.integers(0, 60)) * int(rng.integers(0, 2)), inserts[int(rng.integers(len(inserts)))]) for _ in range(int(rng.integers(0, 12)))]
-        data.append((i, t, [*edits, None, (None, None, None)] if rng.integers(2) else edits or None))
-    df = spark.createDataFrame(data, f"doc_id long, text string, edits {counting.EDITS}").repartition(3)
-    want = Counter()
-    for i, t, edits in data:
-        before = len(library.encode_ordinary(t))
-        for e in edits or []:
-            if e is not None:
-                at = min(max(0, e[0] or 0), len(t))
-                t = t[:at] + (e[2] or "") + t[at + (e[1] or 0) :]
-        want[i, before, len(library.encode_ordinary(t)), len(t), t] += 1
-    got = counting.recount(df, ranks, public_tokenizers.PATTERN).collect()
-    assert Counter((r.id, r.tokens_before, r.tokens_after, r.chars_after, r.text_after) for r in got) == want
-    assert all(r.tree[0] == r.tokens_after == sum(r.tree[r.n_leaves - 1 :]) for r in got)
-    assert counting.recount(no_docs.withColumn("edits", F.lit(None)), ranks, public_tokenizers.PATTERN).count() == 0
+    inserts = ["", " ", "\n", "  ", "x", " word", "\n\n\t", "é!! 12", "long insertion of several words. \n And more", "'s", "\u3000", " a b c d" * 40]
+    texts = texts_of(table(spark, sf, "documents").limit(120)) + texts_of(odd_docs)
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string").repartition(3)
+    trees, now = counting.count(docs, ranks, public_tokenizers.PATTERN), {k: t for k, (_, t) in enumerate(texts)}
+    for _ in range(2):
+        data, before = [], dict(now)
+        for k, t in now.items():
+            edits = [(int(rng.integers(0, len(t) + 5)), int(rng.integers(0, 60)) * int(rng.integers(0, 2)), inserts[int(rng.integers(len(inserts)))]) for _ in range(int(rng.integers(0, 12)))]
+            data.append((k, [*edits, None, (None, None, None)] if rng.integers(2) else edits or None))
+            for at, removed, inserted in edits:
+                at = min(at, len(t))
+                t = t[:at] + inserted + t[at + removed :]
+            now[k] = t
+        trees = materialise(counting.recount(trees.join(spark.createDataFrame(data, f"id long, edits {counting.EDITS}"), "id"), ranks, public_tokenizers.PATTERN), "trees")
+        got = {r.id: r for r in trees.collect()}
+        count = lambda t: len(library.encode_ordinary(t))
+        assert {k: (r.tokens_before, r.n_tokens, r.text) for k, r in got.items()} == {k: (count(before[k]), count(t), t) for k, t in now.items()}
+        assert all(sum(r.leaf_tokens) == r.n_tokens and sum(r.leaf_chars) == len(r.text) for r in got.values())
+    assert counting.count(no_docs, ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_counting_query(spark, sf):
+    import tiktoken
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for i, t in texts_of(table(spark, sf, "documents")):
+        before, n = len(library.encode_ordinary(t)), len(t)
+        for at, removed, inserted in ((n // 2, 0, " revised\n 2024"), (n // 3, 7, ""), (n - 1, 3, " end. ")):
+            at = min(max(at, 0), len(t))
+            t = t[:at] + inserted + t[at + removed :]
+        want[i] = (before, len(library.encode_ordinary(t)), len(t))
+    assert {r.doc_id: (r.tokens_before, r.tokens_after, r.chars_after) for r in queries.op7_counting(spark, sf).collect()} == want
 
 
 def test_recount_is_local(spark):
+    """One edit of a long text, and 200 insertions at one place: leaves that grow are dealt anew."""
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    df = spark.createDataFrame([(1, "some plain words here " * 20_000, [(200_000, 3, "new")])], f"doc_id long, text string, edits {counting.EDITS}")
-    r = counting.recount(df, ranks, public_tokenizers.PATTERN).first()
-    assert 0 < r.encoded_chars < 2_000 < r.chars_after
+    docs = spark.createDataFrame([(1, "some plain words here " * 20_000)], "doc_id long, text string")
+    trees = counting.count(docs, ranks, public_tokenizers.PATTERN)
+    one = F.lit("[{\"at\":200000,\"removed\":3,\"inserted\":\"new\"}]")
+    r = counting.recount(trees.withColumn("edits", F.from_json(one, counting.EDITS)), ranks, public_tokenizers.PATTERN).first()
+    assert 0 < r.encoded_chars < 2_000 < len(r.text)
+    many = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda k: F.struct((k * 15 + 7).alias("at"), F.lit(0).alias("removed"), F.lit(" inserted words").alias("inserted")))
+    r = counting.recount(trees.withColumn("edits", many), ranks, public_tokenizers.PATTERN).first()
+    assert r.encoded_chars < 200 * 1_000 and r.n_tokens == sum(r.leaf_tokens)
 
 
 # ---------------------------------------------------------------- 8
