@@ -134,14 +134,18 @@ class Lists:
 def words_of(pieces: list[str], findall: Callable[[str], list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Different words (matches of the pattern) of pieces, the word numbers of all pieces in order, and how many words each piece has.
 
-    Letters, with or without one space before them, are one word, which needs no search.
+    Letters, with or without one space before them, are one word, and a mark behind them another; these need no search.
     """
     known: dict[str, int] = {}
     numbers: list[int] = []
     counts = np.ones(len(pieces), np.int64)
     for k, p in enumerate(pieces):
-        if (p[1:] if p[0] == " " else p).isalpha():
+        body = p[1:] if p[0] == " " else p
+        if body.isalpha():
             numbers.append(known.setdefault(p, len(known)))
+        elif p[-1] in ".,;:!?" and body[:-1].isalpha():
+            counts[k] = 2
+            numbers += (known.setdefault(p[:-1], len(known)), known.setdefault(p[-1], len(known)))
         else:
             found = findall(p)
             counts[k] = len(found)

@@ -336,44 +336,80 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def mixed_bits(x: np.ndarray) -> np.ndarray:
-    for _ in range(2):
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+_PART = 1 << 16
+_POWERS = np.cumprod(np.full(_PART, _BASE, np.uint64))
+_INVERSES = np.cumprod(np.full(_PART, _INVERSE, np.uint64))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text (between ASCII white space, A-Z lower-cased), in order: polynomials over the bytes, from running sums."""
-    out = []
+def stirred(x: np.ndarray) -> np.ndarray:
+    """x (overwritten) with its high bits spread over all."""
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes and places of the words of a text (between ASCII white space, A-Z lower-cased): polynomials over the bytes, from running sums."""
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     bytes_ = _LOWER[np.frombuffer(data, np.uint8)]
     space = _SPACE[bytes_]
     at = 0
     while at < len(bytes_):
-        to = min(len(bytes_), at + (1 << 16))
-        if to < len(bytes_):  # a part ends at white space, or with the word that it would cut
-            more = np.flatnonzero(space[to:])
-            to = to + int(more[0]) if len(more) else len(bytes_)
+        to = min(len(bytes_), at + _PART)
+        if to < len(bytes_):  # a part ends at its last white space; a longer word is a part of its own
+            gap = np.flatnonzero(space[at:to])
+            if len(gap):
+                to = at + int(gap[-1]) + 1
+            else:
+                more = np.flatnonzero(space[to:])
+                to = to + int(more[0]) if len(more) else len(bytes_)
         here, gaps = bytes_[at:to], np.concatenate([[True], space[at:to], [True]])
         starts, ends = np.flatnonzero(gaps[:-1] & ~gaps[1:]), np.flatnonzero(~gaps[:-1] & gaps[1:])
         if len(starts):
-            powers = np.cumprod(np.full(len(here), _BASE, np.uint64))
-            inverse = np.cumprod(np.full(len(here), _INVERSE, np.uint64))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[here] * powers)])
-            out.append(mixed_bits((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)))
+            powers, inverses = _POWERS, _INVERSES
+            if len(here) > _PART:
+                powers, inverses = (np.cumprod(np.full(len(here), x, np.uint64)) for x in (_BASE, _INVERSE))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[here] * powers[: len(here)])])
+            hashes.append(stirred((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64)))
+            places.append(starts + at)
         at = to
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(hashes), np.concatenate(places)
 
 
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """The different word shingles of a text as ascending 64-bit hashes; a text of fewer words has one of all of them, one without words none."""
-    found = word_hashes(text.encode("utf-8", "surrogatepass"))
-    if not len(found):
-        return found
-    n = max(1, len(found) - words + 1)
+def shingle_hashes_of(found: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of every `words` neighbouring word hashes."""
+    n = len(found) - words + 1
     total = np.zeros(n, np.uint64)
-    for k in range(min(words, len(found))):
-        total = mixed_bits(total + found[k : k + n])
-    return np.unique(total)
+    for k in range(words):
+        total += found[k : k + n]
+        stirred(total)
+    return stirred(total)
+
+
+def sets_of_texts(texts: list[str], words: int, size: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The different word shingles of each text as ascending 64-bit hashes; a text of fewer words has one of all of them, one without words none.
+
+    Texts of about `size` bytes together are hashed at once.
+    """
+    coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.cumsum([len(c) + 1 for c in coded])
+    at = 0
+    while at < len(coded):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        hashes, places = word_hashes(b"\n".join(coded[at:to]))
+        bounds = np.searchsorted(places, ends[at:to] - (ends[at - 1] if at else 0)).tolist()
+        every = shingle_hashes_of(hashes, words) if len(hashes) >= words else None
+        for a, b in zip([0, *bounds], bounds):
+            if b - a >= words:
+                yield np.unique(every[a : b - words + 1])
+            else:
+                yield shingle_hashes_of(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64)
+        at = to
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    return next(sets_of_texts([text], words))
 
 
 def digest_of(hashes: np.ndarray) -> int:
@@ -391,8 +427,8 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], names=["shingle"])
+            for found in sets_of_texts(batch.column(0).to_pylist(), words):
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
 
     share = min(1.0, SAMPLE_ROWS / max(1, texts.count()))
     counted = texts.select("text").sample(share, seed=7).mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_FROM)
@@ -430,7 +466,7 @@ def shingle_sets(texts: DataFrame, words: int, similarity: float, order: tuple[n
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                sets = [shingle_set(t, words) for t in batch.column(2).to_pylist()]
+                sets = list(sets_of_texts(batch.column(2).to_pylist(), words))
                 fps = np.array([fingerprint_from(h) for h in sets], np.uint64).view(np.int64)
                 nodes = np.array([digest_of(h) for h in sets], np.int64)
                 prefixes = [prefix_of(h, similarity, shared.value) for h in sets]
@@ -585,7 +621,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, simi
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                found = [np.sort(shingle_set(t, words).view(np.int64)) for t in batch.column(4).to_pylist()]
+                found = [np.sort(h.view(np.int64)) for h in sets_of_texts(batch.column(4).to_pylist(), words)]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["hub", "slice", "member", "node", "shingles"])
 
