@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 #: Strings that chat templates use for control; all are escaped inside texts.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 START, END = "<|im_start|>", "<|im_end|>"
-TURN = r"(?s)<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*?)<\|im_end\|>\n"
+#: Possessive, so that long roles need no deep stack.
+TURN = r"(?s)<\|im_start\|>((?:[^\\\n]++|\\.)*+)\n(.*?)<\|im_end\|>\n"
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -53,7 +54,7 @@ class Layout:
         return hashlib.md5("\n".join(self.paths).encode()).hexdigest()
 
 
-#: The registry. Roles of list layouts are mapped by ROLES where another word is used.
+#: The registry.
 LAYOUTS = (
     Layout("prompt", (("user", "prompt"), ("assistant", "completion")), required=("prompt", "completion")),
     Layout("response", (("user", "prompt"), ("assistant", "response")), required=("prompt", "response")),
@@ -64,36 +65,25 @@ LAYOUTS = (
     Layout("conversations", items=("conversations", "from", "value")),
     Layout("turns", items=("turns", "role", "text")),
 )
+#: Other words for roles, for callers that want one vocabulary.
 ROLES = {"human": "user", "gpt": "assistant"}
 
 
-def field_paths(record: Column) -> Column:
-    """Sorted nested field paths of a JSON object; null if it is none. A string has none below it, whatever it looks like."""
-    as_map = lambda v: F.try_variant_get(v, "$", "map<string,variant>")  # noqa: E731  null unless v is an object
-    none = F.array().cast("array<string>")
-    fields = as_map(F.try_parse_json(record))
+#: A JSON string; group 1 is its content if it is a key. What stands in other strings must not count as structure.
+STRING = r'(?s)"(?:((?:[^"\\]++|\\.)*+)(?="\s*+:)|(?:[^"\\]++|\\.)*+)"'
+#: Texts may be of any length.
+JSON = {"maxStringLen": str((1 << 31) - 1)}
 
-    def below(key: Column) -> Column:
-        value = fields[key]
-        items = F.try_variant_get(value, "$", "array<variant>")
-        regular = F.forall(items, lambda v: F.is_variant_null(v) | as_map(v).isNotNull())
-        listed = F.flatten(F.transform(items, lambda v: F.coalesce(F.map_keys(as_map(v)), none)))
-        inner = F.coalesce(F.when(items.isNotNull(), F.when(regular, listed)).otherwise(F.map_keys(as_map(value))), none)
-        mark = F.when(items.isNotNull(), F.lit("[].")).otherwise(F.lit("."))
-        return F.concat(F.array(key), F.transform(F.array_distinct(inner), lambda k: F.concat(key, mark, k)))
 
-    typed = F.array_sort(F.array_distinct(F.flatten(F.transform(F.map_keys(fields), below))))
-    return F.coalesce(typed, _paths_by_look(record))
-
-
-def _paths_by_look(record: Column) -> Column:
-    """field_paths() of a record that no variant can hold, such as one with a repeated key: a value is nested if it looks so."""
-    fields = F.from_json(record, "map<string,string>")
+def field_paths(record: Column) -> Column:
+    """Sorted nested field paths of a JSON object; null if it is none. A string has none below it, whatever it looks like: all are emptied first."""
+    fields = F.from_json(F.regexp_replace(record, STRING, '"$1"'), "map<string,string>", JSON)
+    none = F.array().cast("array<string>")
 
     def below(key: Column) -> Column:
         value = fields[key]
-        objects = F.when(value.startswith("["), F.from_json(value, "array<map<string,string>>")).when(value.startswith("{"), F.array(F.from_json(value, "map<string,string>")))
-        inner = F.flatten(F.transform(F.coalesce(objects, F.array().cast("array<map<string,string>>")), lambda o: F.coalesce(F.map_keys(o), F.array().cast("array<string>"))))
+        objects = F.when(value.startswith("["), F.from_json(value, "array<map<string,string>>", JSON)).when(value.startswith("{"), F.array(F.from_json(value, "map<string,string>", JSON)))
+        inner = F.flatten(F.transform(F.coalesce(objects, F.array().cast("array<map<string,string>>")), lambda o: F.coalesce(F.map_keys(o), none)))
         mark = F.when(value.startswith("["), F.lit("[].")).otherwise(F.lit("."))
         return F.concat(F.array(key), F.transform(F.array_distinct(inner), lambda k: F.concat(key, mark, k)))
 
@@ -104,26 +94,27 @@ def fingerprint(record: Column) -> Column:
     return F.md5(F.array_join(field_paths(record), "\n"))
 
 
-def _mapped(layout: Layout, record: Column) -> Column:
+def _mapped(layout: Layout, record: Column, roles: dict[str, str]) -> Column:
     none = F.lit(None).cast("struct<role:string,text:string>")
     if layout.items:
         array, role, text = layout.items
-        rows = F.from_json(record, f"struct<`{array}`:array<struct<`{role}`:string,`{text}`:string>>>")[array]
-        known = lambda r: F.coalesce(F.coalesce(*[F.when(r == k, v) for k, v in ROLES.items()]), r, F.lit(""))
+        rows = F.from_json(record, f"struct<`{array}`:array<struct<`{role}`:string,`{text}`:string>>>", JSON)[array]
+        known = lambda r: F.coalesce(*[F.when(r == k, v) for k, v in roles.items()], r, F.lit(""))
         return F.transform(rows, lambda t: F.struct(known(t[role]).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
-    fields = F.from_json(record, "struct<" + ",".join(f"`{p}`:string" for p in layout.paths) + ">")
+    fields = F.from_json(record, "struct<" + ",".join(f"`{p}`:string" for p in layout.paths) + ">", JSON)
     turns = [F.when(fields[p].isNotNull() | F.lit(p in layout.required), F.struct(F.lit(r).alias("role"), F.coalesce(fields[p], F.lit("")).alias("text"))).otherwise(none) for r, p in layout.fields]
     return F.filter(F.array(*turns), lambda t: t.isNotNull())
 
 
-def canonical(records: DataFrame, record_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """records with schema_fingerprint, layout and turns instead of the record."""
+def canonical(records: DataFrame, record_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS, roles: dict[str, str] | None = None) -> DataFrame:
+    """records with schema_fingerprint, layout and turns instead of the record. Roles of list layouts stay as they are, but for
+    those that `roles` maps to another word, such as ROLES."""
     found = records.withColumn("schema_fingerprint", fingerprint(F.col(record_col)))
     name, turns = F.lit("unknown"), F.array().cast(TURNS)
     for layout in layouts:
         here = F.col("schema_fingerprint") == layout.fingerprint
         name = F.when(here, layout.name).otherwise(name)
-        turns = F.when(here, _mapped(layout, F.col(record_col)).cast(TURNS)).otherwise(turns)
+        turns = F.when(here, _mapped(layout, F.col(record_col), roles or {}).cast(TURNS)).otherwise(turns)
     return found.withColumn("layout", name).withColumn("turns", F.coalesce(turns, F.array().cast(TURNS))).drop(record_col)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marquee.llm import chat, warc
+from marquee.llm import chat
 
 OP4 = r"""
 WITH t AS (
@@ -50,11 +50,15 @@ FROM used
 
 
 def _entities(x: str) -> str:
-    for entity, char in warc.ENTITIES:
-        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    """The named entities that pages of the tables hold; those by number are covered by tests."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
     return x
 
 
+#: Comments, scripts, styles and heads; tags that end a line.
+_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
+_BREAKS = r"(?i)</?(p|div|br|h1|h2|h3|h4|h5|h6|li|ul|ol|tr|table|article|section|nav|header|footer|blockquote|pre|hr)\b[^>]*>"
 _CRLF = "chr(13) || chr(10)"
 OP3 = rf"""
 WITH base AS (
@@ -66,13 +70,14 @@ WITH base AS (
 ), idd AS (
   SELECT *, '<urn:uuid:' || md5(nm)[1:8] || '-' || md5(nm)[9:12] || '-' || md5(nm)[13:16] || '-' || md5(nm)[17:20] || '-' || md5(nm)[21:32] || '>' AS rid FROM named
 ), txt AS (
-  SELECT *, {_entities(f"regexp_replace(regexp_replace(regexp_replace(html, '{warc.HIDDEN}', ' ', 'g'), '{warc.BREAKS}', chr(10), 'g'), '{warc.TAGS}', '', 'g')")} AS t0 FROM idd
+  SELECT *, {_entities(f"regexp_replace(regexp_replace(regexp_replace(html, '{_HIDDEN}', ' ', 'g'), '{_BREAKS}', chr(10), 'g'), '<[^>]*>', '', 'g')")} AS t0 FROM idd
 ), pairs AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS ct,
-         'http-status: HTTP/1.1 200 OK' || {_CRLF} || 'http-content-length: ' || strlen(html) || {_CRLF} || 'http-content-type: text/html; charset=utf-8' || {_CRLF} AS block FROM txt
+         'http-status: HTTP/1.1 200 OK' || {_CRLF} || 'http-content-type: text/html; charset=utf-8' || {_CRLF} || 'http-content-length: ' || strlen(html) || {_CRLF}
+         || 'source-warc-block-digest: sha256:' || sha256('HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: ' || strlen(html) || {_CRLF} || {_CRLF} || html) || {_CRLF} AS block FROM txt
   UNION ALL
   SELECT *, 'conversion', 'text/plain; charset=utf-8',
-         regexp_replace(regexp_replace(regexp_replace(t0, '{warc.BLANKS}', ' ', 'g'), '{warc.EDGES}', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') FROM txt
+         regexp_replace(regexp_replace(regexp_replace(t0, '[ \t\r\f\v]+', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') FROM txt
 ), made AS (
   SELECT *, record_type || '|' || rid AS nm2, 'sha256:' || sha256(block) AS bd FROM pairs
 ), linked AS (
@@ -89,7 +94,7 @@ FROM linked
 OP8 = """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 )
 , s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score

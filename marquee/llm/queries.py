@@ -63,8 +63,7 @@ def op7_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    dim = vectors.where("embedding is not null").select(F.max(F.size("embedding"))).first()[0] or 0
-    found = vptree.nearest(vectors, vectors.where("vec_id % 50 = 0"), dim=dim, k=5)
+    found = vptree.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 

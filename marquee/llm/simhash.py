@@ -25,7 +25,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import HOT, discard, join_counted, keep_rows, materialise, text_or_empty, with_row_ids
@@ -36,6 +36,8 @@ BLOCK_ROWS = 4096
 #: Cost of sending one probe, in candidate comparisons.
 PROBE_COST = 32.0
 MAX_RADIUS = 2
+#: Parities that tell most unlike sets apart; meeting places of more sets than FEW compare them at once.
+SKETCH_BITS, FEW = 1024, 8
 #: Texts whose shingles are counted to order all shingles by frequency; a shingle of so many of them is common; how many are kept.
 SAMPLE_ROWS, COMMON_FROM, COMMON_MOST = 10_000, 3, 100_000
 
@@ -457,8 +459,23 @@ def prefix_of(hashes: np.ndarray, similarity: float, order: tuple[np.ndarray, np
     return hashes[np.argsort(frequency_of(hashes, order), kind="stable")][: first if len(hashes) else 0]
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """SKETCH_BITS parities: each shingle flips one. Two sketches differ in no more bits than their sets differ in shingles."""
+    return np.packbits(np.bincount((hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+
+
+def sketches(column: pa.Array) -> np.ndarray:
+    """One row of longs for each sketch."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+
+
+def far_apart(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, s: Fraction) -> np.ndarray:
+    """Whether sets of sizes n and m with these sketches differ in more shingles than similar sets may: (1 - s) / (1 + s) of the sum of sizes."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (s.denominator + s.numerator) > (n + m) * (s.denominator - s.numerator)
+
+
 def shingle_sets(texts: DataFrame, words: int, similarity: float, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """One row for each different shingle set of texts (row_no, id, text): node (its digest), fp, n (its size), prefix (see prefix_of())
+    """One row for each different shingle set of texts (row_no, id, text): node (its digest), fp, n (its size), prefix (see prefix_of()), sketch
     and first (the first of its rows: null ids last, then by id and row)."""
     shared = texts.sparkSession.sparkContext.broadcast(order)
 
@@ -472,12 +489,12 @@ def shingle_sets(texts: DataFrame, words: int, similarity: float, order: tuple[n
                 prefixes = [prefix_of(h, similarity, shared.value) for h in sets]
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).view(np.int64)))
-                columns = [batch.column(1), batch.column(0), pa.array(fps), pa.array(nodes), pa.array([len(h) for h in sets], pa.int64()), prefix]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "row_no", "fp", "node", "n", "prefix"])
+                columns = [batch.column(1), batch.column(0), pa.array(fps), pa.array(nodes), pa.array([len(h) for h in sets], pa.int64()), prefix, pa.array([sketch_of(h) for h in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "row_no", "fp", "node", "n", "prefix", "sketch"])
 
-    described = texts.select("row_no", "id", "text").mapInArrow(run, "id long, row_no string, fp long, node long, n long, prefix array<long>")
-    # fp, n and prefix follow from the set, so any row of it will do
-    return described.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_no")).alias("first"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix")])
+    described = texts.select("row_no", "id", "text").mapInArrow(run, "id long, row_no string, fp long, node long, n long, prefix array<long>, sketch binary")
+    # all but the id and row follow from the set, so any row of it will do
+    return described.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_no")).alias("first"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix", "sketch")])
 
 
 #: Of a set: its size << 32 and how many of its shingles stand from the block's one on in the order of rarity.
@@ -509,7 +526,7 @@ def met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.Rec
         at = np.flatnonzero(out)
         if len(at):
             near = may_be_similar(size[at], size[first[at]], s) & (node[at] != node[first[at]])
-            yield pa.RecordBatch.from_arrays([pa.array(block[at]), pa.array(node[at]), pa.array(size[at]), pa.array(node[first[at]], mask=~near)], names=["block", "node", "size", "first"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (block, node, size)), pa.array(node[first[at]], mask=~near)], names=["block", "node", "size", "first"])
         sent = bool(counts[-1] > 1)
         held = [x[starts[-1] : starts[-1] + 1] for x in (block, node, size)]
 
@@ -543,22 +560,24 @@ def meetings(nodes: DataFrame, similarity: float, order: tuple[np.ndarray, np.nd
 
 
 def proposed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (block, root, node, size) sorted by block and root.
+    """Rows (block, root, node, size, and sketch or not) sorted by block and root.
 
-    Emits the pairs of a block that are not of one root and may be similar by their sizes, if the block's shingle is the first
-    that they share. Memory holds one batch and the open block.
+    Emits the pairs a > b of a block that are not of one root and may be similar by their sizes, if the block's shingle is the first
+    that they share, and by their sketches. Memory holds one batch and the open block.
     """
     s = Fraction(str(similarity))
     open_block, held = None, None
     for batch in batches:
-        columns = [np.asarray(c) for c in batch.columns]
+        columns = [np.asarray(c) for c in batch.columns[:4]]
         if not len(columns[0]):
             continue
+        if batch.num_columns > 4:
+            columns.append(sketches(batch.column(4)))
         old = 0
         if columns[0][0] == open_block:
             old = len(held[0])
             columns = [np.concatenate([h, x]) for h, x in zip(held, columns)]
-        block, root, node, size = columns
+        block, root, node, size = columns[:4]
         new_block = np.concatenate([[True], block[1:] != block[:-1]])
         starts = np.flatnonzero(new_block)
         first = np.repeat(starts, np.diff(np.append(starts, len(block))))
@@ -570,12 +589,16 @@ def proposed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         done = np.concatenate([[0], np.cumsum(count)])
         k = 0
         while k < len(at):
-            to = max(k + 1, int(np.searchsorted(done, done[k] + 1_000_000, "right")) - 1)
+            to = max(k + 1, int(np.searchsorted(done, done[k] + 250_000, "right")) - 1)
             c = count[k:to]
             x = np.repeat(at[k:to], c)
             y = np.repeat(first[at[k:to]] - (done[k:to] - done[k]), c) + np.arange(done[to] - done[k])
             may = may_be_similar(size[x], size[y], s)
-            x, y = node[x[may]], node[y[may]]
+            x, y = x[may], y[may]
+            if len(columns) > 4:
+                near = ~far_apart(columns[4][x], columns[4][y], size[x] >> SIZE_SHIFT, size[y] >> SIZE_SHIFT, s)
+                x, y = x[near], y[near]
+            x, y = node[x], node[y]
             if len(x):
                 pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
@@ -584,10 +607,39 @@ def proposed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         held = [x[starts[-1] :] for x in columns]
 
 
-def open_pairs(found: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a > b of sets of different roots that meet (found: see meetings()): all of that similarity and some below."""
+def open_pairs(found: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a > b of sets of different roots that meet (found: see meetings()): all of that similarity and some below.
+
+    Where more than FEW sets meet, their sketches (of nodes) come with them, so that unlike pairs are never written out.
+    """
+    big = found.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("block")
     rooted = found.select("block", "node", "size").join(roots, "node", "left").select("block", F.coalesce("root", "node").alias("root"), "node", "size")
-    return rooted.repartition("block").sortWithinPartitions("block", "root").mapInArrow(lambda b: proposed(b, similarity), "a long, b long").distinct()
+    pairs = lambda rows: rows.repartition("block").sortWithinPartitions("block", "root").mapInArrow(lambda b: proposed(b, similarity), "a long, b long")
+    at_few = rooted.join(big, "block", "left_anti")
+    at_many = rooted.join(big, "block", "left_semi").join(nodes.select("node", "sketch"), "node").select("block", "root", "node", "size", "sketch")
+    return pairs(at_few).union(pairs(at_many)).distinct()
+
+
+def in_different(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs a, b whose ends are not of one root yet."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
+def not_far(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b of nodes (node, n, sketch) that their sketches leave possible."""
+    s = Fraction(str(similarity))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                far = far_apart(sketches(batch.column(4)), sketches(batch.column(5)), np.asarray(batch.column(2)), np.asarray(batch.column(3)), s)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(~far))
+
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"{end}_n"), F.col("sketch").alias(f"{end}_sketch")), end)
+    return pairs.select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
 
 
 def verified_sets(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -612,7 +664,7 @@ def verified_sets(batches: Iterator[pa.RecordBatch], similarity: float) -> Itera
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs a, b of nodes (node, first) whose texts (row_no, text) have shingle sets of at least that Jaccard similarity.
+    """The pairs a, b of nodes (see shingle_sets()) whose texts (row_no, text) have shingle sets of at least that Jaccard similarity.
 
     Every b is a hub: its set and those of its partners are sent to one place, or to several if it has very many.
     """
@@ -625,6 +677,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, simi
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["hub", "slice", "member", "node", "shingles"])
 
+    pairs = materialise(not_far(pairs, nodes, similarity), "pairs")
     total = pairs.count()
     big = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") * HOT > total).select("b", F.ceil(F.col("n") / BLOCK_ROWS).alias("slices"))  # fewer than HOT
     dealt = pairs.join(F.broadcast(big), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("slices", F.lit(1))).cast("int").alias("slice"))
@@ -701,9 +754,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = materialise(meetings(nodes, similarity, order), "meetings")
     together = found.where("first is not null").groupBy("node", "first").agg(F.count("*").alias("n"))
     partner = together.groupBy(F.col("node").alias("a")).agg(F.max_by("first", F.struct("n", "first")).alias("b"))
-    pairs = materialise(by_bits.union(partner.join(by_bits.select("a"), "a", "left_anti").select("a", "b")), "pairs")
+    pairs = by_bits.union(partner.join(by_bits.select("a"), "a", "left_anti").select("a", "b"))
     near = materialise(alike(pairs, nodes, texts, words, similarity), "near")
-    rest = materialise(open_pairs(found, components(near), similarity), "pairs")
+    rest = materialise(not_far(open_pairs(found, nodes, components(near), similarity), nodes, similarity), "open")
+    # one pair for each set first: what that connects needs no more pairs
+    near = near.union(materialise(alike(rest.groupBy("a").agg(F.min("b").alias("b")), nodes, texts, words, similarity), "near"))
+    rest = in_different(rest, components(near))
     roots = components(near.union(alike(rest, nodes, texts, words, similarity)))
     kept = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     return keep_rows(rows, row, kept.select(F.col("first.row_no").alias(row)))

@@ -10,9 +10,10 @@ Every row is indexed and a shard holds at most about SHARD_ROWS rows, so memory
 table; queries stream past the tree. Equal vectors share one tree entry, which keeps the k + 1 smallest ids:
 larger ones can never be among the k nearest.
 
-Defined results: vectors that are null, zero, of another length than `dim` or that hold null or non-finite components take no part;
-ties go to the smaller id; repeated rows of one id count as one candidate of that id; an empty table gives an empty result;
-only the id and vector columns are read.
+Defined results: vectors that are null, zero or that hold null or non-finite components take no part; vectors meet those of
+their own length; components of any size are fine (vectors are scaled by powers of two, which changes no digit of a cosine);
+ties go to the smaller id; of several vectors of one id and length the least in order counts, and of several lengths a query takes the
+shortest; an empty table gives an empty result; only the id and vector columns are read.
 """
 
 from __future__ import annotations
@@ -95,30 +96,37 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * (a @ b.T)))
 
 
-def usable(vector: Column, dim: int) -> Column:
+def usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return vector.isNotNull() & (F.size(vector) == dim) & finite & F.exists(vector, lambda x: x != 0)
+    return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 5, relax: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row by the power of two that brings its largest component to between 1/2 and 1."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, relax: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, id and score of each query's k nearest rows of vectors but its own id."""
 
     def chosen(df: DataFrame) -> DataFrame:
         out = df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("vector"))
-        return out.where(F.col("id").isNotNull() & usable(F.col("vector"), dim))
+        return out.where(F.col("id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
 
-    base, asked = chosen(vectors), chosen(queries)
+    base = chosen(vectors)
+    asked = chosen(queries).groupBy("id").agg(F.min(F.struct("dim", "vector")).alias("one")).select("id", "one.*")
     shards = max(1, -(-base.count() // shard_rows))
-    rows = base.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.lit(False).alias("asks"), "id", "vector")
-    sent = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("asks"), "id", "vector")
+    rows = base.select("dim", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.lit(False).alias("asks"), "id", "vector")
+    sent = asked.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("asks"), "id", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, ids, data, index = None, [], [], None
 
         def answer(qids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
             tree, members, originals, norms = index
+            q = scaled(q)
             qn = np.linalg.norm(q, axis=1)
-            hits = tree.search(q / np.abs(q).max(axis=1)[:, None] / np.linalg.norm(q / np.abs(q).max(axis=1)[:, None], axis=1)[:, None], k + 1, relax)
+            hits = tree.search(q / qn[:, None], k + 1, relax)
             out = ([], [], [])
             for qid, vector, norm, hit in zip(qids.tolist(), q, qn, hits):
                 scores = np.einsum("ij,j->i", originals[hit], vector) / (norms[hit] * norm)
@@ -132,33 +140,37 @@ def nearest(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 5, relax:
                 return None
             all_ids, all_rows = np.concatenate(ids), np.concatenate(data)
             different, which = np.unique(all_rows, axis=0, return_inverse=True)
+            which = which.ravel()
+            by_id = np.lexsort([which, all_ids])
+            first = by_id[np.concatenate([[True], all_ids[by_id[1:]] != all_ids[by_id[:-1]]])]  # one vector for each id
             members: list[list[int]] = [[] for _ in range(len(different))]
-            last = [None] * len(different)
-            for j in np.lexsort([all_ids, which.ravel()]):
-                w = which.ravel()[j]
-                if len(members[w]) <= k and last[w] != all_ids[j]:
-                    last[w] = all_ids[j]
-                    members[w].append(int(all_ids[j]))
-            scaled = different / np.abs(different).max(axis=1)[:, None]
-            return VPTree(scaled / np.linalg.norm(scaled, axis=1)[:, None]), members, different, np.linalg.norm(different, axis=1)
+            for w, i in zip(which[first].tolist(), all_ids[first].tolist()):  # ids ascend
+                if len(members[w]) <= k:
+                    members[w].append(i)
+            held = np.flatnonzero([len(m) > 0 for m in members])
+            different, members = different[held], [members[w] for w in held]
+            different = scaled(different)
+            norms = np.linalg.norm(different, axis=1)
+            return VPTree(different / norms[:, None]), members, different, norms
 
         for batch in batches:
-            shard_no, asks = np.asarray(batch.column("shard")), np.asarray(batch.column("asks"))
-            id_no = np.asarray(batch.column("id"))
-            lists = batch.column("vector")
-            vector = np.asarray(lists.flatten()).reshape(len(id_no), dim)
-            edges = np.flatnonzero(np.concatenate([[True], (shard_no[1:] != shard_no[:-1]) | (asks[1:] != asks[:-1])])) if len(id_no) else []
+            if not batch.num_rows:
+                continue
+            dims, shard_no, asks, id_no = (np.asarray(batch.column(c)) for c in ("dim", "shard", "asks", "id"))
+            values, places = np.asarray(batch.column("vector").flatten()), np.concatenate([[0], np.cumsum(dims, dtype=np.int64)])
+            edges = np.flatnonzero(np.concatenate([[True], (dims[1:] != dims[:-1]) | (shard_no[1:] != shard_no[:-1]) | (asks[1:] != asks[:-1])]))
             for a, b in zip(edges, [*edges[1:], len(id_no)]):
-                if shard_no[a] != shard:
-                    shard, ids, data, index = shard_no[a], [], [], None
+                vector = values[places[a] : places[b]].reshape(b - a, dims[a])
+                if (dims[a], shard_no[a]) != shard:
+                    shard, ids, data, index = (dims[a], shard_no[a]), [], [], None
                 if not asks[a]:
                     ids.append(id_no[a:b])
-                    data.append(vector[a:b])
+                    data.append(vector)
                     continue
                 index = index or finished()
                 if index:
-                    yield answer(id_no[a:b], vector[a:b])
+                    yield answer(id_no[a:b], vector)
 
-    found = rows.union(sent).repartition("shard").sortWithinPartitions("shard", "asks").mapInArrow(run, "query_id long, id long, score double")
+    found = rows.union(sent).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "asks").mapInArrow(run, "query_id long, id long, score double")
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

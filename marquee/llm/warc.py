@@ -1,14 +1,14 @@
 """WARC derivatives: metadata and plain-text conversion records linked to responses; Spark functions only, no shuffle.
 
-responses() writes pages as WARC/1.1 response records; parsed() reads records of any origin into header map,
-HTTP header map and payload; derivatives() makes of each response
-  - a `metadata` record (application/warc-fields) with the source's HTTP status and headers, and
-  - a `conversion` record (text/plain) with the text of an HTML payload,
+responses() writes pages as WARC/1.1 response records; parsed() reads records of any origin into header fields (in
+order, repeated ones too), HTTP header fields and payload; derivatives() makes of each response
+  - a `metadata` record (application/warc-fields) with the source's HTTP status, all its HTTP headers and its other WARC headers, and
+  - a `conversion` record (text/plain) with the text of an HTML payload, or any other text payload as it is,
 both with WARC-Refers-To and the source's target URI, date and payload digest, and digests of their own blocks.
 Record ids are name-based: the same input gives the same ids.
 
-Defined results: a null URL or page counts as empty (the record stays); a payload that is no HTML or has no text converts to an
-empty block; repeated rows give repeated records; a record that is not a response has no derivatives; an empty table gives an empty result;
+Defined results: a null URL or page counts as empty (the record stays); a payload that is no text or has none converts to an
+empty block; a source without a payload digest gets one computed; a Content-Length that is no number is not obeyed; repeated rows give repeated records; a record that is not a response has no derivatives; an empty table gives an empty result;
 other columns of the input are dropped, so they may have any name.
 """
 
@@ -24,7 +24,28 @@ BREAKS = r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|nav|heade
 TAGS = r"(?s)<[^>]*>"
 BLANKS = r"[ \t\r\f\x0b]+"
 EDGES = r" ?\n[ \n]*"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
+    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&middot;", "·"), ("&euro;", "€"), ("&pound;", "£"), ("&cent;", "¢"), ("&deg;", "°"), ("&times;", "×"), ("&agrave;", "à"), ("&aacute;", "á"),
+    ("&acirc;", "â"), ("&auml;", "ä"), ("&aring;", "å"), ("&ccedil;", "ç"), ("&egrave;", "è"), ("&eacute;", "é"), ("&ecirc;", "ê"), ("&euml;", "ë"), ("&iacute;", "í"), ("&ntilde;", "ñ"), ("&oacute;", "ó"), ("&ocirc;", "ô"),
+    ("&ouml;", "ö"), ("&uacute;", "ú"), ("&uuml;", "ü"), ("&szlig;", "ß"), ("&amp;", "&"),
+)
+
+
+def unescaped(text: Column) -> Column:
+    """Entities as characters: those by number, then the common names, the ampersand last."""
+    parts = F.split(text, r"(?=&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)")
+    number = lambda p: F.when(F.rlike(p, F.lit("^&#[xX]")), F.conv(F.regexp_extract(p, "^&#[xX]([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(p, "^&#([0-9]+);", 1)).cast("int")
+    one = lambda p: F.when(
+        F.rlike(p, F.lit("^&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});")) & number(p).between(1, 0x10FFFF) & ~number(p).between(0xD800, 0xDFFF),
+        F.concat(F.decode(F.unhex(F.lpad(F.hex(number(p)), 8, "0")), "UTF-32"), F.substring_index(p, ";", -(1 << 30)).substr(F.instr(p, ";") + 1, F.length(p))),
+    ).otherwise(p)
+    text = F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(parts, one), "")).otherwise(text)
+    names = text
+    for entity, char in ENTITIES[:-1]:
+        names = F.replace(names, F.lit(entity), F.lit(char))
+    text = F.when(F.contains(text, F.lit("&")), names).otherwise(text)
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
 def plain_text(html: Column) -> Column:
@@ -32,13 +53,16 @@ def plain_text(html: Column) -> Column:
     text = F.regexp_replace(html, HIDDEN, " ")
     text = F.regexp_replace(text, BREAKS, "\n")
     text = F.regexp_replace(text, TAGS, "")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = unescaped(text)
     text = F.regexp_replace(text, BLANKS, " ")
     text = F.regexp_replace(text, EDGES, "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 
 
+#: Headers of the source that the derivatives' own headers carry, or that follow from the block.
+CARRIED = ("warc-type", "warc-record-id", "warc-target-uri", "warc-date", "warc-payload-digest", "content-type", "content-length")
+
+
 def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block, 256))
 
@@ -72,41 +96,64 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", id_col: str
 
 
 def _fields(head: Column) -> Column:
-    """name -> value of header lines; the first of a repeated name; names in lower case."""
-    lines = F.filter(F.split(head, CRLF), lambda l: F.instr(l, ":") > 1)
-    pairs = F.transform(lines, lambda l: F.struct(F.lower(F.substring_index(l, ":", 1)).alias("k"), F.trim(l.substr(F.instr(l, ":") + 1, F.length(l))).alias("v")))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_entries(F.transform(names, lambda k: F.get(F.filter(pairs, lambda p: p["k"] == k), F.lit(0))))
+    """Header lines as an array of (k, v) in their order, repeats too; names in lower case. A line that starts with a blank goes on with the one before."""
+    unfolded = F.regexp_replace(head, r"\r\n[ \t]+", " ")
+    lines = F.filter(F.split(unfolded, CRLF), lambda l: F.instr(l, ":") > 1)
+    return F.transform(lines, lambda l: F.struct(F.lower(F.trim(F.substring_index(l, ":", 1))).alias("k"), F.trim(l.substr(F.instr(l, ":") + 1, F.length(l))).alias("v")))
+
+
+def value_of(fields: Column, name: str) -> Column:
+    """The first value of a header; empty if there is none."""
+    return F.coalesce(F.get(F.filter(fields, lambda f: f["k"] == name), F.lit(0))["v"], F.lit(""))
+
+
+def _listed(fields: Column, prefix: str) -> Column:
+    """Header lines written again, each name behind a prefix, in their order."""
+    return F.array_join(F.transform(fields, lambda f: F.concat(F.lit(prefix), f["k"], F.lit(": "), f["v"], F.lit(CRLF))), "")
 
 
 def parsed(records: DataFrame, record_col: str = "record") -> DataFrame:
-    """records with warc (header map), status_line, http (header map) and payload in place of the record."""
+    """records with warc (header fields), status_line, http (header fields) and payload in place of the record.
+
+    The block is as long as Content-Length says, in bytes; without one it ends with the record.
+    """
     gap = CRLF + CRLF
     rec = F.col(record_col)
-    df = records.withColumn("_split", F.instr(rec, gap)).withColumn("_end", F.length(rec) - F.when(rec.endswith(gap), 4).otherwise(0))
-    # the end of the HTTP header, unless it is the record's own end
-    df = df.withColumn("_cut", F.expr(f"locate('{gap}', `{record_col}`, _split + 4)")).withColumn("_cut", F.when(F.col("_cut") <= F.col("_end"), F.col("_cut")).otherwise(0))
-    http = rec.substr(F.col("_split") + 4, F.greatest(F.col("_cut") - F.col("_split") - 4, F.lit(0)))
-    start = F.when(F.col("_cut") > 0, F.col("_cut")).otherwise(F.col("_split")) + 4
-    df = df.withColumn("warc", _fields(rec.substr(F.lit(1), F.col("_split") - 1))).withColumn("status_line", F.substring_index(http, CRLF, 1)).withColumn("http", _fields(http))
-    return df.withColumn("payload", rec.substr(start, F.col("_end") - start + 1)).drop("_split", "_end", "_cut", record_col)
+    df = records.withColumn("_split", F.instr(rec, gap)).withColumn("warc", _fields(F.when(F.col("_split") > 0, rec.substr(F.lit(1), F.col("_split") - 1)).otherwise(rec)))
+    rest = F.when(F.col("_split") > 0, rec.substr(F.col("_split") + 4, F.length(rec))).otherwise(F.lit(""))
+    size = F.expr("try_cast(get(filter(warc, f -> f.k = 'content-length'), 0).v as int)")
+    df = df.withColumn("_rest", rest).withColumn("_size", size)
+    # texts of one byte a character need no detour over bytes; a cut inside a character drops its start
+    ascii_ = F.octet_length("_rest") == F.length("_rest")
+    cut = F.when(ascii_, F.col("_rest").substr(F.lit(1), F.col("_size"))).otherwise(F.decode(F.encode("_rest", "UTF-8").substr(F.lit(1), F.col("_size")), "UTF-8"))
+    whole = F.when(F.col("_rest").endswith(gap), F.col("_rest").substr(F.lit(1), F.length("_rest") - 4)).otherwise(F.col("_rest"))
+    exact = F.col("_size").isNull() | (F.octet_length(whole) == F.col("_size"))
+    df = df.withColumn("_block", F.when(exact, whole).otherwise(F.coalesce(cut, whole)))
+    df = df.withColumn("_cut", F.when(F.startswith(F.col("_block"), F.lit("HTTP/")), F.instr("_block", gap)).otherwise(0))
+    http = F.when(F.col("_cut") > 0, F.col("_block").substr(F.lit(1), F.col("_cut") - 1)).when(F.startswith(F.col("_block"), F.lit("HTTP/")), F.col("_block")).otherwise(F.lit(""))
+    payload = F.when(F.col("_cut") > 0, F.col("_block").substr(F.col("_cut") + 4, F.length("_block"))).when(F.startswith(F.col("_block"), F.lit("HTTP/")), F.lit("")).otherwise(F.col("_block"))
+    df = df.withColumn("status_line", F.substring_index(http, CRLF, 1)).withColumn("http", _fields(http)).withColumn("payload", payload)
+    return df.drop("_split", "_rest", "_size", "_block", "_cut", record_col)
 
 
 def derivatives(records: DataFrame, record_col: str = "record") -> DataFrame:
     """Two rows for each response: source_id, record_type, record_id, refers_to, target_uri, date, source_payload_digest, block_digest, block and record."""
     df = parsed(records.select("source_id", record_col), record_col)
     # a generator of one row: what stands above reads the parsed columns and does not compute them again
-    df = df.select("source_id", F.inline(F.array(F.struct("warc", "status_line", "http", "payload")))).where(F.lower(F.col("warc")["warc-type"]) == "response")
-    of = lambda name: F.coalesce(F.col("warc")[name], F.lit(""))
-    source = F.array_join(F.transform(F.array_sort(F.map_keys("http")), lambda k: F.concat(F.lit("http-"), k, F.lit(": "), F.col("http")[k], F.lit(CRLF))), "")
-    fields = F.concat(F.lit("http-status: "), F.col("status_line"), F.lit(CRLF), source)
-    is_html = F.contains(F.lower(F.coalesce(F.col("http")["content-type"], F.lit(""))), F.lit("html"))
-    text = F.when(is_html, plain_text(F.col("payload"))).otherwise(F.lit(""))
+    df = df.select("source_id", F.inline(F.array(F.struct("warc", "status_line", "http", "payload")))).where(F.lower(value_of(F.col("warc"), "warc-type")) == "response")
+    of = lambda name: value_of(F.col("warc"), name)
+    # what the derivatives' own headers say of the source is not said twice
+    others = F.filter("warc", lambda f: ~f["k"].isin(*CARRIED))
+    fields = F.concat(F.lit("http-status: "), F.col("status_line"), F.lit(CRLF), _listed(F.col("http"), "http-"), _listed(others, "source-"))
+    kind = F.lower(value_of(F.col("http"), "content-type"))
+    text = F.when(F.contains(kind, F.lit("html")), plain_text(F.col("payload"))).when(F.startswith(kind, F.lit("text/")), F.col("payload")).otherwise(F.lit(""))
+    known = of("warc-payload-digest")
+    payload_digest = F.when(known != "", known).otherwise(digest(F.col("payload")))
     kinds = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
         F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), text.alias("block")),
     )
-    df = df.select("source_id", of("warc-record-id").alias("refers_to"), of("warc-target-uri").alias("target_uri"), of("warc-date").alias("date"), of("warc-payload-digest").alias("source_payload_digest"), F.explode(kinds).alias("k"))
+    df = df.select("source_id", of("warc-record-id").alias("refers_to"), of("warc-target-uri").alias("target_uri"), of("warc-date").alias("date"), payload_digest.alias("source_payload_digest"), F.explode(kinds).alias("k"))
     df = df.select("source_id", "refers_to", "target_uri", "date", "source_payload_digest", "k.record_type", "k.content_type", "k.block")
     df = df.withColumn("record_id", record_id(F.col("record_type"), F.col("refers_to"))).withColumn("block_digest", digest(F.col("block")))
     headers = [

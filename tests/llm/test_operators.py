@@ -173,6 +173,65 @@ def test_warc_links_and_digests(spark):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_keeps_every_header(spark):
+    """Records of other origin: repeated and folded headers, other WARC headers, no payload digest, plain text, entities, a length that ends the block."""
+    http = "HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nContent-Type: text/plain\r\nSet-Cookie: b=2\r\nVia: x,\r\n  y\r\n\r\n"
+    body = "plain é text\r\n\r\nend"
+    page = "HTTP/1.1 404 Not Found\r\nContent-Type: text/html\r\n\r\n<p>&eacute;&#233;&#xE9; &amp;#65; &#0; &lt;</p>"
+    head = lambda block, more="": f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nWARC-IP-Address: 1.2.3.4\r\n{more}\r\n{block}"
+    size = len((http + body).encode())
+    records = [(1, head(http + body + "junk\r\n\r\n", f"Content-Length: {size}\r\n")), (2, head(page, "Content-Length: no\r\n")), (3, "WARC/1.0\r\nWARC-Type: request\r\n\r\nx"), (4, head("")), (5, ""), (6, None)]
+    got = {(r.source_id, r.record_type): r for r in warc.derivatives(spark.createDataFrame(records, "source_id long, record string")).collect()}
+    assert sorted(got) == [(i, t) for i in (1, 2, 4) for t in ("conversion", "metadata")]
+    lines = got[1, "metadata"].block.split("\r\n")
+    assert lines == ["http-status: HTTP/1.1 200 OK", "http-set-cookie: a=1", "http-content-type: text/plain", "http-set-cookie: b=2", "http-via: x, y", "source-warc-ip-address: 1.2.3.4", ""]
+    assert got[1, "conversion"].block == body and got[1, "conversion"].source_payload_digest == "sha256:" + hashlib.sha256(body.encode()).hexdigest()
+    assert got[2, "conversion"].block == "ééé &#65; &#0; <"
+    assert got[4, "conversion"].block == "" and got[4, "metadata"].refers_to == "<urn:x>"
+
+
+# ---------------------------------------------------------------- statements
+
+
+@pytest.mark.parametrize("name", ["op3_warc", "op4_exactdedup", "op5_mixing", "op10_chat"])
+def test_query_equals_its_statement(spark, sf, name):
+    import duckdb
+
+    from marquee.llm.oracle import ORACLE
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    found = queries.QUERIES[name](spark, sf)
+    want = con.execute(f"select {', '.join(found.columns)} from ({ORACLE[name]})").fetchall()
+    assert Counter(map(tuple, found.collect())) == Counter(want)
+
+
+def test_nearest_statement(spark, sf):
+    """The SQL of op8 with a tolerance for scores."""
+    import duckdb
+
+    from marquee.llm.oracle import OP8
+
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    want = {(q, r): (v, s) for q, r, v, s in con.execute(OP8).fetchall()}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in queries.op8_vptree(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+
+
+def test_tokenfile_query(spark, sf):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want, start = {}, 0
+    for i, t in sorted(texts_of(table(spark, sf, "documents"))):
+        ids = library.encode(t, add_special_tokens=False).ids + [2]
+        want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op2_tokenfile(spark, sf).collect()} == want
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -423,10 +482,10 @@ def test_nearest_is_exact(spark, sf):
 def test_nearest_recall_falls_with_relax(spark, sf):
     vectors = table(spark, sf, "embeddings")
     asked = vectors.where("vec_id % 50 = 0")
-    exact = {(r.query_id, r.id) for r in vptree.nearest(vectors, asked, 64, shard_rows=200).collect()}
-    assert exact == {(r.query_id, r.id) for r in vptree.nearest(vectors, asked, 64).collect()}
-    some = {(r.query_id, r.id) for r in vptree.nearest(vectors, asked, 64, relax=0.8).collect()}
-    assert 0.5 < len(exact & some) / len(exact) <= 1
+    exact = {(r.query_id, r.id) for r in vptree.nearest(vectors, asked, shard_rows=200).collect()}
+    assert exact == {(r.query_id, r.id) for r in vptree.nearest(vectors, asked).collect()}
+    some = {(r.query_id, r.id) for r in vptree.nearest(vectors, asked, relax=0.8).collect()}
+    assert 0.75 < len(exact & some) / len(exact) <= 1  # measured: 0.82 on these vectors, which have no clusters
 
 
 def test_nearest_special_cases(spark):
@@ -434,14 +493,17 @@ def test_nearest_special_cases(spark):
     data = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (9, [0.0, 1.0]), (9, [0.0, 1.0]), (50, [-1.0, 0.0])]
     data += [(i, [3.0, 4.0]) for i in range(100, 400)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
-    got = vptree.nearest(df, df.where("vec_id % 50 = 0"), 2, shard_rows=100).orderBy("query_id", "rank").collect()
+    got = vptree.nearest(df, df.where("vec_id % 50 = 0"), shard_rows=100).orderBy("query_id", "rank").collect()
     by = defaultdict(list)
     for r in got:
         by[r.query_id].append((r.id, round(r.score, 12)))
     assert by[0] == [(1, 1.0), (2, 1.0), (100, 0.6), (101, 0.6), (102, 0.6)]
     assert by[100] == [(101, 1.0), (102, 1.0), (103, 1.0), (104, 1.0), (105, 1.0)]
+    odd = spark.createDataFrame([(0, [1.0] * 3), (1, [1.0, 2.0, 1.0]), (2, [1.0] * 5), (50, [2.0] * 5), (100, [1e200, 0.0, 1e200]), (3, [3e-200, 0.0, 3e-200]), (150, [1.0] * 9), (0, [5.0, 0.0, 0.0]), (1, [9.0, 9.0, 9.0])], "vec_id long, embedding array<double>")
+    got_odd = {(r.query_id, r["rank"]): (r.id, round(r.score, 9)) for r in vptree.nearest(odd, odd.where("vec_id % 50 = 0"), 2).collect()}
+    assert got_odd == {(0, 1): (1, round(4 / math.sqrt(18), 9)), (0, 2): (3, round(math.sqrt(2 / 3), 9)), (50, 1): (2, 1.0), (100, 1): (3, 1.0), (100, 2): (0, round(math.sqrt(2 / 3), 9))}
     assert by[50][0] == (9, 0.0) and by[50][1] == (100, -0.6)
-    assert vptree.nearest(df.limit(0), df.limit(0), 2).count() == 0
+    assert vptree.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
 # ---------------------------------------------------------------- 9
@@ -496,7 +558,7 @@ def test_chat_layouts_give_the_same_turns(spark):
         "unknown": {"question": "x", "nested": {"a": [1]}},
     }
     df = spark.createDataFrame([(k, json.dumps(v)) for k, v in records.items()] + [("broken", "{no"), ("null", None)], "name string, record string")
-    made = chat.formatted(chat.canonical(df))
+    made = chat.formatted(chat.canonical(df, roles=chat.ROLES))
     got = {r.name: r for r in made.select("*", chat.read_turns(F.col("formatted")).alias("back"), chat.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss")).collect()}
     for name in records:
         assert got[name].layout == name
@@ -543,3 +605,22 @@ def test_chat_query_special_cases(spark, tmp_path):
     assert got[2].turns_sha256 == hashlib.sha256(b"user\nfirst\n\nx\n").hexdigest()
     assert got[3].n_turns == 2 and got[3].loss_sha256 == hashlib.sha256(b"samesame").hexdigest()
     assert got[-7].turns_sha256 == hashlib.sha256(f"user\n{queries.PLANTED}\nassistant\n{queries.PLANTED}\n".encode()).hexdigest()
+
+
+def test_chat_query_loses_nothing(spark, tmp_path):
+    """Texts that look like JSON, roles of other words and very long ones, and a text of 21 million characters."""
+    looks = ['{"a": 1}', '[{"k": "v"}]', "[1]", "{}", '"', 'a": {"b": 1}, "c', "\\", '\\"', "null", '{"role": "x", "content": "y"}']
+    data = [(k, n, r, t) for k, t in enumerate(looks) for n, r in enumerate(("user", "assistant"))]
+    data += [(100 + k, n, r, t) for k, t in enumerate(looks) for n, r in enumerate(("system", "user", "assistant"))]
+    data += [(200, 0, "human", "q"), (200, 1, "gpt", "a"), (201, 0, "human", "q"), (201, 1, "gpt", "a"), (201, 2, "assistant", "z"), (202, 0, "r" * 100_000, "x"), (202, 1, "user", "y"), (203, 0, "assistant", 'b"\\\n' * 5_250_000)]
+    schema = "conv_id long, turn long, role string, text string"
+    parts = [spark.createDataFrame(data[:-1], schema), spark.range(1).selectExpr("203L as conv_id", "0L as turn", "'assistant' as role", r"""repeat('b"\\\n', 5250000) as text""")]
+    parts[0].union(parts[1]).write.parquet(str(tmp_path / "conversations.parquet"))
+    want = {}
+    for i, _, role, text in data:
+        want.setdefault(i, []).append((role, text))
+    got = {r.conv_id: r for r in queries.op10_chat(spark, str(tmp_path)).collect()}
+    for i, turns in want.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert (got[i].n_turns, got[i].turns_sha256) == (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()), i
+        assert (got[i].loss_chars, got[i].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest()), i

@@ -98,7 +98,7 @@ def test_rare_shingles_propose_every_similar_pair_in_slices(spark):
         order = simhash.common_shingles(df, P.WORDS)
         nodes = materialise(simhash.shingle_sets(df, P.WORDS, P.SIMILARITY, order), "nodes")
         alone = spark.createDataFrame([], "node long, root long")
-        pairs = materialise(simhash.open_pairs(simhash.meetings(nodes, P.SIMILARITY, order), alone, P.SIMILARITY), "pairs")
+        pairs = materialise(simhash.open_pairs(simhash.meetings(nodes, P.SIMILARITY, order), nodes, alone, P.SIMILARITY), "pairs")
         found = simhash.alike(pairs, nodes, df, P.WORDS, P.SIMILARITY).collect()
         kept = [r.id for r in simhash.deduplicated(df, id_col="id").collect()]
     finally:
