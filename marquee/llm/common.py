@@ -40,6 +40,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that Spark sends to a Python worker at once where rows hold whole texts; 10,000 long texts would fill it.
+TEXT_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to TEXT_ROWS, unless it is lower."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,6 +65,8 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 
 def text_or_empty(df: DataFrame, text_col: str = "text") -> Column:
+    """The text, empty where it is null; Python workers will get it in short batches."""
+    short_batches(df.sparkSession)
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
 
 

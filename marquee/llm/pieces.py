@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: Fixed value: the pre-token pattern for which the cuts hold.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of the texts of one block.
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

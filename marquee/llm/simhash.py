@@ -36,7 +36,7 @@ BLOCK_ROWS = 4096
 #: Cost of sending one probe, in candidate comparisons.
 PROBE_COST = 32.0
 MAX_RADIUS = 2
-#: Parities that tell most unlike sets apart; meeting places of more sets than FEW compare them at once.
+#: Parities (at least) that tell most unlike sets apart; meeting places of more sets than FEW compare this many at once.
 SKETCH_BITS, FEW = 1024, 8
 #: Texts whose shingles are counted to order all shingles by frequency; a shingle of so many of them is common; how many are kept.
 SAMPLE_ROWS, COMMON_FROM, COMMON_MOST = 10_000, 3, 100_000
@@ -460,13 +460,19 @@ def prefix_of(hashes: np.ndarray, similarity: float, order: tuple[np.ndarray, np
 
 
 def sketch_of(hashes: np.ndarray) -> bytes:
-    """SKETCH_BITS parities: each shingle flips one. Two sketches differ in no more bits than their sets differ in shingles."""
-    return np.packbits(np.bincount((hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+    """At least 2 parities for each shingle, each of which flips one. Two sketches differ in no more bits than their sets differ in shingles;
+    halves of a sketch that are xored are a sketch of half the bits."""
+    bits = max(SKETCH_BITS, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else SKETCH_BITS
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def folded(sketch: bytes, longs: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, longs), axis=0)
 
 
 def sketches(column: pa.Array) -> np.ndarray:
-    """One row of longs for each sketch."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+    """One row of SKETCH_BITS bits, as longs, for each sketch."""
+    return np.array([folded(b, SKETCH_BITS // 64) for b in column.to_pylist()], np.uint64).reshape(-1, SKETCH_BITS // 64)
 
 
 def far_apart(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, s: Fraction) -> np.ndarray:
@@ -633,9 +639,11 @@ def not_far(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                far = far_apart(sketches(batch.column(4)), sketches(batch.column(5)), np.asarray(batch.column(2)), np.asarray(batch.column(3)), s)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(~far))
+            near = []
+            for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                longs = min(len(x), len(y)) // 8
+                near.append(not far_apart(folded(x, longs)[None], folded(y, longs)[None], n, m, s)[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     for end in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"{end}_n"), F.col("sketch").alias(f"{end}_sketch")), end)
