@@ -32,6 +32,8 @@ from marquee.llm.common import text_or_empty
 from marquee.llm.pieces import PATTERN, Lists, blocks, cut, spans, words_of
 
 FOLD_BYTES = 256
+#: Bytes of a block here, where two Python workers for each core hold one.
+BLOCK_BYTES = 12_000_000
 BUCKETS = 32749
 #: Stands before and after the bytes of a word; it merges with nothing.
 EDGE = 256
@@ -154,9 +156,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes,
             library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=direct, special_tokens={})
         return library.encode_ordinary(word)
 
-    for block in blocks(batches):
+    for block in blocks(batches, size=BLOCK_BYTES):
         found = cut(block.column("text"), pattern != PATTERN)
+        block = block.select(["id", "row_no"])  # the texts are numbers from here on
         words, numbers, counts = words_of(found.pieces, findall)
+        found.pieces = []
         coded = [w.encode() for w in words]
         folds = np.array([b not in direct and len(b) <= FOLD_BYTES for b in coded], bool)
         order = np.argsort(~folds, kind="stable")
@@ -171,7 +175,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes,
         yield flat(GIVEN, np.fromiter(itertools.chain.from_iterable(given), np.int32))
         yield flat(COUNTS, counts)
         yield flat(WORDS, place[numbers])
-        del words, coded, given
+        del words, coded, given, numbers
         ends = np.concatenate([[0], np.cumsum(found.counts)])
         for a, b in spans(found.counts, 1 << 18):
             docs = block.slice(a, b - a)

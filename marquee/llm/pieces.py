@@ -44,19 +44,25 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int |
             total += int(lengths[to - 1]) - before
             at = to
             if total >= size:
-                yield pa.concat_batches(held)
-                held, total = [], 0
+                block, held, total = pa.concat_batches(held), [], 0
+                yield block
+                del block
     if held:
-        yield pa.concat_batches(held)
+        block, held = pa.concat_batches(held), []
+        yield block
 
 
 def piece_starts(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Places in UTF-8 bytes where pieces start; firsts: where texts start (places of empty texts may repeat or stand at the end)."""
-    space = _SPACE[data]
     edge = np.zeros(len(data), bool)
-    np.greater(space[1:], space[:-1], out=edge[1:])
-    at = np.flatnonzero(edge)
-    at = at[_DOUBTFUL[data[at - 1]]]
+    doubtful = []
+    for part in range(0, len(data), 1 << 20):  # keeps what is made on the way small
+        first = max(0, part - 1)
+        here = data[first : part + (1 << 20)]
+        space = _SPACE[here]
+        np.greater(space[1:], space[:-1], out=edge[first + 1 : first + len(here)])
+        doubtful.append(np.flatnonzero(edge[first + 1 : first + len(here)] & _DOUBTFUL[here[:-1]]) + (first + 1))
+    at = np.concatenate(doubtful) if doubtful else np.zeros(0, np.int64)
     if len(at):
         b1, b2, b3 = data[at - 1], data[at - 2], data[at - 3]  # before the start of the data they are other bytes; a cut less does no harm
         white = b1 < 0x20

@@ -234,7 +234,7 @@ def verified(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Re
         done = np.concatenate([[0], np.cumsum(count)])
         k = 0
         while k < len(at):
-            to = max(k + 1, int(np.searchsorted(done, done[k] + 2_000_000, "right")) - 1)
+            to = max(k + 1, int(np.searchsorted(done, done[k] + 500_000, "right")) - 1)
             c = count[k:to]
             other = np.repeat(first[k:to] - (done[k:to] - done[k]), c) + np.arange(done[to] - done[k])
             left, right = fp[np.repeat(at[k:to], c)], fp[other]
@@ -595,7 +595,7 @@ def proposed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         done = np.concatenate([[0], np.cumsum(count)])
         k = 0
         while k < len(at):
-            to = max(k + 1, int(np.searchsorted(done, done[k] + 250_000, "right")) - 1)
+            to = max(k + 1, int(np.searchsorted(done, done[k] + 50_000, "right")) - 1)
             c = count[k:to]
             x = np.repeat(at[k:to], c)
             y = np.repeat(first[at[k:to]] - (done[k:to] - done[k]), c) + np.arange(done[to] - done[k])

@@ -334,7 +334,7 @@ def test_bpe_many_blocks(spark, sf):
     source = docs.select(F.col("doc_id").alias("id"), F.lit("r").alias("row_no"), "text").coalesce(1)
 
     def blocks(batches):
-        pieces.BLOCK_BYTES = 20_000
+        bpe.BLOCK_BYTES = 20_000
         parts = (b.slice(at, 5) for b in batches for at in range(0, b.num_rows, 5))
         yield from bpe._blocks(parts, public_tokenizers.PATTERN, ranks)
 
