@@ -271,3 +271,35 @@ def proxy_port(url: Column) -> Column:
 def rescale(ticks: Column, numerator: int, denominator: int) -> Column:
     """Seconds of a time stamp in units of numerator / denominator seconds."""
     return ticks * (float(numerator) / denominator)
+
+
+def decode_form(text: Column) -> Column:
+    """Form decoding that takes every text: + is a space, and so is a percent sign with two characters that are no hexadecimal digits."""
+    return F.try_url_decode(F.regexp_replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})..", "+"), "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def decode_login(text: Column) -> Column:
+    """Percent decoding that keeps +."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def query_float(url: Column, name: str) -> Column:
+    value = query_param(url, name)
+    return F.when(value.rlike("^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"), value.try_cast("double"))
+
+
+def detail_url(kind: str, key: Column) -> Column:
+    return F.concat(F.lit(f"{API_BASE}{kind}/"), key.cast("string"))
+
+
+def episode_url(show: Column, season_: Column, episode_: Column) -> Column:
+    return F.concat(detail_url("tv", show), F.lit("/season/"), season_.cast("string"), F.lit("/episode/"), episode_.cast("string"))
+
+
+#: Subtitles that are pictures, and a library's artwork.
+BITMAP_CODECS = ("hdmv_pgs_subtitle", "dvd_subtitle", "dvb_subtitle", "xsub")
+ARTWORK = {"Movies": "/assets/movies.png", "Shows": "/assets/shows.png", "Other": "/assets/other.png"}
+
+
+def artwork(kind: Column) -> Column:
+    return F.coalesce(*[F.when(kind == k, v) for k, v in ARTWORK.items()])

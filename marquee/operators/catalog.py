@@ -21,8 +21,8 @@ def library_order(libraries: DataFrame) -> DataFrame:
 
 
 def listing(items: DataFrame, title: Column) -> DataFrame:
-    """Present items by article-free title, with the sort key."""
-    return items.where("is_present = 1").withColumn("sort_key", T.title_key(title)).orderBy("library_id", "sort_key", "id")
+    """Present items with their article-free sort key; the caller sorts, if it shows them."""
+    return items.where("is_present = 1").withColumn("sort_key", T.title_key(title))
 
 
 def display_title() -> Column:
@@ -96,18 +96,33 @@ def dashboard(movies: DataFrame, shows: DataFrame, episodes: DataFrame, librarie
         return df.agg(*[F.coalesce(F.sum(own.get(k, z)), F.lit(0)).cast("long").alias(k) for k, z in zero.items()])
 
     flag = lambda c: F.when(c, 1).otherwise(0).cast("long")
-    open_ = F.expr(UNMATCHED)
-    m, s = in_libraries(movies.where("is_present = 1"), libraries), shows.where("is_present = 1")
-    s_in = in_libraries(s, libraries)
+    known = libraries.select(F.col("id").alias("library_id"), "type")
+    with_type = lambda items: items.where("is_present = 1").join(known, "library_id", "left")  # noqa: E731  items of no library keep a null type
+    open_ = F.expr(UNMATCHED) & F.col("type").isNotNull()
     parts = [
         figures(users, users=F.lit(1).cast("long")),
-        figures(m, movies=flag(F.col("type") == "Movies"), others=flag(F.col("type") == "Other"), unmatched=flag(open_)),
-        figures(movies.where("is_present = 1"), bytes=F.col("file_size")),
-        figures(s, shows=F.lit(1).cast("long")),
-        figures(s_in, unmatched=flag(open_)),
+        figures(with_type(movies), movies=flag(F.col("type") == "Movies"), others=flag(F.col("type") == "Other"), unmatched=flag(open_), bytes=F.col("file_size")),
+        figures(with_type(shows), shows=F.lit(1).cast("long"), unmatched=flag(open_)),
         figures(episodes.where("is_present = 1"), episodes=F.lit(1).cast("long"), bytes=F.col("file_size")),
     ]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionAll(p)
     return whole.agg(*[F.sum(k).cast("long").alias(k) for k in zero])
+
+
+def shows_as_json(shows: DataFrame, episodes: DataFrame) -> DataFrame:
+    """id and body: a show with its present episodes in order as one JSON object."""
+    return nested_shows(shows.select("id", F.col("title").alias("show_title")), episodes).select(
+        "id", F.to_json(F.struct("id", F.col("show_title").alias("title"), F.transform("episodes", lambda e: F.struct(e["season"].alias("season"), e["episode"].alias("episode"), e["id"].alias("id"))).alias("episodes"))).alias("body")
+    )
+
+
+def enrichment_pass(movies: DataFrame, shows: DataFrame, episodes: DataFrame, libraries: DataFrame, found: DataFrame) -> DataFrame:
+    """kind, id and tmdb_id of what one pass sets, in its order: pending movies, pending shows, then episodes of shows matched by now, this pass
+    included. found: kind, id, tmdb_id of what lookups answer; 0 where they know nothing."""
+    answer = lambda items, kind: items.join(found.where(F.col("kind") == kind).select("id", F.col("tmdb_id").alias("found")), "id", "left").select(F.lit(kind).alias("kind"), "id", F.coalesce("found", F.lit(0)).cast("long").alias("tmdb_id"))
+    m = answer(pending(movies, libraries, "Movies").select("id"), "movie")
+    s = answer(pending(shows, libraries, "Shows").select("id"), "show")
+    now = shows.select("id", "tmdb_id").join(s.select("id", F.col("tmdb_id").alias("new")), "id", "left").withColumn("tmdb_id", F.coalesce("new", "tmdb_id"))
+    return m.union(s).union(answer(pending_episodes(episodes, now).select("id"), "episode"))

@@ -20,9 +20,51 @@ def upsert_latest(state: DataFrame, events: DataFrame, keys: list[str], *order:
     return latest(state.unionByName(events.select(*state.columns)), keys, *order)
 
 
-def insert_ignore(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key is new are added."""
-    return table.unionByName(rows.join(table.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+def first_of(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """One row for each key: the first by `order`, then by all other columns. A struct minimum, so it combines before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.min(F.struct(*[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], *rest)).alias("_s"))
+    return best.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in rest]).select(*rows.columns)
+
+
+def insert_ignore(table: DataFrame, rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Rows whose key is new are added; of new rows that repeat a key the first by `order`."""
+    return table.unionByName(first_of(rows, keys, *order).join(table.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+
+
+def insert_reported(table: DataFrame, rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The new rows with `outcome`: added, or duplicate where the table or an earlier new row has the key."""
+    chosen = first_of(rows, keys, *order).join(table.select(*keys), keys, "left_anti")
+    chosen = chosen.select(*[F.col(c).alias("_c_" + c) for c in rows.columns], F.lit(True).alias("_added"))
+    same = F.lit(True)
+    for c in rows.columns:
+        same = same & F.col(c).eqNullSafe(F.col("_c_" + c))
+    return rows.join(chosen, same, "left").select(*rows.columns, F.when(F.col("_added"), "added").otherwise("duplicate").alias("outcome"))
+
+
+def insert_if_empty(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows are added if the table has none; one row of it is enough to tell."""
+    any_row = table.limit(1).select(F.lit(1).alias("_one"))
+    return table.unionByName(rows.withColumn("_one", F.lit(1)).join(any_row, "_one", "left_anti").drop("_one"), allowMissingColumns=True)
+
+
+def delete_unreferenced(table: DataFrame, where: Column, key: str, *references: DataFrame) -> DataFrame:
+    """The table after a delete that refuses rows which a reference (one column of the same name) still names."""
+    named = references[0].select(key)
+    for r in references[1:]:
+        named = named.union(r.select(key))
+    marked = table.join(named.distinct().withColumn("_named", F.lit(True)), key, "left")
+    return marked.where(~F.coalesce(where, F.lit(False)) | F.col("_named").isNotNull()).drop("_named")
+
+
+def repeated_keys(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that stand more than once, and how often."""
+    return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def dangling(table: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
+    """Rows whose key no parent has; a null key refers to nothing."""
+    return table.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")
 
 
 def update(table: DataFrame, where: Column, **values: Column) -> DataFrame:
@@ -30,9 +72,9 @@ def update(table: DataFrame, where: Column, **values: Column) -> DataFrame:
 
 
 def update_from(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key is in rows (unique there) take its other columns; the rest stay."""
+    """Rows whose key is in rows take its other columns; the rest stay. Of rows that repeat a key the greatest counts."""
     new = [c for c in rows.columns if c not in keys]
-    given = rows.select(*keys, *[F.col(c).alias("_new_" + c) for c in new], F.lit(True).alias("_hit"))
+    given = latest(rows, keys, *new).select(*keys, *[F.col(c).alias("_new_" + c) for c in new], F.lit(True).alias("_hit"))
     joined = table.join(given, keys, "left")
     return joined.withColumns({c: F.when(F.col("_hit"), F.col("_new_" + c)).otherwise(F.col(c)) for c in new}).select(*table.columns)
 
@@ -52,14 +94,15 @@ def delete(table: DataFrame, where: Column) -> DataFrame:
     return table.where(~F.coalesce(where, F.lit(False)))
 
 
-def reconcile(old: DataFrame, scan: DataFrame, keys: list[str], facts: list[str], first_new_id: int) -> DataFrame:
+def reconcile(old: DataFrame, scan: DataFrame, keys: list[str], facts: list[str], first_new_id: int, *order: str) -> DataFrame:
     """The table after a scan: what the scan saw is present with the scan's facts, what it missed is absent; ids and metadata stay.
 
+    A key that the scan repeats counts once, with its last facts by `order`, or the greatest.
     New rows get ids from first_new_id on, by the order of their keys: new keys are counted by slices of their hash, so the
     numbering runs in parallel.
     """
     o = old.withColumn("_old", F.lit(True))
-    s = scan.select(*keys, *[F.col(c).alias("_new_" + c) for c in facts]).withColumn("_seen", F.lit(True))
+    s = latest(scan.select(*dict.fromkeys([*keys, *order, *facts])), keys, *order, *[c for c in facts if c not in order]).select(*keys, *[F.col(c).alias("_new_" + c) for c in facts]).withColumn("_seen", F.lit(True))
     both = o.join(s, keys, "full_outer")
     seen, known = F.coalesce("_seen", F.lit(False)), F.coalesce("_old", F.lit(False))
     out = both.withColumns({c: F.when(seen, F.col("_new_" + c)).otherwise(F.col(c)) for c in facts}).withColumn("is_present", seen.cast("int")).withColumn("_known", known)

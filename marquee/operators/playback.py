@@ -11,13 +11,30 @@ HEARTBEAT, BEFORE = 10.0, -100.0
 
 
 def heartbeats(events: DataFrame, keys: list[str], order: list[str], value: str, step: float = HEARTBEAT) -> DataFrame:
-    """The values each key would report: those at least `step` away from the last one reported.
+    """keys, n and reported: the ordered values of each key that are at least `step` away from the one reported before, numbered from 1.
 
-    A fold over the ordered values of a session; a session is what one player sends.
+    A fold that no sum can replace, so a key's rows pass one task; they stream through it sorted, and only the last report is held.
     """
-    seq = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v")))).alias("xs"))
-    fold = F.aggregate(F.transform("xs", lambda x: x["v"]), F.array().cast("array<double>"), lambda acc, x: F.when(F.abs(x - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(BEFORE))) >= step, F.array_append(acc, x)).otherwise(acc))
-    return seq.select(*keys, fold.alias("reported"))
+
+    def fold(batches):
+        import pyarrow as pa
+
+        held, last, n = None, BEFORE, 0
+        for batch in batches:
+            out = []
+            for at, (*key, v) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                if key != held:
+                    held, last, n = key, BEFORE, 0
+                if v is not None and abs(v - last) >= step:
+                    last, n = v, n + 1
+                    out.append((at, n, v))
+            places, numbers, values = zip(*out) if out else ((), (), ())
+            chosen = batch.take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*chosen.columns[:-1], pa.array(numbers, pa.int64()), pa.array(values, pa.float64())], names=[*keys, "n", "reported"])
+
+    rows = events.select(*keys, *order, F.col(value).cast("double").alias("_v")).repartition(*keys).sortWithinPartitions(*keys, *order, "_v")
+    schema = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys) + ", n long, reported double"
+    return rows.select(*keys, "_v").mapInArrow(fold, schema)
 
 
 def monotonic(packets: DataFrame, key: str, order: str, value: str) -> DataFrame:

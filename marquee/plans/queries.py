@@ -200,10 +200,10 @@ def j09_listing_progress(c):
     return C.with_progress(c.movies.where("is_present = 1"), c.playback_progress, USER).select("id", "position", "pct")
 
 
-@query("SELECT m.id, coalesce(nullif(m.title, ''), m.clean_name) AS title, coalesce(nullif(t.title, ''), 'No description available.') AS overview FROM movies m LEFT JOIN (SELECT * FROM tmdb_results WHERE pos = 0) t ON replace(m.clean_name, '.', ' ') = t.query")
+@query("SELECT m.id, coalesce(nullif(m.title, ''), m.clean_name) AS title, coalesce(nullif(t.title, ''), 'No description available.') AS overview FROM movies m LEFT JOIN (SELECT * FROM tmdb_results WHERE pos = 0) t ON replace(regexp_replace(m.clean_name, '[.][0-9]{4}[.]1080p$', ''), '.', ' ') = t.query")
 def j10_details(c):
     t = c.tmdb_results.where("pos = 0").select("query", F.col("title").alias("found"))
-    m = c.movies.withColumn("query", F.replace("clean_name", F.lit("."), F.lit(" "))).join(t, "query", "left")
+    m = c.movies.withColumn("query", T.clean_title(F.col("clean_name"))).join(t, "query", "left")
     return m.select("id", F.coalesce(F.nullif("title", F.lit("")), "clean_name").alias("title"), F.coalesce(F.nullif("found", F.lit("")), F.lit("No description available.")).alias("overview"))
 
 
@@ -723,13 +723,197 @@ def src05_search_answers(c):
     return S.search_results(answers).select("movie", "pos", F.col("id").alias("found"), "title")
 
 
+# ---------------------------------------------------------------- lookups, scans and answers
+
+
+@query(f"SELECT a.episode_id, coalesce(p.position, 0.0) AS position FROM (SELECT DISTINCT episode_id FROM episode_playback_logs) a LEFT JOIN (SELECT * FROM episode_playback_progress WHERE username = '{USER}') p ON a.episode_id = p.episode_id")
+def q09_episode_resume(c):
+    own = c.episode_playback_progress.where(F.col("username") == USER).select("episode_id", "position")
+    return c.episode_playback_logs.select("episode_id").distinct().join(own, "episode_id", "left").select("episode_id", F.coalesce("position", F.lit(0.0)).alias("position"))
+
+
+VIDEO = "regexp_matches(lower({0}), '[.](mkv|mp4|avi|ts|webm|mov)$')"
+
+
+@query("SELECT file_path, regexp_replace(regexp_extract(file_path, '[^/]*$'), '[.][^.]*$', '') AS clean_name, file_size FROM movies WHERE " + VIDEO.format("file_path"))
+def src02_walk(c):
+    return S.movie_files(S.path_tree(c.movies))
+
+
+@query("SELECT split_part(p, '/', 1) AS show_name, substr(p, length(split_part(p, '/', 1)) + 2) AS file_path, CAST(regexp_extract(p, 'S([0-9]+)E', 1) AS INTEGER) AS season, CAST(regexp_extract(p, 'E([0-9]+)', 1) AS INTEGER) AS episode, file_size FROM (SELECT CASE WHEN id % 5 = 0 THEN file_path ELSE 'Show ' || show_id || '/' || file_path END AS p, file_size FROM episodes) x WHERE contains(p, '/')")
+def src03_two_level_walk(c):
+    """Folders are shows; a file at the top is ignored."""
+    path = F.when(F.col("id") % 5 == 0, F.col("file_path")).otherwise(F.concat(F.lit("Show "), F.col("show_id").cast("string"), F.lit("/"), "file_path"))
+    found = S.episode_files(S.path_tree(c.episodes.withColumn("file_path", path)))
+    return found.withColumnRenamed("show", "show_name").withColumns({"season": F.col("season").cast("int"), "episode": F.col("episode").cast("int")})
+
+
+@query("SELECT DISTINCT n AS name FROM (SELECT split_part(CASE WHEN id % 9 = 0 THEN '.' || file_path ELSE file_path END, '/', 1) AS n FROM movies) x WHERE n NOT LIKE '.%'")
+def src04_listing(c):
+    hidden = F.when(F.col("id") % 9 == 0, F.concat(F.lit("."), "file_path")).otherwise(F.col("file_path"))
+    return S.listing(S.path_tree(c.movies.withColumn("file_path", hidden)))
+
+
+@query("SELECT id, CASE WHEN id % 4 = 0 THEN 'NotFound' ELSE 'ok' END AS status, CASE WHEN id % 4 <> 0 THEN coalesce(title, clean_name) END AS title, CASE WHEN id % 4 <> 0 THEN id % 90 END AS runtime FROM movies")
+def src06_movie_detail(c):
+    """Answers by id; a missing one is NotFound."""
+    answers = c.movies.where("id % 4 <> 0").select("id", F.to_json(F.struct(C.display_title().alias("title"), (F.col("id") % 90).alias("runtime"), F.lit("x").alias("unknown"))).alias("body"))
+    return S.detail(c.movies.select("id"), answers, ["id"], "struct<title:string,runtime:bigint>")
+
+
+@query("SELECT id AS show_id, CAST(0 AS INTEGER) AS pos, 700000 + id AS found, title AS name, '2001-02-03' AS first_air_date FROM shows")
+def src07_show_answers(c):
+    result = F.struct((F.lit(700000) + F.col("id")).alias("id"), F.col("title").alias("name"), F.lit("2001-02-03").alias("first_air_date"))
+    answers = c.shows.select(F.col("id").alias("show_id"), F.to_json(F.struct(F.array(result).alias("results"))).alias("body"))
+    return S.search_results(answers).select("show_id", "pos", F.col("id").alias("found"), "name", "first_air_date")
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'NotFound' ELSE 'ok' END AS status, CASE WHEN id % 3 <> 0 THEN title END AS name FROM shows")
+def src08_show_detail(c):
+    answers = c.shows.where("id % 3 <> 0").select("id", F.to_json(F.struct(F.col("title").alias("name"))).alias("body"))
+    return S.detail(c.shows.select("id"), answers, ["id"], "struct<name:string>")
+
+
+@query("SELECT e.id, CASE WHEN a.show_id IS NULL THEN 'NotFound' ELSE 'ok' END AS status, 'E' || a.n AS name FROM episodes e LEFT JOIN (SELECT show_id, season, episode, min(id) AS n FROM episodes WHERE season % 2 = 0 GROUP BY show_id, season, episode) a ON e.show_id = a.show_id AND e.season = a.season AND e.episode = a.episode")
+def src09_episode_detail(c):
+    """Answers by show, season and episode."""
+    keys = ["show_id", "season", "episode"]
+    answers = c.episodes.where("season % 2 = 0").groupBy(*keys).agg(F.min("id").alias("n")).select(*keys, F.to_json(F.struct(F.concat(F.lit("E"), F.col("n").cast("string")).alias("name"))).alias("body"))
+    return S.detail(c.episodes.select("id", *keys), answers, keys, "struct<name:string>").select("id", "status", "name")
+
+
+@query("SELECT event_id AS id, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS event_type, CASE WHEN event_type NOT IN ('error', 'view') THEN event_id % 200 END AS movie_id, CASE WHEN event_type = 'view' THEN event_id % 300 END AS episode_id, CASE WHEN event_type <> 'error' THEN value END AS position FROM events")
+def src11_json_body(c):
+    """Posted watch events: movies, episodes, and bodies that are no JSON."""
+    movie = F.to_json(F.struct(F.col("event_type").alias("event"), (F.col("event_id") % 200).alias("id"), F.col("value").alias("position")))
+    episode = F.to_json(F.struct(F.col("event_type").alias("event"), (F.col("event_id") % 300).alias("episode_id"), F.col("value").alias("position")))
+    body = F.when(F.col("event_type") == "error", "{broken").when(F.col("event_type") == "view", episode).otherwise(movie)
+    return S.watch_events(c.base("events").select(F.col("event_id").alias("id"), body.alias("body"))).drop("duration")
+
+
+@query("SELECT s.id, '{\"id\":' || s.id || ',\"title\":\"' || s.title || '\",\"episodes\":[' || coalesce(e.body, '') || ']}' AS body FROM shows s LEFT JOIN (SELECT show_id, string_agg('{\"season\":' || season || ',\"episode\":' || episode || ',\"id\":' || id || '}', ',' ORDER BY season, episode, id) AS body FROM episodes WHERE is_present = 1 GROUP BY show_id) e ON s.id = e.show_id")
+def snk2_show_json(c):
+    return C.shows_as_json(c.shows, c.episodes)
+
+
+@query("SELECT show_id, season, string_agg(cast(episode as varchar), ',' ORDER BY episode, id) AS episodes FROM episodes WHERE is_present = 1 GROUP BY show_id, season")
+def a13_season_lists(c):
+    """The ordered episodes of each season, of which a header and its cards are made."""
+    listed = F.array_sort(F.collect_list(F.struct("episode", "id")))
+    return c.episodes.where("is_present = 1").groupBy("show_id", "season").agg(F.array_join(F.transform(listed, lambda e: e["episode"].cast("string")), ",").alias("episodes"))
+
+
+@query("SELECT 'filled' AS state, count(*) AS n, count(*) FILTER (username = 'admin') AS admins FROM users UNION ALL SELECT 'empty', 1, 1")
+def a12_first_user(c):
+    """An admin is added to an empty table of users, and to no other."""
+    users = c.users.select("username")
+    admin = users.limit(1).select(F.lit("admin").alias("username"))
+    count = lambda df, state: df.agg(F.lit(state).alias("state"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("username") == "admin", 1)).alias("admins"))
+    return count(M.insert_if_empty(users, admin), "filled").union(count(M.insert_if_empty(users.where("username is null"), admin), "empty"))
+
+
+NEW_USERS = "select s_suppkey as id, s_name as username from supplier union all select 1000000 + s_suppkey, s_name from supplier where s_suppkey % 5 = 0 union all select 2000000 + c_custkey, c_name from customer where c_custkey % 9 = 0"
+
+
+@query(f"SELECT n.id, n.username, CASE WHEN u.username IS NOT NULL OR row_number() OVER (PARTITION BY n.username ORDER BY n.id) > 1 THEN 'duplicate' ELSE 'added' END AS outcome FROM ({NEW_USERS}) n LEFT JOIN users u ON n.username = u.username")
+def d02_insert_users(c):
+    """New users, some of whose names are taken by the table or by each other: those are reported."""
+    return M.insert_reported(c.users.select("id", "username"), c.sql(NEW_USERS), ["username"], "id")
+
+
+@query(f"SELECT username, min(id) AS id FROM (SELECT id, username FROM users UNION ALL SELECT n.id, n.username FROM ({NEW_USERS}) n WHERE n.username NOT IN (SELECT username FROM users)) x GROUP BY username")
+def set2_repeated_keys(c):
+    """Of new rows that repeat a key the first is added."""
+    return M.insert_ignore(c.users.select("username", "id"), c.sql(NEW_USERS).select("username", "id"), ["username"], "id")
+
+
+@query("SELECT id, username FROM users u WHERE NOT (id % 2 = 0) OR username IN (SELECT username FROM sessions)")
+def d17_delete_users(c):
+    """A user who still has sessions stays."""
+    return M.delete_unreferenced(c.users.select("id", "username"), F.col("id") % 2 == 0, "username", c.sessions).select("id", "username")
+
+
+@query("SELECT username, movie_id, position FROM playback_progress WHERE NOT (movie_id % 10 = 3)")
+def d17_delete_progress(c):
+    return M.delete(c.playback_progress, F.col("movie_id") % 10 == 3).select("username", "movie_id", "position")
+
+
+@query("SELECT 'unique' AS broken, username AS who, count(*) AS n FROM login_logs GROUP BY username HAVING count(*) > 1 UNION ALL SELECT 'reference', l.username, count(*) FROM login_logs l WHERE l.username NOT IN (SELECT username FROM users) GROUP BY l.username UNION ALL SELECT 'not null', cast(id as varchar), 1 FROM movies WHERE tmdb_id IS NULL")
+def d20_keys(c):
+    """UNIQUE, foreign key and NOT NULL as queries for the rows that break them."""
+    repeated = M.repeated_keys(c.login_logs, ["username"]).select(F.lit("unique").alias("broken"), F.col("username").alias("who"), "n")
+    lost = M.dangling(c.login_logs, "username", c.users, "username").groupBy("username").agg(F.count(F.lit(1)).alias("n")).select(F.lit("reference"), "username", "n")
+    empty = M.violations(c.movies, {"not null": F.col("tmdb_id").isNotNull()}).select("broken", F.col("id").cast("string"), F.lit(1).cast("long"))
+    return repeated.union(lost).union(empty)
+
+
+@query("SELECT id, username, status FROM login_logs UNION ALL SELECT 90000000 + id, username, 'success' FROM users WHERE is_admin = 1")
+def d04_append_logs(c):
+    new = c.users.where("is_admin = 1").select((F.lit(90000000) + F.col("id")).alias("id"), "username", F.lit("success").alias("status"))
+    return M.insert(c.login_logs.select("id", "username", "status"), new, {})
+
+
+@query("SELECT l.id, count(m.id) FILTER (m.tmdb_id > 0) AS resolved, count(m.id) FILTER (m.tmdb_id IS NULL) AS pending FROM libraries l LEFT JOIN (SELECT id, library_id, tmdb_id FROM movies WHERE is_present = 1 UNION ALL SELECT id, library_id, tmdb_id FROM shows WHERE is_present = 1) m ON l.id = m.library_id GROUP BY l.id")
+def t06_update_snapshot(c):
+    """What a client that polls gets of each library: how much is resolved, and how much it still waits for."""
+    items = c.movies.where("is_present = 1").select("library_id", "tmdb_id").unionAll(c.shows.where("is_present = 1").select("library_id", "tmdb_id"))
+    counts = items.groupBy(F.col("library_id").alias("id")).agg(F.count(F.when(q(C.MATCHED), 1)).alias("resolved"), F.count(F.when(q(C.PENDING), 1)).alias("pending"))
+    return c.libraries.select("id").join(counts, "id", "left").select("id", F.coalesce("resolved", F.lit(0)).alias("resolved"), F.coalesce("pending", F.lit(0)).alias("pending"))
+
+
+FOUND = "select 'movie' as kind, id, 800000 + id as tmdb_id from movies where id % 3 = 0 union all select 'show', id, 900000 + id from shows where id % 3 <> 0 union all select 'episode', id, 1000000 + id from episodes where id % 2 = 0"
+
+
+@query(f"SELECT * FROM (WITH found AS ({FOUND}), m AS (SELECT 'movie' AS kind, m.id FROM movies m JOIN libraries l ON m.library_id = l.id WHERE m.is_present = 1 AND m.tmdb_id IS NULL AND l.type = 'Movies'), s AS (SELECT 'show' AS kind, s.id FROM shows s JOIN libraries l ON s.library_id = l.id WHERE s.is_present = 1 AND s.tmdb_id IS NULL AND l.type = 'Shows'), e AS (SELECT 'episode' AS kind, e.id FROM episodes e JOIN shows s ON e.show_id = s.id LEFT JOIN s n ON s.id = n.id LEFT JOIN found f ON f.kind = 'show' AND f.id = s.id WHERE e.is_present = 1 AND e.tmdb_id IS NULL AND CASE WHEN n.id IS NOT NULL THEN coalesce(f.tmdb_id, 0) ELSE s.tmdb_id END > 0) SELECT a.kind, a.id, coalesce(f.tmdb_id, 0) AS tmdb_id FROM (SELECT * FROM m UNION ALL SELECT * FROM s UNION ALL SELECT * FROM e) a LEFT JOIN found f ON a.kind = f.kind AND a.id = f.id) t")
+def t05_enrichment_pass(c):
+    """Movies, shows, then episodes: a show that this pass matches frees its episodes."""
+    return C.enrichment_pass(c.movies, c.shows, c.episodes, c.libraries, c.sql(FOUND))
+
+
+@query("SELECT id, username || ' x+%' AS form, username || '+x' AS login FROM users")
+def s18_variants(c):
+    name = T.percent_encode(F.col("username"))
+    return c.users.select("id", T.decode_form(F.concat(name, F.lit("+x%2B%"))).alias("form"), T.decode_login(F.concat(name, F.lit("+x"))).alias("login"))
+
+
+@query("SELECT id, CASE WHEN id % 5 = 0 THEN NULL ELSE id / 4.0e0 END AS t FROM movies")
+def s23_query_float(c):
+    url = F.concat(F.lit("/stream?id="), F.col("id").cast("string"), F.lit("&t="), F.when(F.col("id") % 5 == 0, "1.5x").otherwise((F.col("id") / 4).cast("string")), F.lit("&t=7"))
+    return c.movies.select("id", T.query_float(url, "t").alias("t"))
+
+
+@query(f"SELECT id, '{T.API_BASE}tv/' || show_id || '/season/' || season || '/episode/' || episode AS episode, '{T.API_BASE}tv/' || show_id AS show_url, '{T.IMAGE_BASE}w500/' || file_path AS image FROM episodes")
+def s31_detail_urls(c):
+    return c.episodes.select("id", T.episode_url(F.col("show_id"), F.col("season"), F.col("episode")).alias("episode"), T.detail_url("tv", F.col("show_id")).alias("show_url"), T.image_url(F.concat(F.lit("/"), "file_path")).alias("image"))
+
+
+@query("SELECT id, CASE type WHEN 'Movies' THEN '/assets/movies.png' WHEN 'Shows' THEN '/assets/shows.png' ELSE '/assets/other.png' END AS image FROM libraries")
+def s34_artwork(c):
+    return c.libraries.select("id", T.artwork(F.col("type")).alias("image"))
+
+
+@query("SELECT id, CASE WHEN file_path LIKE '%.mkv' AND id % 2 = 0 THEN 'video/mp4' ELSE 'video/x-matroska' END AS kind FROM movies")
+def s34_content_type(c):
+    """By the suffix, whatever its case."""
+    return c.movies.select("id", T.content_type(F.when(F.col("id") % 2 == 0, F.replace("file_path", F.lit(".mkv"), F.lit(".MP4"))).otherwise(F.upper("file_path"))).alias("kind"))
+
+
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN CASE WHEN id % 4 = 0 THEN 'Forced ' || id ELSE coalesce(title, clean_name) || ' (Forced)' END ELSE coalesce(title, clean_name) END AS label FROM movies WHERE id % 3 <> 0")
+def s30_text_tracks(c):
+    """Picture subtitles are left out; a label that says so already gets no second mark."""
+    codec = F.when(F.col("id") % 3 == 0, F.element_at(F.array(*map(F.lit, T.BITMAP_CODECS)), (F.col("id") % len(T.BITMAP_CODECS) + 1).cast("int"))).otherwise("subrip")
+    title = F.when(F.col("id") % 4 == 0, F.concat(F.lit("Forced "), F.col("id").cast("string"))).otherwise(C.display_title())
+    tracks = c.movies.withColumn("codec", codec).where(~F.col("codec").isin(*T.BITMAP_CODECS))
+    return tracks.select("id", T.track_label(title, F.lit(None).cast("string"), F.lit("Track"), F.col("id") % 2 == 0).alias("label"))
+
+
 # ---------------------------------------------------------------- streams
 
 
 @query("WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), r AS (SELECT user_id, n, value AS last, 1 AS k FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.n, CASE WHEN abs(o.value - r.last) >= 10 THEN o.value ELSE r.last END, r.k + CASE WHEN abs(o.value - r.last) >= 10 THEN 1 ELSE 0 END FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1) SELECT user_id, CAST(max(k) AS INTEGER) AS reports, arg_max(last, n) AS last FROM r GROUP BY user_id")
 def t02_heartbeat(c):
     found = P.heartbeats(c.events, ["user_id"], ["ts", "event_id"], "value")
-    return found.select("user_id", F.size("reported").alias("reports"), F.try_element_at("reported", F.lit(-1)).alias("last"))
+    return found.groupBy("user_id").agg(F.count("*").cast("int").alias("reports"), F.max_by("reported", "n").alias("last"))
 
 
 @query("SELECT username, movie_id, position, duration FROM playback_progress")

@@ -9,13 +9,15 @@ from marquee.functions import text as T
 
 #: The lookup service's answers; unknown fields are ignored.
 SEARCH = "struct<results:array<struct<id:bigint,title:string,name:string,overview:string,poster_path:string,backdrop_path:string,release_date:string,first_air_date:string>>>"
+#: A watch event as a player posts it.
 WATCH_EVENT = "struct<id:bigint,movie_id:bigint,episode_id:bigint,event:string,position:double,duration:double>"
 
 
 def file_tree(spark: SparkSession, root: str) -> DataFrame:
     """rel_path, basename and size of every file below root; contents are never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"))
-    rel = F.expr(f"substr(path, locate('{root.rstrip('/').removeprefix('file:').rstrip('/')}/', path) + {len(root.rstrip('/').removeprefix('file:')) + 1})")
+    folder = root.removeprefix("file:").rstrip("/") + "/"
+    rel = F.substring("path", F.instr("path", folder) + len(folder), F.length("path"))
     return files.select(rel.alias("rel_path"), T.basename(F.col("path")).alias("basename"), "size")
 
 
@@ -45,3 +47,21 @@ def form_value(body: Column, name: str, last: bool = True) -> Column:
     """A field of a form-encoded body; the last or the first of repeated names; null if absent."""
     hits = F.filter(F.split(body, "&"), lambda p: p.startswith(name + "="))
     return F.try_url_decode(F.substring(F.try_element_at(hits, F.lit(-1 if last else 1)), len(name) + 2, 1 << 30))
+
+
+def path_tree(items: DataFrame, path: str = "file_path", size: str = "file_size") -> DataFrame:
+    """A table of relative paths in the shape of file_tree()."""
+    return items.select(F.col(path).alias("rel_path"), T.basename(F.col(path)).alias("basename"), F.col(size).alias("size"))
+
+
+def detail(items: DataFrame, answers: DataFrame, keys: list[str], fields: str, body: str = "body") -> DataFrame:
+    """Items with the fields of the answer of their keys, and `status`: NotFound where there is none or it cannot be read."""
+    read = answers.select(*keys, F.from_json(body, fields).alias("_d"))
+    return items.join(read, keys, "left").select(*items.columns, F.when(F.col("_d").isNull(), "NotFound").otherwise("ok").alias("status"), "_d.*")
+
+
+def watch_events(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """Posted JSON bodies as events: event_type, movie_id (or id), episode_id, position and duration; a body that is no JSON has no fields."""
+    read = bodies.withColumn("_e", F.from_json(body, WATCH_EVENT))
+    item = F.when(F.col("_e.episode_id").isNull(), F.coalesce("_e.movie_id", "_e.id"))
+    return read.select(*[c for c in bodies.columns if c != body], F.col("_e.event").alias("event_type"), item.alias("movie_id"), "_e.episode_id", "_e.position", "_e.duration")

@@ -17,19 +17,29 @@ def valid_events(raw: DataFrame) -> DataFrame:
 
 
 class LatestState:
-    """foreachBatch sink: merges each micro-batch into a new version of the state; a batch that is repeated after a failure changes nothing."""
+    """foreachBatch sink: merges each micro-batch into a new version of the state below `root`.
 
-    def __init__(self, spark: SparkSession, keys: list[str], order: tuple[str, ...], name: str = "state"):
-        self.spark, self.keys, self.order, self.name, self.path = spark, keys, order, name, None
+    Versions are named by their batch, and Parquet marks a whole one with _SUCCESS. So a new instance on the same root goes on from what
+    was written, and a batch that is repeated after a failure starts from the version before it and changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, keys: list[str], order: tuple[str, ...], name: str = "state", root: str | None = None):
+        self.spark, self.keys, self.order = spark, keys, order
+        self.root = root or scratch_path(spark, name)
+
+    def versions(self) -> list[int]:
+        """Batches with a whole version, ascending."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/batch-*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        return sorted(int(str(f.getPath().getParent().getName()).removeprefix("batch-")) for f in found or [])
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        state = batch.limit(0) if self.path is None else batch.sparkSession.read.parquet(self.path)
-        path = scratch_path(self.spark, f"{self.name}-{epoch}")
-        upsert_latest(state, batch, self.keys, *self.order).write.parquet(path)
-        self.path = path
+        before = [v for v in self.versions() if v < epoch]
+        state = batch.sparkSession.read.parquet(f"{self.root}/batch-{before[-1]}") if before else batch.limit(0)
+        upsert_latest(state, batch, self.keys, *self.order).write.mode("overwrite").parquet(f"{self.root}/batch-{epoch}")
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.parquet(f"{self.root}/batch-{self.versions()[-1]}")
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, like: DataFrame, files: int = 4) -> DataFrame:
@@ -40,9 +50,9 @@ def table_stream(spark: SparkSession, folder: str, name: str, like: DataFrame, f
     return reader.parquet(f"{folder}/{name}.parquet")
 
 
-def run_available(stream: DataFrame, sink) -> None:
-    """All that is there now, then stop."""
-    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(stream.sparkSession, "progress")).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, sink, checkpoint: str | None = None) -> None:
+    """All that is there now, then stop; with the checkpoint of an earlier run only what came since."""
+    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint or scratch_path(stream.sparkSession, "progress")).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
