@@ -50,6 +50,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int |
     if held:
         block, held = pa.concat_batches(held), []
         yield block
+        del block
+    pa.default_memory_pool().release_unused()  # the worker may wait for its next task for long
 
 
 def piece_starts(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
