@@ -700,6 +700,10 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, simi
 # ---------------------------------------------------------------- classes
 
 
+#: Links of a node from which on its rows may be too many for one task's join.
+HUB = 1000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node of its component) for every node of the links a > b.
 
@@ -711,7 +715,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = seen.select("a", "b").union(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = join_counted(both, low, ["a"], "n", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        most = both.groupBy("a").count().agg(F.max("count")).first()[0] or 0
+        joined = join_counted(both, low, ["a"], "n", 2 * total) if most > HUB and most * HOT > 2 * total else both.join(low, "a")
+        large = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         last, seen = seen, materialise(small, "links")
@@ -765,9 +771,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = by_bits.union(partner.join(by_bits.select("a"), "a", "left_anti").select("a", "b"))
     near = materialise(alike(pairs, nodes, texts, words, similarity), "near")
     rest = materialise(not_far(open_pairs(found, nodes, components(near), similarity), nodes, similarity), "open")
-    # one pair for each set first: what that connects needs no more pairs
-    near = near.union(materialise(alike(rest.groupBy("a").agg(F.min("b").alias("b")), nodes, texts, words, similarity), "near"))
-    rest = in_different(rest, components(near))
-    roots = components(near.union(alike(rest, nodes, texts, words, similarity)))
+    if not rest.isEmpty():
+        # one pair for each set first: what that connects needs no more pairs
+        near = near.union(materialise(alike(rest.groupBy("a").agg(F.min("b").alias("b")), nodes, texts, words, similarity), "near"))
+        rest = in_different(rest, components(near))
+        near = near.union(alike(rest, nodes, texts, words, similarity))
+    roots = components(near)
     kept = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     return keep_rows(rows, row, kept.select(F.col("first.row_no").alias(row)))
