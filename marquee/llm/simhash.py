@@ -25,7 +25,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from marquee.llm.common import HOT, discard, join_counted, keep_rows, materialise, text_or_empty, with_row_ids
@@ -674,7 +674,7 @@ def verified_sets(batches: Iterator[pa.RecordBatch], similarity: float) -> Itera
 def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs a, b of nodes (see shingle_sets()) whose texts (row_no, text) have shingle sets of at least that Jaccard similarity.
 
-    Every b is a hub: its set and those of its partners are sent to one place, or to several if it has very many.
+    Pairs come best through not_far(). Every b is a hub: its set and those of its partners are sent to one place, or to several if it has very many.
     """
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -685,7 +685,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, simi
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["hub", "slice", "member", "node", "shingles"])
 
-    pairs = materialise(not_far(pairs, nodes, similarity), "pairs")
+    pairs = materialise(pairs, "pairs")
     total = pairs.count()
     big = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") * HOT > total).select("b", F.ceil(F.col("n") / BLOCK_ROWS).alias("slices"))  # fewer than HOT
     dealt = pairs.join(F.broadcast(big), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("slices", F.lit(1))).cast("int").alias("slice"))
@@ -704,28 +704,37 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, simi
 HUB = 1000
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def link_figures(edges: DataFrame) -> Row:
+    """n (twice the links, null if there are none), h (a sum of their hashes) and most (links of one node)."""
+    each = both_ways(edges).groupBy("a").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+    return each.agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.max("n").alias("most")).first()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (smallest node of its component) for every node of the links a > b.
+    """node, root (smallest node of its component) for every node of the links a > b but the roots.
 
     Alternating large-star and small-star steps; each round is a minimum by node (combined before the
     shuffle) and a join back, written to the shared folder. Hubs of very many links are joined without a shuffle.
     """
     seen = materialise(edges.select("a", "b"), "links")
-    mark, total = None, seen.count()
-    while True:
-        both = seen.select("a", "b").union(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    mark = link_figures(seen)
+    while mark.n:
+        both = both_ways(seen)
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        most = both.groupBy("a").count().agg(F.max("count")).first()[0] or 0
-        joined = join_counted(both, low, ["a"], "n", 2 * total) if most > HUB and most * HOT > 2 * total else both.join(low, "a")
+        joined = join_counted(both, low, ["a"], "n", mark.n) if mark.most > HUB and mark.most * HOT > mark.n else both.join(low, "a")
         large = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         last, seen = seen, materialise(small, "links")
-        now = seen.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         discard(last)
-        if mark == now:
-            return seen.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark, total = now, now.n
+        before, mark = mark, link_figures(seen)
+        if before == mark:
+            break
+    return seen.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, parts: int = 4) -> DataFrame:
@@ -769,13 +778,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     together = found.where("first is not null").groupBy("node", "first").agg(F.count("*").alias("n"))
     partner = together.groupBy(F.col("node").alias("a")).agg(F.max_by("first", F.struct("n", "first")).alias("b"))
     pairs = by_bits.union(partner.join(by_bits.select("a"), "a", "left_anti").select("a", "b"))
-    near = materialise(alike(pairs, nodes, texts, words, similarity), "near")
-    rest = materialise(not_far(open_pairs(found, nodes, components(near), similarity), nodes, similarity), "open")
+    roots = components(alike(not_far(pairs, nodes, similarity), nodes, texts, words, similarity))
+    rest = materialise(not_far(open_pairs(found, nodes, roots, similarity), nodes, similarity), "open")
     if not rest.isEmpty():
-        # one pair for each set first: what that connects needs no more pairs
-        near = near.union(materialise(alike(rest.groupBy("a").agg(F.min("b").alias("b")), nodes, texts, words, similarity), "near"))
-        rest = in_different(rest, components(near))
-        near = near.union(alike(rest, nodes, texts, words, similarity))
-    roots = components(near)
+        # one pair for each set first: what that connects needs no more pairs; rounds go on from the stars of earlier ones
+        star = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(star(roots).union(alike(rest.groupBy("a").agg(F.min("b").alias("b")), nodes, texts, words, similarity)))
+        roots = components(star(roots).union(alike(in_different(rest, roots), nodes, texts, words, similarity)))
     kept = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     return keep_rows(rows, row, kept.select(F.col("first.row_no").alias(row)))
