@@ -32,15 +32,27 @@ ENTITIES = (
 )
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unescaped(text: Column) -> Column:
     """Entities as characters: those by number, then the common names, the ampersand last."""
+    return once(once(text, numbered), named)
+
+
+def numbered(text: Column) -> Column:
     parts = F.split(text, r"(?=&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)")
     number = lambda p: F.when(F.rlike(p, F.lit("^&#[xX]")), F.conv(F.regexp_extract(p, "^&#[xX]([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(p, "^&#([0-9]+);", 1)).cast("int")
     one = lambda p: F.when(
         F.rlike(p, F.lit("^&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});")) & number(p).between(1, 0x10FFFF) & ~number(p).between(0xD800, 0xDFFF),
         F.concat(F.decode(F.unhex(F.lpad(F.hex(number(p)), 8, "0")), "UTF-32"), F.substring_index(p, ";", -(1 << 30)).substr(F.instr(p, ";") + 1, F.length(p))),
     ).otherwise(p)
-    text = F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(parts, one), "")).otherwise(text)
+    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
+def named(text: Column) -> Column:
     names = text
     for entity, char in ENTITIES[:-1]:
         names = F.replace(names, F.lit(entity), F.lit(char))
