@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, chat, counting, exactdedup, mixing, quality, simhash, tokenfile, vptree, warc
+from marquee.llm import bpe, chat, counting, exactdedup, htmltext, merkle, mixing, phrases, quality, simhash, tokenfile, vptree, warc
 from marquee.llm.common import materialise, table
 
 #: Where vocabulary files are; a function of a file name.
@@ -105,10 +105,34 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Letters that the tampering of op11 lower-cases.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    found = merkle.leaves(docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang", chosen, {"text": F.translate("text", UPPER, LOWER)})
+    layers, paths, root = merkle.manifest(found)
+    # the version of a tree of one leaf is that leaf
+    own_root = F.coalesce(F.element_at("copied", -1), F.coalesce("tampered", "leaf"))
+    made = merkle.versions(layers, paths).select("*", F.lit(root).alias("root"), own_root.alias("folded_root"))
+    return made.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmltext.main_texts(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_tokenfile, op3_warc, op4_exactdedup, op5_mixing, op6_bpe, op7_counting, op8_vptree, op9_quality, op10_chat, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_tokenfile, op3_warc, op4_exactdedup, op5_mixing, op6_bpe, op7_counting, op8_vptree, op9_quality, op10_chat, op11_merkle, op12_htmltext, op13_phrases, pipeline)}
