@@ -46,10 +46,15 @@ def pending_episodes(episodes: DataFrame, shows: DataFrame) -> DataFrame:
 
 
 def unmatched(movies: DataFrame, shows: DataFrame, libraries: DataFrame) -> DataFrame:
-    """Unmatched movies, then unmatched shows, each by name."""
-    known = libraries.select(F.col("id").alias("library_id"))
-    part = lambda df, kind, name: df.where(f"is_present = 1 and ({UNMATCHED})").join(known, "library_id").select(F.lit(kind).alias("item_type"), "id", F.col(name).alias("name"))
-    return part(movies, "movie", "clean_name").unionAll(part(shows, "show", "title")).orderBy("item_type", "name", "id")
+    """Unmatched movies of Movies libraries by file name, then unmatched shows of Shows libraries by title; items in a library of another type are not asked for."""
+    known = libraries.select(F.col("id").alias("library_id"), F.col("name").alias("library_name"), F.col("type").alias("library_type"))
+
+    def part(items: DataFrame, kind: str, type_: str, title: Column, path: str, order: str) -> DataFrame:
+        found = items.where(f"is_present = 1 and ({UNMATCHED})").join(known.where(F.col("library_type") == type_), "library_id")
+        return found.select(F.lit(kind).alias("item_type"), "id", F.col(order).alias("name"), title.alias("title"), F.col(path).alias("path"), "library_name", "library_type")
+
+    both = part(movies, "movie", "Movies", display_title(), "file_path", "clean_name").unionAll(part(shows, "show", "Shows", F.col("title"), "path", "title"))
+    return both.orderBy("item_type", "name", "id")
 
 
 def with_progress(movies: DataFrame, progress: DataFrame, username: str) -> DataFrame:
@@ -98,11 +103,11 @@ def dashboard(movies: DataFrame, shows: DataFrame, episodes: DataFrame, librarie
     flag = lambda c: F.when(c, 1).otherwise(0).cast("long")
     known = libraries.select(F.col("id").alias("library_id"), "type")
     with_type = lambda items: items.where("is_present = 1").join(known, "library_id", "left")  # noqa: E731  items of no library keep a null type
-    open_ = F.expr(UNMATCHED) & F.col("type").isNotNull()
+    open_ = lambda kind: flag(F.expr(UNMATCHED) & (F.col("type") == kind))
     parts = [
         figures(users, users=F.lit(1).cast("long")),
-        figures(with_type(movies), movies=flag(F.col("type") == "Movies"), others=flag(F.col("type") == "Other"), unmatched=flag(open_), bytes=F.col("file_size")),
-        figures(with_type(shows), shows=F.lit(1).cast("long"), unmatched=flag(open_)),
+        figures(with_type(movies), movies=flag(F.col("type") == "Movies"), others=flag(F.col("type") == "Other"), unmatched=open_("Movies"), bytes=F.col("file_size")),
+        figures(with_type(shows), shows=F.lit(1).cast("long"), unmatched=open_("Shows")),
         figures(episodes.where("is_present = 1"), episodes=F.lit(1).cast("long"), bytes=F.col("file_size")),
     ]
     whole = parts[0]
@@ -119,10 +124,24 @@ def shows_as_json(shows: DataFrame, episodes: DataFrame) -> DataFrame:
 
 
 def enrichment_pass(movies: DataFrame, shows: DataFrame, episodes: DataFrame, libraries: DataFrame, found: DataFrame) -> DataFrame:
-    """kind, id and tmdb_id of what one pass sets, in its order: pending movies, pending shows, then episodes of shows matched by now, this pass
-    included. found: kind, id, tmdb_id of what lookups answer; 0 where they know nothing."""
-    answer = lambda items, kind: items.join(found.where(F.col("kind") == kind).select("id", F.col("tmdb_id").alias("found")), "id", "left").select(F.lit(kind).alias("kind"), "id", F.coalesce("found", F.lit(0)).cast("long").alias("tmdb_id"))
+    """kind, id and tmdb_id of what one pass asks for, in its order: pending movies, pending shows, then episodes of shows matched by now, this pass
+    included. found: kind, id, tmdb_id of the answers that came: a match, or 0 where the service knows nothing. An item without an answer, because its
+    lookup failed, has a null tmdb_id: it stays pending."""
+    answer = lambda items, kind: items.join(found.where(F.col("kind") == kind).select("id", F.col("tmdb_id").cast("long").alias("tmdb_id")), "id", "left").select(F.lit(kind).alias("kind"), "id", "tmdb_id")
     m = answer(pending(movies, libraries, "Movies").select("id"), "movie")
     s = answer(pending(shows, libraries, "Shows").select("id"), "show")
     now = shows.select("id", "tmdb_id").join(s.select("id", F.col("tmdb_id").alias("new")), "id", "left").withColumn("tmdb_id", F.coalesce("new", "tmdb_id"))
     return m.union(s).union(answer(pending_episodes(episodes, now).select("id"), "episode"))
+
+
+def updates(items: DataFrame, libraries: DataFrame, kind_is_shows: bool, title: Column, poster: Column) -> DataFrame:
+    """What a client that polls gets of libraries of one kind: each resolved item (looked up, with or without a match) and how many are still waiting.
+
+    Rows: library_id, remaining_pending, id, tmdb_id, title, poster_path; a library without resolved items has one row with a null id.
+    """
+    asked = libraries.where((F.col("type") == "Shows") if kind_is_shows else (F.col("type") != "Shows")).select(F.col("id").alias("library_id"))
+    present = items.where("is_present = 1")
+    waiting = present.where(PENDING).groupBy("library_id").agg(F.count(F.lit(1)).alias("_n"))
+    resolved = present.where("tmdb_id is not null").select("library_id", "id", "tmdb_id", F.coalesce(title, F.lit("")).alias("title"), poster.alias("poster_path"))
+    heads = asked.join(waiting, "library_id", "left").select("library_id", F.coalesce("_n", F.lit(0)).alias("remaining_pending"))  # one row a library
+    return heads.join(resolved, "library_id", "left")

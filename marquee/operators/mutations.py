@@ -1,6 +1,6 @@
 """Writes as functions: each takes the table as it is and returns the table as it will be.
 
-Parquet tables have no UPDATE; the result is written to a new place and the pointer moved.
+Parquet tables have no UPDATE; marquee.sources.versions writes such results as a new version and moves the pointer to it last.
 """
 
 from __future__ import annotations
@@ -28,18 +28,32 @@ def first_of(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
 
 def insert_ignore(table: DataFrame, rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """Rows whose key is new are added; of new rows that repeat a key the first by `order`."""
-    return table.unionByName(first_of(rows, keys, *order).join(table.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    """Rows whose key is new are added; of new rows that repeat a key the first by `order`. A key with a null repeats no other: all such rows are added."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    added = first_of(rows.where(known), keys, *order).join(table.select(*keys), keys, "left_anti").unionByName(rows.where(~known))
+    return table.unionByName(added, allowMissingColumns=True)
 
 
 def insert_reported(table: DataFrame, rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """The new rows with `outcome`: added, or duplicate where the table or an earlier new row has the key."""
-    chosen = first_of(rows, keys, *order).join(table.select(*keys), keys, "left_anti")
-    chosen = chosen.select(*[F.col(c).alias("_c_" + c) for c in rows.columns], F.lit(True).alias("_added"))
+    """The new rows with `outcome`: added, or duplicate where the table or an earlier new row has the key; also of rows that are alike in all columns one is added.
+
+    Rows alike in all columns are counted first, so one row of each kind goes through the join; a key with a null repeats no other.
+    """
+    kinds = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    chosen = first_of(kinds.where(known).drop("_n"), keys, *order).join(table.select(*keys), keys, "left_anti")
+    chosen = chosen.select(*[F.col(c).alias("_c_" + c) for c in rows.columns], F.lit(1).alias("_first"))
     same = F.lit(True)
     for c in rows.columns:
         same = same & F.col(c).eqNullSafe(F.col("_c_" + c))
-    return rows.join(chosen, same, "left").select(*rows.columns, F.when(F.col("_added"), "added").otherwise("duplicate").alias("outcome"))
+    added = F.when(~known, F.col("_n")).otherwise(F.coalesce("_first", F.lit(0)))
+    marked = kinds.join(chosen, same, "left").withColumn("_added", added)
+    outcomes = F.concat(F.array_repeat(F.lit("added"), F.col("_added").cast("int")), F.array_repeat(F.lit("duplicate"), (F.col("_n") - F.col("_added")).cast("int")))
+    return marked.select(*rows.columns, F.explode(outcomes).alias("outcome"))
 
 
 def insert_if_empty(table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -94,8 +108,9 @@ def delete(table: DataFrame, where: Column) -> DataFrame:
     return table.where(~F.coalesce(where, F.lit(False)))
 
 
-def reconcile(old: DataFrame, scan: DataFrame, keys: list[str], facts: list[str], first_new_id: int, *order: str) -> DataFrame:
-    """The table after a scan: what the scan saw is present with the scan's facts, what it missed is absent; ids and metadata stay.
+def reconcile(old: DataFrame, scan: DataFrame, keys: list[str], facts: list[str], first_new_id: int, *order: str, only_changes: bool = False) -> DataFrame:
+    """The table after a scan: what the scan saw is present with the scan's facts, what it missed is absent; ids and metadata stay. only_changes: of it
+    the rows that are new or not what they were.
 
     A key that the scan repeats counts once, with its last facts by `order`, or the greatest.
     New rows get ids from first_new_id on, by the order of their keys: new keys are counted by slices of their hash, so the
@@ -105,7 +120,14 @@ def reconcile(old: DataFrame, scan: DataFrame, keys: list[str], facts: list[str]
     s = latest(scan.select(*dict.fromkeys([*keys, *order, *facts])), keys, *order, *[c for c in facts if c not in order]).select(*keys, *[F.col(c).alias("_new_" + c) for c in facts]).withColumn("_seen", F.lit(True))
     both = o.join(s, keys, "full_outer")
     seen, known = F.coalesce("_seen", F.lit(False)), F.coalesce("_old", F.lit(False))
+    if only_changes:
+        both = both.withColumns({"_was_" + c: F.col(c) for c in facts} | {"_was_present": F.col("is_present")})
     out = both.withColumns({c: F.when(seen, F.col("_new_" + c)).otherwise(F.col(c)) for c in facts}).withColumn("is_present", seen.cast("int")).withColumn("_known", known)
+    if only_changes:
+        same = known & (F.col("_was_present") == F.col("is_present"))
+        for c in facts:
+            same = same & F.when(seen, F.col("_was_" + c).eqNullSafe(F.col(c))).otherwise(True)
+        out = out.where(~same)
     return number_new(out.drop("_old", "_seen", *["_new_" + c for c in facts]), keys, first_new_id).select(*old.columns)
 
 

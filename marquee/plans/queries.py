@@ -12,9 +12,13 @@ from marquee.functions import text as T
 from marquee.operators import catalog as C
 from marquee.operators import mutations as M
 from marquee.operators import playback as P
+from marquee.operators import scan as SC
+from marquee.operators.ranking import placed
 from marquee.sources import files as S
+from marquee.sources import versions as V
 from marquee.sources.domain import Catalog, oracle
 from marquee.streaming import events as E
+from marquee.streaming import watch as WT
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -102,8 +106,9 @@ def q14_show_listing(c):
 
 @query(f"SELECT id, library_id, coalesce(title, clean_name) AS shown, {KEY.format('coalesce(title, clean_name)')} AS sort_key, CAST(row_number() OVER (PARTITION BY library_id ORDER BY {KEY.format('coalesce(title, clean_name)')}, id) AS INTEGER) AS pos FROM movies WHERE is_present = 1")
 def q15_library_listing(c):
+    """A few libraries may hold all movies, so places come from one sort by range, not from a window over a library."""
     out = C.listing(c.movies, C.display_title()).select("id", "library_id", C.display_title().alias("shown"), "sort_key")
-    return out.withColumn("pos", F.row_number().over(W.partitionBy("library_id").orderBy("sort_key", "id")))
+    return placed(out, ["library_id"], [F.col("sort_key"), F.col("id")], name="pos").withColumn("pos", F.col("pos").cast("int"))
 
 
 @query("SELECT id, title, path, tmdb_id FROM shows WHERE id = 7")
@@ -168,17 +173,21 @@ def j04_episodes_pending(c):
     return C.pending_episodes(c.episodes, c.shows)
 
 
-@query("SELECT m.id, m.clean_name AS name FROM movies m JOIN libraries l ON m.library_id = l.id WHERE (m.tmdb_id IS NULL OR m.tmdb_id = 0) AND m.is_present = 1")
+UNMATCHED_MOVIES = "SELECT m.id, m.clean_name AS name, coalesce(m.title, m.clean_name) AS title, m.file_path AS path, l.name AS library_name, l.type AS library_type FROM movies m JOIN libraries l ON m.library_id = l.id WHERE m.is_present = 1 AND l.type = 'Movies' AND (m.tmdb_id IS NULL OR m.tmdb_id = 0)"
+UNMATCHED_SHOWS = "SELECT s.id, s.title AS name, s.title, s.path, l.name AS library_name, l.type AS library_type FROM shows s JOIN libraries l ON s.library_id = l.id WHERE s.is_present = 1 AND l.type = 'Shows' AND (s.tmdb_id IS NULL OR s.tmdb_id = 0)"
+
+
+@query(UNMATCHED_MOVIES)
 def j05_unmatched_movies(c):
-    return C.unmatched(c.movies, c.shows, c.libraries).where("item_type = 'movie'").select("id", "name")
+    return C.unmatched(c.movies, c.shows, c.libraries).where("item_type = 'movie'").drop("item_type")
 
 
-@query("SELECT s.id, s.title AS name FROM shows s JOIN libraries l ON s.library_id = l.id WHERE (s.tmdb_id IS NULL OR s.tmdb_id = 0) AND s.is_present = 1")
+@query(UNMATCHED_SHOWS)
 def j06_unmatched_shows(c):
-    return C.unmatched(c.movies, c.shows, c.libraries).where("item_type = 'show'").select("id", "name")
+    return C.unmatched(c.movies, c.shows, c.libraries).where("item_type = 'show'").drop("item_type")
 
 
-@query("SELECT 'movie' AS item_type, m.id, m.clean_name AS name FROM movies m JOIN libraries l ON m.library_id = l.id WHERE (m.tmdb_id IS NULL OR m.tmdb_id = 0) AND m.is_present = 1 UNION ALL SELECT 'show', s.id, s.title FROM shows s JOIN libraries l ON s.library_id = l.id WHERE (s.tmdb_id IS NULL OR s.tmdb_id = 0) AND s.is_present = 1")
+@query(f"SELECT 'movie' AS item_type, * FROM ({UNMATCHED_MOVIES}) m UNION ALL SELECT 'show', * FROM ({UNMATCHED_SHOWS}) s")
 def set1_unmatched_union(c):
     return C.unmatched(c.movies, c.shows, c.libraries)
 
@@ -241,7 +250,7 @@ def a01_users(c):
     return count_of("n")(c.users)
 
 
-@query("SELECT count(*) AS n FROM (SELECT m.id FROM movies m JOIN libraries l ON m.library_id = l.id WHERE (m.tmdb_id IS NULL OR m.tmdb_id = 0) AND m.is_present = 1 UNION ALL SELECT s.id FROM shows s JOIN libraries l ON s.library_id = l.id WHERE (s.tmdb_id IS NULL OR s.tmdb_id = 0) AND s.is_present = 1) x")
+@query(f"SELECT (SELECT count(*) FROM ({UNMATCHED_MOVIES}) m) + (SELECT count(*) FROM ({UNMATCHED_SHOWS}) s) AS n")
 def a02_unmatched_count(c):
     return count_of("n")(C.unmatched(c.movies, c.shows, c.libraries))
 
@@ -277,7 +286,7 @@ def a08_storage(c):
     return sizes.agg(F.greatest(F.lit(0), F.coalesce(F.sum("file_size"), F.lit(0))).cast("long").alias("bytes"))
 
 
-@query("SELECT (SELECT count(*) FROM users) AS users, (SELECT count(*) FROM movies m JOIN libraries l ON m.library_id = l.id WHERE l.type = 'Movies' AND m.is_present = 1) AS movies, (SELECT count(*) FROM movies m JOIN libraries l ON m.library_id = l.id WHERE l.type = 'Other' AND m.is_present = 1) AS others, (SELECT count(*) FROM shows WHERE is_present = 1) AS shows, (SELECT count(*) FROM episodes WHERE is_present = 1) AS episodes, (SELECT count(*) FROM movies m JOIN libraries l ON m.library_id = l.id WHERE (m.tmdb_id IS NULL OR m.tmdb_id = 0) AND m.is_present = 1) + (SELECT count(*) FROM shows s JOIN libraries l ON s.library_id = l.id WHERE (s.tmdb_id IS NULL OR s.tmdb_id = 0) AND s.is_present = 1) AS unmatched, CAST((SELECT sum(file_size) FROM movies WHERE is_present = 1) + (SELECT sum(file_size) FROM episodes WHERE is_present = 1) AS BIGINT) AS bytes")
+@query("SELECT (SELECT count(*) FROM users) AS users, (SELECT count(*) FROM movies m JOIN libraries l ON m.library_id = l.id WHERE l.type = 'Movies' AND m.is_present = 1) AS movies, (SELECT count(*) FROM movies m JOIN libraries l ON m.library_id = l.id WHERE l.type = 'Other' AND m.is_present = 1) AS others, (SELECT count(*) FROM shows WHERE is_present = 1) AS shows, (SELECT count(*) FROM episodes WHERE is_present = 1) AS episodes, (SELECT count(*) FROM movies m JOIN libraries l ON m.library_id = l.id WHERE m.is_present = 1 AND l.type = 'Movies' AND (m.tmdb_id IS NULL OR m.tmdb_id = 0)) + (SELECT count(*) FROM shows s JOIN libraries l ON s.library_id = l.id WHERE s.is_present = 1 AND l.type = 'Shows' AND (s.tmdb_id IS NULL OR s.tmdb_id = 0)) AS unmatched, CAST((SELECT sum(file_size) FROM movies WHERE is_present = 1) + (SELECT sum(file_size) FROM episodes WHERE is_present = 1) AS BIGINT) AS bytes")
 def a09_dashboard(c):
     return C.dashboard(c.movies, c.shows, c.episodes, c.libraries, c.users)
 
@@ -700,9 +709,9 @@ def o09_forced_track(c):
     return c.movies.where(F.lower(label).contains("forced")).groupBy("library_id").agg(F.min("id").alias("track"))
 
 
-@query("SELECT item_type, count(*) AS n FROM (SELECT 'movie' AS item_type FROM movies m JOIN libraries l ON m.library_id = l.id WHERE (m.tmdb_id IS NULL OR m.tmdb_id = 0) AND m.is_present = 1 UNION ALL SELECT 'show' FROM shows s JOIN libraries l ON s.library_id = l.id WHERE (s.tmdb_id IS NULL OR s.tmdb_id = 0) AND s.is_present = 1) x GROUP BY item_type")
+@query(f"SELECT item_type, library_name, count(*) AS n FROM (SELECT 'movie' AS item_type, library_name FROM ({UNMATCHED_MOVIES}) m UNION ALL SELECT 'show', library_name FROM ({UNMATCHED_SHOWS}) s) x GROUP BY item_type, library_name")
 def a16_unmatched_lists(c):
-    return C.unmatched(c.movies, c.shows, c.libraries).groupBy("item_type").agg(F.count("*").alias("n"))
+    return C.unmatched(c.movies, c.shows, c.libraries).groupBy("item_type", "library_name").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- request bodies and answers
@@ -782,13 +791,26 @@ def src09_episode_detail(c):
     return S.detail(c.episodes.select("id", *keys), answers, keys, "struct<name:string>").select("id", "status", "name")
 
 
-@query("SELECT event_id AS id, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS event_type, CASE WHEN event_type NOT IN ('error', 'view') THEN event_id % 200 END AS movie_id, CASE WHEN event_type = 'view' THEN event_id % 300 END AS episode_id, CASE WHEN event_type <> 'error' THEN value END AS position FROM events")
+#: Watch events as players post them, with every way in which a body may be refused; the same text in both engines.
+NAMED = "case event_type when 'view' then 'start' when 'click' then 'progress' when 'purchase' then 'stop' else 'seek' end"
+BODIES = (
+    "select event_id as id, user_id, ts, chr(123) || case when event_id%17 = 0 then '' else '\"event\":\"' || " + NAMED + " || '\",' end"
+    " || case when event_id%19 = 0 then '' else '\"duration\":' || cast(100+10*(event_id%30) as string) || ',' end"
+    " || case event_id%6 when 0 then '\"movie_id\":' || cast(event_id%200 as string) || ',\"episode_id\":7,' when 1 then '\"id\":' || cast(event_id%200 as string) || ',\"episode_id\":8,'"
+    " when 2 then '\"movie_id\":null,\"episode_id\":' || cast(event_id%300 as string) || ',' when 3 then '\"episode_id\":' || cast(event_id%300 as string) || ',\"id\":null,' when 4 then '\"id\":' || cast(event_id%200 as string) || ',\"unknown\":[1],' else '' end"
+    " || case when event_id%23 = 0 then '\"position\":true' else '\"position\":' || cast(cast(round(value*100) as bigint) as string) || 'e-2' end || case when event_id%29 = 0 then '' else chr(125) end as body from events"
+)
+REFUSED = "id%17 = 0 OR id%19 = 0 OR id%23 = 0 OR id%29 = 0"
+POSTED = (
+    f"SELECT id, user_id, ts, CASE WHEN {REFUSED} THEN 'Bad Request' WHEN id%6 = 5 THEN 'Missing movie_id or episode_id' ELSE 'OK' END AS answer, kind AS event_type, CASE WHEN id%6 IN (0, 1, 4) THEN id%200 END AS movie_id,"
+    f" CASE WHEN id%6 IN (2, 3) THEN id%300 END AS episode_id, CAST(CAST(round(value*100) AS BIGINT) || 'e-2' AS DOUBLE) AS position, CAST(100+10*(id%30) AS DOUBLE) AS duration FROM (SELECT event_id AS id, user_id, ts, value, {NAMED} AS kind FROM events) e"
+)
+
+
+@query(f"SELECT id, answer, CASE WHEN answer = 'OK' THEN event_type END AS event_type, CASE WHEN answer = 'OK' THEN movie_id END AS movie_id, CASE WHEN answer = 'OK' THEN episode_id END AS episode_id, CASE WHEN answer = 'OK' THEN position END AS position, CASE WHEN answer = 'OK' THEN duration END AS duration FROM ({POSTED}) p")
 def src11_json_body(c):
-    """Posted watch events: movies, episodes, and bodies that are no JSON."""
-    movie = F.to_json(F.struct(F.col("event_type").alias("event"), (F.col("event_id") % 200).alias("id"), F.col("value").alias("position")))
-    episode = F.to_json(F.struct(F.col("event_type").alias("event"), (F.col("event_id") % 300).alias("episode_id"), F.col("value").alias("position")))
-    body = F.when(F.col("event_type") == "error", "{broken").when(F.col("event_type") == "view", episode).otherwise(movie)
-    return S.watch_events(c.base("events").select(F.col("event_id").alias("id"), body.alias("body"))).drop("duration")
+    """Posted watch events: movies before episodes, and bodies that are refused: no JSON, a field missing or of the wrong kind, no item."""
+    return S.watch_events(c.sql(BODIES).select("id", "body"))
 
 
 @query("SELECT s.id, '{\"id\":' || s.id || ',\"title\":\"' || s.title || '\",\"episodes\":[' || coalesce(e.body, '') || ']}' AS body FROM shows s LEFT JOIN (SELECT show_id, string_agg('{\"season\":' || season || ',\"episode\":' || episode || ',\"id\":' || id || '}', ',' ORDER BY season, episode, id) AS body FROM episodes WHERE is_present = 1 GROUP BY show_id) e ON s.id = e.show_id")
@@ -853,20 +875,28 @@ def d04_append_logs(c):
     return M.insert(c.login_logs.select("id", "username", "status"), new, {})
 
 
-@query("SELECT l.id, count(m.id) FILTER (m.tmdb_id > 0) AS resolved, count(m.id) FILTER (m.tmdb_id IS NULL) AS pending FROM libraries l LEFT JOIN (SELECT id, library_id, tmdb_id FROM movies WHERE is_present = 1 UNION ALL SELECT id, library_id, tmdb_id FROM shows WHERE is_present = 1) m ON l.id = m.library_id GROUP BY l.id")
+SHOW_POSTER, MOVIE_POSTER = "case when tmdb_id > 0 then '/s' || cast(id as string) || '.jpg' end", "case when tmdb_id > 0 and id % 2 = 0 then '/m' || cast(id as string) || '.jpg' end"
+
+
+@query(
+    "SELECT l.id AS library_id, (SELECT count(*) FROM shows p WHERE p.library_id = l.id AND p.is_present = 1 AND p.tmdb_id IS NULL) AS remaining_pending, s.id, s.tmdb_id, s.title, s.poster_path FROM libraries l"
+    f" LEFT JOIN (SELECT library_id, id, tmdb_id, coalesce(title, '') AS title, {SHOW_POSTER} AS poster_path FROM shows WHERE is_present = 1 AND tmdb_id IS NOT NULL) s ON s.library_id = l.id WHERE l.type = 'Shows'"
+    " UNION ALL SELECT l.id, (SELECT count(*) FROM movies p WHERE p.library_id = l.id AND p.is_present = 1 AND p.tmdb_id IS NULL), m.id, m.tmdb_id, m.title, m.poster_path FROM libraries l"
+    f" LEFT JOIN (SELECT library_id, id, tmdb_id, coalesce(title, clean_name, '') AS title, {MOVIE_POSTER} AS poster_path FROM movies WHERE is_present = 1 AND tmdb_id IS NOT NULL) m ON m.library_id = l.id WHERE l.type <> 'Shows'"
+)
 def t06_update_snapshot(c):
-    """What a client that polls gets of each library: how much is resolved, and how much it still waits for."""
-    items = c.movies.where("is_present = 1").select("library_id", "tmdb_id").unionAll(c.shows.where("is_present = 1").select("library_id", "tmdb_id"))
-    counts = items.groupBy(F.col("library_id").alias("id")).agg(F.count(F.when(q(C.MATCHED), 1)).alias("resolved"), F.count(F.when(q(C.PENDING), 1)).alias("pending"))
-    return c.libraries.select("id").join(counts, "id", "left").select("id", F.coalesce("resolved", F.lit(0)).alias("resolved"), F.coalesce("pending", F.lit(0)).alias("pending"))
+    """What a client that polls gets of each library: the shows or the movies that are resolved, 0 included, and how many it still waits for."""
+    shows = C.updates(c.shows, c.libraries, True, F.col("title"), q(SHOW_POSTER))
+    return shows.unionByName(C.updates(c.movies, c.libraries, False, C.display_title(), q(MOVIE_POSTER)))
 
 
-FOUND = "select 'movie' as kind, id, 800000 + id as tmdb_id from movies where id % 3 = 0 union all select 'show', id, 900000 + id from shows where id % 3 <> 0 union all select 'episode', id, 1000000 + id from episodes where id % 2 = 0"
+#: Answers of the lookup service: a match, 0 where it knows nothing; no row where the lookup failed.
+FOUND = "select 'movie' as kind, id, case when id % 3 = 0 then 800000 + id else 0 end as tmdb_id from movies where id % 4 <> 1 union all select 'show', id, case when id % 5 = 0 then 0 else 900000 + id end from shows where id % 3 <> 0 union all select 'episode', id, case when id % 2 = 0 then 1000000 + id else 0 end from episodes where id % 7 <> 0"
 
 
-@query(f"SELECT * FROM (WITH found AS ({FOUND}), m AS (SELECT 'movie' AS kind, m.id FROM movies m JOIN libraries l ON m.library_id = l.id WHERE m.is_present = 1 AND m.tmdb_id IS NULL AND l.type = 'Movies'), s AS (SELECT 'show' AS kind, s.id FROM shows s JOIN libraries l ON s.library_id = l.id WHERE s.is_present = 1 AND s.tmdb_id IS NULL AND l.type = 'Shows'), e AS (SELECT 'episode' AS kind, e.id FROM episodes e JOIN shows s ON e.show_id = s.id LEFT JOIN s n ON s.id = n.id LEFT JOIN found f ON f.kind = 'show' AND f.id = s.id WHERE e.is_present = 1 AND e.tmdb_id IS NULL AND CASE WHEN n.id IS NOT NULL THEN coalesce(f.tmdb_id, 0) ELSE s.tmdb_id END > 0) SELECT a.kind, a.id, coalesce(f.tmdb_id, 0) AS tmdb_id FROM (SELECT * FROM m UNION ALL SELECT * FROM s UNION ALL SELECT * FROM e) a LEFT JOIN found f ON a.kind = f.kind AND a.id = f.id) t")
+@query(f"SELECT * FROM (WITH found AS ({FOUND}), m AS (SELECT 'movie' AS kind, m.id FROM movies m JOIN libraries l ON m.library_id = l.id WHERE m.is_present = 1 AND m.tmdb_id IS NULL AND l.type = 'Movies'), s AS (SELECT 'show' AS kind, s.id FROM shows s JOIN libraries l ON s.library_id = l.id WHERE s.is_present = 1 AND s.tmdb_id IS NULL AND l.type = 'Shows'), e AS (SELECT 'episode' AS kind, e.id FROM episodes e JOIN shows s ON e.show_id = s.id LEFT JOIN s n ON s.id = n.id LEFT JOIN found f ON f.kind = 'show' AND f.id = s.id WHERE e.is_present = 1 AND e.tmdb_id IS NULL AND CASE WHEN n.id IS NOT NULL THEN f.tmdb_id ELSE s.tmdb_id END > 0) SELECT a.kind, a.id, f.tmdb_id FROM (SELECT * FROM m UNION ALL SELECT * FROM s UNION ALL SELECT * FROM e) a LEFT JOIN found f ON a.kind = f.kind AND a.id = f.id) t")
 def t05_enrichment_pass(c):
-    """Movies, shows, then episodes: a show that this pass matches frees its episodes."""
+    """Movies, shows, then episodes: a show that this pass matches frees its episodes; what failed stays null."""
     return C.enrichment_pass(c.movies, c.shows, c.episodes, c.libraries, c.sql(FOUND))
 
 
@@ -907,6 +937,108 @@ def s30_text_tracks(c):
     return tracks.select("id", T.track_label(title, F.lit(None).cast("string"), F.lit("Track"), F.col("id") % 2 == 0).alias("label"))
 
 
+# ---------------------------------------------------------------- transactions
+
+#: What a scan of all Movies and Other libraries, and of all Shows libraries, finds: new shows have one episode each.
+SCANNED_EPISODES = "select scan_shows.library_id, scan_shows.path as show, scan_episodes.file_path, scan_episodes.season, scan_episodes.episode, scan_episodes.file_size from scan_episodes join shows on scan_episodes.show_id = shows.id join scan_shows on scan_shows.library_id = shows.library_id and scan_shows.path = shows.path union all select library_id, path, 'S01E02.first.mkv', 1, 2, 7 from scan_shows where path like 'new/%'"
+STORED = "SELECT 'library' AS kind, name AS parent, path, 1 AS is_present, id AS known_id, CAST(NULL AS BIGINT) AS file_size FROM libraries UNION ALL SELECT 'movie', CAST(library_id AS VARCHAR), file_path, is_present, id, file_size FROM movies UNION ALL SELECT 'show', CAST(library_id AS VARCHAR), path, is_present, id, NULL FROM shows UNION ALL SELECT 'episode', CAST(show_id AS VARCHAR), file_path, is_present, id, file_size FROM episodes"
+
+
+def stored(store, known: str = "id"):
+    """The four tables of a store in one."""
+    row = lambda t, kind, parent, path, size=F.lit(None).cast("long"), present=F.col("is_present"): store.read(t).select(F.lit(kind).alias("kind"), F.col(parent).cast("string").alias("parent"), F.col(path).alias("path"), present.alias("is_present"), q(known).cast("long").alias("known_id"), size.alias("file_size"))
+    return row("libraries", "library", "name", "path", present=F.lit(1)).unionAll(row("movies", "movie", "library_id", "file_path", F.col("file_size"))).unionAll(row("shows", "show", "library_id", "path")).unionAll(row("episodes", "episode", "show_id", "file_path", F.col("file_size")))
+
+
+def scannable(c):
+    """A store of the catalog as it is, and the arguments of a scan of all its libraries."""
+    store = SC.catalog_store(V.Store(c.spark), libraries=c.libraries.withColumn("last_scanned_at", F.lit(None).cast("timestamp")), movies=c.movies, shows=c.shows, episodes=c.episodes)
+    return store, dict(wanted=F.lit(True), movies=c.scan_movies, shows=c.scan_shows, episodes=c.sql(SCANNED_EPISODES), now=q(NOW))
+
+
+@query(STORED)
+def d19_scan_aborted(c):
+    """A scan that fails at its last episodes, when movies and shows are written already: readers go on seeing the version before."""
+    store, scan = scannable(c)
+    scan["episodes"] = scan["episodes"].withColumn("file_size", F.when(F.col("file_path").isNull() | F.col("file_path").endswith(".mkv"), F.raise_error(F.lit("the disk is gone"))).otherwise(F.col("file_size")))
+    try:
+        SC.scan_libraries(store, **scan)
+    except Exception as broken:
+        if "the disk is gone" not in str(broken):
+            raise
+    return stored(store)
+
+
+@query(
+    "SELECT 'library' AS kind, name AS parent, path, 1 AS is_present, id AS known_id, CAST(NULL AS BIGINT) AS file_size FROM libraries"
+    " UNION ALL SELECT 'movie', CAST(coalesce(o.library_id, n.library_id) AS VARCHAR), coalesce(o.file_path, n.file_path), CASE WHEN n.file_path IS NULL THEN 0 ELSE 1 END, coalesce(o.id, -1), coalesce(n.file_size, o.file_size) FROM (SELECT * FROM movies WHERE library_id % 3 <> 1) o FULL JOIN (SELECT * FROM scan_movies WHERE library_id % 3 <> 1) n ON o.library_id = n.library_id AND o.file_path = n.file_path"
+    " UNION ALL SELECT 'show', CAST(coalesce(o.library_id, n.library_id) AS VARCHAR), coalesce(o.path, n.path), CASE WHEN n.path IS NULL THEN 0 ELSE 1 END, coalesce(o.id, -1), NULL FROM (SELECT * FROM shows WHERE library_id % 3 = 1) o FULL JOIN (SELECT * FROM scan_shows WHERE library_id % 3 = 1) n ON o.library_id = n.library_id AND o.path = n.path"
+    " UNION ALL SELECT 'show', CAST(library_id AS VARCHAR), path, is_present, id, NULL FROM shows WHERE library_id % 3 <> 1"
+    " UNION ALL SELECT 'episode', coalesce(o.path, n.show), coalesce(o.file_path, n.file_path), CASE WHEN n.file_path IS NULL THEN 0 ELSE 1 END, coalesce(o.id, -1), coalesce(n.file_size, o.file_size) FROM (SELECT e.*, s.library_id, s.path FROM episodes e JOIN shows s ON e.show_id = s.id WHERE s.library_id % 3 = 1) o"
+    f" FULL JOIN (SELECT * FROM ({SCANNED_EPISODES}) f WHERE library_id % 3 = 1) n ON o.library_id = n.library_id AND o.path = n.show AND o.file_path = n.file_path"
+    " UNION ALL SELECT 'episode', s.path, e.file_path, e.is_present, e.id, e.file_size FROM episodes e JOIN shows s ON e.show_id = s.id WHERE s.library_id % 3 <> 1"
+)
+def d19_scan_committed(c):
+    """A whole scan; items of a kind that a library does not hold are left alone. Ids of new rows show as -1, episodes stand under their show's path."""
+    store, scan = scannable(c)
+    SC.scan_libraries(store, **scan)
+    out = stored(store)
+    paths = store.read("shows").select(F.lit("episode").alias("kind"), F.col("id").cast("string").alias("parent"), F.col("path").alias("_show"))
+    tops = {"movie": c.movies, "show": c.shows, "episode": c.episodes}
+    old = None
+    for kind, df in tops.items():
+        ids = df.select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("known_id"), F.lit(True).alias("_old"))
+        old = ids if old is None else old.unionAll(ids)
+    out = out.join(paths, ["kind", "parent"], "left").join(old, ["kind", "known_id"], "left")
+    known = F.when((F.col("kind") == "library") | F.col("_old"), F.col("known_id")).otherwise(-1)
+    return out.select("kind", F.coalesce("_show", "parent").alias("parent"), "path", "is_present", known.alias("known_id"), "file_size")
+
+
+@query("SELECT id, CASE WHEN id % 50 = 3 THEN 0 ELSE is_present END AS is_present, CASE WHEN id % 50 = 3 THEN 'Changed ' || coalesce(title, '') ELSE title END AS title FROM movies WHERE id % 50 <> 7 UNION ALL SELECT 1000000 + id, 1, 'New' FROM movies WHERE id % 50 = 7")
+def snk3_copy_on_write(c):
+    """Rows changed, removed and added by key: only the buckets that they fall in are written anew."""
+    store = V.Store(c.spark)
+    with store.begin() as tx:
+        tx.create("movies", c.movies.select("id", "is_present", "title"), ["id"])
+    hit = c.movies.where("id % 50 in (3, 7)").select("id", F.lit(0).alias("is_present"), F.concat(F.lit("Changed "), F.coalesce("title", F.lit(""))).alias("title"), (F.col("id") % 50 == 7).alias("gone"))
+    new = c.movies.where("id % 50 = 7").select((F.lit(1000000) + F.col("id")).cast(c.movies.schema["id"].dataType).alias("id"), F.lit(1).alias("is_present"), F.lit("New").alias("title"), F.lit(False).alias("gone"))
+    with store.begin() as tx:
+        tx.upsert("movies", hit.unionAll(new), lambda old, more: old.join(more.select("id"), "id", "left_anti").unionAll(more.where("not gone").drop("gone")))
+    return store.read("movies")
+
+
+SECOND = "select kind, id, case when tmdb_id > 0 then tmdb_id when id % 2 = 0 then 700000 + id else 0 end as tmdb_id from (select 'movie' as kind, id, 0 as tmdb_id from movies union all select 'show', id, 900000 + id from shows union all select 'episode', id, 0 from episodes where id % 3 <> 0) x"
+
+
+@query(
+    f"SELECT * FROM (WITH f1 AS ({FOUND}), f2 AS ({SECOND}),"
+    " m0 AS (SELECT m.id, m.tmdb_id, (m.is_present = 1 AND m.tmdb_id IS NULL AND coalesce(l.type, '') = 'Movies') AS due FROM movies m LEFT JOIN libraries l ON m.library_id = l.id),"
+    " s0 AS (SELECT s.id, s.tmdb_id, (s.is_present = 1 AND s.tmdb_id IS NULL AND coalesce(l.type, '') = 'Shows') AS due FROM shows s LEFT JOIN libraries l ON s.library_id = l.id),"
+    " m1 AS (SELECT m0.id, due, CASE WHEN due THEN f.tmdb_id ELSE m0.tmdb_id END AS t1, CASE WHEN due AND f.id IS NULL THEN 1 ELSE 0 END AS a1 FROM m0 LEFT JOIN f1 f ON f.kind = 'movie' AND f.id = m0.id),"
+    " s1 AS (SELECT s0.id, due, CASE WHEN due THEN f.tmdb_id ELSE s0.tmdb_id END AS t1, CASE WHEN due AND f.id IS NULL THEN 1 ELSE 0 END AS a1 FROM s0 LEFT JOIN f1 f ON f.kind = 'show' AND f.id = s0.id),"
+    " e1 AS (SELECT e.id, e.show_id, e.is_present, CASE WHEN e.is_present = 1 AND e.tmdb_id IS NULL AND coalesce(s1.t1, 0) > 0 THEN f.tmdb_id ELSE e.tmdb_id END AS t1, CASE WHEN e.is_present = 1 AND e.tmdb_id IS NULL AND coalesce(s1.t1, 0) > 0 AND f.id IS NULL THEN 1 ELSE 0 END AS a1 FROM episodes e LEFT JOIN s1 ON s1.id = e.show_id LEFT JOIN f1 f ON f.kind = 'episode' AND f.id = e.id),"
+    " m2 AS (SELECT m1.id, CASE WHEN due AND t1 IS NULL THEN f.tmdb_id ELSE t1 END AS t2, a1 + CASE WHEN due AND t1 IS NULL AND f.id IS NULL THEN 1 ELSE 0 END AS a2 FROM m1 LEFT JOIN f2 f ON f.kind = 'movie' AND f.id = m1.id),"
+    " s2 AS (SELECT s1.id, CASE WHEN due AND t1 IS NULL THEN f.tmdb_id ELSE t1 END AS t2, a1 + CASE WHEN due AND t1 IS NULL AND f.id IS NULL THEN 1 ELSE 0 END AS a2 FROM s1 LEFT JOIN f2 f ON f.kind = 'show' AND f.id = s1.id),"
+    " e2 AS (SELECT e1.id, CASE WHEN e1.is_present = 1 AND t1 IS NULL AND coalesce(s2.t2, 0) > 0 THEN f.tmdb_id ELSE t1 END AS t2, a1 + CASE WHEN e1.is_present = 1 AND t1 IS NULL AND coalesce(s2.t2, 0) > 0 AND f.id IS NULL THEN 1 ELSE 0 END AS a2 FROM e1 LEFT JOIN s2 ON s2.id = e1.show_id LEFT JOIN f2 f ON f.kind = 'episode' AND f.id = e1.id)"
+    " SELECT 'movie' AS kind, id, CAST(t2 AS BIGINT) AS tmdb_id, a2 AS attempts FROM m2 UNION ALL SELECT 'show', id, t2, a2 FROM s2 UNION ALL SELECT 'episode', id, t2, a2 FROM e2) t"
+)
+def t05_enrichment_loop(c):
+    """Two passes over a store: what failed in the first is asked again in the second, and a show matched at last frees its episodes."""
+    store = V.Store(c.spark)
+    with store.begin() as tx:
+        tx.create("libraries", c.libraries, ["id"])
+        for kind in ("movies", "shows", "episodes"):
+            df = getattr(c, kind).withColumns({"attempts": F.lit(0), "tmdb_id": F.col("tmdb_id").cast("long")})
+            tx.create(kind, df, ["id"])
+    for answers in (FOUND, SECOND):
+        SC.enrich(store, c.sql(answers))
+    whole = None
+    for kind in ("movie", "show", "episode"):
+        part = store.read(f"{kind}s").select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), "tmdb_id", "attempts")
+        whole = part if whole is None else whole.unionAll(part)
+    return whole
+
+
 # ---------------------------------------------------------------- streams
 
 
@@ -929,6 +1061,34 @@ def t01_watch_stream(c):
     return state.read().select("username", "movie_id", "position", "duration")
 
 
+EVENTS = f"SELECT id, 'Customer#' || lpad(cast(user_id as varchar), 9, '0') AS username, event_type, movie_id, episode_id, position, duration, ts FROM ({POSTED}) p WHERE answer = 'OK'"
+
+
+def watched(c):
+    """Posted bodies as a stream into the sink of watch events."""
+    raw = E.table_stream(c.spark, c.sf_dir, "events", c.base("events"))
+    posts = raw.selectExpr("event_id as id", "'Customer#'||lpad(cast(user_id as string),9,'0') as username", "ts", BODIES.split(", ts, ", 1)[1].removesuffix(" from events"))
+    sink = WT.WatchSink(c.spark)
+    E.run_available(WT.accepted(posts), sink)
+    return sink
+
+
+@query(f"SELECT 'movie' AS kind, id, username, movie_id AS item, event_type, position, ts FROM ({EVENTS}) e WHERE movie_id IS NOT NULL UNION ALL SELECT 'episode', id, username, episode_id, event_type, position, ts FROM ({EVENTS}) e WHERE episode_id IS NOT NULL")
+def t01_watch_logs(c):
+    """Both logs that a stream of posted watch events leaves; refused bodies are in none."""
+    sink = watched(c)
+    part = lambda kind: sink.read(WT.KINDS[kind][1]).select(F.lit(kind).alias("kind"), "id", "username", F.col(WT.KINDS[kind][0]).alias("item"), "event_type", "position", "ts")
+    return part("movie").unionAll(part("episode"))
+
+
+@query(f"SELECT kind, username, item, position, duration, ts AS updated_at FROM (SELECT *, row_number() OVER (PARTITION BY kind, username, item ORDER BY ts DESC, id DESC) AS rn FROM (SELECT CASE WHEN movie_id IS NOT NULL THEN 'movie' ELSE 'episode' END AS kind, coalesce(movie_id, episode_id) AS item, * FROM ({EVENTS}) e) x) y WHERE rn = 1")
+def t01_watch_progress(c):
+    """Both tables of progress of the same stream: the last event of each user and item."""
+    sink = watched(c)
+    part = lambda kind: sink.read(WT.KINDS[kind][2]).select(F.lit(kind).alias("kind"), "username", F.col(WT.KINDS[kind][0]).alias("item"), "position", "duration", F.col("ts").alias("updated_at"))
+    return part("movie").unionAll(part("episode"))
+
+
 @query(f"SELECT token, username FROM sessions WHERE expires_at > {NOW}")
 def t04_session_stream(c):
     """Logins as a stream into sessions that expire after a day; equals the batch query."""

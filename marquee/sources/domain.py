@@ -12,7 +12,7 @@ BASE = ("nation", "supplier", "customer", "part", "lineitem", "events", "convers
 VIEWS = {
     "libraries": "select n_nationkey as id, n_name as name, '/media/'||n_name as path, case n_nationkey%3 when 0 then 'Movies' when 1 then 'Shows' else 'Other' end as type from nation",
     "movies": "select p_partkey as id, cast(3*(p_partkey%8)+case when p_partkey%4=0 then 2 else 0 end as int) as library_id, p_brand||'/'||cast(p_partkey as string)||'/'||replace(p_name,' ','.')||'.'||cast(1950+p_partkey%75 as string)||'.1080p.mkv' as file_path, replace(p_name,' ','.')||'.'||cast(1950+p_partkey%75 as string)||'.1080p' as clean_name, case when p_size%10=0 then 0 else 1 end as is_present, case p_partkey%5 when 0 then null when 1 then 0 else 100000+p_partkey end as tmdb_id, case when p_partkey%5<2 then null else case p_partkey%4 when 0 then 'The ' when 1 then 'A ' when 2 then 'An ' else '' end||p_name end as title, cast(round(p_retailprice*1000000) as bigint) as file_size from part",
-    "shows": "select s_suppkey as id, cast(1+3*(s_suppkey%8) as int) as library_id, s_name as path, s_name as title, case when s_suppkey%10=9 then 0 else 1 end as is_present, case s_suppkey%4 when 0 then null when 1 then 0 else 200000+s_suppkey end as tmdb_id from supplier",
+    "shows": "select s_suppkey as id, cast(case when s_suppkey%11=0 then 3*(s_suppkey%8) else 1+3*(s_suppkey%8) end as int) as library_id, s_name as path, s_name as title, case when s_suppkey%10=9 then 0 else 1 end as is_present, case s_suppkey%4 when 0 then null when 1 then 0 else 200000+s_suppkey end as tmdb_id from supplier",
     # ids are numbered inside an order, so no row number runs over the whole table
     "episodes": "select id, show_id, 'S'||lpad(cast(season as string),2,'0')||'E'||lpad(cast(episode as string),2,'0')||'.'||cast(id as string)||'.mkv' as file_path, season, episode, is_present, tmdb_id, title, file_size from (select l_orderkey*1000+row_number() over (partition by l_orderkey order by l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice,l_shipdate) as id, l_suppkey as show_id, l_linenumber as season, cast(l_quantity as int) as episode, case when l_returnflag='R' then 0 else 1 end as is_present, case l_orderkey%3 when 0 then null when 1 then 0 else 300000+l_orderkey end as tmdb_id, case when l_orderkey%3=2 then 'Ep '||cast(l_orderkey as string) else null end as title, cast(round(l_extendedprice) as bigint) as file_size from lineitem) x",
     "users": "select c_custkey as id, c_name as username, case when c_custkey%50=0 then 1 else 0 end as is_admin from customer",

@@ -9,8 +9,11 @@ from marquee.functions import text as T
 
 #: The lookup service's answers; unknown fields are ignored.
 SEARCH = "struct<results:array<struct<id:bigint,title:string,name:string,overview:string,poster_path:string,backdrop_path:string,release_date:string,first_air_date:string>>>"
-#: A watch event as a player posts it.
-WATCH_EVENT = "struct<id:bigint,movie_id:bigint,episode_id:bigint,event:string,position:double,duration:double>"
+#: A watch event as a player posts it; read as text first, so that a value of the wrong kind can be told from a missing one.
+WATCH_EVENT = "struct<id:string,movie_id:string,episode_id:string,event:string,position:string,duration:string>"
+#: What events may be called, and the answers to a posted body.
+EVENT_TYPES = ("start", "stop", "seek", "progress")
+OK, BAD, NO_ITEM = "OK", "Bad Request", "Missing movie_id or episode_id"
 
 
 def file_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -60,8 +63,29 @@ def detail(items: DataFrame, answers: DataFrame, keys: list[str], fields: str, b
     return items.join(read, keys, "left").select(*items.columns, F.when(F.col("_d").isNull(), "NotFound").otherwise("ok").alias("status"), "_d.*")
 
 
+def _whole(text: Column) -> Column:
+    """A JSON number as a long, if it is whole."""
+    number = text.try_cast("double")
+    return F.when(F.rlike(text, F.lit("^-?[0-9]+$")), text.try_cast("long")).when(number == F.floor(number), number.try_cast("long"))
+
+
 def watch_events(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """Posted JSON bodies as events: event_type, movie_id (or id), episode_id, position and duration; a body that is no JSON has no fields."""
+    """Posted JSON bodies as events: answer, event_type, movie_id, episode_id, position and duration.
+
+    event, position and duration must be there, with values of their kind, and ids must be whole numbers or null: else the body is refused whole. The item
+    is movie_id, else id, else episode_id: a body that names a movie is never an episode's. Only accepted bodies have fields.
+    """
+    e = F.col("_e")
     read = bodies.withColumn("_e", F.from_json(body, WATCH_EVENT))
-    item = F.when(F.col("_e.episode_id").isNull(), F.coalesce("_e.movie_id", "_e.id"))
-    return read.select(*[c for c in bodies.columns if c != body], F.col("_e.event").alias("event_type"), item.alias("movie_id"), "_e.episode_id", "_e.position", "_e.duration")
+    ids = {k: _whole(e[k]) for k in ("id", "movie_id", "episode_id")}
+    numbers = {k: e[k].try_cast("double") for k in ("position", "duration")}
+    sound = e["event"].isNotNull() & numbers["position"].isNotNull() & numbers["duration"].isNotNull()
+    for k, v in ids.items():
+        sound = sound & (e[k].isNull() | v.isNotNull())
+    movie = F.coalesce(ids["movie_id"], ids["id"])
+    answer = F.when(~F.coalesce(sound, F.lit(False)), BAD).when(F.coalesce(movie, ids["episode_id"]).isNull(), NO_ITEM).otherwise(OK)
+    good = lambda v: F.when(F.col("answer") == OK, v)
+    return read.withColumn("answer", answer).select(
+        *[c for c in bodies.columns if c != body], "answer", good(e["event"]).alias("event_type"), good(movie).alias("movie_id"), good(F.when(movie.isNull(), ids["episode_id"])).alias("episode_id"),
+        good(numbers["position"]).alias("position"), good(numbers["duration"]).alias("duration"),
+    )

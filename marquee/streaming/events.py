@@ -1,14 +1,15 @@
-"""Structured Streaming twins of the batch operators: watch events into a log and a latest-state table, and session expiry."""
+"""Structured Streaming twins of the batch operators: latest-state tables and session expiry."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.operators.mutations import upsert_latest
+from marquee.operators.mutations import latest, upsert_latest
+from marquee.sources.files import EVENT_TYPES
 from marquee.sources.scratch import scratch_path
+from marquee.sources.versions import Store
 
-EVENT_TYPES = ("start", "stop", "seek", "progress")
 
 
 def valid_events(raw: DataFrame) -> DataFrame:
@@ -17,29 +18,28 @@ def valid_events(raw: DataFrame) -> DataFrame:
 
 
 class LatestState:
-    """foreachBatch sink: merges each micro-batch into a new version of the state below `root`.
+    """foreachBatch sink: keeps the last row of each key below `root`.
 
-    Versions are named by their batch, and Parquet marks a whole one with _SUCCESS. So a new instance on the same root goes on from what
-    was written, and a batch that is repeated after a failure starts from the version before it and changes nothing.
+    A batch rewrites the buckets that its keys fall in, no others, and is committed with its number. So a new instance on the same root goes on from
+    what was written, and a batch that is repeated after a failure changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, keys: list[str], order: tuple[str, ...], name: str = "state", root: str | None = None):
-        self.spark, self.keys, self.order = spark, keys, order
-        self.root = root or scratch_path(spark, name)
-
-    def versions(self) -> list[int]:
-        """Batches with a whole version, ascending."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/batch-*/_SUCCESS")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
-        return sorted(int(str(f.getPath().getParent().getName()).removeprefix("batch-")) for f in found or [])
+    def __init__(self, spark: SparkSession, keys: list[str], order: tuple[str, ...], name: str = "state", root: str | None = None, buckets: int = 16):
+        self.spark, self.keys, self.order, self.name, self.buckets = spark, keys, order, name, buckets
+        self.store = Store(spark, root)
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        before = [v for v in self.versions() if v < epoch]
-        state = batch.sparkSession.read.parquet(f"{self.root}/batch-{before[-1]}") if before else batch.limit(0)
-        upsert_latest(state, batch, self.keys, *self.order).write.mode("overwrite").parquet(f"{self.root}/batch-{epoch}")
+        if self.store.mark(self.name) >= epoch:
+            return
+        with self.store.begin(self.name, epoch) as tx:
+            new = latest(batch, self.keys, *self.order)
+            if self.name in tx.next["tables"]:
+                tx.upsert(self.name, new, lambda old, more: upsert_latest(old, more, self.keys, *self.order))
+            else:
+                tx.create(self.name, new, self.keys, self.buckets)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/batch-{self.versions()[-1]}")
+        return self.store.read(self.name)
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, like: DataFrame, files: int = 4) -> DataFrame:

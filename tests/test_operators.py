@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marquee.operators import catalog as C
 from marquee.operators import mutations as M
 from marquee.operators import playback as P
+from marquee.operators.ranking import placed
 from marquee.plans.queries import ORACLE, QUERIES
 from marquee.sources import files
 from marquee.sources.domain import Catalog
@@ -157,6 +158,48 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
 
 
 def test_posted_events(spark):
-    bodies = ['{"movie_id": 3, "event": "start", "position": 1.5}', '{"episode_id": 4, "event": "stop"}', "{no", None, '{"id": 5, "other": 1}']
-    got = files.watch_events(spark.createDataFrame([(b,) for b in bodies], "body string")).collect()
-    assert [(r.movie_id, r.episode_id, r.event_type) for r in got] == [(3, None, "start"), (None, 4, "stop"), (None, None, None), (None, None, None), (5, None, None)]
+    """The item is movie_id, else id, else episode_id; required fields must be there and of their kind."""
+    rest = '"event": "stop", "position": 1, "duration": 2.5'
+    bodies = [
+        '{"movie_id": 3, "episode_id": 4, %s}', '{"id": 5, "episode_id": 4, "other": {"id": 1}, %s}', '{"episode_id": 4, "movie_id": null, %s}', "{%s}", '{"id": 3.0, %s}', '{"id": 3.5, %s}', '{"id": "x", %s}', '{"id": 9007199254740993, %s}',
+        "{no", None, '{"id": 5, "position": 1, "duration": 2}', '{"id": 5, "event": "stop", "position": null, "duration": 2}', '{"id": 5, "event": "stop", "position": true, "duration": 2}', '{"id": 5, "event": "stop", "position": 1}',
+    ]
+    got = files.watch_events(spark.createDataFrame([(n, b and b.replace("%s", rest)) for n, b in enumerate(bodies)], "n int, body string")).orderBy("n").collect()
+    ok = [(3, None), (5, None), (None, 4), "none", (3, None), "bad", "bad", (9007199254740993, None), *["bad"] * 6]
+    for r, want in zip(got, ok):
+        if want in ("none", "bad"):
+            assert r.answer == (files.NO_ITEM if want == "none" else files.BAD) and (r.event_type, r.movie_id, r.episode_id, r.position) == (None,) * 4, r
+        else:
+            assert (r.answer, r.movie_id, r.episode_id, r.event_type, r.position, r.duration) == (files.OK, *want, "stop", 1.0, 2.5), r
+
+
+def test_unmatched_items_only_of_their_kind_of_library(spark):
+    libraries = spark.createDataFrame([(1, "M", "Movies"), (2, "S", "Shows"), (3, "O", "Other")], "id int, name string, type string")
+    movies = spark.createDataFrame([(n, lib, f"m{n}", f"n{n}", None, t, 1, 5) for n, (lib, t) in enumerate([(1, None), (1, 0), (1, 7), (2, None), (3, 0), (9, None)])], "id int, library_id int, file_path string, clean_name string, title string, tmdb_id long, is_present int, file_size long")
+    shows = spark.createDataFrame([(n, lib, f"s{n}", f"t{n}", t, 1) for n, (lib, t) in enumerate([(2, 0), (1, 0), (2, None), (2, 8), (3, None)])], "id int, library_id int, path string, title string, tmdb_id long, is_present int")
+    got = [(r.item_type, r.id, r.title, r.path, r.library_name, r.library_type) for r in C.unmatched(movies, shows, libraries).collect()]
+    assert got == [("movie", 0, "n0", "m0", "M", "Movies"), ("movie", 1, "n1", "m1", "M", "Movies"), ("show", 0, "t0", "s0", "S", "Shows"), ("show", 2, "t2", "s2", "S", "Shows")]
+    none = spark.createDataFrame([], "is_present int, file_size long")
+    assert C.dashboard(movies, shows, none, libraries, libraries).first().unmatched == 4
+
+
+def test_inserts_of_rows_alike_and_null_keys(spark):
+    table = spark.createDataFrame([(1, "a")], "id int, k string")
+    new = spark.createDataFrame([(5, "b"), (5, "b"), (6, "a"), (7, None), (7, None), (8, None)], "id int, k string")
+    assert sorted(((r.id, r.k, r.outcome) for r in M.insert_reported(table, new, ["k"], "id").collect()), key=repr) == sorted([(5, "b", "added"), (5, "b", "duplicate"), (6, "a", "duplicate"), (7, None, "added"), (7, None, "added"), (8, None, "added")], key=repr)
+    assert rows(M.insert_ignore(table, new, ["k"], "id")) == sorted([(1, "a"), (5, "b"), (7, None), (7, None), (8, None)], key=repr)
+
+
+def test_places_in_large_groups(spark):
+    """Groups that span tasks, one that holds nearly all rows, ties, a null group."""
+    rng = random.Random(5)
+    data = [(rng.choice(["a"] * 30 + ["b", None]), rng.randrange(200), n) for n in range(3000)]
+    df = spark.createDataFrame(data, "g string, v int, id int").repartition(7)
+    got = {(r.g, r.v, r.id): r.place for r in placed(df, ["g"], [F.col("v").desc(), F.col("id").asc()]).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        for n, row in enumerate(sorted((r for r in data if r[0] == g), key=lambda r: (-r[1], r[2])), 1):
+            want[row] = n
+    assert got == want
+    assert placed(df.limit(0), ["g"], [F.col("id")]).collect() == []
+    assert sorted(r.place for r in placed(df, [], [F.col("id")], first=0).collect()) == list(range(3000))
