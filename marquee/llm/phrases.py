@@ -22,16 +22,20 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm.common import join_counted, materialise
+from marquee.llm.common import discard, join_counted, materialise
 from marquee.operators.ranking import placed
 
 #: What ends a piece, and what a space is; "." marks the end of a piece, since no word can hold it.
 ENDS, LETTERS = b".,;:!?\n\x0b\x0c\r", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 READ = bytes.maketrans(ENDS + b"\t" + LETTERS, b"." * len(ENDS) + b" " + LETTERS.lower())
-#: Shards that a language is cut into as long as each has at least and at most so many bytes of text.
-SHARDS, LEAST, MOST = 32, 1 << 20, 32 << 20
+#: Shards that a language is cut into as long as each has at least and at most so many bytes of text; a task may add one smaller one.
+SHARDS, LEAST, MOST = 32, 1 << 18, 32 << 20
+#: Languages whose size is looked up; all others have less than this part of the text.
+SIZED = 1000
 #: Bytes of text that are split at once.
 AT_ONCE = 2 << 20
+#: Words of a shard whose phrases are looked up at once.
+WINDOW = 1 << 19
 #: Bits of the map of known phrases (16 MB).
 BITS = 1 << 27
 #: Multiplies the hash of a phrase before the next word's is added.
@@ -41,8 +45,10 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, octets, n_words, words (the shard's different words), hashes (of these, 64 bits) and ids (word numbers; -1 ends a piece); written to the shared folder."""
     sized = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text"))
-    total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    most = min(MOST, max(LEAST, -(-total // SHARDS)))
+    per_language = sized.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"))
+    largest = {r.lang: r.n for r in per_language.orderBy(F.desc("n")).limit(SIZED).collect()}
+    other = min(largest.values()) if len(largest) == SIZED else 0
+    limit = lambda lang: min(MOST, max(LEAST, -(-largest.get(lang, other) // SHARDS)))
 
     def cut(batches):
         held: dict[str, Shard] = {}
@@ -50,9 +56,9 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 shard = held.setdefault(lang, Shard(lang))
                 shard.add(text.as_py())
-                if shard.octets >= most:
+                if shard.octets >= limit(lang):
                     yield held.pop(lang).row()
-                elif sum(s.octets for s in held.values()) >= 2 * most:
+                elif sum(s.octets for s in held.values()) >= 2 * MOST:
                     yield held.pop(max(held, key=lambda k: held[k].octets)).row()
         for shard in held.values():
             yield shard.row()
@@ -115,25 +121,36 @@ def bitmap(spark: SparkSession, phrases: DataFrame):
     return spark.sparkContext.broadcast(whole.view(np.uint8))
 
 
-def starts_of(ids: np.ndarray, word_hash: np.ndarray, length: int, shorter: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Where phrases of `length` words start whose parts one word shorter are in the map `shorter`, and the hashes of those phrases."""
-    n = len(ids) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    inside = ids >= 0
-    one = word_hash[ids]  # of -1 the last word's, which `inside` masks
-    if length == 1:
-        at = np.flatnonzero(inside)
-        return at, one[at]
-    hashes, whole = one.copy(), inside.copy()
-    for k in range(1, length - 1):
-        hashes = hashes[:-1] * STEP + one[k:]
-        whole = whole[:-1] & inside[k:]
-    good = whole
-    at = np.flatnonzero(whole)
-    good[at] = known(shorter, hashes[at])
-    at = np.flatnonzero(good[:-1] & good[1:])
-    return at, hashes[at] * STEP + one[at + length - 1]
+def phrase_hashes(ids: np.ndarray, word_hash: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    hashes = word_hash[ids[at]]
+    for k in range(1, length):
+        hashes = hashes * STEP + word_hash[ids[at + k]]
+    return hashes
+
+
+def starts_of(ids: np.ndarray, word_hash: np.ndarray, length: int, shorter: np.ndarray | None, wanted: np.ndarray | None) -> np.ndarray:
+    """Where phrases of `length` words start whose parts one word shorter are in the map `shorter`, and which are in `wanted`, where these are given."""
+    found = []
+    for start in range(0, max(0, len(ids) - length + 1), WINDOW):
+        part = ids[start : start + WINDOW + length - 1]
+        inside = part >= 0
+        n = len(part) - length + 1
+        good = inside[:n].copy()
+        for k in range(1, length):
+            good &= inside[k : k + n]
+        if length > 1:
+            # parts that start at the first or the second word of a phrase
+            able = np.zeros(n + 1, bool)
+            able[:-1] |= good
+            able[1:] |= good
+            at = np.flatnonzero(able)
+            able[at] = known(shorter, phrase_hashes(part, word_hash, at, length - 1))
+            good &= able[:-1] & able[1:]
+        at = np.flatnonzero(good)
+        if wanted is not None:
+            at = at[known(wanted, phrase_hashes(part, word_hash, at, length))]
+        found.append((at + start).astype(np.int32))
+    return np.concatenate(found) if found else np.zeros(0, np.int32)
 
 
 def counted(ids: np.ndarray, at: np.ndarray, length: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,20 +182,20 @@ def counts(parts: DataFrame, length: int, support: int, shorter, candidates) ->
                 words = row.column("words").flatten()
                 word_hash, ids = (np.frombuffer(row.column(c)[0].as_buffer(), kind) for c, kind in (("hashes", np.uint64), ("ids", np.int32)))
                 least = -(-support * row.column("octets")[0].as_py() // max(1, row.column("total")[0].as_py()))
-                at, hashes = starts_of(ids, word_hash, length, None if shorter is None else shorter.value)
-                if candidates is not None:
-                    kept = known(candidates.value, hashes)
-                    at, hashes = at[kept], hashes[kept]
+                at = starts_of(ids, word_hash, length, *(None if m is None else m.value for m in (shorter, candidates)))
                 first, n = counted(ids, at, length, len(words))
                 if candidates is None:
                     first, n = first[n >= least], n[n >= least]
-                texts = [words.take(pa.array(ids[at[first] + k])) for k in range(length)]
+                at = at[first]
+                del first
+                hashes = phrase_hashes(ids, word_hash, at, length).view(np.int64)
+                texts = [words.take(pa.array(ids[at + k])) for k in range(length)]
                 phrase = pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.binary())) if length > 1 else texts[0]
                 slack, own = max(0, least - 1), 1 if candidates is None else 0
-                columns = [phrase, pa.array(hashes[first].view(np.int64)), pa.array(n.astype(np.int64)), pa.array((n - slack).astype(np.int64))]
+                columns = [phrase, pa.array(hashes), pa.array(n.astype(np.int64)), pa.array((n - slack).astype(np.int64))]
                 if own:
                     columns = [pa.concat_arrays([c, pa.array([v], c.type)]) for c, v in zip(columns, (None, None, None, slack))]
-                yield pa.RecordBatch.from_arrays([pa.array(row.column("lang").to_pylist() * (len(first) + own), pa.string()), *columns], names=["lang", "phrase", "h", "n", "excess"])
+                yield pa.RecordBatch.from_arrays([pa.array(row.column("lang").to_pylist() * (len(at) + own), pa.string()), *columns], names=["lang", "phrase", "h", "n", "excess"])
 
     return parts.select("lang", "octets", "total", "words", "hashes", "ids").mapInArrow(mine, PHRASES)
 
@@ -194,11 +211,11 @@ def frequent(docs: DataFrame, support: int = 100, longest: int = 5, text_col: st
         local = materialise(counts(parts, length, support, shorter, None), "local")
         silent = local.where("phrase is null").groupBy("lang").agg(F.sum("excess").alias("slack"))
         united = local.where("phrase is not null").groupBy("lang", "phrase").agg(F.first("h").alias("h"), F.sum("excess").alias("reported"))
-        candidates = with_facts(united, silent).where(F.col("reported") + F.col("slack") >= support)
-        able = bitmap(spark, candidates)
+        able = bitmap(spark, with_facts(united, silent).where(F.col("reported") + F.col("slack") >= support))
         exact = counts(parts, length, support, shorter, able).groupBy("lang", "phrase").agg(F.first("h").alias("h"), F.sum("n").alias("n")).where(F.col("n") >= support)
         found.append(materialise(exact.select("lang", F.col("phrase").cast("string").alias("phrase"), "h", F.lit(length).alias("k"), "n"), "frequent"))
         able.unpersist()
+        discard(local)
         if shorter is not None:
             shorter.unpersist()
         shorter = bitmap(spark, found[-1])

@@ -194,7 +194,7 @@ def test_phrases_match_brute_force(spark, monkeypatch, support, longest, keep, s
     rng = random.Random(seed)
     text = lambda: "".join(rng.choice("Ab ab cd É e f gg ~ a.b".split(" ")) + rng.choice([" ", " ", " ", "  ", "\t", ". ", "\n", ", "]) for _ in range(rng.randrange(40)))
     rows = [(rng.choice(["en", "en", "en", "fr", None]), text()) for _ in range(300)] + [("en", "a b c d e f a b c d e")] * 9 + [("xx", None), ("xx", "")]
-    for name, value in (("LEAST", 500), ("AT_ONCE", 200), ("SHARDS", 8)):
+    for name, value in (("LEAST", 500), ("AT_ONCE", 200), ("SHARDS", 8), ("WINDOW", 64)):
         monkeypatch.setattr(phrases, name, value)
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     assert phrases.shards(docs).count() > 8
