@@ -8,7 +8,7 @@ both with WARC-Refers-To and the source's target URI, date and payload digest, a
 Record ids are name-based: the same input gives the same ids.
 
 Defined results: a null URL or page counts as empty (the record stays); a payload that is no text or has none converts to an
-empty block; a source without a payload digest gets one computed; a Content-Length that is no number is not obeyed; repeated rows give repeated records; a record that is not a response has no derivatives; an empty table gives an empty result;
+empty block; a source without a payload digest gets one computed; a Content-Length that is no number, or below 0, is not obeyed; repeated rows give repeated records; a record that is not a response has no derivatives, nor has one whose lines do not end in CRLF, since it has no type; an empty table gives an empty result;
 other columns of the input are dropped, so they may have any name.
 """
 
@@ -38,26 +38,24 @@ def once(value: Column, use) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    """Entities as characters: those by number, then the common names, the ampersand last."""
-    return once(once(text, numbered), named)
+    """Entities as characters, by number or by one of the common names, in one pass: what an entity gives is not read again; others stay as they are."""
+    parts = F.split(text, "&")
+    names = F.create_map(*[F.lit(x) for entity, char in ENTITIES for x in (entity[1:-1], char)])
 
+    def one(part: Column) -> Column:
+        end = F.instr(part, ";")
+        name = F.substring(part, 1, 10)
+        name = F.when(end.between(2, 11), F.substring_index(name, ";", 1))
+        char = F.when(F.startswith(name, F.lit("#")), numbered(name)).otherwise(F.try_element_at(names, name))
+        return F.coalesce(F.concat(char, part.substr(end + 1, F.length(part))), F.concat(F.lit("&"), part))
 
-def numbered(text: Column) -> Column:
-    parts = F.split(text, r"(?=&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)")
-    number = lambda p: F.when(F.rlike(p, F.lit("^&#[xX]")), F.conv(F.regexp_extract(p, "^&#[xX]([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(p, "^&#([0-9]+);", 1)).cast("int")
-    one = lambda p: F.when(
-        F.rlike(p, F.lit("^&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});")) & number(p).between(1, 0x10FFFF) & ~number(p).between(0xD800, 0xDFFF),
-        F.concat(F.decode(F.unhex(F.lpad(F.hex(number(p)), 8, "0")), "UTF-32"), F.substring_index(p, ";", -(1 << 30)).substr(F.instr(p, ";") + 1, F.length(p))),
-    ).otherwise(p)
-    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(parts, one), "")).otherwise(text)
+    return F.when(F.contains(text, F.lit("&")), once(parts, lambda x: F.concat(F.get(x, F.lit(0)), F.array_join(F.transform(F.slice(x, F.lit(2), F.size(x)), one), "")))).otherwise(text)
 
 
-def named(text: Column) -> Column:
-    names = text
-    for entity, char in ENTITIES[:-1]:
-        names = F.replace(names, F.lit(entity), F.lit(char))
-    text = F.when(F.contains(text, F.lit("&")), names).otherwise(text)
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+def numbered(name: Column) -> Column:
+    """The character of #123 or #x7B; null if there is none."""
+    number = F.when(F.rlike(name, F.lit("^#[xX][0-9a-fA-F]{1,6}$")), F.conv(F.substring(name, 3, 6), 16, 10)).when(F.rlike(name, F.lit("^#[0-9]{1,7}$")), F.substring(name, 2, 7)).cast("int")
+    return F.when(number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
 
 
 def plain_text(html: Column) -> Column:
@@ -134,6 +132,7 @@ def parsed(records: DataFrame, record_col: str = "record") -> DataFrame:
     df = records.withColumn("_split", F.instr(rec, gap)).withColumn("warc", _fields(F.when(F.col("_split") > 0, rec.substr(F.lit(1), F.col("_split") - 1)).otherwise(rec)))
     rest = F.when(F.col("_split") > 0, rec.substr(F.col("_split") + 4, F.length(rec))).otherwise(F.lit(""))
     size = F.expr("try_cast(get(filter(warc, f -> f.k = 'content-length'), 0).v as int)")
+    size = F.when(size >= 0, size)
     df = df.withColumn("_rest", rest).withColumn("_size", size)
     # texts of one byte a character need no detour over bytes; a cut inside a character drops its start
     ascii_ = F.octet_length("_rest") == F.length("_rest")

@@ -193,6 +193,23 @@ def test_warc_keeps_every_header(spark):
 # ---------------------------------------------------------------- statements
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [("&#38;lt;b&#38;gt;", "&lt;b&gt;"), ("&#38;amp;", "&amp;"), ("&amp;#65;", "&#65;"), ("&amp;lt;", "&lt;"), ("a&b;c&&lt;&unknown;&#x1F600;&#55296;&#0;", "a&b;c&<&unknown;😀&#55296;&#0;"), ("x & y; &copy;&#xe9;&", "x & y; ©é&"), ("&" + "l" * 5000 + ";", "&" + "l" * 5000 + ";"), ("", ""), ("&#99999999;&euro;", "&#99999999;€")],
+)
+def test_warc_entities_once(spark, html, text):
+    assert spark.createDataFrame([(html,)], "h string").select(warc.unescaped(F.col("h"))).first()[0] == text
+
+
+def test_warc_odd_lengths_and_lines(spark):
+    """A Content-Length below 0 is not obeyed; a record with bare line feeds has no type, so no derivatives."""
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\nbody"
+    record = lambda n: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: {n}\r\n\r\n{http}\r\n\r\n"
+    rows = [(n, record(n)) for n in (-5, len(http), 10**12)] + [(0, record(len(http)).replace("\r\n", "\n"))]
+    got = warc.derivatives(spark.createDataFrame(rows, "source_id long, record string")).where("record_type = 'conversion'").collect()
+    assert sorted((r.source_id, r.block) for r in got) == [(-5, "body"), (len(http), "body"), (10**12, "body")]
+
+
 @pytest.mark.parametrize("name", ["op3_warc", "op4_exactdedup", "op5_mixing", "op10_chat"])
 def test_query_equals_its_statement(spark, sf, name):
     import duckdb
