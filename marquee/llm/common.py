@@ -29,14 +29,14 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    Cuts lineage: what follows survives lost executors and does not compute df again.
+    Cuts lineage: what follows survives lost executors and does not compute df again. rows_per_file: where rows are large, so many of them in a file.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/marquee/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -36,14 +36,16 @@ SIZED = 1000
 AT_ONCE = 2 << 20
 #: Words of a shard whose phrases are looked up at once.
 WINDOW = 1 << 19
-#: Bits of the map of known phrases (16 MB).
-BITS = 1 << 27
+#: Bits of the map of known phrases (8 MB).
+BITS = 1 << 26
+#: Parts in which the phrases of a shard are sorted, one after the other.
+PARTS = 4
 #: Multiplies the hash of a phrase before the next word's is added.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, octets, n_words, words (the shard's different words), hashes (of these, 64 bits) and ids (word numbers; -1 ends a piece); written to the shared folder."""
+    """lang, octets, n_words, words (the shard's different words), hashes (of these, 64 bits) and ids (word numbers, packed; -1 ends a piece); written to the shared folder."""
     sized = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text"))
     per_language = sized.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"))
     largest = {r.lang: r.n for r in per_language.orderBy(F.desc("n")).limit(SIZED).collect()}
@@ -51,19 +53,29 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
     limit = lambda lang: min(MOST, max(LEAST, -(-largest.get(lang, other) // SHARDS)))
 
     def cut(batches):
-        held: dict[str, Shard] = {}
+        growing: dict[str, Shard] = {}
+        full: dict[str, Shard] = {}  # waits for what is left of its language, so that no shard is tiny
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                shard = held.setdefault(lang, Shard(lang))
+                shard = growing.setdefault(lang, Shard(lang))
                 shard.add(text.as_py())
                 if shard.octets >= limit(lang):
-                    yield held.pop(lang).row()
-                elif sum(s.octets for s in held.values()) >= 2 * MOST:
+                    if lang in full:
+                        yield full.pop(lang).row()
+                    full[lang] = growing.pop(lang)
+                while sum(s.octets for held in (growing, full) for s in held.values()) >= 2 * MOST:
+                    held = full or growing
                     yield held.pop(max(held, key=lambda k: held[k].octets)).row()
-        for shard in held.values():
+        for lang, shard in growing.items():
+            if lang in full and 2 * shard.octets < limit(lang):
+                full[lang].take_in(shard)
+            else:
+                yield shard.row()
+        for shard in full.values():
             yield shard.row()
 
-    return materialise(sized.mapInArrow(cut, "lang string, octets long, n_words long, words array<binary>, hashes binary, ids binary"), "shards")
+    # a file a shard, so that a task reads few at once
+    return materialise(sized.mapInArrow(cut, "lang string, octets long, n_words long, words array<binary>, hashes binary, ids binary"), "shards", rows_per_file=1)
 
 
 class Shard:
@@ -86,9 +98,16 @@ class Shard:
         self.parts.append(pa.array([t for t in tokens if t], pa.binary()).dictionary_encode())
         self.texts, self.waiting = [], 0
 
+    def take_in(self, other: Shard) -> None:
+        self.split()
+        other.split()
+        self.parts += other.parts
+        self.octets += other.octets
+
     def row(self):
         import pyarrow as pa
         import xxhash
+        import zstandard
 
         self.split()
         coded = pa.chunked_array(self.parts).unify_dictionaries()
@@ -99,7 +118,7 @@ class Shard:
             ids[ids == plain.index(b".")] = -1
         seed = xxhash.xxh32_intdigest(self.lang)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in plain), np.uint64, len(plain))
-        values = {"lang": self.lang, "octets": self.octets, "n_words": int((ids >= 0).sum()), "words": plain, "hashes": hashes.tobytes(), "ids": ids.tobytes()}
+        values = {"lang": self.lang, "octets": self.octets, "n_words": int((ids >= 0).sum()), "words": plain, "hashes": hashes.tobytes(), "ids": zstandard.compress(ids.tobytes(), 1)}
         kinds = {"lang": pa.string(), "octets": pa.int64(), "n_words": pa.int64(), "words": pa.list_(pa.binary()), "hashes": pa.binary(), "ids": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array([values[k]], kind) for k, kind in kinds.items()], names=list(kinds))
 
@@ -107,14 +126,14 @@ class Shard:
 def known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes have both their bits in the map."""
     out = np.ones(len(hashes), bool)
-    for place in (hashes & np.uint64(BITS - 1), (hashes >> np.uint64(27)) & np.uint64(BITS - 1)):
+    for place in (hashes & np.uint64(BITS - 1), (hashes >> np.uint64(26)) & np.uint64(BITS - 1)):
         out &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
     return out
 
 
 def bitmap(spark: SparkSession, phrases: DataFrame):
-    """The map of the hashes `h` of phrases, at all executors; 2 million numbers at most come to the driver."""
-    bits = phrases.select(F.explode(F.array(F.col("h").bitwiseAND(BITS - 1), F.shiftrightunsigned("h", 27).bitwiseAND(BITS - 1))).alias("b"))
+    """The map of the hashes `h` of phrases, at all executors; 1 million numbers at most come to the driver."""
+    bits = phrases.select(F.explode(F.array(F.col("h").bitwiseAND(BITS - 1), F.shiftrightunsigned("h", 26).bitwiseAND(BITS - 1))).alias("b"))
     words = bits.groupBy(F.shiftright("b", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("w")).toArrow()
     whole = np.zeros(BITS // 64, np.int64)
     whole[words.column("at").to_numpy()] = words.column("w").to_numpy()
@@ -155,15 +174,27 @@ def starts_of(ids: np.ndarray, word_hash: np.ndarray, length: int, shorter: np.n
 
 def counted(ids: np.ndarray, at: np.ndarray, length: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """The first place and the number of each different phrase that starts at one of `at`; phrases are told apart by their words."""
-    key, size = ids[at].astype(np.int64), max(1, n_words)
-    for k in range(1, length):
-        if size * n_words >= 1 << 62:
-            different, key = np.unique(key, return_inverse=True)
-            size = max(1, len(different))
-        key = key * n_words + ids[at + k]
-        size *= n_words
-    _, first, n = np.unique(key, return_index=True, return_counts=True)
-    return first, n
+    if length == 1:
+        first = np.zeros(n_words, np.int64)
+        first[ids[at[::-1]]] = np.arange(len(at) - 1, -1, -1)
+        n = np.bincount(ids[at], minlength=n_words)
+        return first[n > 0], n[n > 0]
+    found = []
+    start = ids[at] % PARTS  # equal phrases start with the same word, so they fall in one part
+    for part in range(PARTS):
+        own = np.flatnonzero(start == part)
+        here = at[own]
+        key, size = ids[here].astype(np.int64), max(1, n_words)
+        for k in range(1, length):
+            if size * n_words >= 1 << 62:
+                different, key = np.unique(key, return_inverse=True)
+                size = max(1, len(different))
+            key *= n_words
+            key += ids[here + k]
+            size *= n_words
+        _, first, n = np.unique(key, return_index=True, return_counts=True)
+        found.append((own[first], n))
+    return np.concatenate([f for f, _ in found]), np.concatenate([n for _, n in found])
 
 
 PHRASES = "lang string, phrase binary, h long, n long, excess long"
@@ -176,11 +207,12 @@ def counts(parts: DataFrame, length: int, support: int, shorter, candidates) ->
     def mine(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
+        import zstandard
 
         for batch in batches:
             for row in (batch.slice(i, 1) for i in range(batch.num_rows)):
                 words = row.column("words").flatten()
-                word_hash, ids = (np.frombuffer(row.column(c)[0].as_buffer(), kind) for c, kind in (("hashes", np.uint64), ("ids", np.int32)))
+                word_hash, ids = np.frombuffer(row.column("hashes")[0].as_buffer(), np.uint64), np.frombuffer(zstandard.decompress(row.column("ids")[0].as_buffer()), np.int32)
                 least = -(-support * row.column("octets")[0].as_py() // max(1, row.column("total")[0].as_py()))
                 at = starts_of(ids, word_hash, length, *(None if m is None else m.value for m in (shorter, candidates)))
                 first, n = counted(ids, at, length, len(words))
