@@ -2,16 +2,20 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from marquee.operators import catalog as C
 from marquee.operators import mutations as M
 from marquee.operators import playback as P
-from marquee.operators.ranking import placed
+from marquee.operators import scan as SC
+from marquee.operators.ranking import first_value, placed, running_max
 from marquee.plans.queries import ORACLE, QUERIES
 from marquee.sources import files
+from marquee.sources import versions as V
 from marquee.sources.domain import Catalog
 from marquee.streaming import events as E
+from marquee.streaming import watch as WT
 
 
 def rows(df):
@@ -203,3 +207,180 @@ def test_places_in_large_groups(spark):
     assert got == want
     assert placed(df.limit(0), ["g"], [F.col("id")]).collect() == []
     assert sorted(r.place for r in placed(df, [], [F.col("id")], first=0).collect()) == list(range(3000))
+
+
+def slow_reports(values, last=P.BEFORE, step=P.HEARTBEAT):
+    out = []
+    for v in values:
+        if v is not None and abs(v - last) >= step:
+            last = v
+            out.append(v)
+    return out
+
+
+def test_effect_of_a_slice_on_any_last_report():
+    import numpy as np
+
+    rng = random.Random(1)
+    for _ in range(300):
+        values = np.array([float(rng.choice([rng.randrange(60), rng.random() * 60])) for _ in range(rng.randrange(1, 40))])
+        bounds, exits, counts = P.slice_effect(values, 10.0)
+        for last in [-100.0, *bounds, *[rng.choice([float(rng.randrange(80)), rng.random() * 80]) for _ in range(20)]]:
+            at = int(bounds.searchsorted(last))
+            at = 2 * at + 1 if at < len(bounds) and bounds[at] == last else 2 * at
+            want = slow_reports(values, last)
+            assert (last if exits[at] is None else exits[at], counts[at]) == (want[-1] if want else last, len(want))
+
+
+def test_heartbeats_of_a_hot_user(spark, monkeypatch):
+    """One user has most events and many slices; others have one slice, only nulls, or values that never move; a null user."""
+    monkeypatch.setattr(P, "SLICE", 32)
+    rng = random.Random(2)
+    data = [("hot", n, rng.random() * 100) for n in range(1500)] + [("up", n, n * 0.7) for n in range(400)] + [("still", n, 5.0) for n in range(100)] + [("none", 1, None), (None, 1, 50.0), (None, 2, 55.0), (None, 3, 61.0)]
+    df = spark.createDataFrame(data, "u string, n int, v double").repartition(5)
+    got = {}
+    for r in P.heartbeats(df, ["u"], ["n"], "v").collect():
+        got.setdefault(r.u, {})[r.n] = r.reported
+    want = {u: dict(enumerate(found, 1)) for u in {r[0] for r in data} if (found := slow_reports([v for w, _, v in data if w == u]))}
+    assert got == want
+
+
+def test_running_values_of_a_hot_medium(spark):
+    rng = random.Random(3)
+    data = [("hot" if rng.random() < 0.9 else rng.choice(["b", None]), n, rng.choice([None, rng.randrange(1000)])) for n in range(2000)]
+    df = spark.createDataFrame(data, "k string, n int, x long").repartition(6)
+    high, first = {}, {}
+    for k, n, x in sorted(data, key=lambda r: r[1]):
+        seen = [v for v in (high.get((k, "now")), x) if v is not None]
+        high[k, "now"] = max(seen) if seen else None
+        high[k, n] = high[k, "now"]
+        first.setdefault(k, x)
+    got = running_max(df, ["k"], [F.col("n").asc()], F.col("x"), "m")
+    assert {(r.k, r.n): r.m for r in got.collect()} == {k: v for k, v in high.items() if k[1] != "now"}
+    assert all(r.f == first[r.k] for r in first_value(df, ["k"], [F.col("n").asc()], F.col("x"), "f").collect())
+    assert got.where("k = 'hot'").count() == sum(r[0] == "hot" for r in data)
+
+
+def test_store_copies_only_what_changes(spark, tmp_path):
+    store = V.Store(spark, f"file:{tmp_path}/store")
+    data = spark.createDataFrame([(n, f"v{n}") for n in range(1000)], "id long, v string")
+    with store.begin() as tx:
+        tx.create("t", data, ["id"], 32)
+    before = store.manifest()["tables"]["t"]["parts"]
+    replace = lambda old, new: old.join(new.select("id"), "id", "left_anti").unionByName(new)
+    with store.begin() as tx:
+        tx.upsert("t", spark.createDataFrame([(5, "new"), (2000, "added")], "id long, v string"), replace)
+    after = store.manifest()["tables"]["t"]["parts"]
+    assert 1 <= len(tx.rewritten["t"]) <= 2 and sorted(int(b) for b in after if after[b] != before.get(b)) == tx.rewritten["t"]
+    got = dict(map(tuple, store.read("t").collect()))
+    assert got == {n: f"v{n}" for n in range(1000)} | {5: "new", 2000: "added"}
+    assert store.read("t", 1).where("id = 5").first().v == "v5" and store.versions() == [1, 2]
+    with store.begin() as tx:
+        tx.upsert("t", data.limit(0), replace)
+    assert tx.rewritten["t"] == [] and store.read("t").count() == 1001
+    with pytest.raises(ValueError):
+        with store.begin() as tx:
+            tx.upsert("t", spark.createDataFrame([(5, "x")], "id long, v string"), lambda old, new: old.withColumn("id", F.col("id") + 1))
+    assert store.versions() == [1, 2, 3] and store.vacuum(1) >= 1 and store.versions() == [3] and store.read("t").count() == 1001
+
+
+def test_store_readers_see_all_or_nothing(spark, tmp_path):
+    store = V.Store(spark, f"file:{tmp_path}/store")
+    one = lambda v: spark.createDataFrame([(1, v)], "id long, v string")
+    with store.begin() as tx:
+        tx.create("a", one("old"), ["id"])
+        tx.create("log", one("first"))
+    held = store.read("a")
+    with pytest.raises(RuntimeError, match="half way"):
+        with store.begin() as tx:
+            tx.create("a", one("new"), ["id"])
+            assert tx.read("a").first().v == "new"
+            raise RuntimeError("half way")
+    assert store.read("a").first().v == "old" and store.versions() == [1] and len(store.names("data")) == 1
+    first, second = store.begin(), store.begin()
+    first.append("log", one("second"))
+    second.append("log", one("third"))
+    first.commit()
+    with pytest.raises(V.Conflict):
+        second.commit()
+    assert sorted(r.v for r in store.read("log").collect()) == ["first", "second"] and held.first().v == "old"
+    with store.begin() as tx:
+        tx.compact("log")
+        tx.drop("a")
+    assert store.tables() == ["log"] and len(store.manifest()["tables"]["log"]["parts"]) == 1 and store.read("log").count() == 2
+
+
+def scan_input(spark, movies, shows, episodes):
+    make = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    return dict(movies=make(movies, "library_id int, file_path string, clean_name string, file_size long"), shows=make(shows, "library_id int, path string"), episodes=make(episodes, "library_id int, show string, file_path string, season int, episode int, file_size long"))
+
+
+def test_scan_is_one_transaction(spark, tmp_path):
+    make = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    store = SC.catalog_store(
+        V.Store(spark, f"file:{tmp_path}/store"),
+        libraries=make([(1, "M", "Movies", 1, None), (2, "S", "Shows", 1, None), (3, "X", "Movies", 0, None)], "id int, name string, type string, is_enabled int, last_scanned_at long"),
+        movies=make([(10, 1, "a.mkv", "a", 1, 5, 100), (11, 1, "b.mkv", "b", 1, None, 100), (12, 3, "c.mkv", "c", 1, None, 100)], "id long, library_id int, file_path string, clean_name string, is_present int, tmdb_id long, file_size long"),
+        shows=make([(20, 2, "Old", "Old", 1, 7), (21, 2, "Gone", "Gone", 1, None)], "id long, library_id int, path string, title string, is_present int, tmdb_id long"),
+        episodes=make([(30, 20, "S01E01.mkv", 1, 1, 1, None, 9)], "id long, show_id long, file_path string, season int, episode int, is_present int, tmdb_id long, file_size long"),
+    )
+    found = scan_input(spark, [(1, "a.mkv", "a", 101), (1, "n.mkv", "n", 1), (3, "zz.mkv", "zz", 1)], [(2, "Old"), (2, "New")], [(2, "Old", "S01E01.mkv", 1, 1, 9), (2, "Old", "S01E02.mkv", 1, 2, 8), (2, "New", "1x1.mkv", 1, 1, 7)])
+    broken = dict(found, episodes=found["episodes"].withColumn("season", F.raise_error(F.lit("gone")).cast("int")))
+    before = {t: rows(store.read(t)) for t in store.tables()}
+    with pytest.raises(Exception, match="gone"):
+        SC.scan_libraries(store, F.lit(True), now=F.lit(99).cast("long"), **broken)
+    assert store.versions() == [1] and {t: rows(store.read(t)) for t in store.tables()} == before
+    SC.scan_libraries(store, F.lit(True), now=F.lit(99).cast("long"), **found)
+    assert rows(store.read("libraries").select("id", "last_scanned_at")) == [(1, 99), (2, 99), (3, None)]
+    assert rows(store.read("movies")) == [(10, 1, "a.mkv", "a", 1, 5, 101), (11, 1, "b.mkv", "b", 0, None, 100), (12, 3, "c.mkv", "c", 1, None, 100), (13, 1, "n.mkv", "n", 1, None, 1)]
+    assert rows(store.read("shows")) == [(20, 2, "Old", "Old", 1, 7), (21, 2, "Gone", "Gone", 0, None), (22, 2, "New", "New", 1, None)]
+    assert sorted((r.show_id, r.file_path, r.is_present) for r in store.read("episodes").collect()) == [(20, "S01E01.mkv", 1), (20, "S01E02.mkv", 1), (22, "1x1.mkv", 1)]
+    again = SC.scan_libraries(store, F.lit(True), now=F.lit(99).cast("long"), **found)
+    assert all(not again.rewritten[t] for t in ("movies", "shows", "episodes")) and store.versions() == [1, 2, 3]
+
+
+def test_lookups_that_fail_are_due_again(spark, tmp_path):
+    make = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    store = V.Store(spark, f"file:{tmp_path}/store")
+    with store.begin() as tx:
+        tx.create("libraries", make([(1, "Movies", "/m"), (2, "Shows", "/s")], "id int, type string, path string"), ["id"])
+        tx.create("movies", make([(n, 1, 1, None, 0) for n in (1, 2, 3)], "id long, library_id int, is_present int, tmdb_id long, attempts int"), ["id"])
+        tx.create("shows", make([(n, 2, 1, None, 0) for n in (5, 6)], "id long, library_id int, is_present int, tmdb_id long, attempts int"), ["id"])
+        tx.create("episodes", make([(50, 5, 1, 1, 1, None, 0), (60, 6, 1, 1, 1, None, 0)], "id long, show_id long, season int, episode int, is_present int, tmdb_id long, attempts int"), ["id"])
+    answers = lambda rows: make(rows, "kind string, id long, tmdb_id long")
+    SC.enrich(store, answers([("movie", 1, 100), ("movie", 2, 0), ("show", 5, 500), ("episode", 50, 5000), ("episode", 60, 6000)]))
+    state = lambda: {(t, r.id): (r.tmdb_id, r.attempts) for t in ("movies", "shows", "episodes") for r in store.read(t).collect()}
+    assert state() == {("movies", 1): (100, 0), ("movies", 2): (0, 0), ("movies", 3): (None, 1), ("shows", 5): (500, 0), ("shows", 6): (None, 1), ("episodes", 50): (5000, 0), ("episodes", 60): (None, 0)}
+    SC.enrich(store, answers([("movie", 1, 1), ("movie", 2, 2), ("movie", 3, 300), ("show", 6, 600)]))
+    assert state() == {("movies", 1): (100, 0), ("movies", 2): (0, 0), ("movies", 3): (300, 1), ("shows", 5): (500, 0), ("shows", 6): (600, 1), ("episodes", 50): (5000, 0), ("episodes", 60): (None, 1)}
+
+
+def test_watch_events_are_taken_once(spark, tmp_path):
+    """Posted bodies over several batches, a restart between them, and a batch that is repeated after its commit."""
+    source, root, mark = (str(tmp_path / n) for n in ("in", "store", "mark"))
+    schema = "id long, username string, ts long, body string"
+    body = lambda item, event, position: '{"%s":%d,"event":"%s","position":%s,"duration":100}' % (*item, event, position)
+    batches = [[(1, "u", 1, body(("movie_id", 7), "start", 1)), (2, "u", 2, body(("episode_id", 7), "start", 2)), (3, "u", 3, "{"), (4, "u", 3, body(("id", 7), "dance", 9))], [(5, "u", 5, body(("id", 7), "seek", 50)), (6, "w", 6, body(("id", 8), "stop", 4))], [(7, "u", 4, body(("movie_id", 7), "stop", 3))]]
+    for data in batches:
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        sink = WT.WatchSink(spark, f"file:{root}")
+        E.run_available(WT.accepted(stream), sink, mark)
+    repeated = WT.accepted(spark.createDataFrame(batches[2], schema))
+    WT.WatchSink(spark, f"file:{root}")(repeated, sink.store.mark("watch"))
+    assert [(r.id, r.movie_id, r.event_type) for r in sink.read("playback_logs").orderBy("id").collect()] == [(1, 7, "start"), (5, 7, "seek"), (6, 8, "stop"), (7, 7, "stop")]
+    assert [(r.id, r.episode_id) for r in sink.read("episode_playback_logs").collect()] == [(2, 7)]
+    assert rows(sink.read("playback_progress").select("username", "movie_id", "position", "duration")) == [("u", 7, 50.0, 100.0), ("w", 8, 4.0, 100.0)]
+    assert rows(sink.read("episode_playback_progress").select("username", "episode_id", "position")) == [("u", 7, 2.0)]
+    versions = sink.store.versions()
+    sink(repeated, 99)
+    assert len(sink.store.versions()) == len(versions) + 1 and sink.read("playback_logs").count() == 5
+
+
+def test_latest_state_rewrites_touched_buckets(spark, tmp_path):
+    state = E.LatestState(spark, ["k"], ("ts",), root=str(tmp_path / "s"), buckets=64)
+    state(spark.createDataFrame([(f"k{n}", 1, n) for n in range(500)], "k string, ts long, v long"), 0)
+    before = state.store.manifest()["tables"]["state"]["parts"]
+    state(spark.createDataFrame([("k7", 2, 700), ("k7", 0, 1)], "k string, ts long, v long"), 1)
+    after = state.store.manifest()["tables"]["state"]["parts"]
+    assert sum(after[b] != before[b] for b in before) == 1 and state.read().where("k = 'k7'").first().v == 700 and state.read().count() == 500
