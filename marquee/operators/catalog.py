@@ -117,10 +117,17 @@ def dashboard(movies: DataFrame, shows: DataFrame, episodes: DataFrame, librarie
 
 
 def shows_as_json(shows: DataFrame, episodes: DataFrame) -> DataFrame:
-    """id and body: a show with its present episodes in order as one JSON object."""
-    return nested_shows(shows.select("id", F.col("title").alias("show_title")), episodes).select(
-        "id", F.to_json(F.struct("id", F.col("show_title").alias("title"), F.transform("episodes", lambda e: F.struct(e["season"].alias("season"), e["episode"].alias("episode"), e["id"].alias("id"))).alias("episodes"))).alias("body")
-    )
+    """id and body: the answer for each show, with its present episodes in order. What is not known is an empty text; an episode without a title shows its file's name.
+
+    shows: id, library_id, title, overview, poster_path, backdrop_path, tmdb_id; episodes: show_id, is_present, id, season, episode, file_path, title, overview, still_path.
+    """
+    or_empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    own = F.struct("id", "season", "episode", F.coalesce("title", T.basename(F.col("file_path"))).alias("title"), or_empty("overview"), or_empty("still_path"))
+    of_show = episodes.where("is_present = 1").groupBy("show_id").agg(F.array_sort(F.collect_list(F.struct("season", "episode", "id", own.alias("e")))).alias("_sorted"))
+    listed = F.coalesce(F.transform("_sorted", lambda x: x["e"]), F.array().cast(of_show.select(F.transform("_sorted", lambda x: x["e"])).schema[0].dataType))
+    show = F.struct("id", "library_id", "title", or_empty("overview"), or_empty("poster_path"), or_empty("backdrop_path"), or_empty("tmdb_id"), listed.alias("episodes"))
+    joined = shows.join(of_show.withColumnRenamed("show_id", "_show"), F.col("id") == F.col("_show"), "left")
+    return joined.select("id", F.to_json(F.struct(F.lit(True).alias("success"), show.alias("show"))).alias("body"))
 
 
 def enrichment_pass(movies: DataFrame, shows: DataFrame, episodes: DataFrame, libraries: DataFrame, found: DataFrame) -> DataFrame:

@@ -13,11 +13,15 @@ from marquee.operators import catalog as C
 from marquee.operators import mutations as M
 from marquee.operators import playback as P
 from marquee.operators import scan as SC
+from marquee.operators import search_index as SX
 from marquee.operators.ranking import placed
 from marquee.sources import files as S
+from marquee.sources import schema as SM
+from marquee.sources import subtitles as SU
 from marquee.sources import versions as V
 from marquee.sources.domain import Catalog, oracle
 from marquee.streaming import events as E
+from marquee.streaming import sessions as SS
 from marquee.streaming import watch as WT
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -813,9 +817,47 @@ def src11_json_body(c):
     return S.watch_events(c.sql(BODIES).select("id", "body"))
 
 
-@query("SELECT s.id, '{\"id\":' || s.id || ',\"title\":\"' || s.title || '\",\"episodes\":[' || coalesce(e.body, '') || ']}' AS body FROM shows s LEFT JOIN (SELECT show_id, string_agg('{\"season\":' || season || ',\"episode\":' || episode || ',\"id\":' || id || '}', ',' ORDER BY season, episode, id) AS body FROM episodes WHERE is_present = 1 GROUP BY show_id) e ON s.id = e.show_id")
+ABOUT = "case when {0}tmdb_id > 0 then 'About \"' || {0}title || '\"' end"
+QUOTED = "replace(coalesce({0}, ''), '\"', '\\\"')"
+
+
+@query(
+    f"SELECT s.id, '{{\"success\":true,\"show\":{{\"id\":' || s.id || ',\"library_id\":' || s.library_id || ',\"title\":\"' || s.title || '\",\"overview\":\"' || {QUOTED.format(ABOUT.format('s.'))} || '\",\"poster_path\":\"' || coalesce(CASE WHEN s.tmdb_id > 0 THEN '/s' || s.id || '.jpg' END, '')"
+    " || '\",\"backdrop_path\":\"\",\"tmdb_id\":\"' || coalesce(cast(s.tmdb_id as varchar), '') || '\",\"episodes\":[' || coalesce(e.body, '') || ']}}' AS body FROM shows s"
+    f" LEFT JOIN (SELECT show_id, string_agg('{{\"id\":' || id || ',\"season\":' || season || ',\"episode\":' || episode || ',\"title\":\"' || coalesce(title, file_path) || '\",\"overview\":\"' || {QUOTED.format(ABOUT.format(''))} || '\",\"still_path\":\"\"}}', ',' ORDER BY season, episode, id) AS body FROM episodes WHERE is_present = 1 GROUP BY show_id) e ON s.id = e.show_id"
+)
 def snk2_show_json(c):
-    return C.shows_as_json(c.shows, c.episodes)
+    none = F.lit(None).cast("string")
+    shows = c.shows.withColumns({"overview": q(ABOUT.format("")), "poster_path": q(SHOW_POSTER), "backdrop_path": none})
+    return C.shows_as_json(shows, c.episodes.withColumns({"overview": q(ABOUT.format("")), "still_path": none}))
+
+
+CONFIG_PORT = "case id % 7 when 0 then '8080' when 1 then '70000' when 2 then '\"9000\"' when 3 then 'null' when 4 then '80.5' when 5 then '-1' else '65535' end"
+CONFIG_BODY = f"chr(123) || '\"port\":' || {CONFIG_PORT} || case id % 3 when 0 then ',\"tmdb_access_token\":\"t' || cast(id as string) || '\"' when 1 then ',\"tmdb_access_token\":\"\"' else ',\"other\":[1]' end || case when id % 2 = 0 then ',\"tmdb_proxy\":\"http://p\"' else '' end || case when id % 11 = 0 then '' else chr(125) end"
+
+
+@query("SELECT id, sound, CASE WHEN sound THEN CASE id % 7 WHEN 0 THEN 8080 WHEN 2 THEN 9000 ELSE 65535 END END AS port, CASE WHEN sound THEN CASE id % 3 WHEN 0 THEN 't' || id ELSE 'default' END END AS tmdb_access_token, CASE WHEN sound AND id % 2 = 0 THEN 'http://p' END AS tmdb_proxy FROM (SELECT id, (id % 7 IN (0, 2, 6) AND id % 11 <> 0) AS sound FROM users) u")
+def src10_config(c):
+    return S.configs(c.users.select("id", q(CONFIG_BODY).alias("body")), default_token="default")
+
+
+@query("SELECT file_path, regexp_replace(regexp_extract(file_path, '[^/]*$'), '[.][^.]*$', '') AS clean_name, file_size FROM (SELECT substr(file_path, 1, length(file_path) - 4) || CASE id % 9 WHEN 0 THEN '.mkv' WHEN 1 THEN '.MKV' WHEN 2 THEN '.mp4' WHEN 3 THEN '.txt' WHEN 4 THEN '.webm' WHEN 5 THEN '' WHEN 6 THEN '.mkv.part' WHEN 7 THEN '.ts' ELSE '.mov' END AS file_path, file_size, id FROM movies) m WHERE id % 9 IN (0, 2, 4, 7, 8)")
+def src02_walk_suffixes(c):
+    """Files of many kinds: suffixes count as they are written, in lower case."""
+    other = F.element_at(F.array(*[F.lit(x) for x in (".mkv", ".MKV", ".mp4", ".txt", ".webm", "", ".mkv.part", ".ts", ".mov")]), (F.col("id") % 9 + 1).cast("int"))
+    return S.movie_files(S.path_tree(c.movies.withColumn("file_path", F.concat(F.substring("file_path", F.lit(1), F.length("file_path") - 4), other))))
+
+
+@query("SELECT 'Show ' || e.show_id || '/' || e.file_path AS file_path, s.title AS show_title, e.season, e.episode FROM episodes e JOIN shows s ON e.show_id = s.id WHERE e.is_present = 1")
+def src03_stored_paths(c):
+    """Episodes as a scan stores them, below their show's folder, and found again by it."""
+    folder = F.concat(F.lit("Show "), F.col("show_id").cast("string"))
+    tree = S.path_tree(c.episodes.where("is_present = 1").withColumn("file_path", F.concat_ws("/", folder, "file_path")))
+    found = S.episode_files(tree).select(F.concat_ws("/", "show", "file_path").alias("file_path"), "show", F.col("season").cast("int").alias("season"), F.col("episode").cast("int").alias("episode"))
+    shows = c.shows.select(F.concat(F.lit("Show "), F.col("id").cast("string")).alias("show"), F.col("title").alias("show_title"))
+    return found.join(shows, "show").drop("show")
+
+
 
 
 @query("SELECT show_id, season, string_agg(cast(episode as varchar), ',' ORDER BY episode, id) AS episodes FROM episodes WHERE is_present = 1 GROUP BY show_id, season")
@@ -1039,6 +1081,101 @@ def t05_enrichment_loop(c):
     return whole
 
 
+SHOW_FOUND = "select id, 900000 + id as tmdb_id, 'Show ' || cast(id as string) as title, case when id % 2 = 0 then 'Text' end as overview, '/p' || cast(id as string) as poster_path, cast(null as string) as backdrop_path from shows where id % 3 = 1"
+EPISODE_FOUND = "select id, 800000 + id as tmdb_id, 'Episode ' || cast(id as string) as title, case when id % 4 = 0 then 'Text' end as overview, '/e' || cast(id as string) as still_path from episodes where id % 5 = 2"
+
+
+@query(f"SELECT s.id, s.path, coalesce(f.tmdb_id, s.tmdb_id) AS tmdb_id, coalesce(f.title, s.title) AS title, CASE WHEN f.id IS NULL THEN 'old' ELSE f.overview END AS overview, coalesce(f.poster_path, 'old') AS poster_path, CASE WHEN f.id IS NULL THEN 'old' END AS backdrop_path FROM shows s LEFT JOIN ({SHOW_FOUND}) f ON s.id = f.id")
+def d10_save_show_metadata(c):
+    """A match writes all fields, nulls too; the date it was first shown on has no column."""
+    old = F.lit("old")
+    shows = c.shows.select("id", "path", F.col("tmdb_id").cast("long").alias("tmdb_id"), "title").withColumns({"overview": old, "poster_path": old, "backdrop_path": old})
+    return M.update_from(shows, c.sql(SHOW_FOUND), ["id"])
+
+
+@query(f"SELECT e.id, coalesce(f.tmdb_id, e.tmdb_id) AS tmdb_id, coalesce(f.title, e.title) AS title, CASE WHEN f.id IS NULL THEN 'old' ELSE f.overview END AS overview, coalesce(f.still_path, 'old') AS still_path FROM episodes e LEFT JOIN ({EPISODE_FOUND}) f ON e.id = f.id")
+def d10_save_episode_metadata(c):
+    old = F.lit("old")
+    episodes = c.episodes.select("id", F.col("tmdb_id").cast("long").alias("tmdb_id"), "title").withColumns({"overview": old, "still_path": old})
+    return M.update_from(episodes, c.sql(EPISODE_FOUND), ["id"])
+
+
+@query("SELECT id, clean_name, CASE WHEN id <> 7 THEN tmdb_id END AS tmdb_id, CASE WHEN id <> 7 THEN title END AS title, CASE WHEN id <> 7 THEN 'text' END AS overview FROM movies")
+def d12_reset_movie(c):
+    """One movie loses what was looked up; its file stays."""
+    none = F.lit(None)
+    movies = c.movies.select("id", "clean_name", "tmdb_id", "title", F.lit("text").alias("overview"))
+    return M.update(movies, F.col("id") == 7, tmdb_id=none.cast(movies.schema["tmdb_id"].dataType), title=none.cast("string"), overview=none.cast("string"))
+
+
+OLD_METADATA = "select library_id, case when id % 2 = 0 then file_path else 'old/' || file_path end as file_path, cast(tmdb_id as bigint) as tmdb_id, title, cast(null as string) as overview, '/p' as poster_path, cast(null as string) as backdrop_path, '1999' as release_date from movies where id % 20 < 2"
+
+
+def old_store(c):
+    """A store of an early time: movies without ids and sizes, logs without movies, metadata in a table of their own, a list of files."""
+    store = V.Store(c.spark)
+    with store.begin() as tx:
+        tx.create("movies", c.movies.select("library_id", "file_path", "clean_name", "is_present", F.col("tmdb_id").cast("long").alias("tmdb_id"), "title"), ["library_id", "file_path"])
+        tx.create("episodes", c.episodes.select(F.col("id").cast("long"), F.col("show_id").cast("long"), "file_path", F.col("season").cast("int"), F.col("episode").cast("int"), "is_present"), ["show_id", "file_path"])
+        tx.create("playback_logs", c.playback_logs.select("id", "username", "event_type", "position"))
+        tx.create("movie_metadata", c.sql(OLD_METADATA))
+        tx.create("library_files", c.movies.select("file_path"))
+    SM.migrate(store)
+    return store
+
+
+NEW_MOVIES = "select library_id, 'old/' || file_path as file_path, '' as clean_name, 1 as is_present, tmdb_id, title, '/p' as poster_path, '1999' as release_date from movies where id % 20 = 1"
+
+
+@query(
+    "SELECT 'movie' AS kind, row_number() OVER (ORDER BY library_id, file_path) AS id, CAST(library_id AS BIGINT) AS parent, file_path, clean_name, is_present, CAST(tmdb_id AS BIGINT) AS tmdb_id, title, CAST(NULL AS VARCHAR) AS poster_path, CAST(NULL AS VARCHAR) AS release_date, CAST(0 AS BIGINT) AS file_size FROM movies"
+    f" UNION ALL SELECT 'movie', (SELECT count(*) FROM movies) + row_number() OVER (ORDER BY library_id, file_path), library_id, file_path, clean_name, is_present, tmdb_id, title, poster_path, release_date, 0 FROM ({NEW_MOVIES}) n"
+    " UNION ALL SELECT 'episode', id, show_id, file_path, NULL, is_present, NULL, NULL, NULL, NULL, 0 FROM episodes"
+)
+def d18_migrated(c):
+    """An old store brought up to date: ids in the order of the keys, new columns with their defaults, old metadata taken over where the key is new."""
+    store = old_store(c)
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    movies = store.read("movies").select(F.lit("movie").alias("kind"), "id", F.col("library_id").alias("parent"), "file_path", "clean_name", "is_present", "tmdb_id", "title", "poster_path", "release_date", "file_size")
+    return movies.unionAll(store.read("episodes").select(F.lit("episode"), "id", "show_id", "file_path", none("clean_name"), "is_present", "tmdb_id", "title", none("poster_path"), none("release_date"), "file_size"))
+
+
+@query(
+    "SELECT * FROM (VALUES ('movies', 'id', true, true), ('movies', 'file_size', true, true), ('episodes', 'still_path', true, true), ('playback_logs', 'movie_id', true, true), ('movie_metadata', 'title', false, false), ('library_files', 'file_path', false, false), ('shows', 'first_air_date', true, false)) v(table_name, column_name, has_table, has_column), (SELECT count(*) AS movies FROM movies) m"
+)
+def q23_lookups(c):
+    """Which tables and columns a store that was brought up to date has."""
+    store = old_store(c)
+    asked = [("movies", "id"), ("movies", "file_size"), ("episodes", "still_path"), ("playback_logs", "movie_id"), ("movie_metadata", "title"), ("library_files", "file_path"), ("shows", "first_air_date")]
+    found = c.spark.createDataFrame([(t, k, SM.table_exists(store, t), SM.column_exists(store, t, k)) for t, k in asked], "table_name string, column_name string, has_table boolean, has_column boolean")
+    return found.join(store.read("movies").where("file_path not like 'old/%'").agg(F.count(F.lit(1)).alias("movies")))
+
+
+@query(
+    "SELECT media_id, start, CASE WHEN media_id % 5 = 0 THEN NULL WHEN media_id % 7 = 0 THEN '' ELSE body END AS body, CASE WHEN media_id % 5 = 0 THEN 'failed' WHEN media_id % 7 = 0 OR media_id % 3 = 1 THEN 'made' ELSE 'kept' END AS source FROM"
+    " (SELECT media_id, CASE WHEN media_id % 3 = 1 THEN 30 ELSE 0 END AS start, string_agg(text, chr(10) ORDER BY cue, text) AS body FROM cues GROUP BY media_id) x"
+)
+def snk5_subtitle_cache(c):
+    """Subtitles asked for twice: kept are those made whole, from the start on and without a failure; of the others each is made again."""
+    cache = SU.SubtitleCache(V.Store(c.spark))
+    bodies = c.cues.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("cue", "text"))).alias("l")).select(F.col("media_id").cast("long").alias("media_id"), F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
+    wanted = bodies.select(F.lit("movie").alias("kind"), "media_id", F.lit(0).alias("track"), F.when(F.col("media_id") % 3 == 1, 30).otherwise(0).alias("start"))
+
+    def make(missing):
+        return missing.join(bodies, "media_id").select("kind", "media_id", "track", "start", F.when(F.col("media_id") % 5 == 0, None).when(F.col("media_id") % 7 == 0, "").otherwise(F.col("text")).alias("body"))
+
+    cache.answer(wanted, make)
+    return cache.answer(wanted, make).select("media_id", "start", "body", "source")
+
+
+@query("SELECT id FROM movies WHERE contains(lower(coalesce(title, clean_name) || ' ' || file_path), 'blue')")
+def f01_indexed_search(c):
+    """The same search by an index of trigrams."""
+    items, index = c.movies.withColumn("shown", C.display_title()), SX.SearchIndex(V.Store(c.spark))
+    index.build(items, "shown", "file_path")
+    return index.search(items, "  Blue ", "shown", "file_path").select("id")
+
+
 # ---------------------------------------------------------------- streams
 
 
@@ -1089,6 +1226,17 @@ def t01_watch_progress(c):
     return part("movie").unionAll(part("episode"))
 
 
+@query(f"SELECT token, username, is_admin, created_at, expires_at FROM sessions WHERE expires_at > {NOW} AND created_at <= {NOW} AND NOT (CAST(substr(token, 4) AS BIGINT) % 4 = 0 AND created_at + interval '1' hour <= {NOW})")
+def t04_session_expiry(c):
+    """Logins and logouts as a stream whose state holds live sessions only; those open at a time, from the changes that the stream gives."""
+    raw = E.table_stream(c.spark, c.sf_dir, "events", c.base("events")).where("event_type = 'signup'")
+    kinds = F.when(F.col("event_id") % 4 == 0, F.array(F.struct(F.lit("login").alias("kind"), F.col("ts")), F.struct(F.lit("logout").alias("kind"), (F.col("ts") + q("interval '1' hour")).alias("ts")))).otherwise(F.array(F.struct(F.lit("login").alias("kind"), F.col("ts"))))
+    events = raw.select(q("'tok' || cast(event_id as string)").alias("token"), q("'Customer#' || lpad(cast(user_id as string), 9, '0')").alias("username"), q("case when event_id % 10 = 0 then 1 else 0 end").alias("is_admin"), F.inline(kinds))
+    log = SS.ChangeLog(V.Store(c.spark), "sessions")
+    E.run_available(SS.session_changes(events), log)
+    return SS.live_sessions(log.read(), q(NOW)).select("token", "username", "is_admin", F.col("created_at").cast("timestamp_ntz").alias("created_at"), F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
+
+
 @query(f"SELECT token, username FROM sessions WHERE expires_at > {NOW}")
 def t04_session_stream(c):
     """Logins as a stream into sessions that expire after a day; equals the batch query."""

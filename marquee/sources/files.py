@@ -69,6 +69,20 @@ def _whole(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit("^-?[0-9]+$")), text.try_cast("long")).when(number == F.floor(number), number.try_cast("long"))
 
 
+#: The settings of a server, and how large their file may be.
+CONFIG, CONFIG_BYTES = "struct<port:string,tmdb_access_token:string,tmdb_proxy:string>", 1 << 20
+
+
+def configs(files: DataFrame, body: str = "body", default_token: str | None = None) -> DataFrame:
+    """Settings files (JSON) as `sound`, port, tmdb_access_token and tmdb_proxy. Fields that are not known are passed over; the port must be there and fit 16 bits; a file that is
+    no JSON or beyond 1 MiB is not sound and gives nothing. A token that is missing or empty becomes default_token."""
+    read = files.withColumn("_c", F.when(F.octet_length(body) <= CONFIG_BYTES, F.from_json(body, CONFIG)))
+    port = _whole(F.col("_c.port"))
+    sound = F.coalesce(port.between(0, 65535), F.lit(False))
+    token = F.coalesce(F.nullif(F.col("_c.tmdb_access_token"), F.lit("")), F.lit(default_token))
+    return read.select(*[c for c in files.columns if c != body], sound.alias("sound"), F.when(sound, port).cast("int").alias("port"), F.when(sound, token).alias("tmdb_access_token"), F.when(sound, F.col("_c.tmdb_proxy")).alias("tmdb_proxy"))
+
+
 def watch_events(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Posted JSON bodies as events: answer, event_type, movie_id, episode_id, position and duration.
 
