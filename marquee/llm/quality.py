@@ -10,7 +10,8 @@ id); every row of the table is scored with its whole text.
 
 Defined results: a null text counts as empty; an empty text has a score like any other; null labels and labels without a
 document teach nothing; repeated rows each get a row; if there is no labelled row, every score is 0.5
-(label 1); with one class only, the share of label 1 with one case of each added; an empty table gives an empty result.
+(label 1); with one class only, the share of label 1 with one case of each added; an empty table gives an empty result; an id that stands on several
+rows teaches once for each; other columns are not read, and stay as they are in with_scores(), whose score_col must be a new name.
 """
 
 from __future__ import annotations
@@ -138,14 +139,21 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
                 [batch.column("label"), pa.array([s.astype(np.int32).tobytes() for s, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], names=["label", "slots", "vals"]
             )
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            for label, slots, values in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                rows.append((label, np.frombuffer(slots.as_buffer(), np.int32), np.frombuffer(values.as_buffer(), np.float32)))
+        rows.sort(key=lambda r: (r[0], len(r[1]), zlib.crc32(r[1]), zlib.crc32(r[2])))  # rows come in any order
+        model = fit([(s, v) for _, s, v in rows], np.array([label for label, _, _ in rows], np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.linear.tobytes()], pa.binary()), pa.array([model.factors.tobytes()], pa.binary())], names=["bias", "linear", "factors"])
+
+    # train_rows at most meet in one task, which alone has them all; the driver gets the model
     joined = _inputs(docs, id_col, text_col, meta_cols).join(F.broadcast(sample), "id").select("label", "text", "meta")
-    got = joined.mapInArrow(run, "label int, slots binary, vals binary").toArrow()
-    rows = []
-    for batch in got.to_batches():
-        for label, slots, values in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):  # views of the table, no copies
-            rows.append((label, np.frombuffer(slots.as_buffer(), np.int32), np.frombuffer(values.as_buffer(), np.float32)))
-    rows.sort(key=lambda r: (r[0], len(r[1]), zlib.crc32(r[1]), zlib.crc32(r[2])))  # tasks end in any order
-    return fit([(s, v) for _, s, v in rows], np.array([label for label, _, _ in rows], np.float64))
+    found = joined.mapInArrow(run, "label int, slots binary, vals binary").repartition(1).mapInArrow(learn, "bias double, linear binary, factors binary").first()
+    if found is None:  # an empty table has no task
+        return fit([], np.zeros(0))
+    return Model(found.bias, np.frombuffer(found.linear, np.float32), np.frombuffer(found.factors, np.float32).reshape(SLOTS, FACTORS))
 
 
 def _inputs(docs: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str, ...]) -> DataFrame:
