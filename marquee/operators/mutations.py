@@ -56,6 +56,18 @@ def insert_reported(table: DataFrame, rows: DataFrame, keys: list[str], *order:
     return marked.select(*rows.columns, F.explode(outcomes).alias("outcome"))
 
 
+#: Fixed value: hours that a session lasts.
+SESSION_HOURS = 24
+
+
+def open_sessions(sessions: DataFrame, logins: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """Sessions after logins (token, username, is_admin) at `now`: those that are over are gone, new ones last a day. A token that is taken and a name that no
+    user has open none; of new rows that repeat a token one is added."""
+    known = logins.join(users.select("username").distinct(), "username", "left_semi")
+    new = known.select("token", "username", "is_admin", now.alias("created_at"), (now + F.expr(f"interval '{SESSION_HOURS}' hour")).alias("expires_at"))
+    return insert_ignore(sessions.where(F.col("expires_at") > now), new.select(*sessions.columns), ["token"])
+
+
 def insert_if_empty(table: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows are added if the table has none; one row of it is enough to tell."""
     any_row = table.limit(1).select(F.lit(1).alias("_one"))

@@ -1081,6 +1081,16 @@ def t05_enrichment_loop(c):
     return whole
 
 
+@query(
+    f"SELECT token, username, is_admin, created_at, expires_at FROM sessions WHERE expires_at > {NOW} UNION ALL SELECT 'new' || id, username, is_admin, {NOW}, {NOW} + interval '24' hour FROM users WHERE id % 40 = 0"
+)
+def d03_insert_sessions(c):
+    """A login removes sessions that are over and adds its own, which lasts a day; a name that no user has opens none."""
+    logins = c.users.where("id % 40 = 0").select(F.concat(F.lit("new"), F.col("id").cast("string")).alias("token"), "username", "is_admin")
+    strangers = c.users.where("id % 40 = 1").select(F.concat(F.lit("bad"), F.col("id").cast("string")).alias("token"), F.concat(F.lit("no "), "username").alias("username"), "is_admin")
+    return M.open_sessions(c.sessions, logins.unionAll(strangers), c.users, q(NOW))
+
+
 SHOW_FOUND = "select id, 900000 + id as tmdb_id, 'Show ' || cast(id as string) as title, case when id % 2 = 0 then 'Text' end as overview, '/p' || cast(id as string) as poster_path, cast(null as string) as backdrop_path from shows where id % 3 = 1"
 EPISODE_FOUND = "select id, 800000 + id as tmdb_id, 'Episode ' || cast(id as string) as title, case when id % 4 = 0 then 'Text' end as overview, '/e' || cast(id as string) as still_path from episodes where id % 5 = 2"
 
@@ -1237,6 +1247,15 @@ def t04_session_expiry(c):
     return SS.live_sessions(log.read(), q(NOW)).select("token", "username", "is_admin", F.col("created_at").cast("timestamp_ntz").alias("created_at"), F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
 
 
+@query("SELECT id, username, status, ip_address, ts FROM login_logs")
+def d04_login_log(c):
+    """Login attempts as a stream into their log, each batch once."""
+    raw = E.table_stream(c.spark, c.sf_dir, "events", c.base("events")).where("event_type in ('signup', 'error')")
+    log = SS.ChangeLog(V.Store(c.spark), "login_logs")
+    E.run_available(raw.selectExpr("event_id as id", "'Customer#'||lpad(cast(user_id as string),9,'0') as username", "case event_type when 'signup' then 'success' else 'failed' end as status", "'10.0.0.'||cast(event_id%250 as string) as ip_address", "ts"), log)
+    return log.read()
+
+
 @query(f"SELECT token, username FROM sessions WHERE expires_at > {NOW}")
 def t04_session_stream(c):
     """Logins as a stream into sessions that expire after a day; equals the batch query."""
