@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_folder: dict[str, str] = {}
+from marquee.sources.scratch import shared_root
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is empty, a local master gets a temporary folder; on a cluster that
-    folder would not be shared, so there it is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", "")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="spark-marquee-")
-    return _own_folder[app]
+    """The folder named by spark.checkpoint.dir, which driver and executors share; see marquee.sources.scratch."""
+    return shared_root(spark)
 
 
 def materialise(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
@@ -45,7 +32,7 @@ TEXT_ROWS = 1000
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size to TEXT_ROWS, unless it is lower."""
+    """Lowers the session's Arrow batch size to TEXT_ROWS, unless it is lower, and leaves it so: Spark reads it when a plan runs, not when it is made."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= TEXT_ROWS:
         spark.conf.set(name, str(TEXT_ROWS))
