@@ -786,4 +786,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         roots = components(star(roots).union(alike(rest.groupBy("a").agg(F.min("b").alias("b")), nodes, texts, words, similarity)))
         roots = components(star(roots).union(alike(in_different(rest, roots), nodes, texts, words, similarity)))
     kept = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
-    return keep_rows(rows, row, kept.select(F.col("first.row_no").alias(row)))
+    left = keep_rows(rows, row, kept.select(F.col("first.row_no").alias(row)))
+    discard(nodes, signed, by_bits, found, rest)
+    return left
