@@ -32,8 +32,11 @@ ENDS_P = BLOCK - frozenset("caption dd dt legend li script style head title tbod
 PARAGRAPHS = HEADINGS | frozenset("blockquote dd dt figcaption li p pre summary td th".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 WORDS = frozenset(
-    "ad ads advert advertisement advertisements advertising adverts anzeige aside banner breadcrumb breadcrumbs comment commentaires comments comentarios consent cookie cookies discussion disqus footer gdpr header kommentare login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion publicite publicidad recommendations recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar werbung widget widgets".split()
+    "ad adbanner adbox ads adslot adunit advert advertisement advertisements advertising adverts alert alerts anzeige anzeigen aside banner breadcrumb breadcrumbs colophon comment commentaires commentarea commentbox commentform commentlist comments comentario comentarios consent cookie cookiebanner cookiebar cookies copyright disclaimer disqus footer gdpr header kommentar kommentare leftbar login mainmenu mainnav masthead menu menus modal nav navbar navigation navmenu newsletter notice notices notification notifications overlay pagefooter pageheader pager pagination popup promo promotion publicite publicidad recommendations recommended related replies reply respond rightbar search share sharing sidebar sidenav signup sitefooter siteheader sitenav skip social sponsor sponsored submenu subnav subscribe subscription toolbar topbar topnav werbung widget widgets".split()
 )
+TYPES = frozenset("comment usercomments wpadblock wpfooter wpheader wpsidebar sitenavigationelement".split())
+#: Headings under which readers write.
+COMMENTS_BELOW = frozenset(("comments", "reader comments", "readers comments", "user comments", "leave a comment", "leave a reply", "kommentare", "leserkommentare", "kommentar schreiben", "commentaires", "laisser un commentaire", "comentarios", "deja un comentario"))
 #: Beside these a word only says how the page is laid out around the element.
 LAYOUT = frozenset("with has have no not without is".split())
 GOOD = frozenset("article blog body content entry main page post story text".split())
@@ -70,9 +73,12 @@ def marked(tag: str, attributes: str) -> tuple[bool, bool]:
         return True, good
     if found.get("role", "").lower() in ROLES and tag not in ("body", "main", "article"):
         return True, good
+    if found.get("itemtype", "").rpartition("/")[2].lower() in TYPES:
+        return True, good
     if found.get("itemprop") == "articleBody" or found.get("role", "").lower() in ("main", "article"):
         good = True
-    for name in [*found.get("class", "").split(), found.get("id", "")]:
+    label = found.get("aria-label", "")
+    for name in [*found.get("class", "").split(), found.get("id", ""), label if label.count(" ") < 3 and tag != "article" else ""]:
         parts = {p.lower() for p in NAME_PART.findall(name)}
         bad = parts & (WORDS - {"header"} if tag in HEADINGS else WORDS)
         if bad and not parts & LAYOUT and tag not in ("html", "body", "main"):
@@ -202,7 +208,22 @@ class Page:
         else:
             self.close((tag,), BLOCK - {tag})
 
+    def without_comments(self) -> None:
+        """Drops what follows a heading of readers' comments in the element that holds it, and the heading."""
+        ended: set[Node] = set()
+        kept = []
+        for block in self.blocks:
+            node = block[0]
+            if node.tag in HEADINGS and "".join(c for c in block[1].lower() if c.isalpha() or c == " ").strip() in COMMENTS_BELOW:
+                ended.add(node.parent)
+            while ended and node is not None and node not in ended:
+                node = node.parent
+            if not ended or node is None:
+                kept.append(block)
+        self.blocks = kept
+
     def main_blocks(self) -> list[str]:
+        self.without_comments()
         own: dict[Node, list[tuple[str, int]]] = {}
         for node, text, linked in self.blocks:
             own.setdefault(node, []).append((text, linked))

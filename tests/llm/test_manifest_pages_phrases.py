@@ -129,6 +129,9 @@ PAGES = [
     ("<article><p>" + "word " * 200_000 + "</p></article>", "word " * 199_999 + "word"),
     ("<div>" * 20_000 + "deep" + "</div>" * 20_000, "deep"),
     ("<article>3 < 4 and <5, x</p> y</article>", "3 < 4 and <5, x y"),
+    (f"<div><h1>T</h1><p>{P}</p><h2>Comments on the law</h2><p>x</p><h3>Comments (2)</h3><div><p>{P}</p></div><p>{P}{P}</p></div>", f"T {P} Comments on the law x"),
+    (f"<main><p>{P}</p><div itemscope itemtype='https://schema.org/Comment'><p>{P}</p></div><div aria-label='Cookie notice'>{P}</div><ol class=commentlist><li>{P}</ol></main>", P),
+    (f"<article><h2>Kommentare</h2><p>{P}</p></article><p>{P}</p>", P),
 ]
 
 
