@@ -124,7 +124,8 @@ def clean_ass(line: Column) -> Column:
     nine, eight = r"^(?:[^,]*,){9}", r"^(?:[^,]*,){8}"
     head = F.regexp_extract(t, eight, 0)
     bare = head.contains("Default") | head.contains("0,0,0") | head.contains("0:00:")
-    u = F.when(F.lower(t).rlike("^(dialogue|comment):"), F.regexp_replace(t, nine, "")).when(bare, F.regexp_replace(t, eight, "")).otherwise(t)
+    event = r"(?i)^(?:dialogue|comment):[ \t]*"  # goes also where fewer than nine commas follow
+    u = F.when(t.rlike(event), F.regexp_replace(F.regexp_replace(t, event, ""), nine, "")).when(bare, F.regexp_replace(t, eight, "")).otherwise(t)
     tokens = F.regexp_extract_all(u, F.lit(r"(?s)\{[^}]*(?:\}|$)|\\[NnhH]|."), F.lit(0))
     out = F.transform(tokens, lambda x: F.when(x.startswith("{"), "").when(x.isin("\\N", "\\n"), "\n").when(x.isin("\\h", "\\H"), " ").otherwise(x))
     return F.array_join(out, "")

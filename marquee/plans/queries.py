@@ -979,6 +979,58 @@ def s30_text_tracks(c):
     return tracks.select("id", T.track_label(title, F.lit(None).cast("string"), F.lit("Track"), F.col("id") % 2 == 0).alias("label"))
 
 
+# ---------------------------------------------------------------- more branches of row functions
+
+
+@query("SELECT s.id AS show_id, CAST(k AS INTEGER) AS pos, 700000 + 10 * s.id + k AS found, CASE WHEN k = 1 THEN NULL ELSE s.title || ' ' || k END AS name, CASE WHEN k = 2 THEN '' ELSE '2001-02-0' || (k + 1) END AS first_air_date FROM shows s, range(0, 4) r(k) WHERE k < s.id % 4")
+def src07_show_results(c):
+    """Answers of none to three results, of which some lack a name or a date."""
+    k = lambda i: F.struct((F.lit(700000) + 10 * F.col("id") + i).alias("id"), F.when(i != 1, F.concat("title", F.lit(" "), i.cast("string"))).alias("name"), F.when(i == 2, "").otherwise(F.concat(F.lit("2001-02-0"), (i + 1).cast("string"))).alias("first_air_date"))
+    results = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < F.col("id") % 4), k)
+    answers = c.shows.select(F.col("id").alias("show_id"), F.to_json(F.struct(F.lit(1).alias("page"), results.alias("results"))).alias("body"))
+    return S.search_results(answers).select("show_id", "pos", F.col("id").alias("found"), "name", "first_air_date")
+
+
+@query("SELECT event_id AS id, event_type FROM events WHERE event_type NOT IN ('start', 'stop', 'seek', 'progress')")
+def d20_event_types(c):
+    """Events as they come have names that the log's constraint refuses."""
+    return M.violations(c.base("events"), {"event_type": F.col("event_type").isin(*E.EVENT_TYPES)}).select(F.col("event_id").alias("id"), "event_type")
+
+
+@query(
+    "SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN '0,a,b,' || role || ',x' WHEN 1 THEN role || ', and more' WHEN 2 THEN role WHEN 3 THEN '1,2,3,4,5,6,7,8,' || role WHEN 4 THEN role ELSE role || chr(10) || 'next x' || chr(10) END AS text FROM conversations"
+)
+def s14_variants(c):
+    """Events with too few commas, comments, bare event fields with and without a mark, an open override block, escapes of both cases."""
+    at, role = F.col("conv_id") % 6, F.col("role")
+    line = (
+        F.when(at == 0, F.concat(F.lit("Dialogue: 0,a,b,"), role, F.lit(",x"))).when(at == 1, F.concat(F.lit("\t comment:\t0,1,2,3,4,5,6,7,8,"), role, F.lit(", and {\\b1}more"))).when(at == 2, F.concat(F.lit("0,0:00:01.00,0:00:02.00,Style,,0,0,0,"), role))
+        .when(at == 3, F.concat(F.lit("1,2,3,4,5,6,7,8,"), role)).when(at == 4, F.concat(role, F.lit("{\\i1 open"))).otherwise(F.concat(F.lit("  "), role, F.lit("\\nnext\\Hx\\N \r\n")))
+    )
+    return c.conversations.select("conv_id", "turn", T.clean_ass(line).alias("text"))
+
+
+@query("SELECT token, CASE WHEN is_admin = 1 THEN '' WHEN length(username) % 2 = 0 AND substr(token, 4)::BIGINT % 3 = 0 THEN NULL WHEN substr(token, 4)::BIGINT % 3 = 1 THEN token || '=c==' ELSE token END AS back FROM sessions")
+def s32_variants(c):
+    """Headers with the name as the end of another, twice, empty, with more signs of equality, and without the blank that separates cookies."""
+    n, own = F.substring("token", 4, 20).cast("long") % 3, F.concat(F.lit("session="), "token")
+    none = (F.length("username") % 2 == 0) & (n == 0)
+    header = F.when(F.col("is_admin") == 1, "a=b; session=; session=x").when(none, F.concat(F.lit("theme=x;"), own)).when(n == 1, F.concat(F.lit("mysession=no; "), own, F.lit("=c=="))).otherwise(F.concat(own, F.lit("; session=other")))
+    return c.sessions.select("token", T.cookie(header).alias("back"))
+
+
+@query("SELECT id, CASE id % 4 WHEN 0 THEN ip_address || ', 10.9.9.9' WHEN 1 THEN '' WHEN 2 THEN '127.0.0.1' ELSE ip_address END AS ip FROM login_logs")
+def s36_variants(c):
+    """Names in any case, a list of addresses as it is, an empty value, no header at all."""
+    header = lambda name, v: F.struct(F.lit(name).alias("name"), v.alias("value"))
+    ip, kinds = F.col("ip_address"), "array<struct<name:string,value:string>>"
+    at = F.col("id") % 4
+    headers = (
+        F.when(at == 0, F.array(header("X-FORWARDED-FOR", F.concat(ip, F.lit(", 10.9.9.9"))))).when(at == 1, F.array(header("x-real-IP", F.lit("")), header("x-forwarded-for", ip))).when(at == 2, F.array().cast(kinds)).otherwise(F.array(header("x-real", F.lit("1.1.1.1")), header("X-Real-Ip", ip)))
+    )
+    return c.login_logs.select("id", T.client_ip(headers).alias("ip"))
+
+
 # ---------------------------------------------------------------- transactions
 
 #: What a scan of all Movies and Other libraries, and of all Shows libraries, finds: new shows have one episode each.
