@@ -4,7 +4,7 @@ On unit vectors the Euclidean distance is a metric and orders neighbours as the
 (rows dealt by hash) builds a vantage-point tree over its different vectors; queries are sent to every shard and
 descend in batches. A branch is left out when the triangle inequality shows that it holds nothing nearer than
 the k-th neighbour so far, taken times `relax`: with relax = 1 the search is exact, below 1 it leaves out more and may miss
-some. Each shard returns its k best for each query; a window over those picks the final k.
+some. At 0.8 recall was 0.75 to 1 on vectors without clusters, so whoever needs nine in ten takes 1 or measures first. Each shard returns its k best for each query; a window over those picks the final k.
 
 Every row is indexed and a shard holds at most about SHARD_ROWS rows, so memory does not grow with the
 table; queries stream past the tree. Equal vectors share one tree entry, which keeps the k + 1 smallest ids:

@@ -460,6 +460,22 @@ def test_counting_query(spark, sf):
     assert {r.doc_id: (r.tokens_before, r.tokens_after, r.chars_after) for r in queries.op7_counting(spark, sf).collect()} == want
 
 
+def test_counts_with_waiting_edits(spark):
+    """Edits that come with the table are kept beside the trees; recount() follows them and says how much it encoded."""
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    text = "several plain words here. " * 400
+    edits = "array<struct<at:int,removed:int,inserted:string>>"
+    docs = spark.createDataFrame([(1, text, [(100, 5, "new")]), (2, text, None), (3, None, [(0, 0, "a b")])], f"doc_id long, text string, e {edits}")
+    trees = counting.count(docs, ranks, public_tokenizers.PATTERN, edits_col="e")
+    got = {r.id: r for r in counting.recount(trees, ranks, public_tokenizers.PATTERN).collect()}
+    want = {1: text[:100] + "new" + text[105:], 2: text, 3: "a b"}
+    plain = spark.createDataFrame(list(want.items()), "doc_id long, text string")
+    whole = {r.id: r for r in counting.count(plain, ranks, public_tokenizers.PATTERN).collect()}
+    assert {i: (r.text, r.n_tokens, sum(r.leaf_tokens), sum(r.leaf_chars)) for i, r in got.items()} == {i: (t, whole[i].n_tokens, whole[i].n_tokens, len(t)) for i, t in want.items()}
+    assert 0 < got[1].encoded_chars < 600 and got[2].encoded_chars == 0 and got[3].encoded_chars >= 3
+    assert got[2].leaf_chars == whole[2].leaf_chars and len(got[2].leaf_chars) == len(got[2].leaf_tokens) > 20
+
+
 def test_recount_is_local(spark):
     """One edit of a long text, and 200 insertions at one place: leaves that grow are dealt anew."""
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
