@@ -1219,15 +1219,31 @@ def q23_lookups(c):
 )
 def snk5_subtitle_cache(c):
     """Subtitles asked for twice: kept are those made whole, from the start on and without a failure; of the others each is made again."""
-    cache = SU.SubtitleCache(V.Store(c.spark))
+    cache, wanted, make = subtitles(c)
+    cache.answer(wanted, make)
+    return cache.answer(wanted, make).select("media_id", "start", "body", "source")
+
+
+@query(
+    "SELECT 'answer' AS sink, media_id, CASE WHEN media_id % 5 = 0 THEN NULL WHEN media_id % 7 = 0 THEN '' ELSE body END AS body FROM (SELECT media_id, string_agg(text, chr(10) ORDER BY cue, text) AS body FROM cues GROUP BY media_id) x"
+    " UNION ALL SELECT 'table', media_id, body FROM (SELECT media_id, string_agg(text, chr(10) ORDER BY cue, text) AS body FROM cues GROUP BY media_id) x WHERE media_id % 5 <> 0 AND media_id % 7 <> 0 AND media_id % 3 <> 1"
+)
+def t08_subtitle_tee(c):
+    """What is made once goes to two places: all of it to the answer, and what may be kept to the table."""
+    cache, wanted, make = subtitles(c)
+    answer = cache.answer(wanted, make).select(F.lit("answer").alias("sink"), "media_id", "body")
+    return answer.unionAll(cache.store.read("subtitles").select(F.lit("table"), "media_id", "body"))
+
+
+def subtitles(c):
+    """An empty cache, what is asked for, and what makes it."""
     bodies = c.cues.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("cue", "text"))).alias("l")).select(F.col("media_id").cast("long").alias("media_id"), F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
     wanted = bodies.select(F.lit("movie").alias("kind"), "media_id", F.lit(0).alias("track"), F.when(F.col("media_id") % 3 == 1, 30).otherwise(0).alias("start"))
 
     def make(missing):
         return missing.join(bodies, "media_id").select("kind", "media_id", "track", "start", F.when(F.col("media_id") % 5 == 0, None).when(F.col("media_id") % 7 == 0, "").otherwise(F.col("text")).alias("body"))
 
-    cache.answer(wanted, make)
-    return cache.answer(wanted, make).select("media_id", "start", "body", "source")
+    return SU.SubtitleCache(V.Store(c.spark)), wanted, make
 
 
 @query("SELECT id FROM movies WHERE contains(lower(coalesce(title, clean_name) || ' ' || file_path), 'blue')")
