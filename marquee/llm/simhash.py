@@ -565,11 +565,11 @@ def meetings(nodes: DataFrame, similarity: float, order: tuple[np.ndarray, np.nd
     return rows.repartition("block").sortWithinPartitions("block", "node").mapInArrow(lambda b: met(b, similarity), "block long, node long, size long, first long")
 
 
-def proposed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+def proposed(batches: Iterator[pa.RecordBatch], similarity: float, one_each: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows (block, root, node, size, and sketch or not) sorted by block and root.
 
     Emits the pairs a > b of a block that are not of one root and may be similar by their sizes, if the block's shingle is the first
-    that they share, and by their sketches. Memory holds one batch and the open block.
+    that they share, and by their sketches; one_each: only the first of them for each row. Memory holds one batch and the open block.
     """
     s = Fraction(str(similarity))
     open_block, held = None, None
@@ -604,6 +604,9 @@ def proposed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
             if len(columns) > 4:
                 near = ~far_apart(columns[4][x], columns[4][y], size[x] >> SIZE_SHIFT, size[y] >> SIZE_SHIFT, s)
                 x, y = x[near], y[near]
+            if one_each:
+                x, first_of = np.unique(x, return_index=True)
+                y = y[first_of]
             x, y = node[x], node[y]
             if len(x):
                 pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
@@ -613,24 +616,18 @@ def proposed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         held = [x[starts[-1] :] for x in columns]
 
 
-def open_pairs(found: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a > b of sets of different roots that meet (found: see meetings()): all of that similarity and some below.
+def open_pairs(found: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, one_each: bool = False) -> DataFrame:
+    """Pairs a > b of sets of different roots that meet (found: see meetings()): all of that similarity and some below; one_each: of each a one, no more than there are sets.
 
     Where more than FEW sets meet, their sketches (of nodes) come with them, so that unlike pairs are never written out.
     """
     big = found.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("block")
     rooted = found.select("block", "node", "size").join(roots, "node", "left").select("block", F.coalesce("root", "node").alias("root"), "node", "size")
-    pairs = lambda rows: rows.repartition("block").sortWithinPartitions("block", "root").mapInArrow(lambda b: proposed(b, similarity), "a long, b long")
+    pairs = lambda rows: rows.repartition("block").sortWithinPartitions("block", "root").mapInArrow(lambda b: proposed(b, similarity, one_each), "a long, b long")
     at_few = rooted.join(big, "block", "left_anti")
     at_many = rooted.join(big, "block", "left_semi").join(nodes.select("node", "sketch"), "node").select("block", "root", "node", "size", "sketch")
-    return pairs(at_few).union(pairs(at_many)).distinct()
-
-
-def in_different(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs a, b whose ends are not of one root yet."""
-    for end in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    met_ = pairs(at_few).union(pairs(at_many))
+    return met_.groupBy("a").agg(F.min("b").alias("b")) if one_each else met_.distinct()
 
 
 def not_far(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -779,13 +776,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     partner = together.groupBy(F.col("node").alias("a")).agg(F.max_by("first", F.struct("n", "first")).alias("b"))
     pairs = by_bits.union(partner.join(by_bits.select("a"), "a", "left_anti").select("a", "b"))
     roots = components(alike(not_far(pairs, nodes, similarity), nodes, texts, words, similarity))
+    star = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    # one pair for each set first: what that connects proposes no more pairs; rounds go on from the stars of earlier ones
+    one_each = materialise(not_far(open_pairs(found, nodes, roots, similarity, one_each=True), nodes, similarity), "one-each")
+    if not one_each.isEmpty():
+        roots = components(star(roots).union(alike(one_each, nodes, texts, words, similarity)))
     rest = materialise(not_far(open_pairs(found, nodes, roots, similarity), nodes, similarity), "open")
     if not rest.isEmpty():
-        # one pair for each set first: what that connects needs no more pairs; rounds go on from the stars of earlier ones
-        star = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = components(star(roots).union(alike(rest.groupBy("a").agg(F.min("b").alias("b")), nodes, texts, words, similarity)))
-        roots = components(star(roots).union(alike(in_different(rest, roots), nodes, texts, words, similarity)))
+        roots = components(star(roots).union(alike(rest, nodes, texts, words, similarity)))
     kept = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     left = keep_rows(rows, row, kept.select(F.col("first.row_no").alias(row)))
-    discard(nodes, signed, by_bits, found, rest)
+    discard(nodes, signed, by_bits, found, one_each, rest)
     return left
