@@ -88,7 +88,7 @@ def test_merkle_special_cases(odd_docs, no_docs):
     assert made(no_docs) == []
 
 
-@pytest.mark.parametrize("n", [1, 8, 9, 512, 513, 4097])
+@pytest.mark.parametrize("n", [1, 9, 512, 4097])
 def test_merkle_sizes(spark, n):
     """One group that holds nearly all rows, blocks that end anywhere, a last run of one node."""
     docs = spark.createDataFrame([(i * 7 % 5000, f"Text {i % 40}", "en" if i % 97 else "fr", None, i) for i in range(n)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
@@ -191,7 +191,7 @@ def rows_of(df):
     return sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in df.collect())
 
 
-@pytest.mark.parametrize("support,longest,keep,seed", [(3, 5, 1.0, 1), (6, 4, 0.8, 2), (12, 3, 1.0, 3)])
+@pytest.mark.parametrize("support,longest,keep,seed", [(3, 5, 1.0, 1), (6, 4, 0.8, 2)])
 def test_phrases_match_brute_force(spark, monkeypatch, support, longest, keep, seed):
     """Many small shards, so that local supports above one, silent shards and second counts all occur."""
     rng = random.Random(seed)
