@@ -5,9 +5,14 @@ Parquet tables have no UPDATE; marquee.sources.versions writes such results as a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquee.sources.scratch import scratch_path
+from marquee.sources.versions import CHANGED, NEW, SAME, STATE
+
 
 def latest(events: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The last event of each key: the state that replaying upserts leaves. A struct maximum, so it combines before the shuffle."""
@@ -120,39 +125,44 @@ def delete(table: DataFrame, where: Column) -> DataFrame:
     return table.where(~F.coalesce(where, F.lit(False)))
 
 
-def reconcile(old: DataFrame, scan: DataFrame, keys: list[str], facts: list[str], first_new_id: int, *order: str, only_changes: bool = False) -> DataFrame:
-    """The table after a scan: what the scan saw is present with the scan's facts, what it missed is absent; ids and metadata stay. only_changes: of it
-    the rows that are new or not what they were.
+def reconcile(old: DataFrame, scan: DataFrame, keys: list[str], facts: list[str], first_new_id: int, *order: str) -> DataFrame:
+    """The table after a scan: what the scan saw is present with the scan's facts, what it missed is absent; ids and metadata stay.
 
     A key that the scan repeats counts once, with its last facts by `order`, or the greatest.
     New rows get ids from first_new_id on, by the order of their keys: new keys are counted by slices of their hash, so the
-    numbering runs in parallel.
+    numbering runs in parallel. The joined rows are written to the shared folder, since that reads them three times.
     """
-    o = old.withColumn("_old", F.lit(True))
-    s = latest(scan.select(*dict.fromkeys([*keys, *order, *facts])), keys, *order, *[c for c in facts if c not in order]).select(*keys, *[F.col(c).alias("_new_" + c) for c in facts]).withColumn("_seen", F.lit(True))
+    joined = scanned_over(old, scan, keys, facts, *order)
+    path = scratch_path(old.sparkSession, "reconciled")
+    joined.write.parquet(path)
+    joined = old.sparkSession.read.schema(joined.schema).parquet(path)
+    new = number_new(joined.where(F.col(STATE) == NEW), keys, first_new_id)
+    return joined.where(F.col(STATE) != NEW).select(*old.columns).unionByName(new.select(*old.columns))
+
+
+def scanned_over(old: DataFrame, scan: DataFrame, keys: list[str], facts: list[str], *order: str, within: Column | None = None, dealt: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The columns of old and STATE (SAME, CHANGED or NEW, the latter without ids) of the rows after a scan; see reconcile(). within: the rows of old that
+    the scan is about, all others stay as they are. dealt: deals the rows of either side by their keys, if these are not to be shuffled as the join likes."""
+    o = dealt(old.withColumns({"_old": F.lit(True), "_within": F.lit(True) if within is None else F.coalesce(within, F.lit(False))}))
+    s = latest(dealt(scan.select(*dict.fromkeys([*keys, *order, *facts]))), keys, *order, *[c for c in facts if c not in order]).select(*keys, *[F.col(c).alias("_new_" + c) for c in facts]).withColumn("_seen", F.lit(True))
     both = o.join(s, keys, "full_outer")
-    seen, known = F.coalesce("_seen", F.lit(False)), F.coalesce("_old", F.lit(False))
-    if only_changes:
-        both = both.withColumns({"_was_" + c: F.col(c) for c in facts} | {"_was_present": F.col("is_present")})
-    out = both.withColumns({c: F.when(seen, F.col("_new_" + c)).otherwise(F.col(c)) for c in facts}).withColumn("is_present", seen.cast("int")).withColumn("_known", known)
-    if only_changes:
-        same = known & (F.col("_was_present") == F.col("is_present"))
-        for c in facts:
-            same = same & F.when(seen, F.col("_was_" + c).eqNullSafe(F.col(c))).otherwise(True)
-        out = out.where(~same)
-    return number_new(out.drop("_old", "_seen", *["_new_" + c for c in facts]), keys, first_new_id).select(*old.columns)
+    seen, known, about = F.coalesce("_seen", F.lit(False)), F.coalesce("_old", F.lit(False)), F.coalesce("_within", F.lit(True))
+    after = {c: F.when(seen & about, F.col("_new_" + c)).otherwise(F.col(c)) for c in facts} | {"is_present": F.when(about, seen.cast("int")).otherwise(F.col("is_present"))}
+    same = known
+    for c, value in after.items():
+        same = same & F.col(c).eqNullSafe(value)
+    state = F.when(same, SAME).when(known, CHANGED).otherwise(NEW)
+    return both.select(*[after[c].alias(c) if c in after else F.col(c) for c in old.columns], state.alias(STATE))
 
 
 def number_new(rows: DataFrame, keys: list[str], first: int) -> DataFrame:
-    """ids for the rows that are not _known."""
+    """rows (written ones: they are read twice) with ids."""
     from pyspark.sql import Window as W
 
-    slice_ = F.when(~F.col("_known"), F.substring(F.md5(F.concat_ws("|", *keys)), 1, 2))
-    rows = rows.withColumn("_slice", slice_)
-    sizes = rows.where(~F.col("_known")).groupBy("_slice").count()
+    rows = rows.withColumn("_slice", F.substring(F.md5(F.concat_ws("|", *keys)), 1, 2))
+    sizes = rows.groupBy("_slice").count()
     bases = sizes.select("_slice", F.coalesce(F.sum("count").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # 256 rows
-    new = rows.where(~F.col("_known")).join(bases, "_slice").withColumn("id", (F.lit(first - 1) + F.col("_base") + F.row_number().over(W.partitionBy("_slice").orderBy(*keys))).cast("long"))
-    return rows.where("_known").drop("_slice").unionByName(new.drop("_slice", "_base"))
+    return rows.join(bases, "_slice").withColumn("id", (F.lit(first - 1) + F.col("_base") + F.row_number().over(W.partitionBy("_slice").orderBy(*keys))).cast("long")).drop("_slice", "_base")
 
 
 def violations(table: DataFrame, checks: dict[str, Column]) -> DataFrame:

@@ -21,12 +21,14 @@ def catalog_store(store: Store, **tables: DataFrame) -> Store:
     return store
 
 
-def _taken_over(tx: Transaction, name: str, found: DataFrame, old: DataFrame, facts: list[str]) -> None:
-    """Rows of the scanned part that the scan changes, new ones with the next free ids. Rows that stay as they are cost no bucket."""
-    keys = KEYS[name]
-    first = (tx.read(name).agg(F.max("id")).first()[0] or 0) + 1
-    changed = M.reconcile(old, found, keys, facts, first, only_changes=True)
-    tx.upsert(name, changed, lambda now, new: now.join(new.select(*keys), keys, "left_anti").unionByName(new))
+def _taken_over(tx: Transaction, name: str, found: DataFrame, part: DataFrame, facts: list[str]) -> None:
+    """The table after a scan of those rows whose first key is in part (one column of its name), new rows with the next free ids. Buckets
+    in which all rows stay as they are keep their folders."""
+    keys, old = KEYS[name], tx.read(name)
+    first = (old.agg(F.max("id")).first()[0] or 0) + 1
+    marked = old.join(part.distinct().withColumn("_part", F.lit(True)), keys[0], "left").select(*old.columns, "_part")
+    rows = M.scanned_over(marked, found, keys, facts, within=F.col("_part"), dealt=tx.keyed(name))
+    tx.rewrite(name, rows, lambda new: M.number_new(new, keys, first))
 
 
 def scan_libraries(store: Store, wanted: Column, movies: DataFrame, shows: DataFrame, episodes: DataFrame, now: Column) -> Transaction:
@@ -39,11 +41,11 @@ def scan_libraries(store: Store, wanted: Column, movies: DataFrame, shows: DataF
         libraries = tx.read("libraries")
         chosen = tx.hold(libraries.where(wanted & (F.col("is_enabled") == 1) if "is_enabled" in libraries.columns else wanted).select(F.col("id").alias("library_id"), "type"))
         of_shows, of_movies = chosen.where("type = 'Shows'").select("library_id"), chosen.where("type <> 'Shows'").select("library_id")
-        _taken_over(tx, "movies", movies.join(of_movies, "library_id"), tx.read("movies").join(of_movies, "library_id", "left_semi"), ["clean_name", "file_size"])
-        _taken_over(tx, "shows", shows.join(of_shows, "library_id").withColumn("title", F.col("path")), tx.read("shows").join(of_shows, "library_id", "left_semi"), ["title"])
+        _taken_over(tx, "movies", movies.join(of_movies, "library_id"), of_movies, ["clean_name", "file_size"])
+        _taken_over(tx, "shows", shows.join(of_shows, "library_id").withColumn("title", F.col("path")), of_shows, ["title"])
         known = tx.read("shows").join(of_shows, "library_id", "left_semi").select(F.col("id").alias("show_id"), "library_id", F.col("path").alias("show"))
         found = episodes.join(known, ["library_id", "show"]).select("show_id", "file_path", "season", "episode", "file_size")
-        _taken_over(tx, "episodes", found, tx.read("episodes").join(known.select("show_id"), "show_id", "left_semi"), ["season", "episode", "file_size"])
+        _taken_over(tx, "episodes", found, known.select("show_id"), ["season", "episode", "file_size"])
         scanned = chosen.select(F.col("library_id").alias("id"), now.alias("last_scanned_at"))
         tx.upsert("libraries", scanned, lambda old, new: M.update_from(old, new, ["id"]))
     return tx

@@ -1045,8 +1045,9 @@ def stored(store, known: str = "id"):
 
 
 def scannable(c):
-    """A store of the catalog as it is, and the arguments of a scan of all its libraries."""
+    """A store of the catalog as it is, and the arguments of a scan of all its libraries, as views over the store's first version."""
     store = SC.catalog_store(V.Store(c.spark), libraries=c.libraries.withColumn("last_scanned_at", F.lit(None).cast("timestamp")), movies=c.movies, shows=c.shows, episodes=c.episodes)
+    c = c.over(**{name: store.read(name, 1) for name in ("movies", "shows", "episodes")})
     return store, dict(wanted=F.lit(True), movies=c.scan_movies, shows=c.scan_shows, episodes=c.sql(SCANNED_EPISODES), now=q(NOW))
 
 
@@ -1076,16 +1077,14 @@ def d19_scan_committed(c):
     """A whole scan; items of a kind that a library does not hold are left alone. Ids of new rows show as -1, episodes stand under their show's path."""
     store, scan = scannable(c)
     SC.scan_libraries(store, **scan)
-    out = stored(store)
-    paths = store.read("shows").select(F.lit("episode").alias("kind"), F.col("id").cast("string").alias("parent"), F.col("path").alias("_show"))
-    tops = {"movie": c.movies, "show": c.shows, "episode": c.episodes}
-    old = None
-    for kind, df in tops.items():
-        ids = df.select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("known_id"), F.lit(True).alias("_old"))
-        old = ids if old is None else old.unionAll(ids)
-    out = out.join(paths, ["kind", "parent"], "left").join(old, ["kind", "known_id"], "left")
-    known = F.when((F.col("kind") == "library") | F.col("_old"), F.col("known_id")).otherwise(-1)
-    return out.select("kind", F.coalesce("_show", "parent").alias("parent"), "path", "is_present", known.alias("known_id"), "file_size")
+    old = {name: store.read(name, 1).agg(F.max("id")).first()[0] or 0 for name in ("movies", "shows", "episodes")}  # ids beyond are the scan's
+    out = stored(store).where("kind <> 'episode'")
+    limit = F.when(F.col("kind") == "movie", old["movies"]).when(F.col("kind") == "show", old["shows"])
+    out = out.withColumn("known_id", F.when((F.col("kind") == "library") | (F.col("known_id") <= limit), F.col("known_id")).otherwise(-1))
+    paths = store.read("shows").select(F.col("id").alias("show_id"), F.col("path").alias("parent"))
+    e = store.read("episodes").select("show_id", F.col("file_path").alias("path"), "is_present", F.when(F.col("id") <= old["episodes"], F.col("id")).otherwise(-1).cast("long").alias("known_id"), F.col("file_size").cast("long").alias("file_size"))
+    episodes = e.join(paths, "show_id", "left").select(F.lit("episode").alias("kind"), F.coalesce("parent", F.col("show_id").cast("string")).alias("parent"), "path", "is_present", "known_id", "file_size")
+    return out.unionByName(episodes)
 
 
 @query("SELECT id, CASE WHEN id % 50 = 3 THEN 0 ELSE is_present END AS is_present, CASE WHEN id % 50 = 3 THEN 'Changed ' || coalesce(title, '') ELSE title END AS title FROM movies WHERE id % 50 <> 7 UNION ALL SELECT 1000000 + id, 1, 'New' FROM movies WHERE id % 50 = 7")

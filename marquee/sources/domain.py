@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marquee.sources.scratch import scratch_path
+
 BASE = ("nation", "supplier", "customer", "part", "lineitem", "events", "conversations", "pages", "documents")
 
 VIEWS = {
@@ -40,6 +42,21 @@ class Catalog:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def over(self, **tables: DataFrame) -> Catalog:
+        """The catalog with written tables in place of views; all views that use these read them."""
+        other = Catalog(self.spark, self.sf_dir)
+        other.__dict__.update(tables)
+        return other
+
+    def written(self, *names: str) -> Catalog:
+        """The catalog with these views written to the shared folder, so that what uses them several times computes them once."""
+        tables = {}
+        for name in names:
+            df, path = getattr(self, name), scratch_path(self.spark, name)
+            df.write.parquet(path)
+            tables[name] = self.spark.read.schema(df.schema).parquet(path)
+        return self.over(**tables)
+
     def sql(self, text: str) -> DataFrame:
         """SQL over the views and base tables; each name is bound here, so nothing is left in the session."""
         import re

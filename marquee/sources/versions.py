@@ -6,7 +6,11 @@ readers see all tables of a commit or none, and what fails half way leaves the v
 that holds a version goes on reading it until vacuum() removes it.
 
 A table with keys is dealt into buckets by a hash of the keys. upsert() reads and writes the buckets alone in which changes
-fall; all others stay in the folders where earlier versions wrote them. A table without keys is a log, to which append() adds a folder.
+fall; all others stay in the folders where earlier versions wrote them. rewrite() takes the whole content at once, and keeps the old folders of
+buckets in which nothing changed. A table without keys is a log, to which append() adds a folder.
+
+The hash is the one that Spark deals rows to tasks by. Rows that keyed() has dealt by key, to a multiple of the buckets, therefore lie in tasks of one bucket each:
+they are joined by key and written by bucket with one shuffle for both. Only the number of files depends on that, no result.
 
 One writer at a time: a commit that began before another one ended is refused (Conflict). A stream writes its batch number as a mark with its
 rows, in the same commit, so a batch that is repeated is known.
@@ -24,8 +28,12 @@ from pyspark.sql.types import StructType
 
 from marquee.sources.scratch import scratch_path
 
-#: Buckets of a new table with keys. A bucket is rewritten by one task, so large tables want more: some hundred MB each.
+#: Buckets of a new table with keys. A bucket is written by as many tasks as its size asks for.
 BUCKETS = 16
+#: Bytes of a table's files for each task that rewrites it.
+TASK_BYTES = 32 << 20
+#: Column of rewrite(): what became of a row.
+STATE, SAME, CHANGED, NEW = "_state", 0, 1, 2
 
 
 class Conflict(RuntimeError):
@@ -80,7 +88,12 @@ class Store:
         parts = [p for b, p in table["parts"].items() if buckets is None or int(b) in buckets]
         if not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in parts])
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.root}/{p}" for p in parts])
+
+    def size(self, table: dict) -> int:
+        """Bytes of a table's files."""
+        fs = self.fs()
+        return sum(fs.getContentSummary(self.path(p)).getLength() for p in table["parts"].values())
 
     def begin(self, stream: str | None = None, batch: int | None = None) -> Transaction:
         return Transaction(self, stream, batch)
@@ -135,10 +148,10 @@ class Transaction:
 
     def create(self, name: str, df: DataFrame, keys: list[str] | None = None, buckets: int = BUCKETS) -> None:
         """A new table, or a new content and schema of one."""
-        table = {"schema": json.loads(df.schema.json()), "keys": keys or [], "buckets": buckets if keys else 0, "parts": {}}
+        table = {"schema": json.loads(df.schema.json()), "keys": keys or [], "buckets": buckets if keys else 0, "hash": "murmur3", "parts": {}}
         self.next["tables"][name] = table
         if keys:
-            table["parts"] = self.deal(name, df, table)
+            table["parts"] = self.deal(self.place(name), df, table)
         else:
             self.append(name, df)
 
@@ -157,8 +170,18 @@ class Transaction:
         self.next["tables"][name]["parts"] = {}
         self.append(name, df)
 
-    def upsert(self, name: str, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        """The table where `merge(old, changes)` stands for the buckets that the keys of changes fall in; merge keeps every row in its bucket."""
+    def keyed(self, name: str) -> Callable[[DataFrame], DataFrame]:
+        """Deals rows by the keys of a table, to so many tasks as its size asks for, each of one bucket."""
+        table = self.next["tables"][name]
+        tasks = table["buckets"] * max(1, -(-self.store.size(table) // (TASK_BYTES * table["buckets"])))
+        return lambda df: df.repartition(tasks, *table["keys"])
+
+    def upsert(self, name: str, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], by_keys: bool = False, stay: Column | None = None) -> None:
+        """The table where `merge(old, changes)` stands for the buckets that the keys of changes fall in; merge keeps every row in its bucket.
+
+        by_keys promises that merge is one join by exactly the table's keys; both sides come dealt by them. Old rows for which `stay` holds are not given
+        to merge: they are written as they are by the tasks that read them.
+        """
         table = self.next["tables"][name]
         held = self.hold(changes)
         touched = sorted(r[0] for r in held.select(bucket(table)).distinct().collect())  # no more numbers than buckets
@@ -166,14 +189,47 @@ class Transaction:
         if not touched:
             return
         names = StructType.fromJson(table["schema"]).fieldNames()
-        written = self.deal(name, merge(self.store.load(table, touched), held).select(*names), table)
+        dealt = self.keyed(name) if by_keys else lambda df: df
+        old, path = self.store.load(table, touched), self.place(name)
+        if stay is not None:
+            stay = F.coalesce(stay, F.lit(False))
+            self.deal(path, old.where(stay), table, True)
+            old = old.where(~stay)
+        written = self.deal(path, merge(dealt(old), dealt(held)).select(*names), table, by_keys, "error" if stay is None else "append")
         if not written.keys() <= {str(b) for b in touched}:
             raise ValueError(f"merge moved rows of {name} to buckets it had not read")
         table["parts"] = {b: p for b, p in table["parts"].items() if int(b) not in touched} | written
 
-    def deal(self, name: str, df: DataFrame, table: dict) -> dict[str, str]:
-        path = self.place(name)
-        df.withColumn("_bucket", bucket(table)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.store.root}/{path}")
+    def rewrite(self, name: str, rows: DataFrame, number: Callable[[DataFrame], DataFrame]) -> None:
+        """The table with `rows` as its whole content; STATE tells which are SAME as before, CHANGED or NEW. Buckets without a row that is not the SAME
+        stay in the folders they have. New rows are written as they come, read back, given what number() gives them, and written once more.
+
+        Rows best come from one join of keyed() sides; then they are written without another shuffle.
+        """
+        table, path = self.next["tables"][name], self.place(name)
+        schema = StructType.fromJson(table["schema"])
+        typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]
+        rows.select(*typed, STATE).withColumn("_bucket", bucket(table)).write.partitionBy("_bucket", STATE).parquet(f"{self.store.root}/{path}")
+        states = {b: self.store.names(f"{path}/{b}") for b in self.store.names(path) if b.startswith("_bucket=")}
+        fresh = [f"{path}/{b}/{STATE}={NEW}" for b, there in states.items() if f"{STATE}={NEW}" in there]
+        if fresh:
+            numbered = number(self.store.spark.read.schema(schema).parquet(*[f"{self.store.root}/{p}" for p in fresh])).select(*schema.fieldNames())
+            self.deal(path, numbered, table, mode="append")
+            for p in fresh:
+                self.store.fs().delete(self.store.path(p), True)
+        for b, there in states.items():
+            at = b.removeprefix("_bucket=")
+            if {f"{STATE}={CHANGED}", f"{STATE}={NEW}"} & set(there):
+                table["parts"][at] = f"{path}/{b}"
+                self.rewritten.setdefault(name, []).append(int(at))
+            else:
+                self.store.fs().delete(self.store.path(f"{path}/{b}"), True)
+        self.rewritten[name] = sorted(self.rewritten.get(name, []))
+
+    def deal(self, path: str, df: DataFrame, table: dict, in_place: bool = False, mode: str = "error") -> dict[str, str]:
+        """Writes rows by bucket. Large buckets are cut to tasks of the usual size; in_place: rows are written by the tasks they are in."""
+        placed = df.withColumn("_bucket", bucket(table))
+        (placed if in_place else placed.hint("rebalance", "_bucket")).write.mode(mode).partitionBy("_bucket").parquet(f"{self.store.root}/{path}")
         return {n.removeprefix("_bucket="): f"{path}/{n}" for n in self.store.names(path) if n.startswith("_bucket=")}
 
     def commit(self) -> int:
@@ -199,4 +255,5 @@ class Transaction:
 
 
 def bucket(table: dict) -> Column:
-    return F.pmod(F.xxhash64(*table["keys"]), F.lit(table["buckets"])).cast("int")
+    hashed = F.hash if table.get("hash") == "murmur3" else F.xxhash64  # stores written before hashed by the latter
+    return F.pmod(hashed(*table["keys"]), F.lit(table["buckets"])).cast("int")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.operators import catalog as C
+from marquee.operators import mutations as M
 from marquee.operators import search_index as SX
 from marquee.sources import files
 from marquee.sources import schema as SM
@@ -102,6 +103,40 @@ def test_new_store_and_required_values(spark, tmp_path):
     assert sorted((r.id, r.broken) for r in SM.missing_values(rows, "libraries").collect()) == [(2, "name"), (2, "updated_at")]
 
 
+# ---------------------------------------------------------------- writes by key
+
+
+def files_of(tx, name):
+    """Of each bucket its number and files."""
+    fs, out = tx.store.fs(), {}
+    for b, p in tx.next["tables"][name]["parts"].items():
+        found = fs.listFiles(tx.store.path(p), True)
+        while found.hasNext():
+            f = found.next().getPath().getName()
+            out.setdefault(b, []).extend([f] if f.endswith(".parquet") else [])
+    return out
+
+
+def test_a_scan_deals_each_side_once_and_writes_by_bucket(spark, tmp_path):
+    """One shuffle of the old rows and one of the scan serve the join and the buckets: each task writes into one bucket alone."""
+    store = V.Store(spark, f"file:{tmp_path}/store")
+    old = spark.range(2000).select("id", (F.col("id") % 7).alias("lib"), F.concat(F.lit("f"), "id").alias("path"), F.col("id").alias("size"), F.lit(1).alias("is_present"))
+    with store.begin() as tx:
+        tx.create("t", old, ["lib", "path"], 4)
+    scan = old.where("id % 5 <> 0").select("lib", "path", (F.col("size") + F.expr("if(id % 2 = 0, 1, 0)")).alias("size")).unionAll(spark.range(30).select(F.lit(3), F.concat(F.lit("n"), "id"), F.lit(9)))
+    with store.begin() as tx:
+        rows = M.scanned_over(tx.read("t"), scan, ["lib", "path"], ["size"], within=F.col("lib") < 6, dealt=tx.keyed("t"))
+        assert rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
+        tx.rewrite("t", rows, lambda new: M.number_new(new, ["lib", "path"], 5000))
+        assert len(files_of(tx, "t")) == 4 and all(len(f) <= 4 for f in files_of(tx, "t").values())  # same, changed and new rows
+    got = {(r.lib, r.path): (r.id, r["size"], r.is_present) for r in store.read("t").collect()}
+    seen = {(r.lib, r.path): r["size"] for r in scan.collect()}
+    for r in old.collect():
+        key = (r.lib, r.path)
+        assert got.pop(key) == ((r.id, seen.get(key, r["size"]), int(key in seen)) if r.lib < 6 else (r.id, r["size"], 1))
+    assert sorted(i for i, _, _ in got.values()) == list(range(5000, 5030)) and {v[1:] for v in got.values()} == {(9, 1)}
+
+
 # ---------------------------------------------------------------- subtitles
 
 
