@@ -66,7 +66,7 @@ def enrich(store: Store, found: DataFrame) -> Transaction:
         }
         for kind, items in due.items():
             asked = items().select("id").join(found.where(F.col("kind") == kind).select("id", F.col("tmdb_id").cast("long").alias("tmdb_id")), "id", "left")
-            tx.upsert(f"{kind}s", asked, _answered)
+            tx.upsert(f"{kind}s", asked, _answered, by_keys=True, stay=~F.expr(C.PENDING))  # what is looked up already is due no more
     return tx
 
 

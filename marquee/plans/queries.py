@@ -1123,6 +1123,7 @@ def t05_enrichment_loop(c):
         for kind in ("movies", "shows", "episodes"):
             df = getattr(c, kind).withColumns({"attempts": F.lit(0), "tmdb_id": F.col("tmdb_id").cast("long")})
             tx.create(kind, df, ["id"])
+    c = c.over(**{kind: store.read(kind, 1) for kind in ("movies", "shows", "episodes")})
     for answers in (FOUND, SECOND):
         SC.enrich(store, c.sql(answers))
     whole = None

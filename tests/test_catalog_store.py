@@ -137,6 +137,37 @@ def test_a_scan_deals_each_side_once_and_writes_by_bucket(spark, tmp_path):
     assert sorted(i for i, _, _ in got.values()) == list(range(5000, 5030)) and {v[1:] for v in got.values()} == {(9, 1)}
 
 
+def test_upsert_leaves_rows_that_stay_to_their_tasks(spark, tmp_path):
+    store = V.Store(spark, f"file:{tmp_path}/store")
+    with store.begin() as tx:
+        tx.create("t", spark.range(100).select("id", F.when(F.col("id") % 3 > 0, F.col("id")).alias("v")), ["id"], 4)
+    met = []
+
+    def merge(old, new):
+        met.append(old.count())
+        return old.join(new.withColumnRenamed("v", "w"), "id", "left").select("id", F.coalesce("w", "v").alias("v"))
+
+    with store.begin() as tx:
+        tx.upsert("t", spark.range(100).select("id", F.lit(-1).cast("long").alias("v")).where("id % 6 = 0"), merge, by_keys=True, stay=F.col("v") > 0)
+    assert met == [34]
+    assert {r.id: r.v for r in store.read("t").collect()} == {i: -1 if i % 6 == 0 else None if i % 3 == 0 else i for i in range(100)}
+
+
+def test_reconcile_reads_its_sides_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    old = spark.createDataFrame([(1, "a", 10, 1), (2, "b", 10, 1)], "id long, k string, size long, is_present int")
+    scan = spark.createDataFrame([("a", 11), ("c", 5), ("d", 6)], "k string, size long")
+    out = M.reconcile(old, scan.mapInArrow(count, scan.schema), ["k"], ["size"], 100)
+    assert sorted((r.k, r["size"], r.is_present, min(r.id, 100)) for r in out.collect()) == [("a", 11, 1, 1), ("b", 10, 0, 2), ("c", 5, 1, 100), ("d", 6, 1, 100)]
+    assert made.value == 3
+
+
 # ---------------------------------------------------------------- subtitles
 
 
