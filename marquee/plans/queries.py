@@ -626,6 +626,7 @@ def d08_upsert_shows(c):
 
 @query("SELECT coalesce(o.id, 0) AS id, coalesce(o.show_id, s.show_id) AS show_id, coalesce(o.file_path, s.file_path) AS file_path, CAST(CASE WHEN s.file_path IS NULL THEN o.season ELSE s.season END AS BIGINT) AS season, CAST(CASE WHEN s.file_path IS NULL THEN o.episode ELSE s.episode END AS BIGINT) AS episode, CASE WHEN s.file_path IS NULL THEN 0 ELSE 1 END AS is_present, o.title, CASE WHEN s.file_path IS NULL THEN o.file_size ELSE s.file_size END AS file_size FROM episodes o FULL JOIN scan_episodes s ON o.show_id = s.show_id AND o.file_path = s.file_path")
 def d09_upsert_episodes(c):
+    c = c.written("episodes")
     out = M.reconcile(c.episodes, c.scan_episodes, ["show_id", "file_path"], ["season", "episode", "file_size"], 10_000_000_000)
     number = F.when(F.col("id") >= 10_000_000_000, 0).otherwise(F.col("id")).cast("long")
     return out.select(number.alias("id"), "show_id", "file_path", F.col("season").cast("long").alias("season"), F.col("episode").cast("long").alias("episode"), "is_present", "title", "file_size")
