@@ -67,6 +67,29 @@ def test_state_holds_live_sessions_only(spark, tmp_path):
     assert max(held) >= 100 and held[-1] <= 3
 
 
+def test_sessions_are_followed_in_groups(spark, tmp_path):
+    """However many tokens there are, the state has a row a group; every token goes its own way in it."""
+    rng, source = random.Random(5), str(tmp_path / "in")
+    data = sorted((rng.randrange(3 * DAY), f"t{rng.randrange(60)}", "u", rng.choice(["login", "login", "logout"])) for _ in range(400))
+    feed(spark, source, [[(t, u, k, s) for s, t, u, k in data[:200]], [(t, u, k, s) for s, t, u, k in data[200:]], [("end", "u", "login", 9 * DAY)], [("end2", "u", "login", 9 * DAY + 1)], [("end3", "u", "login", 9 * DAY + 2)]])
+    log = SS.ChangeLog(V.Store(spark, f"file:{tmp_path}/store"), "s")
+    q = SS.session_changes(stream_of(spark, source), groups=3).writeStream.foreachBatch(log).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators) == 3
+    want, live = [], {}
+    for s, t, _, k in sorted(data, key=lambda d: (d[0], d[3])):
+        if t in live and live[t] + DAY <= s:
+            want.append((t, "expired", float(live.pop(t) + DAY)))
+        if k == "login" and t not in live:
+            live[t] = s
+            want.append((t, "opened", float(s)))
+        elif k == "logout" and t in live:
+            del live[t]
+            want.append((t, "closed", float(s)))
+    want += [(t, "expired", float(s + DAY)) for t, s in live.items()]
+    assert [c for c in changes_of(log) if not c[0].startswith("end")] == sorted(want)
+
+
 # ---------------------------------------------------------------- schemas and migrations
 
 
