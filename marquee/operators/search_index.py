@@ -28,9 +28,11 @@ class SearchIndex:
     def build(self, items: DataFrame, *columns: str, buckets: int = 64) -> None:
         text = F.lower(F.concat_ws(" ", *columns))
         with self.store.begin() as tx:
-            grams = tx.hold(items.select(F.col(self.id_col).alias("id"), F.explode(trigrams(text)).alias("gram")).where(F.char_length("gram") == 3))
+            # a file small enough for one task holds the texts of many postings, so items are dealt to all tasks first
+            texts = items.select(F.col(self.id_col).alias("id"), text.alias("text")).repartition("id")
+            grams = texts.select("id", F.explode(trigrams(F.col("text"))).alias("gram")).where(F.char_length("gram") == 3)
             tx.create("postings", grams, ["gram"], buckets)
-            tx.create("grams", grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), ["gram"], buckets)
+            tx.create("grams", tx.read("postings").groupBy("gram").agg(F.count(F.lit(1)).alias("n")), ["gram"], buckets)
 
     def part(self, name: str, grams: list[str]) -> DataFrame:
         """The rows of a table whose gram is one of `grams`, from the buckets that these fall in."""

@@ -235,6 +235,25 @@ def test_indexed_search_equals_the_scan(spark, tmp_path):
     assert 0 < index.postings_read < 60
 
 
+def test_index_writes_postings_once(spark, tmp_path):
+    """The postings are written into their buckets at once; how many there are of a gram is counted from what was written."""
+    store, held = V.Store(spark, f"file:{tmp_path}/store"), []
+    before, V.Transaction.hold = V.Transaction.hold, lambda tx, df: held.append(df) or before(tx, df)
+    try:
+        SX.SearchIndex(store).build(spark.createDataFrame([(1, "abcabc"), (2, "bcab"), (3, None)], "id long, title string"), "title")
+    finally:
+        V.Transaction.hold = before
+    assert held == []
+    plans, before_deal = [], V.Transaction.deal
+    V.Transaction.deal = lambda tx, path, df, *more, **named: plans.append(df._jdf.queryExecution().executedPlan().toString()) or before_deal(tx, path, df, *more, **named)
+    try:
+        SX.SearchIndex(V.Store(spark, f"file:{tmp_path}/dealt")).build(spark.createDataFrame([(1, "abcabc")], "id long, title string"), "title")
+    finally:
+        V.Transaction.deal = before_deal
+    assert "REPARTITION_BY_COL" in plans[0]  # texts are dealt to all tasks before their trigrams are taken
+    assert sorted(map(tuple, store.read("grams").select("gram", "n").collect())) == [("abc", 1), ("bca", 2), ("cab", 2)] and store.read("postings").count() == 5
+
+
 # ---------------------------------------------------------------- settings
 
 
