@@ -38,8 +38,8 @@ PROBE_COST = 32.0
 MAX_RADIUS = 2
 #: Parities (at least) that tell most unlike sets apart; meeting places of more sets than FEW compare this many at once.
 SKETCH_BITS, FEW = 1024, 8
-#: Texts whose shingles are counted to order all shingles by frequency; a shingle of so many of them is common; how many are kept.
-SAMPLE_ROWS, COMMON_FROM, COMMON_MOST = 10_000, 3, 100_000
+#: A shingle is common from so many texts on, or so many of each 10,000; how many common ones are sent to all tasks.
+COMMON_FROM, COMMON_MOST = 3, 100_000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -422,26 +422,28 @@ def digest_of(hashes: np.ndarray) -> int:
 
 
 def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles most frequent in a sample of texts (text), ascending, and about how many texts have each.
+    """Hashes of the most frequent shingles of all texts (text), ascending, and how many texts have each.
 
-    They only order the shingles, so that rare ones propose pairs: no result depends on them.
+    Every text is counted. The counts only order the shingles, so that rare ones propose pairs, and cut the meetings at common ones into
+    blocks: no result depends on them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for found in sets_of_texts(batch.column(0).to_pylist(), words):
+            for at in range(0, batch.num_rows, 256):
+                found = np.concatenate(list(sets_of_texts(batch.column(0)[at : at + 256].to_pylist(), words)))
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
 
-    share = min(1.0, SAMPLE_ROWS / max(1, texts.count()))
-    counted = texts.select("text").sample(share, seed=7).mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_FROM)
+    least = max(COMMON_FROM, -(-COMMON_FROM * texts.count() // 10_000))
+    counted = texts.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     top = counted.orderBy(F.col("n").desc(), "shingle").limit(COMMON_MOST).toArrow()
     hashes, n = top["shingle"].to_numpy().view(np.uint64), top["n"].to_numpy()
     by_hash = np.argsort(hashes)
-    return hashes[by_hash], np.ceil(n[by_hash] / share).astype(np.int64)
+    return hashes[by_hash], n[by_hash]
 
 
 def frequency_of(hashes: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """About how many texts have each shingle; 0 for one that is not common."""
+    """How many texts have each shingle; 0 for one that is not common."""
     common, n = order
     if not len(common):
         return np.zeros(len(hashes), np.int64)

@@ -6,6 +6,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from marquee.llm import bpe, mixing, quality, simhash
@@ -134,3 +135,11 @@ def test_special_cases(spark, sf, odd_docs, no_docs):
             docs = materialise(f(spark, docs, sf), "odd")
             assert docs.columns == odd_docs.columns
         P.STAGES[-1][1](spark, docs, sf).count()
+
+
+def test_common_shingles_are_counted_over_all_texts(spark):
+    """More texts than a sample would hold: the counts are exact."""
+    df = spark.range(12_000, numPartitions=4).select(F.when(F.col("id") % 1000 == 0, F.concat(F.lit("aa bb cc dd ee only"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("ff gg hh ii jj n"), F.col("id").cast("string"))).alias("text"))
+    hashes, n = simhash.common_shingles(df, 5)
+    want = {int(simhash.shingle_set("aa bb cc dd ee", 5)[0]): 12, int(simhash.shingle_set("ff gg hh ii jj", 5)[0]): 11_988}
+    assert dict(zip(hashes.tolist(), n.tolist())) == want
