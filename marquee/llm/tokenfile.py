@@ -21,6 +21,7 @@ each other by text; an empty table gives empty files and an empty result; only i
 
 from __future__ import annotations
 
+import functools
 import itertools
 import zlib
 from collections.abc import Callable, Iterator
@@ -39,6 +40,8 @@ MAGIC = b"DAC1"
 CHUNK_BITS = 8
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
+#: Different pieces, and characters of these, whose ids a Python worker keeps for the blocks and tasks that follow.
+KEPT_PIECES, KEPT_CHARACTERS = 600_000, 8_000_000
 
 
 # ---------------------------------------------------------------- the code
@@ -126,6 +129,7 @@ class LibraryEncoder:
 
     Where the tokenizer is byte-level BPE over PATTERN, texts are cut (see pieces.py) and the library's model merges each different
     word once; pieces that hold the string of an added token go to the tokenizer as they are. Any other tokenizer gets whole texts.
+    Ids of the first KEPT_PIECES different pieces are kept, since most pieces of a block stand in others too; no result depends on it.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -140,6 +144,7 @@ class LibraryEncoder:
         self.findall = regex.compile(PATTERN).findall
         pre, model, added = spec["pre_tokenizer"] or {}, spec["model"], spec["added_tokens"]
         self.added = [a["content"] for a in added]
+        self.kept, self.kept_ids, self.kept_characters = {}, Lists(np.zeros(1, np.int64), np.zeros(0, "<u4")), 0
         self.by_words = (
             spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
             and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
@@ -153,17 +158,43 @@ class LibraryEncoder:
         return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.characters))]
 
     def __call__(self, texts: pa.Array) -> tuple[Lists, Cut]:
-        """Ids of the different pieces, and where the texts have them."""
+        """Ids of different pieces, and where the texts have them, by the numbers of these ids."""
         found = cut(texts, not self.by_words)
         if not self.by_words:
             coded = [self.whole(p) for p in found.pieces]
             return lists_of(coded), found
-        words, numbers, counts = words_of(found.pieces, self.findall)
+        numbers = np.fromiter(map(self.kept.get, found.pieces, itertools.repeat(-1)), np.int64, len(found.pieces))
+        fresh = np.flatnonzero(numbers < 0)
+        pieces = [found.pieces[k] for k in fresh]
+        new = self.fresh(pieces)
+        numbers[fresh] = len(self.kept) + np.arange(len(fresh))
+        ids = Lists(np.concatenate([self.kept_ids.offsets, self.kept_ids.offsets[-1] + new.offsets[1:]]), np.concatenate([self.kept_ids.values, new.values]))
+        self.keep(pieces, ids)
+        return ids, Cut(found.pieces, numbers[found.numbers], found.counts)
+
+    def fresh(self, pieces: list[str]) -> Lists:
+        """Ids of pieces by their words."""
+        words, numbers, counts = words_of(pieces, self.findall)
         ids = lists_of([self.word(w) for w in words]).joined(numbers, counts)
-        odd = {k: self.whole(p) for k, p in enumerate(found.pieces) if any(a in p for a in self.added)} if self.added else {}
+        odd = {k: self.whole(p) for a in self.added for k, p in enumerate(pieces) if a in p}
         if odd:
-            ids = lists_of([odd[k] if k in odd else ids.values[ids.offsets[k] : ids.offsets[k + 1]] for k in range(len(found.pieces))])
-        return ids, found
+            ids = lists_of([odd[k] if k in odd else ids.values[ids.offsets[k] : ids.offsets[k + 1]] for k in range(len(pieces))])
+        return ids
+
+    def keep(self, pieces: list[str], ids: Lists) -> None:
+        """Keeps as many of the pieces as still have room; ids: those of the kept ones, then theirs."""
+        ends = self.kept_characters + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        more = min(KEPT_PIECES - len(self.kept), int(np.searchsorted(ends, KEPT_CHARACTERS, "right")))
+        if more > 0:
+            self.kept.update(zip(pieces[:more], itertools.count(len(self.kept))))
+            self.kept_ids = Lists(ids.offsets[: len(self.kept) + 1].copy(), ids.values[: ids.offsets[len(self.kept)]].copy())
+            self.kept_characters = int(ends[more - 1])
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(tokenizer_json: str) -> LibraryEncoder:
+    """The Python worker's encoder, which Spark's next tasks in it go on with."""
+    return LibraryEncoder(tokenizer_json)
 
 
 def lists_of(coded: list) -> Lists:
@@ -178,7 +209,7 @@ def segments(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str = "d
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = LibraryEncoder(shared.value)
+        encode = encoder(shared.value)
         ids, parts, total, seq, written = [], [], 0, 0, 0
         part = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4")

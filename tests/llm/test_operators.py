@@ -657,3 +657,29 @@ def test_chat_query_loses_nothing(spark, tmp_path):
         loss = "".join(t for r, t in turns if r == "assistant")
         assert (got[i].n_turns, got[i].turns_sha256) == (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()), i
         assert (got[i].loss_chars, got[i].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest()), i
+
+
+def test_tokenfile_keeps_ids_of_pieces(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    spec = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    library = Tokenizer.from_str(spec)
+    blocks = [["a b's  c", "", "one <|endoftext|> two\n\n one's"], ["two one  c a", "three <|endoftext|>two " + "x" * 90], [], ["", "three four\t  five", "one's two"]]
+    for pieces, characters in ((600_000, 8_000_000), (4, 8_000_000), (600_000, 9), (0, 0)):
+        monkeypatch.setattr(tokenfile, "KEPT_PIECES", pieces)
+        monkeypatch.setattr(tokenfile, "KEPT_CHARACTERS", characters)
+        encode = tokenfile.LibraryEncoder(spec)
+        for texts in blocks + blocks:
+            ids, found = encode(pa.array(texts, pa.string()))
+            joined = ids.joined(found.numbers, found.counts)
+            got = [joined.values[a:b].tolist() for a, b in zip(joined.offsets, joined.offsets[1:])]
+            assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+            assert len(encode.kept) <= pieces and sum(map(len, encode.kept)) <= characters
+    encode, seen = tokenfile.encoder(spec), []
+    monkeypatch.setattr(tokenfile, "KEPT_PIECES", 600_000)
+    monkeypatch.setattr(tokenfile, "KEPT_CHARACTERS", 8_000_000)
+    monkeypatch.setattr(encode, "word", lambda w, f=encode.word: seen.append(w) or f(w))
+    for _ in range(2):
+        tokenfile.encoder(spec)(pa.array(blocks[1], pa.string()))
+    assert seen and len(seen) == len(set(seen))
