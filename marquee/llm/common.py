@@ -42,6 +42,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Returns to the system what Arrow and the C library keep of freed memory: a Python worker waits for its next task with as little as it can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm.common import discard, join_counted, materialise
+from marquee.llm.common import discard, give_back, join_counted, materialise
 from marquee.operators.ranking import placed
 
 #: What ends a piece, and what a space is; "." marks the end of a piece, since no word can hold it.
@@ -66,13 +66,16 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
                 while sum(s.octets for held in (growing, full) for s in held.values()) >= 2 * MOST:
                     held = full or growing
                     yield held.pop(max(held, key=lambda k: held[k].octets)).row()
-        for lang, shard in growing.items():
+        while growing:
+            lang, shard = growing.popitem()
             if lang in full and 2 * shard.octets < limit(lang):
                 full[lang].take_in(shard)
             else:
                 yield shard.row()
-        for shard in full.values():
-            yield shard.row()
+            del shard
+        while full:
+            yield full.popitem()[1].row()
+        give_back()
 
     # a file a shard, so that a task reads few at once
     return materialise(sized.mapInArrow(cut, "lang string, octets long, n_words long, words array<binary>, hashes binary, ids binary"), "shards", rows_per_file=1)
@@ -110,9 +113,10 @@ class Shard:
         import zstandard
 
         self.split()
-        coded = pa.chunked_array(self.parts).unify_dictionaries()
+        coded, self.parts = pa.chunked_array(self.parts).unify_dictionaries(), []
         words = coded.chunk(0).dictionary
-        ids = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]).astype(np.int32)
+        ids = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks], dtype=np.int32)
+        del coded
         plain = words.to_pylist()
         if b"." in plain:
             ids[ids == plain.index(b".")] = -1
@@ -227,7 +231,11 @@ def counts(parts: DataFrame, length: int, support: int, shorter, candidates) ->
                 columns = [phrase, pa.array(hashes), pa.array(n.astype(np.int64)), pa.array((n - slack).astype(np.int64))]
                 if own:
                     columns = [pa.concat_arrays([c, pa.array([v], c.type)]) for c, v in zip(columns, (None, None, None, slack))]
-                yield pa.RecordBatch.from_arrays([pa.array(row.column("lang").to_pylist() * (len(at) + own), pa.string()), *columns], names=["lang", "phrase", "h", "n", "excess"])
+                columns.insert(0, pa.repeat(row.column("lang")[0], len(at) + own))
+                del words, word_hash, ids, at, n, hashes, texts, phrase  # nothing of a shard stays while the next one is read
+                give_back()
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "h", "n", "excess"])
+                del columns
 
     return parts.select("lang", "octets", "total", "words", "hashes", "ids").mapInArrow(mine, PHRASES)
 

@@ -223,3 +223,20 @@ def test_scores_beyond_64_bits(spark):
     found = spark.createDataFrame([("en", "a", 1, 3 * big), ("en", "b", 1, 2 * big), ("en", "a b", 2, big)], "lang string, phrase string, k int, n long")
     row = phrases.scored(found, spark.createDataFrame([("en", 9 * 10**15)], "lang string, n_words long")).first()
     assert (row.score, row.l, row.r) == (1000 * big * 9 * 10**15 // (6 * big * big), 3 * big, 2 * big)
+
+
+def test_workers_give_freed_memory_back():
+    import numpy as np
+
+    from marquee.llm import common
+
+    def held():
+        return sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon")) >> 10
+
+    before = held()
+    freed = [np.ones(8_000) for _ in range(2_000)]  # 64 kB each, below what the C library maps by itself
+    last = freed[::100]
+    del freed
+    kept = held()
+    common.give_back()
+    assert len(last) == 20 and kept - before > 60 and held() - before < 40
