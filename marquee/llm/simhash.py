@@ -701,6 +701,8 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, simi
 
 #: Links of a node from which on its rows may be too many for one task's join.
 HUB = 1000
+#: Links (8 MB, a partition as Spark joins small ones up) that one task connects; more take rounds.
+TOGETHER = 500_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -713,13 +715,25 @@ def link_figures(edges: DataFrame) -> Row:
     return each.agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.max("n").alias("most")).first()
 
 
+def connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and root, as components() has them, of all links (a, b) together."""
+    found = [np.stack([np.asarray(c) for c in b.columns]) for b in batches]
+    held = spanning_links(*np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node of its component) for every node of the links a > b but the roots.
 
-    Alternating large-star and small-star steps; each round is a minimum by node (combined before the
+    Up to TOGETHER links are connected by one task: rounds over so few would each cost the driver more plans, exchanges and jobs
+    than they save. More links take alternating large-star and small-star steps; each round is a minimum by node (combined before the
     shuffle) and a join back, written to the shared folder. Hubs of very many links are joined without a shuffle.
     """
     seen = materialise(edges.select("a", "b"), "links")
+    if seen.count() <= TOGETHER:
+        roots = materialise(seen.coalesce(1).mapInArrow(connected, "node long, root long"), "roots")
+        discard(seen)
+        return roots
     mark = link_figures(seen)
     while mark.n:
         both = both_ways(seen)

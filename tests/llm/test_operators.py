@@ -116,6 +116,38 @@ def test_simhash_dense_clusters(spark):
     assert {(r.id, r.fp): r.component for r in got} == slow_components(pairs, 4)
 
 
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    """Chains, a star and no links at all: by one task in a handful of jobs, and by rounds, with the same roots."""
+    rng = np.random.default_rng(7)
+    names = [int(x) for x in rng.permutation(np.arange(-2000, 2000))]
+    ends = [(names[k], names[k + 1]) for k in range(600)] + [(names[700], names[k]) for k in range(701, 1500)] + [(names[k], names[k + 3]) for k in range(1600, 1800)]
+    root = {x: x for e in ends for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in ends:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in root if find(x) != x}
+    links = spark.createDataFrame([(max(e), min(e)) for e in ends], "a long, b long").repartition(4)
+    found = {}
+    try:
+        for most in (simhash.TOGETHER, len(ends) - 1):
+            monkeypatch.setattr(simhash, "TOGETHER", most)
+            spark.sparkContext.setJobGroup(f"components-{most}", "")
+            got = simhash.components(links)
+            found[most] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{most}"))
+            assert {r.node: r.root for r in got.collect()} == want and got.count() == len(want)
+            assert simhash.components(links.where("a is null")).count() == 0
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(name, None)
+    assert min(found.values()) <= 8 < max(found.values())
+
+
 # ---------------------------------------------------------------- 2
 
 
