@@ -18,12 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
-#: Patterns in the common subset of Java's and RE2's syntax, applied in this order.
+#: Patterns applied in this order; all but BLANKS in the common subset of Java's and RE2's syntax.
 HIDDEN = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|head\b.*?</head\s*>)"
 BREAKS = r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|blockquote|pre|hr)\b[^>]*>"
 TAGS = r"(?s)<[^>]*>"
-BLANKS = r"[ \t\r\f\x0b]+"
-EDGES = r" ?\n[ \n]*"
+#: Runs of blanks that are not one space already.
+BLANKS = r"[ \t\r\f\x0b](?:[ \t\r\f\x0b]+|(?<! ))"
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
     ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&bull;", "•"), ("&middot;", "·"), ("&euro;", "€"), ("&pound;", "£"), ("&cent;", "¢"), ("&deg;", "°"), ("&times;", "×"), ("&agrave;", "à"), ("&aacute;", "á"),
@@ -49,7 +49,9 @@ def unescaped(text: Column) -> Column:
         char = F.when(F.startswith(name, F.lit("#")), numbered(name)).otherwise(F.try_element_at(names, name))
         return F.coalesce(F.concat(char, part.substr(end + 1, F.length(part))), F.concat(F.lit("&"), part))
 
-    return F.when(F.contains(text, F.lit("&")), once(parts, lambda x: F.concat(F.get(x, F.lit(0)), F.array_join(F.transform(F.slice(x, F.lit(2), F.size(x)), one), "")))).otherwise(text)
+    first = lambda x: F.get(x, F.lit(0))
+    # the text is named once here: what makes it is computed again for each place that names it
+    return once(parts, lambda x: F.when(F.size(x) > 1, F.concat(first(x), F.array_join(F.transform(F.slice(x, F.lit(2), F.size(x)), one), ""))).otherwise(first(x)))
 
 
 def numbered(name: Column) -> Column:
@@ -65,8 +67,8 @@ def plain_text(html: Column) -> Column:
     text = F.regexp_replace(text, TAGS, "")
     text = unescaped(text)
     text = F.regexp_replace(text, BLANKS, " ")
-    text = F.regexp_replace(text, EDGES, "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    lines = F.transform(F.split(text, "\n"), lambda line: F.trim(line))
+    return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 
 #: Headers of the source that the derivatives' own headers carry, or that follow from the block.
@@ -122,29 +124,32 @@ def _listed(fields: Column, prefix: str) -> Column:
     return F.array_join(F.transform(fields, lambda f: F.concat(F.lit(prefix), f["k"], F.lit(": "), f["v"], F.lit(CRLF))), "")
 
 
+def _behind(text: Column, head: Column, gap: str) -> Column:
+    """The bytes of a text behind its head and the gap that ends it; none if the text is all head."""
+    return text.cast("binary").substr(F.octet_length(head) + len(gap) + 1, F.octet_length(text))
+
+
 def parsed(records: DataFrame, record_col: str = "record") -> DataFrame:
     """records with warc (header fields), status_line, http (header fields) and payload in place of the record.
 
     The block is as long as Content-Length says, in bytes; without one it ends with the record.
     """
     gap = CRLF + CRLF
-    rec = F.col(record_col)
-    df = records.withColumn("_split", F.instr(rec, gap)).withColumn("warc", _fields(F.when(F.col("_split") > 0, rec.substr(F.lit(1), F.col("_split") - 1)).otherwise(rec)))
-    rest = F.when(F.col("_split") > 0, rec.substr(F.col("_split") + 4, F.length(rec))).otherwise(F.lit(""))
+    # cuts go by bytes: places in a text would be counted from its start each time
+    rec, block = F.col(record_col), F.col("_block")
+    df = records.withColumn("_head", F.substring_index(rec, gap, 1)).withColumn("warc", _fields(F.col("_head")))
     size = F.expr("try_cast(get(filter(warc, f -> f.k = 'content-length'), 0).v as int)")
-    size = F.when(size >= 0, size)
-    df = df.withColumn("_rest", rest).withColumn("_size", size)
-    # texts of one byte a character need no detour over bytes; a cut inside a character drops its start
-    ascii_ = F.octet_length("_rest") == F.length("_rest")
-    cut = F.when(ascii_, F.col("_rest").substr(F.lit(1), F.col("_size"))).otherwise(F.decode(F.encode("_rest", "UTF-8").substr(F.lit(1), F.col("_size")), "UTF-8"))
-    whole = F.when(F.col("_rest").endswith(gap), F.col("_rest").substr(F.lit(1), F.length("_rest") - 4)).otherwise(F.col("_rest"))
-    exact = F.col("_size").isNull() | (F.octet_length(whole) == F.col("_size"))
-    df = df.withColumn("_block", F.when(exact, whole).otherwise(F.coalesce(cut, whole)))
-    df = df.withColumn("_cut", F.when(F.startswith(F.col("_block"), F.lit("HTTP/")), F.instr("_block", gap)).otherwise(0))
-    http = F.when(F.col("_cut") > 0, F.col("_block").substr(F.lit(1), F.col("_cut") - 1)).when(F.startswith(F.col("_block"), F.lit("HTTP/")), F.col("_block")).otherwise(F.lit(""))
-    payload = F.when(F.col("_cut") > 0, F.col("_block").substr(F.col("_cut") + 4, F.length("_block"))).when(F.startswith(F.col("_block"), F.lit("HTTP/")), F.lit("")).otherwise(F.col("_block"))
+    df = df.withColumn("_rest", _behind(rec, F.col("_head"), gap)).withColumn("_size", F.when(size >= 0, size))
+    whole = F.octet_length("_rest") - F.when(F.col("_rest").cast("string").endswith(gap), 4).otherwise(0)
+    begin = lambda n: F.col("_rest").substr(F.lit(1), n).cast("string")
+    # a cut inside a character drops its start, 3 bytes at most
+    cut = F.coalesce(*[F.try_validate_utf8(begin(F.greatest(F.col("_size") - k, F.lit(0)))) for k in range(4)], begin(F.col("_size")))
+    df = df.withColumn("_block", F.when(F.col("_size").isNull() | (F.col("_size") == whole), begin(whole)).otherwise(cut))
+    answer = F.startswith(block, F.lit("HTTP/"))
+    df = df.withColumn("_http", F.when(answer, F.substring_index(block, gap, 1)).otherwise(""))
+    http, payload = F.col("_http"), F.when(answer, _behind(block, F.col("_http"), gap).cast("string")).otherwise(block)
     df = df.withColumn("status_line", F.substring_index(http, CRLF, 1)).withColumn("http", _fields(http)).withColumn("payload", payload)
-    return df.drop("_split", "_rest", "_size", "_block", "_cut", record_col)
+    return df.drop("_head", "_rest", "_size", "_block", "_http", record_col)
 
 
 def derivatives(records: DataFrame, record_col: str = "record") -> DataFrame:

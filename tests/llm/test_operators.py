@@ -242,6 +242,23 @@ def test_warc_odd_lengths_and_lines(spark):
     assert sorted((r.source_id, r.block) for r in got) == [(-5, "body"), (len(http), "body"), (10**12, "body")]
 
 
+def test_warc_cut_inside_a_character(spark):
+    """A block that ends inside a character loses that character's start, and nothing else."""
+    http, body = "HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\n", "aé🙂z"
+    record = lambda n: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: {len(http) + n}\r\n\r\n{http}{body}\r\n\r\n"
+    got = warc.derivatives(spark.createDataFrame([(n, record(n)) for n in range(9)], "source_id long, record string")).where("record_type = 'conversion'").collect()
+    assert {r.source_id: r.block for r in got} == {n: body.encode()[:n].decode(errors="ignore") for n in range(9)}
+
+
+def test_warc_text_is_made_once(spark, sf):
+    """What takes the tags out of a page stands once in the plan, since Spark computes it wherever it stands; line separators do not hide blanks before them."""
+    plan = queries.op3_warc(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(warc.TAGS) == 1
+    rows = [("<p>a \t b</p>\n \n<p>\x0b</p> c \u2028", "a b\nc \u2028"), ("x\t", "x"), ("a\tb  c d", "a b c d"), (" \n", ""), ("", "")]
+    got = spark.createDataFrame(rows, "html string, want string").select(warc.plain_text(F.col("html")), "want").collect()
+    assert all(r[0] == r[1] for r in got)
+
+
 @pytest.mark.parametrize("name", ["op3_warc", "op4_exactdedup", "op5_mixing", "op10_chat"])
 def test_query_equals_its_statement(spark, sf, name):
     import duckdb
