@@ -4,8 +4,8 @@ Encoding runs in one stage without a shuffle. Each task takes its documents in b
 Arrow step finds the distinct pieces of a block and the distinct words (matches of the pre-token pattern) of those, sends the
 words' byte arrays, then the documents as numbers of pieces; Spark's aggregate() folds the merges over every byte array, looking
 ranks up in a literal map (dealt into buckets, since Spark searches a map from end to end); a second Arrow step
-gathers each block's ids by number. A word that is a token by itself needs no
-fold. The fold takes time with the square of a word's length, so words of over FOLD_BYTES bytes
+gathers each block's ids by number. Words once folded are kept for the next blocks of the task, up to KEPT_WORDS; both steps
+number them alike. A word that is a token by itself needs no fold. The fold takes time with the square of a word's length, so words of over FOLD_BYTES bytes
 are merged by the tiktoken library instead, with the same ranks; results are the same.
 
 Decoding maps ids to their binary pieces and concatenates them, in Spark functions.
@@ -35,6 +35,8 @@ FOLD_BYTES = 256
 #: Bytes of a block here, where two Python workers for each core hold one.
 BLOCK_BYTES = 12_000_000
 BUCKETS = 32749
+#: Folded words, and characters of these, that a task keeps for the blocks that follow.
+KEPT_WORDS, KEPT_CHARACTERS = 400_000, 6_000_000
 #: Stands before and after the bytes of a word; it merges with nothing.
 EDGE = 256
 #: State of the fold: one long for each piece, rank of its merge with the next piece << 34 | first byte << 17 | id.
@@ -68,13 +70,19 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
 
 
+def start_literal(ranks: dict[bytes, int]) -> Column:
+    """State of the fold for a byte and the byte or EDGE behind it, at (EDGE + 1) * byte + next, its place still to be added; a constant."""
+    ids = [*(ranks[bytes([b])] for b in range(256)), ID_MASK]
+    rank = lambda a, b: NO_RANK if EDGE in (a, b) else ranks.get(bytes([a, b]), NO_RANK)
+    return F.split(F.lit(",".join(str(rank(a, b) << RANK_SHIFT | ids[a]) for a in range(EDGE + 1) for b in range(EDGE + 1))), ",").cast("array<bigint>")
+
+
 def encoded_words(words: Column, ranks: dict[bytes, int]) -> Column:
     """Ids of each word of an array of byte arrays, which stand between two EDGE marks (array<array<int>>)."""
-    ids_of_bytes = F.split(F.lit(",".join([*(str(ranks[bytes([b])]) for b in range(256)), str(ID_MASK)])), ",").cast("array<bigint>")
-    return _let(rank_literal(ranks), lambda table: _let(ids_of_bytes, lambda ids: F.transform(words, lambda data: merged(data, table, ids))))
+    return _let(rank_literal(ranks), lambda table: _let(start_literal(ranks), lambda starts: F.transform(words, lambda data: merged(data, table, starts))))
 
 
-def merged(data: Column, table: Column, ids_of_bytes: Column) -> Column:
+def merged(data: Column, table: Column, starts: Column) -> Column:
     """Ids of one word from its byte array: at each step the pair of lowest rank merges, the leftmost first."""
     none = F.lit(NO_RANK << RANK_SHIFT).cast("bigint")
     keep_all_but_rank = F.lit((1 << RANK_SHIFT) - 1)
@@ -102,17 +110,15 @@ def merged(data: Column, table: Column, ids_of_bytes: Column) -> Column:
     def step(pieces: Column, _: Column) -> Column:
         return _let(F.array_min(pieces), lambda low: F.when(low < none, _let(F.array_position(pieces, low).cast("int"), lambda at: merge(pieces, low, at))).otherwise(pieces))
 
-    def fold(ids: Column) -> Column:
-        pairs = F.transform(ids, lambda x, i: ranked(x, F.coalesce(F.get(ids, i + 1), F.lit(ID_MASK).cast("bigint"))).bitwiseOR(F.shiftleft(i.cast("bigint"), ID_BITS)).bitwiseOR(x))
-        return _let(F.aggregate(ids, pairs, step), lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 2), lambda x: id_of(x).cast("int")))
-
-    return _let(F.transform(data, lambda b: F.get(ids_of_bytes, b)), fold)
+    pairs = F.transform(data, lambda x, i: F.get(starts, x * (EDGE + 1) + F.coalesce(F.get(data, i + 1), F.lit(EDGE))).bitwiseOR(F.shiftleft(i.cast("bigint"), ID_BITS)))
+    # n bytes between their marks merge n - 1 times at most
+    return _let(F.aggregate(F.slice(data, F.lit(4), F.size(data)), pairs, step), lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 2), lambda x: id_of(x).cast("int")))
 
 
 # ---------------------------------------------------------------- blocks
 
-#: What a row between the two Arrow steps holds: words to fold, lengths and ids of the other words, word counts and word numbers of pieces, or a document's piece numbers.
-FOLD, LENGTHS, GIVEN, COUNTS, WORDS, DOCUMENT = range(6)
+#: What a row between the two Arrow steps holds: words to fold, lengths and ids of the other words, how many folded words to keep, word counts and word numbers of pieces, or a document's piece numbers.
+FOLD, LENGTHS, GIVEN, KEEP, COUNTS, WORDS, DOCUMENT = range(7)
 ROWS = "kind int, words array<array<int>>, flat array<int>, id long, row_no string"
 
 
@@ -132,12 +138,14 @@ def _lists(offsets: np.ndarray, values) -> pa.Array:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """For each block: its words, its pieces, then its documents. Words to fold are numbered first, in the order of their rows."""
+    """For each block: its new words, its pieces, then its documents. Words kept from blocks before are numbered first, then those to fold, in the order of their rows."""
     import regex
 
     findall = regex.compile(pattern).findall
     kinds = {"kind": pa.int32(), "words": pa.list_(pa.list_(pa.int32())), "flat": pa.list_(pa.int32()), "id": pa.int64(), "row_no": pa.string()}
     library = None
+    kept: dict[str, int] = {}
+    characters = 0
 
     def rows(kind: int, n: int = 1, **columns) -> pa.RecordBatch:
         columns["kind"] = pa.array([kind] * n, pa.int32())
@@ -161,11 +169,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes,
         block = block.select(["id", "row_no"])  # the texts are numbers from here on
         words, numbers, counts = words_of(found.pieces, findall)
         found.pieces = []
+        place = np.fromiter(map(kept.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(place < 0)
+        words = [words[k] for k in new]
         coded = [w.encode() for w in words]
         folds = np.array([b not in direct and len(b) <= FOLD_BYTES for b in coded], bool)
         order = np.argsort(~folds, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place[new[order]] = len(kept) + np.arange(len(order))
         first = int(folds.sum())
         for at in range(0, first, 2048):
             some = [coded[k] for k in order[at : min(at + 2048, first)]]
@@ -173,6 +183,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes,
         given = [ids_of(words[k], coded[k]) for k in order[first:]]
         yield flat(LENGTHS, np.fromiter(map(len, given), np.int32, len(given)))
         yield flat(GIVEN, np.fromiter(itertools.chain.from_iterable(given), np.int32))
+        ends = characters + np.cumsum(np.fromiter((len(words[k]) for k in order[:first]), np.int64, first))
+        more = min(KEPT_WORDS - len(kept), int(np.searchsorted(ends, KEPT_CHARACTERS, "right")))
+        if more:
+            kept.update(zip([words[k] for k in order[:more]], itertools.count(len(kept))))
+            characters = int(ends[more - 1])
+        yield flat(KEEP, np.array([more]))
         yield flat(COUNTS, counts)
         yield flat(WORDS, place[numbers])
         del words, coded, given, numbers
@@ -183,7 +199,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, direct: dict[bytes,
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids of each document from the words and pieces of its block."""
+    """Ids of each document from the words and pieces of its block, and from words of blocks before."""
+    kept = Lists(np.zeros(1, np.int64), np.zeros(0, np.int32))
     lengths: list[np.ndarray] = []
     ids: list[np.ndarray] = []
     parts: dict[int, np.ndarray] = {}
@@ -205,9 +222,12 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind != DOCUMENT:
                 parts[kind] = values
                 if kind == WORDS:
-                    words = Lists.of(np.concatenate([*lengths, parts[LENGTHS]]), np.concatenate([*ids, parts[GIVEN]]))
+                    words = Lists.of(np.concatenate([kept.lengths, *lengths, parts[LENGTHS]]), np.concatenate([kept.values, *ids, parts[GIVEN]]))
                     pieces = words.joined(values, parts[COUNTS])
-                    lengths, ids = [], []
+                    if more := int(parts[KEEP][0]):
+                        n = len(kept.lengths) + more
+                        kept = Lists(words.offsets[: n + 1].copy(), words.values[: words.offsets[n]].copy())
+                    words, lengths, ids = None, [], []
                 continue
             counts = np.asarray(flat.value_lengths())
             ends = np.concatenate([[0], np.cumsum(counts)])

@@ -408,6 +408,29 @@ def test_bpe_many_blocks(spark, sf):
     assert Counter((r.id, tuple(r.ids)) for r in coded.mapInArrow(bpe._joined, "id long, row_no string, ids array<int>").where("row_no = 'r'").collect()) == want
 
 
+def test_bpe_folds_a_word_once_in_a_task(spark, sf):
+    """A task's later blocks send only new words; where it keeps few words or characters, the ids are the same."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pandas().fillna({"text": ""})
+    docs = spark.createDataFrame([(int(i), "r", t) for i, t in zip(texts.doc_id, texts.text)], "id long, row_no string, text string").coalesce(1)
+    want = Counter((r.id, tuple(r.ids)) for r in bpe.encode(docs, RANKS, public_tokenizers.PATTERN, id_col="id").collect())
+    ranks = RANKS
+
+    def blocks(words, characters):
+        def run(batches):
+            bpe.BLOCK_BYTES, bpe.KEPT_WORDS, bpe.KEPT_CHARACTERS = 20_000, words, characters
+            yield from bpe._blocks((b.slice(at, 5) for b in batches for at in range(0, b.num_rows, 5)), public_tokenizers.PATTERN, ranks)
+
+        return docs.mapInArrow(run, bpe.ROWS)
+
+    sent = [bytes(w[1:-1]) for r in blocks(400_000, 6_000_000).where("kind = 0").collect() for w in r.words]
+    assert len(sent) > 1000 and len(sent) == len(set(sent))
+    for words, characters in ((400_000, 6_000_000), (50, 6_000_000), (400_000, 300), (0, 0)):
+        coded = blocks(words, characters).select("kind", bpe.encoded_words(F.col("words"), ranks).alias("ids"), "flat", "id", "row_no")
+        assert Counter((r.id, tuple(r.ids)) for r in coded.mapInArrow(bpe._joined, "id long, row_no string, ids array<int>").collect()) == want
+
+
 def test_pieces_encode_alone_as_in_their_text():
     """Texts of all kinds of white space, control characters and letters; other patterns get whole texts."""
     import random
